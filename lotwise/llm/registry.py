@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, token_planes
 
-MODULES = [exact_dedup]
+MODULES = [token_planes, exact_dedup]
 
 
 def queries() -> dict:
