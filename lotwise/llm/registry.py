@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_planes
+from . import exact_dedup, packing, token_planes
 
-MODULES = [token_planes, exact_dedup]
+MODULES = [token_planes, packing, exact_dedup]
 
 
 def queries() -> dict:
