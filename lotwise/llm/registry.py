@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, secrets, token_planes
+from . import bpe, exact_dedup, near_dup, packing, secrets, token_planes
 
-MODULES = [token_planes, packing, secrets, bpe, exact_dedup]
+MODULES = [token_planes, packing, near_dup, secrets, bpe, exact_dedup]
 
 
 def queries() -> dict:
