@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dup, exact_dedup, near_dup, packing, secrets, token_planes
+from . import bpe, embedding_dup, exact_dedup, near_dup, packing, secrets, token_planes, toxicity
 
-MODULES = [token_planes, packing, near_dup, secrets, embedding_dup, bpe, exact_dedup]
+MODULES = [token_planes, packing, near_dup, toxicity, secrets, embedding_dup, bpe, exact_dedup]
 
 
 def queries() -> dict:
