@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dup, exact_dedup, near_dup, packing, quality, secrets, token_planes, toxicity
+from . import bpe, embedding_dup, exact_dedup, kneser_ney, near_dup, packing, quality, secrets, token_planes, toxicity
 
-MODULES = [token_planes, packing, near_dup, toxicity, secrets, embedding_dup, bpe, quality, exact_dedup]
+MODULES = [token_planes, packing, near_dup, toxicity, secrets, embedding_dup, bpe, quality, exact_dedup, kneser_ney]
 
 
 def queries() -> dict:
