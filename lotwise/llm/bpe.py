@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .hash_store import HashStore, array, part_of, write_part
-from .shared import BoundedCache
+from .hash_store import array, part_of, write_part
 from .tokenize import PIECES, SPACES
 
 #: Stands for "not ranked".
@@ -184,7 +183,7 @@ def write_dictionary(encoded: DataFrame, folder: str, bits: int) -> DataFrame:
         rows: list[tuple[int, bytes, bytes]] = []
         for batch in batches:
             for word, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.append((xxhash.xxh64_intdigest(word), word, np.array(ids, "<u4").tobytes()))
+                rows.append((spark_hash(word), word, np.array(ids, "<u4").tobytes()))
         rows.sort()
         hashes = np.array([r[0] for r in rows], np.uint64)
         bounds = np.searchsorted(part_of(hashes, bits), np.arange((1 << bits) + 1))
@@ -200,33 +199,55 @@ def write_dictionary(encoded: DataFrame, folder: str, bits: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found])], ["part", "name"])
 
-    part = F.col("word_part")
-    dealt = encoded.withColumn("word_part", F.pmod(F.xxhash64("word"), F.lit(1 << bits))).repartition(1 << bits, part).select("word", "ids")
+    part = F.shiftrightunsigned(F.xxhash64("word"), 64 - bits)
+    dealt = encoded.withColumn("word_part", part).repartition(1 << bits, "word_part").select("word", "ids")
     return dealt.mapInArrow(write, "part int, name string")
 
 
-@functools.lru_cache(maxsize=2)
-def text_encoder(folder: str, pattern: str, names: tuple[tuple[int, tuple[str, ...]], ...], bits: int) -> BoundedCache:
-    """Cache of piece -> ids (uint32 bytes) over the mapped dictionary; one per worker process."""
-    split, parts = regex.compile(rust_white_space(pattern)), dict(names)
-
-    def word_ids(word: bytes) -> bytes:
-        h = np.uint64(xxhash.xxh64_intdigest(word))
-        for name in parts.get(int(h >> np.uint64(64 - bits)), ()):
-            stored = array(folder, name, "hash")
-            at = int(np.searchsorted(stored, h))
-            while at < len(stored) and stored[at] == h:
-                if _slice(folder, name, "word", at) == word:
-                    return _slice(folder, name, "ids", at)
-                at += 1
-        raise KeyError(word)
-
-    return BoundedCache(lambda piece: b"".join(word_ids(w.encode()) for w in split.findall(piece)), 300_000)
+class TextEncoder:
+    """Whole-text encoding over the mapped dictionary; one per worker process.
 
+    Pieces met before are in a bounded dict; the new ones of a batch are split into words, and all
+    their words are looked up together, part by part in hash order.
+    """
 
-def _slice(folder: str, name: str, key: str, at: int) -> bytes:
-    ends = array(folder, name, f"{key}_end")
-    return array(folder, name, key)[int(ends[at - 1]) if at else 0 : int(ends[at])].tobytes()
+    def __init__(self, folder: str, pattern: str, names: tuple[tuple[int, tuple[str, ...]], ...], bits: int, limit: int = 1_000_000):
+        self.folder, self.bits, self.limit = folder, bits, limit
+        self.split, self.parts, self.known = regex.compile(rust_white_space(pattern)), dict(names), {}
+
+    def word_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        hashes = np.array([spark_hash(w) for w in words], np.uint64)
+        order = np.argsort(hashes)
+        words, hashes = [words[i] for i in order.tolist()], hashes[order]
+        bounds = np.searchsorted(part_of(hashes, self.bits), np.arange((1 << self.bits) + 1)).tolist()
+        found: dict[bytes, bytes] = {}
+        for part, files in self.parts.items():
+            lo, hi = bounds[part], bounds[part + 1]
+            for name in files if hi > lo else ():
+                stored, text_end, ids_end = (array(self.folder, name, key) for key in ("hash", "word_end", "ids_end"))
+                text, ids = array(self.folder, name, "word"), array(self.folder, name, "ids")
+                for word, h, at in zip(words[lo:hi], hashes[lo:hi].tolist(), np.searchsorted(stored, hashes[lo:hi]).tolist(), strict=True):
+                    while at < len(stored) and stored[at] == h:
+                        if text[text_end[at - 1] if at else 0 : text_end[at]].tobytes() == word:
+                            found[word] = ids[ids_end[at - 1] if at else 0 : ids_end[at]].tobytes()
+                            break
+                        at += 1  # another word of the same hash
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split_texts = [PIECES.findall(text or "") for text in texts]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        new = {piece for pieces in split_texts for piece in pieces if piece not in self.known}
+        parts = {piece: [w.encode() for w in self.split.findall(piece)] for piece in new}
+        ids = self.word_ids(list({w for words in parts.values() for w in words}))
+        self.known.update((piece, b"".join([ids[w] for w in words])) for piece, words in parts.items())
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split_texts]
+
+
+@functools.lru_cache(maxsize=1)
+def text_encoder(folder: str, pattern: str, names: tuple, bits: int) -> TextEncoder:
+    return TextEncoder(folder, pattern, names, bits)
 
 
 def encode_texts(docs: DataFrame, ranks_file: str, pattern: str, word_bits: int = 5) -> DataFrame:
@@ -244,11 +265,11 @@ def encode_texts(docs: DataFrame, ranks_file: str, pattern: str, word_bits: int
     names = tuple((part, tuple(files)) for part, files in sorted(index.items()))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = text_encoder(folder, pattern, names, word_bits)
+        encoder = text_encoder(folder, pattern, names, word_bits)
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 few = batch.slice(begin, 500)
-                ids = [b"".join(map(pieces.__getitem__, PIECES.findall(text or ""))) for text in few.column(1).to_pylist()]
+                ids = encoder.encode(few.column(1).to_pylist())
                 ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([few.column(0), lists, pa.array(ids, pa.binary())], ["doc_id", "ids", "ids_le"])
