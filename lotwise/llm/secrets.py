@@ -68,12 +68,12 @@ def base_spans(text: Column) -> list[Column]:
     return [matches(text, pattern, group, least, kind, rank).alias(kind) for rank, (kind, (pattern, group, least)) in enumerate(BASE_KINDS.items())]
 
 
-def train(samples: DataFrame, prior: float = 2.0) -> list[float]:
+def train(samples: DataFrame, prior: float = 16.0) -> list[float]:
     """Log-likelihood ratios (random against ordinary) for each pair of characters, row by row.
 
     ``samples`` has token and label (1 random, 0 ordinary). Counts are summed in Spark; what reaches the
-    driver is at most two counts per pair of alphabet characters. Additive smoothing, so an empty sample
-    gives a ratio of 0 everywhere. Null tokens count as empty.
+    driver is at most two counts per pair of alphabet characters. A context backs off to its label's
+    single characters with the weight of ``prior`` pairs; an empty sample gives a ratio of 0 everywhere. Null tokens count as empty.
     """
     token = F.coalesce("token", F.lit(""))
     pairs = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.substring(token, i, F.lit(2)))
@@ -82,14 +82,16 @@ def train(samples: DataFrame, prior: float = 2.0) -> list[float]:
         .filter(F.col("pair").rlike(f"^{RUN}{RUN}$")).groupBy("label", "pair").count().collect()
     )
     n = len(ALPHABET)
-    tables = [[[prior] * n for _ in ALPHABET] for _ in range(2)]
+    tables = [[[0.0] * n for _ in ALPHABET] for _ in range(2)]
     for row in counts:
         if row.label in (0, 1):
             tables[row.label][ALPHABET.index(row.pair[0])][ALPHABET.index(row.pair[1])] += row["count"]
-    totals = [[sum(line) for line in table] for table in tables]
-    return [
-        math.log(tables[1][a][b] / totals[1][a]) - math.log(tables[0][a][b] / totals[0][a]) for a in range(n) for b in range(n)
-    ]
+    logs = []
+    for table in tables:
+        singles = [1 + sum(line[b] for line in table) for b in range(n)]
+        share = [x / sum(singles) for x in singles]
+        logs.append([math.log((line[b] + prior * share[b]) / (sum(line) + prior)) for line in table for b in range(n)])
+    return [random - ordinary for ordinary, random in zip(*logs, strict=True)]
 
 
 def log_ratio(token: Column, model: list[float]) -> Column:
@@ -123,11 +125,12 @@ def random_spans(text: Column, model: list[float], threshold: float) -> Column:
 def find_secrets(docs: DataFrame, model: list[float], threshold: float = 10.0, text_column: str = "text") -> DataFrame:
     """Adds ``assign``, ``access``, ``hex`` and ``random``: arrays of spans (start, rank, stop, kind).
 
-    Null and empty texts have none. Positions are code points, the end exclusive. A random span that
+    A document column of one of these names is replaced. Null and empty texts have none. Positions are code points, the end exclusive. A random span that
     overlaps a base span is left out, for that one stays. Every other column is kept; repeated rows are
     treated alike; an empty table stays empty.
     """
     text = F.coalesce(text_column, F.lit(""))
+    docs = docs.drop(*BASE_KINDS, RANDOM_KIND)
     with_base = docs.select("*", *base_spans(text))
     overlaps = lambda s: F.exists(
         F.concat(*BASE_KINDS), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])
@@ -154,8 +157,9 @@ def corpus_samples(docs: DataFrame, ordinary_documents: int = 2_000) -> DataFram
 
 def redact(docs: DataFrame, model: list[float], mask: str = "[SECRET]") -> DataFrame:
     """The documents with each secret span replaced by ``mask`` (n_chars follows); all rows stay."""
-    names = [*BASE_KINDS, RANDOM_KIND]
-    found = find_secrets(docs, model).withColumn("_spans", F.array_sort(F.concat(*names))).drop(*names)
+    # The document travels as one struct, so its columns may have any names.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    found = find_secrets(whole, model).withColumn("spans", F.array_sort(F.concat(*BASE_KINDS, RANDOM_KIND)))
     text = F.col("text")
 
     def cut(acc: Column, s: Column) -> Column:
@@ -163,11 +167,13 @@ def redact(docs: DataFrame, model: list[float], mask: str = "[SECRET]") -> DataF
         out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
         return F.struct(out.alias("out"), F.greatest(s["stop"], acc["at"]).alias("at"))
 
-    masked = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = found.withColumn("text", F.when(F.size("_spans") > 0, masked).otherwise(text))
+    masked = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = F.size("spans") > 0
+    out = found.withColumn("masked", F.when(changed, masked).otherwise(F.col("doc.text")))
+    replaced = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+        replaced["n_chars"] = F.when(changed, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return out.select(*(replaced.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def written_spans(spans: Column) -> Column:
