@@ -1,0 +1,38 @@
+"""The registered queries over the smallest tables."""
+
+import duckdb
+import pytest
+
+from lotwise.llm import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "labels"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    found = registry.queries()[name](spark, SF)
+    want = con.sql(registry.oracle_sql()[name])
+    columns = sorted(found.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(want.select(*columns).fetchall())
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    import corpus_pipeline
+    from lotwise.llm import shared
+
+    docs = shared.documents(spark, SF)
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = shared.written(stage(spark, docs, SF), "stage")
+        assert kept.columns == docs.columns
+        if name == "secret scans":
+            assert kept.count() == docs.count() and kept.filter("text rlike 'AKIA[A-Z0-9]{14,}'").count() == 0
+        docs = kept
+    left = {r.doc_id for r in docs.collect()}
+    assert left <= set(before) and len(left) > 0.7 * len(before)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == left
