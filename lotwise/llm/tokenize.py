@@ -31,7 +31,7 @@ def piece_ids(tokenizer_file: str) -> BoundedCache:
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
     tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
-    return BoundedCache(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes(), 300_000)
+    return BoundedCache(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes(), 1_000_000)
 
 
 def encode(text: str | None, tokenizer_file: str) -> bytes:
