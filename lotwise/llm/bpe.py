@@ -3,8 +3,8 @@
 Encoding has three steps. (1) Every task reduces its texts to their distinct pre-tokens; a
 shuffle makes them distinct over the corpus. (2) Spark higher-order functions fold the merges over
 each word's byte array: the pair of lowest rank merges until none is ranked. Ranks come from a
-literal table, a two-choice hash table in arrays, because a literal Spark map is scanned from its
-start at each lookup. (3) The words' ids are stored as sorted hash arrays that workers map into memory
+literal table, a perfect hash in arrays, because a literal Spark map is scanned from its start at
+each lookup. (3) The words' ids are stored as sorted hash arrays that workers map into memory
 to assemble whole texts. Decoding looks up each id's bytes in a literal array and concatenates.
 """
 
@@ -13,7 +13,8 @@ from __future__ import annotations
 import base64
 import functools
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .hash_store import array, part_of, write_part
-from .tokenize import PIECES, SPACES
+from .tokenize import LETTERS, PIECES, SPACES
 
 #: Stands for "not ranked".
 UNRANKED = 2**31 - 1
+#: Buckets of the rank table's perfect hash, as a power of two.
+BUCKET_BITS = 14
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -40,59 +43,62 @@ def spark_hash(value: bytes) -> int:
     return xxhash.xxh64_intdigest(value, seed=42)
 
 
-def two_choice_table(tokens: list[bytes]) -> tuple[int, list[int]]:
-    """Places every token's number in one of the two slots its hash names. Returns slot bits, numbers by slot."""
-    bits = max(4, (2 * len(tokens)).bit_length())
+def placed_tokens(tokens: list[bytes]) -> tuple[int, list[int], list[int]]:
+    """A perfect hash: every token's number in a slot of its own, its hash's low bits xor its bucket's offset.
+
+    Returns slot bits, offsets by bucket, numbers by slot.
+    """
+    bits = max(4, (4 * len(tokens)).bit_length())
     while True:
-        slots: list[int | None] = [None] * (1 << bits)
-        for number in range(len(tokens)):
-            moving, at = number, slots_of(tokens[number], bits)[0]
-            for _ in range(500):
-                moving, slots[at] = slots[at], moving
-                if moving is None:
-                    break
-                first, second = slots_of(tokens[moving], bits)
-                at = second if at == first else first
-            else:
+        mask, buckets = (1 << bits) - 1, [[] for _ in range(1 << BUCKET_BITS)]
+        for number, token in enumerate(tokens):
+            h = spark_hash(token)
+            buckets[h >> 32 & (1 << BUCKET_BITS) - 1].append((h & mask, number))
+        slots: list[int | None] = [None] * (mask + 1)
+        offsets = [0] * len(buckets)
+        for k in sorted(range(len(buckets)), key=lambda k: -len(buckets[k])):
+            places = [low for low, _ in buckets[k]]
+            if len(set(places)) < len(places):
                 break
+            offset = next((x for x in range(mask + 1) if all(slots[low ^ x] is None for low in places)), None)
+            if offset is None:
+                break
+            offsets[k] = offset
+            for low, number in buckets[k]:
+                slots[low ^ offset] = number
         else:
-            return bits, [number or 0 for number in slots]
+            return bits, offsets, [number or 0 for number in slots]
         bits += 1
 
 
-def slots_of(token: bytes, bits: int) -> tuple[int, int]:
-    h = spark_hash(token)
-    return h & ((1 << bits) - 1), (h >> 32) & ((1 << bits) - 1)
-
-
 def let(value: Column, body) -> Column:
     """``body`` with ``value`` computed once: Spark lambdas have no other local names."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 class Ranks:
-    """A rank table as literal columns: token bytes by rank, and ranks by slot of a two-choice hash table."""
+    """A rank table as literal columns: token bytes by rank, and ranks by slot of a perfect hash."""
 
     def __init__(self, ranks: dict[bytes, int]):
         tokens = sorted(ranks, key=ranks.get)
         if [ranks[t] for t in tokens] != list(range(len(tokens))):
             raise ValueError("ranks must be 0, 1, 2, ...")
-        self.bits, slots = two_choice_table(tokens)
+        self.bits, offsets, slots = placed_tokens(tokens)
         compact = {"separators": (",", ":")}
         self.token_literal = F.from_json(F.lit(json.dumps([base64.b64encode(t).decode() for t in tokens], **compact)), "array<binary>")
         self.slot_literal = F.from_json(F.lit(json.dumps(slots, **compact)), "array<int>")
+        self.offset_literal = F.from_json(F.lit(json.dumps(offsets, **compact)), "array<int>")
         self.hex_literal = F.from_json(F.lit(json.dumps([t.hex() for t in tokens], **compact)), "array<string>")
-        self.tokens, self.slots = self.token_literal, self.slot_literal
+        self.tokens, self.slots, self.offsets = self.token_literal, self.slot_literal, self.offset_literal
 
     def rank(self, token: Column) -> Column:
-        """Rank of a byte string, UNRANKED if it has none: one of two slots holds it, or none does."""
-        mask = F.lit((1 << self.bits) - 1)
+        """Rank of a byte string, UNRANKED if it has none: its one slot holds it, or none does."""
+        mask, bucket_mask = F.lit((1 << self.bits) - 1), F.lit((1 << BUCKET_BITS) - 1)
 
         def look(h: Column) -> Column:
-            first = F.get(self.slots, h.bitwiseAND(mask))
-            second = F.get(self.slots, F.shiftright(h, 32).bitwiseAND(mask))
-            held = lambda n: F.get(self.tokens, n) == token
-            return F.when(held(first), first).when(held(second), second).otherwise(F.lit(UNRANKED))
+            offset = F.get(self.offsets, F.shiftright(h, 32).bitwiseAND(bucket_mask))
+            number = F.get(self.slots, h.bitwiseAND(mask).bitwiseXOR(offset))
+            return F.when(F.get(self.tokens, number) == token, number).otherwise(F.lit(UNRANKED))
 
         return let(F.xxhash64(token), look)
 
@@ -105,6 +111,10 @@ class Ranks:
 
         def with_slots(slots: Column) -> Column:
             self.slots = slots
+            return let(self.offset_literal, with_offsets)
+
+        def with_offsets(offsets: Column) -> Column:
+            self.offsets = offsets
             return self.fold(word)
 
         return let(self.token_literal, with_tokens)
@@ -150,18 +160,23 @@ def rust_white_space(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{SPACES}").replace("\\S", f"[^{SPACES}]").replace("\\s", f"[{SPACES}]")
 
 
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """A function from a piece to its pre-tokens; a piece of letters after at most a space is one."""
+    split, one_word = regex.compile(rust_white_space(pattern)).findall, re.compile(f" ?[{LETTERS}]+").fullmatch
+    return lambda piece: [piece] if one_word(piece) else split(piece)
+
+
 def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
     """The distinct pre-tokens (binary) of all texts; each task sends each of its words once a batch."""
-    pattern = rust_white_space(pattern)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen, sent = regex.compile(pattern), set(), set()
+        split, seen, sent = splitter(pattern), set(), set()
         for batch in batches:
             pieces = set()
             for text in batch.column(0).to_pylist():
                 pieces.update(PIECES.findall(text or ""))
             pieces -= seen
-            words = {word for piece in pieces for word in split.findall(piece)} - sent
+            words = {word for piece in pieces for word in split(piece)} - sent
             if len(seen) > 700_000:
                 seen, sent = set(), set()
             seen |= pieces
@@ -193,7 +208,7 @@ def write_dictionary(encoded: DataFrame, folder: str, bits: int) -> DataFrame:
             if own:
                 arrays = {"hash": hashes[bounds[part] : bounds[part + 1]]}
                 for key, column in (("word", 1), ("ids", 2)):
-                    arrays[f"{key}_end"] = np.cumsum([len(r[column]) for r in own])
+                    arrays[f"{key}_at"] = np.cumsum([0] + [len(r[column]) for r in own])
                     arrays[key] = np.frombuffer(b"".join(r[column] for r in own), np.uint8)
                 found.append((part, write_part(folder, arrays)))
         if found:
@@ -213,7 +228,7 @@ class TextEncoder:
 
     def __init__(self, folder: str, pattern: str, names: tuple[tuple[int, tuple[str, ...]], ...], bits: int, limit: int = 1_000_000):
         self.folder, self.bits, self.limit = folder, bits, limit
-        self.split, self.parts, self.known = regex.compile(rust_white_space(pattern)), dict(names), {}
+        self.split, self.parts, self.known = splitter(pattern), dict(names), {}
 
     def word_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
         hashes = np.array([spark_hash(w) for w in words], np.uint64)
@@ -224,25 +239,37 @@ class TextEncoder:
         for part, files in self.parts.items():
             lo, hi = bounds[part], bounds[part + 1]
             for name in files if hi > lo else ():
-                stored, text_end, ids_end = (array(self.folder, name, key) for key in ("hash", "word_end", "ids_end"))
-                text, ids = array(self.folder, name, "word"), array(self.folder, name, "ids")
-                for word, h, at in zip(words[lo:hi], hashes[lo:hi].tolist(), np.searchsorted(stored, hashes[lo:hi]).tolist(), strict=True):
-                    while at < len(stored) and stored[at] == h:
-                        if text[text_end[at - 1] if at else 0 : text_end[at]].tobytes() == word:
-                            found[word] = ids[ids_end[at - 1] if at else 0 : ids_end[at]].tobytes()
-                            break
-                        at += 1  # another word of the same hash
+                stored, text_at, ids_at, text, ids = (np.asarray(array(self.folder, name, key)) for key in ("hash", "word_at", "ids_at", "word", "ids"))
+                text, ids = text.data, ids.data
+                index, at = np.arange(lo, hi), np.searchsorted(stored, hashes[lo:hi])
+                while len(index):
+                    index, at = index[inside := at < len(stored)], at[inside]
+                    index, at = index[same := stored[at] == hashes[index]], at[same]
+                    others = []
+                    spans = (x.tolist() for x in (index, text_at[at], text_at[at + 1], ids_at[at], ids_at[at + 1]))
+                    for k, (i, begin, end, first, last) in enumerate(zip(*spans, strict=True)):
+                        if text[begin:end] == words[i]:
+                            found[words[i]] = bytes(ids[first:last])
+                        else:
+                            others.append(k)
+                    at = at[others := np.array(others, np.int64)] + 1  # another word of the same hash
+                    index = index[others]
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split_texts = [PIECES.findall(text or "") for text in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        new = {piece for pieces in split_texts for piece in pieces if piece not in self.known}
-        parts = {piece: [w.encode() for w in self.split.findall(piece)] for piece in new}
+        found = [list(map(self.known.get, pieces)) for pieces in split_texts]
+        gaps = [[k for k, x in enumerate(own) if x is None] for own in found]
+        new = {pieces[k] for pieces, own in zip(split_texts, gaps, strict=True) for k in own}
+        parts = {piece: [w.encode() for w in self.split(piece)] for piece in new}
         ids = self.word_ids(list({w for words in parts.values() for w in words}))
         self.known.update((piece, b"".join([ids[w] for w in words])) for piece, words in parts.items())
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split_texts]
+        for pieces, own, where in zip(split_texts, found, gaps, strict=True):
+            for k in where:
+                own[k] = self.known[pieces[k]]
+        return [b"".join(own) for own in found]
 
 
 @functools.lru_cache(maxsize=1)
