@@ -124,35 +124,32 @@ class Ranks:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hex_literal, i)), ""))
 
     def fold(self, word: Column) -> Column:
-        """The fold of ranked merges over a word's bytes."""
+        """The fold of ranked merges over a word's bytes.
+
+        Its state are the places where pieces start (with the end) and the rank of each piece joined with
+        the next; a merge drops a start and ranks the joined piece with its neighbours.
+        """
         n = F.octet_length(word)
-        bytes_of = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
         pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: self.rank(F.substring(word, i, F.lit(2))))
-        none = F.array().cast("array<int>")
+
+        def piece(starts: Column, first: Column, last: Column) -> Column:
+            return F.substring(word, F.get(starts, first), F.get(starts, last) - F.get(starts, first))
 
         def merge(acc: Column, _: Column) -> Column:
-            pieces, ranks = acc["p"], acc["r"]
+            starts, ranks = acc["s"], acc["r"]
 
             def at(i: Column) -> Column:
-                def put(joined: Column) -> Column:
-                    before = F.when(i > 1, F.array(self.rank(F.concat(F.element_at(pieces, i - 1), joined)))).otherwise(none)
-                    after = F.when(i + 1 < F.size(pieces), F.array(self.rank(F.concat(joined, F.element_at(pieces, i + 2))))).otherwise(none)
-                    return F.struct(
-                        F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(joined), F.slice(pieces, i + 2, F.size(pieces))).alias("p"),
-                        F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(ranks, i + 2, F.size(pieces))).alias("r"),
-                    )
-
-                return let(F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1)), put)
-
-            def lowest(rank: Column) -> Column:
-                return F.when(rank == UNRANKED, acc).otherwise(let(F.array_position(ranks, rank).cast("int"), at))
+                before, after = self.rank(piece(starts, i - 1, i + 2)), self.rank(piece(starts, i, i + 3))
+                new = lambda rank, k: F.when(k == i - 1, before).when((k == i) & (i + 3 < F.size(starts)), after).otherwise(rank)
+                return F.struct(F.filter(starts, lambda _, k: k != i + 1).alias("s"), F.transform(F.filter(ranks, lambda _, k: k != i), new).alias("r"))
 
-            return let(F.coalesce(F.array_min(ranks), F.lit(UNRANKED)), lowest)
+            return F.when(F.array_min(ranks) == UNRANKED, acc).otherwise(let(F.array_position(ranks, F.array_min(ranks)).cast("int") - 1, at))
 
-        start = F.struct(bytes_of.alias("p"), pairs.alias("r"))
-        folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, merge, lambda acc: F.transform(acc["p"], self.rank))
+        start = F.struct(F.sequence(F.lit(1), n + 1).alias("s"), F.concat(pairs, F.array(F.lit(UNRANKED))).alias("r"))
+        ids = lambda acc: F.transform(F.slice(acc["s"], F.lit(1), F.size(acc["s"]) - 1), lambda _, k: self.rank(piece(acc["s"], k, k + 1)))
+        folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, merge, ids)
         whole = self.rank(word)
-        return F.when(n == 0, none).when(whole != UNRANKED, F.array(whole)).otherwise(folded)
+        return F.when(n == 0, F.array().cast("array<int>")).when(whole != UNRANKED, F.array(whole)).otherwise(folded)
 
 
 def rust_white_space(pattern: str) -> str:
@@ -191,25 +188,37 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return words.select("word", Ranks(ranks).encode(F.col("word")).alias("ids"))
 
 
+def reordered(values: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``sizes`` values in another order, and the bounds of the runs there."""
+    begin, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    at = np.append(0, np.cumsum(sizes))
+    return values[np.arange(at[-1]) + np.repeat(begin - at[:-1], sizes)], at
+
+
 def write_dictionary(encoded: DataFrame, folder: str, bits: int) -> DataFrame:
     """Stores word -> ids as sorted hash arrays; returns part, name."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, bytes, bytes]] = []
+        hashes, words, sizes, ids, counts = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for batch in batches:
-            for word, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.append((spark_hash(word), word, np.array(ids, "<u4").tobytes()))
-        rows.sort()
-        hashes = np.array([r[0] for r in rows], np.uint64)
-        bounds = np.searchsorted(part_of(hashes, bits), np.arange((1 << bits) + 1))
+            own = batch.column(0).to_pylist()
+            hashes.append(np.fromiter(map(spark_hash, own), np.uint64, len(own)))
+            words += own
+            sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
+            ids.append(batch.column(1).flatten().to_numpy().astype("<u4"))
+            counts.append(np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64))
+        hashes = np.concatenate(hashes)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        word, word_at = reordered(np.frombuffer(b"".join(words), np.uint8), np.concatenate(sizes), order)
+        ids, ids_at = reordered(np.concatenate(ids), np.concatenate(counts), order)
         found = []
-        for part in range(1 << bits):
-            own = rows[bounds[part] : bounds[part + 1]]
-            if own:
-                arrays = {"hash": hashes[bounds[part] : bounds[part + 1]]}
-                for key, column in (("word", 1), ("ids", 2)):
-                    arrays[f"{key}_at"] = np.cumsum([0] + [len(r[column]) for r in own])
-                    arrays[key] = np.frombuffer(b"".join(r[column] for r in own), np.uint8)
+        bounds = np.searchsorted(part_of(hashes, bits), np.arange((1 << bits) + 1)).tolist()
+        for part, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if hi > lo:
+                arrays = {"hash": hashes[lo:hi]}
+                for key, values, at, width in (("word", word, word_at, 1), ("ids", ids, ids_at, 4)):
+                    arrays |= {f"{key}_at": (at[lo : hi + 1] - at[lo]) * width, key: values[at[lo] : at[hi]].view(np.uint8)}
                 found.append((part, write_part(folder, arrays)))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found])], ["part", "name"])
