@@ -141,15 +141,16 @@ def find_secrets(docs: DataFrame, model: list[float], threshold: float = 10.0, t
 def corpus_samples(docs: DataFrame, ordinary_documents: int = 2_000) -> DataFrame:
     """Labelled samples: every base span's text of all documents against words of a bounded sample.
 
-    The ordinary identifiers come from the ``ordinary_documents`` documents with the smallest id hash; a
-    base span among them is no ordinary word.
+    The ordinary identifiers come from about ``ordinary_documents`` documents, those with the smallest hashes;
+    they stay where they are, and only counts of pairs leave a task. A base span among them is no
+    ordinary word.
     """
     text = F.coalesce("text", F.lit(""))
     any_base = "|".join(pattern for pattern, _, _ in BASE_KINDS.values())
     spans = docs.select(text.alias("text")).filter(F.col("text").rlike(any_base)).select("text", F.explode(F.concat(*base_spans(F.col("text")))).alias("s"))
     secret = F.substring("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))
     random = spans.select(F.explode(F.regexp_extract_all(secret, F.lit(f"{RUN}{{12,}}"), F.lit(0))).alias("token"), F.lit(1).alias("label"))
-    few = docs.select(text.alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(ordinary_documents)
+    few = docs.filter(shared.smallest_hashes(["doc_id", "text"], ordinary_documents, docs.count())).select(text.alias("text"))
     plain = F.regexp_replace("text", any_base, " ")
     ordinary = few.select(F.explode(F.regexp_extract_all(plain, F.lit(f"{RUN}{{4,}}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
     return random.unionByName(ordinary)

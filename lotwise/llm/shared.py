@@ -58,6 +58,12 @@ def crc_bucket(id_column: str, modulus: int):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
 
 
+def smallest_hashes(columns: list[str], wanted: int, rows: int):
+    """Condition that about ``wanted`` of ``rows`` rows meet, all where there are no more; it needs no sort."""
+    share = min(1.0, wanted / max(rows, 1))
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1) <= F.lit(min(int(2.0**63 * share), 2**63 - 1))
+
+
 class BoundedCache(dict):
     """A dict that fills itself through ``compute`` and is emptied when it holds ``limit`` keys."""
 
