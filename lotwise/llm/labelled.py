@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: At most so many labelled rows are used to fit a classifier (16 bytes each when broadcast).
 MAX_LABELLED = 50_000
 
@@ -15,5 +17,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Colu
     Null labels and ids are left out; of labels that repeat an id the largest counts.
     """
     known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & train)
+    # The condition leaves a tenth more than ``limit``, so that the sort isn't over all labels.
+    known = known.filter(shared.smallest_hashes(["doc_id"], limit + limit // 10, known.count()))
     chosen = known.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``limit``
