@@ -95,7 +95,8 @@ def spc_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = (F.col("sigma") > 0) & (F.col("usl") > F.col("lsl"))
     cpk = F.least(F.col("usl") - F.col("mean"), F.col("mean") - F.col("lsl")) / (3 * F.col("sigma"))
     rated = base.select("scope", "usl", "lsl", F.when(fine, (F.col("usl") - F.col("lsl")) / (6 * F.col("sigma"))).alias("cp"), F.when(fine, cpk).alias("cpk"))
-    return rated.withColumn("rating", F.when(F.col("cpk") >= 1.67, "excellent").when(F.col("cpk") >= 1.33, "capable").when(F.col("cpk") >= 1.0, "marginal").otherwise("incapable"))
+    rounded = F.round("cpk", 9)  # at the natural limits Cpk is 1 but for its last bits
+    return rated.withColumn("rating", F.when(rounded >= 1.67, "excellent").when(rounded >= 1.33, "capable").when(rounded >= 1.0, "marginal").otherwise("incapable"))
 
 
 QUERIES = {"spc_points": spc_points, "spc_alarms": spc_alarms, "spc_state": spc_state, "spc_capability": spc_capability}
@@ -133,5 +134,5 @@ ORACLE_SQL = {
     "spc_state": SPC + f"SELECT scope, count(*) AS points, CASE WHEN bool_or(x > ucl OR cusum_signal) THEN 'out_of_control' WHEN bool_or({_ANY}) THEN 'warning' ELSE 'in_control' END AS state FROM pt GROUP BY 1",
     "spc_capability": SPC + """, u AS (SELECT *, mean + 3 * sigma AS usl, greatest(0.0, mean - 3 * sigma) AS lsl FROM bl),
 v AS (SELECT scope, usl, lsl, CASE WHEN sigma > 0 AND usl > lsl THEN (usl - lsl) / (6 * sigma) END AS cp, CASE WHEN sigma > 0 AND usl > lsl THEN least(usl - mean, mean - lsl) / (3 * sigma) END AS cpk FROM u)
-SELECT *, CASE WHEN cpk >= 1.67 THEN 'excellent' WHEN cpk >= 1.33 THEN 'capable' WHEN cpk >= 1.0 THEN 'marginal' ELSE 'incapable' END AS rating FROM v""",
+SELECT *, CASE WHEN round(cpk, 9) >= 1.67 THEN 'excellent' WHEN round(cpk, 9) >= 1.33 THEN 'capable' WHEN round(cpk, 9) >= 1.0 THEN 'marginal' ELSE 'incapable' END AS rating FROM v""",
 }

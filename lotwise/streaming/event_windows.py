@@ -13,16 +13,21 @@ def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(folder)
 
 
+def with_watermark(events: DataFrame, delay: str) -> DataFrame:
+    """A stream gets a watermark, which asks for timestamps with a time zone; a table stays as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay) if events.isStreaming else events
+
+
 def hourly(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Counts and sums per hour and event type; works on a stream and on a table."""
-    seen = events.withWatermark("ts", watermark) if events.isStreaming else events
+    seen = with_watermark(events, watermark)
     agg = seen.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return agg.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "10 minutes") -> DataFrame:
     """Sessions of a user: events less than ``gap`` apart."""
-    seen = events.withWatermark("ts", watermark) if events.isStreaming else events
+    seen = with_watermark(events, watermark)
     agg = seen.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return agg.select("user_id", F.col("w.start").alias("start"), "n")
 

@@ -118,7 +118,7 @@ def test_mapped_csv(spark, tmp_path):
         },
     }
     rows = sorted(csv_records.read_mapped_csv(spark, str(tmp_path / "v.tsv"), config).collect(), key=lambda r: r.panel_id)
-    assert [(r.panel_id, r.component_row, r.component_col, r.defect_type, r.y, r.size, r.confidence_score) for r in rows] == [("L1_W2", 3, 4, "scratch", 10.0, 0.5, 0.75), ("L1_W3", 1, 7, "other", 10.0, 0.7, 0.75)]
+    assert [(r.panel_id, r.component_row, r.component_col, r.defect_type, r.y, r.size, r.confidence_score) for r in rows] == [("L1_W2", 3, 4, "scratch", 10.0, 0.5, 0.75), ("L1_W3", 1, 7, "other", 10.0, 700 * 0.001, 0.75)]
 
 
 KLARF = """FileVersion 1 1;
