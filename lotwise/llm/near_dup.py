@@ -1,8 +1,9 @@
 """N-gram Jaccard join by MinHash banding.
 
-Documents with equal sets of word n-grams form a class; its smallest id stands for it. Class
-representatives are hashed into bands chosen for a target recall at the threshold, and only
-representatives that share a band bucket with another go on. They are gathered into small blocks
+Documents with equal sets of word n-grams form a class, a node named by a hash of the set's digest;
+ids, which may be null or repeat with other texts, never name a node. One text of each class is
+hashed into bands chosen for a target recall at the threshold, and only classes that share a band
+bucket with another go on. They are gathered into small blocks
 of likely neighbours; for each pair of blocks that share a bucket one task compares the full
 n-gram sets of all members, by products of 0/1 matrices over the n-grams that occur twice. A task returns
 link counts and a spanning forest of its links, never the pairs themselves, so a group of
@@ -66,13 +67,13 @@ def minhash_bands(grams: np.ndarray, multipliers: np.ndarray, bands: int, rows:
 
 
 def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set digest (two longs), n_grams, band hashes for every document."""
+    """doc_id, text_hash, set digest (two longs), n_grams, band hashes for every document."""
     multipliers = (np.random.default_rng(7).integers(0, 2**31, bands * rows, dtype=np.uint32) << 1) | np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 grams = ngram_hashes(text, n)
                 digest = (int(grams.sum(dtype=np.uint64)), int(mixed(grams ^ np.uint64(len(grams))).sum(dtype=np.uint64)))
                 keys = minhash_bands(grams, multipliers, bands, rows) if len(grams) else np.zeros(0, np.uint64)
@@ -80,32 +81,32 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             digests = [pa.array(np.array(c, np.uint64).astype(np.int64)) for c in columns[:2]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *digests, pa.array(columns[2], pa.int64()), pa.array(list(columns[3]), pa.list_(pa.int64()))],
-                ["doc_id", "d1", "d2", "n_grams", "bands"],
+                [batch.column(0), batch.column(1), *digests, pa.array(columns[2], pa.int64()), pa.array(list(columns[3]), pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "d1", "d2", "n_grams", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n_grams long, bands array<long>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, d1 long, d2 long, n_grams long, bands array<long>")
 
 
 def place_in_blocks(buckets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rep, block: representatives that share buckets, dealt into blocks of bounded average size.
+    """node, block: classes that share buckets, dealt into blocks of bounded average size.
 
     Two rounds of smallest-neighbour labels gather likely neighbours under one label; a label's members
     are dealt by hash over as many blocks as its members and n-grams ask for.
     """
-    low = buckets.groupBy("bucket").agg(F.min("rep").alias("low"))
-    first = buckets.join(low, "bucket").groupBy("rep").agg(F.min("low").alias("label"))
-    lower = buckets.join(first, "rep").groupBy("bucket").agg(F.min("label").alias("low"))
-    home = buckets.join(lower, "bucket").groupBy("rep").agg(F.min("low").alias("home")).join(sizes, "rep")
+    low = buckets.groupBy("bucket").agg(F.min("node").alias("low"))
+    first = buckets.join(low, "bucket").groupBy("node").agg(F.min("low").alias("label"))
+    lower = buckets.join(first, "node").groupBy("bucket").agg(F.min("label").alias("low"))
+    home = buckets.join(lower, "bucket").groupBy("node").agg(F.min("low").alias("home")).join(sizes, "node")
     parts = home.groupBy("home").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).alias("parts")
     )
-    return home.join(parts, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+    return home.join(parts, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
 
 
 def block_pairs(buckets: DataFrame, blocks: DataFrame) -> DataFrame:
     """left, right (left <= right): every two blocks that share a bucket, and each block with itself."""
-    at = buckets.join(blocks, "rep").select("bucket", "block").distinct()
+    at = buckets.join(blocks, "node").select("bucket", "block").distinct()
     other = at.select("bucket", F.col("block").alias("right"))
     apart = at.join(other, "bucket").filter("block < right").select(F.col("block").alias("left"), "right").distinct()
     return blocks.select(F.col("block").alias("left"), F.col("block").alias("right")).distinct().unionByName(apart)
@@ -166,40 +167,40 @@ def forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
     return {x: root(x) for x in list(parent)}
 
 
-def link_statistics(reps_a: np.ndarray, reps_b: np.ndarray, weights: dict[int, int], both_ways: bool = True) -> pd.DataFrame:
+def link_statistics(nodes_a: np.ndarray, nodes_b: np.ndarray, weights: dict[int, int], both_ways: bool = True) -> pd.DataFrame:
     """Per node: linked classes, linked documents (class sizes) and its root in the links' forest."""
-    roots = forest(reps_a, reps_b)
-    nodes, partners = np.concatenate([reps_a, reps_b]), np.concatenate([reps_b, reps_a])
-    frame = pd.DataFrame({"rep": nodes, "documents": [weights[x] for x in partners.tolist()]})
-    out = frame.groupby("rep").agg(classes=("documents", "size"), documents=("documents", "sum")).reset_index()
-    out["root"] = [roots[x] for x in out["rep"].tolist()]
+    roots = forest(nodes_a, nodes_b)
+    ends, partners = np.concatenate([nodes_a, nodes_b]), np.concatenate([nodes_b, nodes_a])
+    frame = pd.DataFrame({"node": ends, "documents": [weights[x] for x in partners.tolist()]})
+    out = frame.groupby("node").agg(classes=("documents", "size"), documents=("documents", "sum")).reset_index()
+    out["root"] = [roots[x] for x in out["node"].tolist()]
     return out.astype(np.int64)
 
 
 def compare_blocks(pairs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """rep, classes, documents, root: link counts and forest edges of every pair of blocks.
+    """node, classes, documents, root: link counts and forest edges of every pair of blocks.
 
-    ``members`` has rep, block, size and text.
+    ``members`` has node, block, size and text.
     """
     sides = pairs.select("left", "right", F.col("left").alias("block"), F.lit(0).alias("side")).unionByName(
         pairs.filter("left <> right").select("left", "right", F.col("right").alias("block"), F.lit(1).alias("side"))
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        weights = dict(zip(frame["rep"].tolist(), frame["size"].tolist(), strict=True))
-        frame = frame.sort_values("rep")
+        weights = dict(zip(frame["node"].tolist(), frame["size"].tolist(), strict=True))
+        frame = frame.sort_values("node")
         by_side = [frame[frame["side"] == s] for s in (0, 1)]
         sets = [[np.frombuffer(g, np.uint64) for g in f["grams"]] for f in by_side]
-        reps = [f["rep"].to_numpy(np.int64) for f in by_side]
-        inside = len(reps[1]) == 0
+        nodes = [f["node"].to_numpy(np.int64) for f in by_side]
+        inside = len(nodes[1]) == 0
         right = 0 if inside else 1
         a, b = links_between(sets[0], sets[right], threshold)
         if inside:
             a, b = a[keep := a < b], b[keep]
-        return link_statistics(reps[0][a], reps[right][b], weights)
+        return link_statistics(nodes[0][a], nodes[right][b], weights)
 
     dealt = sides.join(members, "block")
-    return dealt.groupBy("left", "right").applyInPandas(compare, "rep long, classes long, documents long, root long")
+    return dealt.groupBy("left", "right").applyInPandas(compare, "node long, classes long, documents long, root long")
 
 
 def gram_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -208,9 +209,48 @@ def gram_sets(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [ngram_hashes(text, n).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("block"), batch.column("size"), pa.array(grams, pa.binary())], ["rep", "block", "size", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("block"), batch.column("size"), pa.array(grams, pa.binary())], ["node", "block", "size", "grams"])
 
-    return texts.select("rep", "block", "size", "text").mapInArrow(run, "rep long, block long, size long, grams binary")
+    return texts.select("node", "block", "size", "text").mapInArrow(run, "node long, block long, size long, grams binary")
+
+
+def readable(docs: DataFrame) -> DataFrame:
+    """doc_id (null as -1), text and text_hash: together, id and hash name a row's text."""
+    return docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
+def classes_and_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, max_hashes: int = 384) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every row of ``docs`` (see :func:`readable`), and a row per class.
+
+    A class has its node, its smallest id (rep) with that row's text_hash, its size, the documents linked
+    to it, and its component's keeper: (rep, text_hash, node) of the class with the smallest id.
+    """
+    bands, rows = banding(threshold, recall, max_hashes)
+    sketches = shared.written(sketch(docs, n, bands, rows), "sketches")
+    classes = sketches.groupBy("d1", "d2", "n_grams").agg(
+        F.count("*").alias("size"), F.min(F.struct("doc_id", "text_hash", "bands")).alias("b")
+    ).select(
+        "d1", "d2", "n_grams", F.xxhash64("d1", "d2", "n_grams").alias("node"), "size",
+        F.col("b.doc_id").alias("rep"), F.col("b.text_hash").alias("text_hash"), F.col("b.bands").alias("bands"),
+    )
+    classes = shared.written(classes, "classes")
+    buckets = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    lone = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    buckets = shared.written(buckets.join(lone, "bucket"), "buckets")
+    blocks = shared.written(place_in_blocks(buckets, classes.select("node", "n_grams")), "blocks")
+    chosen = classes.select("node", "size", F.col("rep").alias("doc_id"), "text_hash").join(blocks, "node")
+    texts = docs.join(chosen, ["doc_id", "text_hash"])
+    members = shared.written(gram_sets(texts, n), "members").dropDuplicates(["node"])
+    found = shared.written(compare_blocks(block_pairs(buckets, blocks), members, n, threshold), "links")
+    components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    counts = found.groupBy("node").agg(F.sum("documents").alias("linked"))
+    own = F.struct("rep", "text_hash", "node")
+    keepers = components.join(classes, "node").groupBy("component").agg(F.min(own).alias("keeper"))
+    linked = counts.join(components.join(keepers, "component").select("node", "keeper"), "node")
+    info = classes.join(linked, "node", "left").select(
+        "d1", "d2", "n_grams", "node", "rep", "text_hash", "size", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("keeper", own).alias("keeper")
+    )
+    return sketches, info
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, max_hashes: int = 384) -> DataFrame:
@@ -221,33 +261,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     ``threshold``, copies included; component_id is the smallest id reachable over links; kept is
     doc_id = component_id. Texts without a word (null, empty, white) form one class and link with nothing
     else. A text of fewer than ``n`` words is one n-gram. A null id is read as -1; rows that repeat an id
-    are counted each, and one id's differing texts are separate members of which only the first text is
-    compared. An empty table gives an empty result; other columns are ignored.
+    are counted each, and differing texts of one id (or of null ids) are compared each. An empty table
+    gives an empty result; other columns are ignored.
     """
-    bands, rows = banding(threshold, recall, max_hashes)
-    docs = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text")
-    sketches = shared.written(sketch(docs, n, bands, rows), "sketches")
-    classes = sketches.groupBy("d1", "d2", "n_grams").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min(F.struct("doc_id", "bands")).alias("b")
-    ).select("d1", "d2", "n_grams", "rep", "size", F.col("b.bands").alias("bands"))
-    classes = shared.written(classes, "classes")
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
-    lone = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n > 1").select("bucket")
-    buckets = shared.written(buckets.join(lone, "bucket"), "buckets")
-    sizes = classes.groupBy("rep").agg(F.max("n_grams").alias("n_grams"), F.sum("size").alias("size"))
-    blocks = shared.written(place_in_blocks(buckets, sizes.select("rep", "n_grams")), "blocks")
-    chosen = blocks.join(sizes.select("rep", "size"), "rep")
-    texts = docs.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
-    members = shared.written(gram_sets(texts, n), "members").dropDuplicates(["rep"])
-    found = shared.written(compare_blocks(block_pairs(buckets, blocks), members, n, threshold), "links")
-    components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("documents").alias("linked"))
-    info = (
-        classes.select("d1", "d2", "n_grams", "rep", "size").join(counts, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("d1", "d2", "n_grams", "rep", "size", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "rep").alias("component"))
-    )
-    marked = spread(sketches.select("doc_id", "d1", "d2", "n_grams"), info)
+    sketches, info = classes_and_links(readable(docs), n, threshold, recall, max_hashes)
+    marked = spread(sketches.select("doc_id", "d1", "d2", "n_grams"), info.select("d1", "d2", "n_grams", "rep", "size", "linked", F.col("keeper.rep").alias("component")))
     return marked.select(
         "doc_id", F.col("rep").alias("class_id"), F.col("size").alias("class_size"), (F.col("size") - 1 + F.col("linked")).alias("n_links"),
         F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"),
@@ -265,10 +283,16 @@ def spread(rows: DataFrame, info: DataFrame, hot: int = 1_000, salts: int = 64)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, one of each group of near duplicates (its smallest id), columns unchanged."""
-    kept = jaccard_join(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    key = F.coalesce("doc_id", F.lit(-1)).cast("long")
-    return docs.withColumn("_kept", key).join(kept, "_kept", "left_semi").select(*docs.columns)
+    """The documents, exactly one row of each group of near duplicates (of its smallest id), columns unchanged.
+
+    The row is found by id and text, so null and repeated ids neither save a copy nor drop another text.
+    """
+    _, info = classes_and_links(readable(docs))
+    kept = info.filter("node = keeper.node").select(F.col("rep").alias("_kept_id"), F.col("text_hash").alias("_kept_text"))
+    return (
+        docs.withColumn("_kept_id", F.coalesce("doc_id", F.lit(-1)).cast("long")).withColumn("_kept_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+        .join(kept, ["_kept_id", "_kept_text"], "left_semi").dropDuplicates(["_kept_id", "_kept_text"]).select(*docs.columns)
+    )
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

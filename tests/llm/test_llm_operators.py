@@ -171,6 +171,21 @@ def test_jaccard_join_edge_cases(docs, empty):
     assert near_dup.keep_one_of_each(docs).columns == docs.columns
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    a, b, c, d = near_copies(3, 4, 2, 400), near_copies(5, 1, 3, 400), near_copies(7, 1, 1, 400), near_copies(8, 1, 1, 400)
+    # Null ids: four pairs of near copies. Id 3: two unrelated texts, one of them near documents 1 and 4.
+    rows = [(None, t) for t in a] + [(1, b[0]), (3, b[1]), (3, c[0]), (4, b[2]), (5, d[0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_dup.jaccard_join(frame).collect()
+    links = defaultdict(list)
+    for r in found:
+        links[r.doc_id].append(r.n_links)
+    assert sorted(links[-1]) == [1] * 8 and sorted(links[3]) == [0, 2] and links[1] == links[4] == [2] and links[5] == [0]
+    kept = [tuple(r) for r in near_dup.keep_one_of_each(frame).collect()]
+    assert len(kept) == 4 + 3 and {k for k in kept if k[0] is not None} == {(1, b[0]), (3, c[0]), (5, d[0])}
+    assert [sum((None, t) in kept for t in set(a[i : i + 2])) for i in range(0, 8, 2)] == [1] * 4
+
+
 @pytest.mark.parametrize("recall", [0.9, 0.999])
 def test_banding_reaches_recall(recall):
     bands, rows = near_dup.banding(0.8, recall, 384)
