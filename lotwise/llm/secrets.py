@@ -1,8 +1,8 @@
 """Secret scans with DataFrame functions only.
 
 Fixed patterns give the base spans. Character Markov models add more: one bigram model of random
-strings, one of ordinary identifiers, both counted in Spark from labelled samples; a run of token
-characters whose log-likelihood ratio favours the random model is a secret too. The ratio table
+strings, one of ordinary identifiers, both counted in Spark from labelled samples; a part of a run of
+token characters whose log-likelihood ratio favours the random model is a secret too. The ratio table
 has one entry per pair of alphabet characters, so it is a small literal array. A text without
 any match costs one regular-expression scan per kind and nothing else.
 """
@@ -30,7 +30,7 @@ RANDOM_KIND = "random"
 #: Characters of tokens and identifiers; anything else ends a run.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
-MIN_RUN = 20
+MIN_RUN = 12
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
 
@@ -94,48 +94,103 @@ def train(samples: DataFrame, prior: float = 16.0) -> list[float]:
     return [random - ordinary for ordinary, random in zip(*logs, strict=True)]
 
 
-def log_ratio(token: Column, model: list[float]) -> Column:
-    """Sum of the token's pair ratios."""
+def threshold_of(model: list[float]) -> float:
+    """Half of what MIN_RUN evenly drawn characters score on average; by the likelihood ratio a part of ordinary text reaches T with odds of at most exp(-T), so 10 at least."""
+    return max(10.0, (MIN_RUN - 1) * sum(model) / len(model) / 2)
+
+
+def random_parts(token: Column, begin: Column, model: list[float], threshold: float) -> Column:
+    """Spans of the token's parts whose summed pair ratios reach ``threshold``, from MIN_RUN characters on.
+
+    A running sum starts anew where it falls to 0 or by ``threshold`` below its maximum, so ordinary text
+    beside or between random parts does not outweigh them. A part ends with whole pieces between signs: one
+    at its edge is taken in, or left out where the lesser half is inside. Parts that overlap become one. ``begin`` is the token's place in the text.
+    """
     n = len(ALPHABET)
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    return let(
-        table,
-        lambda ratios: let(
-            codes,
-            lambda at: F.aggregate(
-                F.sequence(F.lit(1), F.greatest(F.size(at) - 1, F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(ratios, F.get(at, i - 1) * n + F.get(at, i)), F.lit(0.0))
-            ),
-        ),
+    part = "array<struct<first:int,last:int>>"
+
+    def closed(acc: Column) -> Column:
+        one = F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))).cast(part)
+        return F.when(acc["best"] >= threshold, F.concat(acc["out"], one)).otherwise(acc["out"])
+
+    def step(acc: Column, i: Column, ratio: Column) -> Column:
+        total = acc["sum"] + ratio
+        ends = (total <= 0) | (total < acc["best"] - threshold)
+        higher = total > acc["best"]
+        return F.struct(
+            F.when(ends, 0.0).otherwise(total).alias("sum"), F.when(ends, i).otherwise(acc["from"]).alias("from"),
+            F.when(ends, 0.0).when(higher, total).otherwise(acc["best"]).alias("best"),
+            F.when(ends, i).when(higher, acc["from"]).otherwise(acc["first"]).alias("first"), F.when(ends, i).when(higher, i).otherwise(acc["last"]).alias("last"),
+            F.when(ends, closed(acc)).otherwise(acc["out"]).alias("out"),
+        )
+
+    zero = F.struct(
+        F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0.0).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.array().cast(part).alias("out")
     )
+    parts = let(F.struct(table.alias("ratios"), codes.alias("at")), lambda t: F.aggregate(
+        F.sequence(F.lit(1), F.size(t["at"]) - 1), zero,
+        lambda acc, i: step(acc, i, F.coalesce(F.get(t["ratios"], F.get(t["at"], i - 1) * n + F.get(t["at"], i)), F.lit(0.0))), closed,
+    ))
+
+    def whole_pieces(p: Column) -> Column:
+        inside = F.substring(token, p["first"] + 1, p["last"] - p["first"] + 1)
+        before = F.length(F.regexp_extract(F.substring(token, F.lit(1), p["first"]), "[A-Za-z0-9]*$", 0))
+        after = F.length(F.regexp_extract(F.substring(token, p["last"] + 2, F.length(token)), "^[A-Za-z0-9]*", 0))
+        head, tail = F.regexp_extract(inside, "^[A-Za-z0-9]*[+/_=-]+", 0), F.regexp_extract(inside, "[+/_=-]+[A-Za-z0-9]*$", 0)
+        of = lambda edge: F.length(F.regexp_replace(edge, "[+/_=-]", ""))
+        return F.struct(
+            (p["first"] + F.when((head != "") & (before > of(head)), F.length(head)).otherwise(-before)).alias("first"),
+            (p["last"] - F.when((tail != "") & (after > of(tail)), F.length(tail)).otherwise(-after)).alias("last"),
+        )
+
+    def merge(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        both = F.array(F.struct(F.least(last["first"], p["first"]).alias("first"), F.greatest(last["last"], p["last"]).alias("last")))
+        overlap = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["last"] >= p["first"])
+        return F.when(overlap, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), both)).otherwise(F.concat(acc, F.array(p)))
+
+    whole = F.aggregate(F.transform(parts, whole_pieces), F.array().cast(part), merge)
+    long = F.filter(whole, lambda p: p["last"] - p["first"] + 1 >= MIN_RUN)
+    return F.transform(long, lambda p: span_of(begin + p["first"], begin + p["last"] + 1))
+
+
+def span_of(start: Column, stop: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(len(BASE_KINDS)).alias("rank"), stop.alias("stop"), F.lit(RANDOM_KIND).alias("kind"))
 
 
 def random_spans(text: Column, model: list[float], threshold: float) -> Column:
-    """Runs of at least MIN_RUN token characters with letters and digits whose ratio reaches ``threshold``."""
-    pattern = f"{RUN}{{{MIN_RUN},}}"
-    runs = matches(text, pattern, 0, MIN_RUN, RANDOM_KIND, len(BASE_KINDS))
+    """The random parts of all runs of at least MIN_RUN token characters."""
+    runs = matches(text, f"{RUN}{{{MIN_RUN},}}", 0, MIN_RUN, RANDOM_KIND, len(BASE_KINDS))
+    return F.flatten(F.transform(runs, lambda r: let(F.substring(text, r["start"] + 1, r["stop"] - r["start"]), lambda token: random_parts(token, r["start"], model, threshold))))
 
-    def random(span: Column) -> Column:
-        token = F.substring(text, span["start"] + 1, span["stop"] - span["start"])
-        return token.rlike("[0-9].*[0-9]") & token.rlike("[A-Za-z]") & (log_ratio(token, model) >= threshold)
 
-    return F.filter(runs, random)
+def outside(span: Column, base: Column) -> Column:
+    """What the sorted spans of ``base`` leave of ``span``, as spans."""
+    touching = F.filter(base, lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
 
+    def cut(acc: Column, b: Column) -> Column:
+        left = F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(span_of(acc["at"], b["start"])).cast(SPAN))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), left.alias("out"))
 
-def find_secrets(docs: DataFrame, model: list[float], threshold: float = 10.0, text_column: str = "text") -> DataFrame:
+    rest = lambda acc: F.when(acc["at"] < span["stop"], F.concat(acc["out"], F.array(span_of(acc["at"], span["stop"])).cast(SPAN))).otherwise(acc["out"])
+    return F.aggregate(touching, F.struct(span["start"].alias("at"), F.array().cast(SPAN).alias("out")), cut, rest)
+
+
+def find_secrets(docs: DataFrame, model: list[float], threshold: float | None = None, text_column: str = "text") -> DataFrame:
     """Adds ``assign``, ``access``, ``hex`` and ``random``: arrays of spans (start, rank, stop, kind).
 
-    A document column of one of these names is replaced. Null and empty texts have none. Positions are code points, the end exclusive. A random span that
-    overlaps a base span is left out, for that one stays. Every other column is kept; repeated rows are
+    A document column of one of these names is replaced. Null and empty texts have none. Positions are code points, the end exclusive. A random span is
+    trimmed around base spans, which stay; its rest may be short. Without a ``threshold`` the model sets it. Every other column is kept; repeated rows are
     treated alike; an empty table stays empty.
     """
     text = F.coalesce(text_column, F.lit(""))
     docs = docs.drop(*BASE_KINDS, RANDOM_KIND)
     with_base = docs.select("*", *base_spans(text))
-    overlaps = lambda s: F.exists(
-        F.concat(*BASE_KINDS), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])
-    )
-    return with_base.withColumn(RANDOM_KIND, F.filter(random_spans(text, model, threshold), lambda s: ~overlaps(s)))
+    found = random_spans(text, model, threshold_of(model) if threshold is None else threshold)
+    base = F.array_sort(F.concat(*BASE_KINDS))
+    return with_base.withColumn(RANDOM_KIND, F.flatten(F.transform(found, lambda s: outside(s, base))))
 
 
 def corpus_samples(docs: DataFrame, ordinary_documents: int = 2_000) -> DataFrame:

@@ -280,6 +280,21 @@ def test_markov_spans_and_redaction(spark, docs, empty):
     assert secrets.train(secrets.corpus_samples(empty)) == [0.0] * len(chars) ** 2
 
 
+def test_random_parts_of_longer_runs(spark):
+    rng = random.Random(4)
+    chars = secrets.ALPHABET
+    samples = [("".join(rng.choice(chars) for _ in range(30)), 1) for _ in range(300)] + [(w, 0) for w in ("configuration_value_2", "maximum_window_size1", "document_identifier/window=value") * 100]
+    model = secrets.train(spark.createDataFrame(samples, "token string, label int"))
+    key, short, ordinary = "Zq9w8KdXLm3Rt5Vb1NcX2Pj7", "ZqKwXGdYLJBW", "configuration_value/document_identifier/maximum_window"
+    texts = [
+        (short, [short]), (f"see {ordinary}={key}/{ordinary} end", [key]), (f"{key}/{ordinary}/{ordinary}/{key}", [key, key]), (f"{ordinary} {ordinary}", []),
+        (f"{key}0123456789abcdef0123ZQ{key}", [key[:-1], "ZQ" + key]),  # the hex span takes the 7
+    ]
+    rows = secrets.find_secrets(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string"), model).collect()
+    for r in rows:
+        assert [r.text[s.start : s.stop] for s in r["random"]] == texts[r.doc_id][1], r.text
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 24))
