@@ -14,21 +14,37 @@ from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
 
 FEATURES = ["bias", "size", "confidence", "x_norm", "y_norm", "row_norm", "col_norm", "is_wafer"]
+REGIONS = ["zone_center", "zone_mid", "zone_edge", "region_NW", "region_NE", "region_SW", "region_SE"]
+#: The reference's fifteen, in its order.
+ALL_FEATURES = [*FEATURES[:-1], *REGIONS, "is_wafer"]
 
 
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric features of every system_a defect; positions are clamped to +-10."""
+    return _vectors(fab.defects(spark, sf_dir).filter("source_system = 'system_a'"))
+
+
+def classifier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fifteen features of every system_a defect on an active die, seven of them the die's region."""
+    return _vectors(fab.active_defects(spark, sf_dir), *((F.col("region_id") == r).cast("double").alias(r) for r in REGIONS))
+
+
+def _vectors(found: DataFrame, *regions: Column) -> DataFrame:
     clamp = lambda c: F.greatest(F.lit(-10.0), F.least(F.lit(10.0), c))
-    found = fab.defects(spark, sf_dir).filter("source_system = 'system_a'")
     return found.select(
         "panel_id", "defect_key", "defect_type", F.lit(1.0).alias("bias"), "size", F.col("confidence_score").alias("confidence"), clamp(F.col("x") / 10.0).alias("x_norm"), clamp(F.col("y") / 10.0).alias("y_norm"),
-        (F.col("component_row") / 10.0).alias("row_norm"), (F.col("component_col") / 10.0).alias("col_norm"), (F.col("substrate_type") == "wafer").cast("double").alias("is_wafer"),
+        (F.col("component_row") / 10.0).alias("row_norm"), (F.col("component_col") / 10.0).alias("col_norm"), *regions, (F.col("substrate_type") == "wafer").cast("double").alias("is_wafer"),
     )
 
 
+def features_of(rows: DataFrame) -> list[str]:
+    """Those of the fifteen features that the rows have."""
+    return [f for f in ALL_FEATURES if f in rows.columns]
+
+
 def predict(rows: DataFrame, weights: list[list[float]], classes: list[str]) -> DataFrame:
     """Adds ``predicted`` and ``probability`` of a softmax model; of equal scores the first class."""
-    scores = [sum((F.col(f) * w for f, w in zip(FEATURES, line, strict=True)), F.lit(0.0)) for line in weights]
+    scores = [sum((F.col(f) * w for f, w in zip(features_of(rows), line, strict=True)), F.lit(0.0)) for line in weights]
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
     total = sum((F.exp(s - F.col("_top")) for s in scores), F.lit(0.0))
     label: Column = F.lit(None).cast("string")
@@ -37,13 +53,13 @@ def predict(rows: DataFrame, weights: list[list[float]], classes: list[str]) ->
     return rows.withColumn("_top", top).withColumn("predicted", label).withColumn("probability", 1 / total).drop("_top")
 
 
-def example_weights(classes: list[str]) -> list[list[float]]:
+def example_weights(classes: list[str], features: list[str] = FEATURES) -> list[list[float]]:
     """Fixed weights by a rule, for exact comparison with an oracle."""
-    return [[((i * 7 + j * 3) % 11 - 5) / 8.0 for j in range(len(FEATURES))] for i in range(len(classes))]
+    return [[((i * 7 + j * 3) % 11 - 5) / 8.0 for j in range(len(features))] for i in range(len(classes))]
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> list[str]:
-    return [r[0] for r in fab.table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").limit(64).collect()]  # the taxonomy, at most 64 names
+    return [r[0] for r in fab.table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").collect()]  # the whole taxonomy
 
 
 def logit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +69,21 @@ def logit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall and support per class from one grouping of (true, predicted) pairs."""
-    pairs = logit_predict(spark, sf_dir).groupBy("defect_type", "predicted").agg(F.count("*").alias("n"))
+    return _per_class(logit_predict(spark, sf_dir))
+
+
+def classifier_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _classes(spark, sf_dir)
+    return predict(classifier_features(spark, sf_dir), example_weights(names, ALL_FEATURES), names).select("panel_id", "defect_key", "defect_type", "predicted")
+
+
+def classifier_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`confusion`, of the model with all fifteen features."""
+    return _per_class(classifier_predict(spark, sf_dir))
+
+
+def _per_class(predicted: DataFrame) -> DataFrame:
+    pairs = predicted.groupBy("defect_type", "predicted").agg(F.count("*").alias("n"))
     sides = pairs.select(F.explode(F.array(F.struct(F.col("defect_type").alias("class"), F.lit(1).alias("true"), F.lit(0).alias("guess")), F.struct(F.col("predicted").alias("class"), F.lit(0).alias("true"), F.lit(1).alias("guess")))).alias("s"), "n", (F.col("defect_type") == F.col("predicted")).alias("hit"))
     agg = sides.groupBy(F.col("s.class").alias("class")).agg(F.sum(F.col("s.true") * F.col("n")).alias("support"), F.sum(F.col("s.guess") * F.col("n")).alias("guessed"), F.sum(F.when(F.col("hit"), F.col("s.true") * F.col("n")).otherwise(0)).alias("tp"))
     return agg.select("class", "support", "guessed", "tp", F.coalesce(F.try_divide("tp", "guessed"), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("tp", "support"), F.lit(0.0)).alias("recall"))
@@ -66,8 +96,9 @@ def train_softmax(rows: DataFrame, classes: list[str], rate: float = 0.05, l2: f
     """
     if len(classes) < 2 or rows.limit(10).count() < 10:
         raise ValueError("training needs ten rows and two classes")
-    kept = rows.select("defect_type", *FEATURES).persist()
-    weights, last = np.zeros((len(classes), len(FEATURES))), math.inf
+    features = features_of(rows)
+    kept = rows.select("defect_type", *features).persist()
+    weights, last = np.zeros((len(classes), len(features))), math.inf
     shape = weights.shape
 
     for _ in range(rounds):
@@ -76,7 +107,7 @@ def train_softmax(rows: DataFrame, classes: list[str], rate: float = 0.05, l2: f
         def gradient(frames, current=current):
             total, loss, n = np.zeros(shape), 0.0, 0
             for frame in frames:
-                x = frame[FEATURES].to_numpy(np.float64)
+                x = frame[features].to_numpy(np.float64)
                 y = frame["defect_type"].map({c: k for k, c in enumerate(classes)}).to_numpy()
                 z = x @ current.T
                 p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -174,7 +205,7 @@ def monte_carlo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (feature_vectors, logit_predict, confusion, stratified_split, greedy_match, learning_curve, dies_per_wafer, component_grid, monte_carlo_summary)}
+QUERIES = {f.__name__: f for f in (feature_vectors, logit_predict, confusion, classifier_features, classifier_predict, classifier_confusion, stratified_split, greedy_match, learning_curve, dies_per_wafer, component_grid, monte_carlo_summary)}
 
 _FV = PREFIX + """, fv AS (SELECT panel_id, defect_key, defect_type, 1.0::DOUBLE AS bias, size, confidence_score AS confidence, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, x / 10.0)) AS x_norm, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, y / 10.0)) AS y_norm,
   component_row / 10.0::DOUBLE AS row_norm, component_col / 10.0::DOUBLE AS col_norm, (substrate_type = 'wafer')::INT::DOUBLE AS is_wafer FROM defects WHERE source_system = 'system_a')"""
@@ -193,3 +224,13 @@ SELECT class, coalesce(support, 0) AS support, coalesce(guessed, 0) AS guessed,
 p AS (SELECT *, row_number() OVER (PARTITION BY defect_type ORDER BY h, defect_key) AS k, count(*) OVER (PARTITION BY defect_type) AS n FROM f)
 SELECT defect_type, defect_key, CASE WHEN k <= n * 8 // 10 THEN 'train' WHEN k <= n * 8 // 10 + n // 10 THEN 'val' ELSE 'test' END AS split FROM p""",
 }
+_FV_ALL = PREFIX + """, fv AS (SELECT panel_id, defect_key, defect_type, 1.0::DOUBLE AS bias, size, confidence_score AS confidence, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, x / 10.0)) AS x_norm, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, y / 10.0)) AS y_norm,
+  component_row / 10.0::DOUBLE AS row_norm, component_col / 10.0::DOUBLE AS col_norm, """ + ", ".join(f"(region_id = '{r}')::INT::DOUBLE AS {r}" for r in REGIONS) + ", (substrate_type = 'wafer')::INT::DOUBLE AS is_wafer FROM active_a)"
+_LP_ALL = _FV_ALL + ", cl AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part)), fr AS (SELECT *, row_number() OVER () AS rid FROM fv), sc AS (SELECT fr.*, p_type, i, 0.0::DOUBLE + " + " + ".join(
+    f"{f} * (((i * 7 + {j * 3}) % 11 - 5) / 8.0::DOUBLE)" for j, f in enumerate(ALL_FEATURES)
+) + " AS s FROM fr CROSS JOIN cl), lp AS (SELECT panel_id, defect_key, defect_type, p_type AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY rid ORDER BY s DESC, i) = 1)"
+ORACLE_SQL |= {
+    "classifier_features": _FV_ALL + " SELECT * FROM fv",
+    "classifier_predict": _LP_ALL + " SELECT * FROM lp",
+    "classifier_confusion": ORACLE_SQL["confusion"].replace(_LP, _LP_ALL),
+}

@@ -181,3 +181,12 @@ def test_streams(spark, tmp_path):
 def test_monte_carlo_is_repeatable(spark):
     a, b = (sorted(map(tuple, learning.monte_carlo(spark, 50, 200, 0.5, 100.0).collect())) for _ in range(2))
     assert a == b and abs(sum(y for _, y in a) / 50 - math.exp(-0.5)) < 0.02
+
+
+def test_all_features_and_classes(spark, tmp_path):
+    assert len(learning.ALL_FEATURES) == 15
+    rows = learning.classifier_features(spark, "/root/testdata/sf0.001")
+    assert learning.features_of(rows) == learning.ALL_FEATURES
+    assert rows.count() == rows.filter(" + ".join(learning.REGIONS) + " = 1").count() > 0
+    spark.createDataFrame([(f"type {i:03}",) for i in range(70)], "p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert len(learning._classes(spark, str(tmp_path))) == 70
