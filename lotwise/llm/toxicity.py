@@ -29,8 +29,6 @@ TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 6)
 #: Weight of the prior in documents, and the z-score from which a token's log-odds count.
 PRIOR, MIN_Z = 10.0, 4.0
-#: The strongest entries that a model holds at most.
-MAX_ENTRIES = 50_000
 #: A passage is significant when a clean text of its length is expected to hold at most so many as good.
 MAX_E = 0.05
 THRESHOLD = 0.3
@@ -69,23 +67,25 @@ class SegmentModel:
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """Ruzzo-Tompa: all maximal scoring segments as (begin, end, score), in linear time."""
-    begins, ends, before, after = [], [], [], []  # before/after: running sums at a candidate's ends
+    """Ruzzo-Tompa: all maximal scoring segments as (begin, end, score), in linear time.
+
+    Each candidate keeps the place of the nearest earlier one with a smaller left sum. A search follows
+    these links; a candidate that it steps over is never met again, as the newcomer's link leads past it.
+    """
+    begins, ends, before, after, link = [], [], [], [], []  # before/after: running sums at a candidate's ends
     total = 0.0
     for i, score in enumerate(scores):
         low, total = total, total + score
         if score <= 0:
             continue
-        begin, end = i, i + 1
-        while True:
-            j = len(begins) - 1
-            while j >= 0 and before[j] >= low:
-                j -= 1
-            if j < 0 or after[j] >= total:
-                break
-            begin, low = begins[j], before[j]  # the candidates from j on merge with this one
-            del begins[j:], ends[j:], before[j:], after[j:]
-        begins.append(begin), ends.append(end), before.append(low), after.append(total)
+        begin, j = i, len(begins) - 1
+        while j >= 0 and before[j] >= low:
+            j = link[j]
+        while j >= 0 and after[j] < total:  # the candidates from j on merge with this one
+            begin, low, up = begins[j], before[j], link[j]
+            del begins[j:], ends[j:], before[j:], after[j:], link[j:]
+            j = up
+        begins.append(begin), ends.append(i + 1), before.append(low), after.append(total), link.append(j)
     return [(b, e, hi - lo) for b, e, lo, hi in zip(begins, ends, before, after, strict=True)]
 
 
@@ -151,11 +151,14 @@ def log_odds_table(counts: DataFrame) -> DataFrame:
 
 
 def fit(sample: DataFrame) -> SegmentModel:
-    """Fits the model on (text, label) rows; the driver gets at most MAX_ENTRIES table rows and a pair per sample row."""
+    """Fits the model on (text, label) rows of a bounded sample.
+
+    The driver gets the entries, tokens of that sample that its labels tell apart, and two numbers a row.
+    """
     sample = shared.written(sample.withColumn("copy", F.xxhash64("text", "label")).dropDuplicates(["copy"]), "labelled")
     counts = shared.written(document_counts(sample), "token-counts")
     table = log_odds_table(counts).filter((F.col("z") >= MIN_Z) & (F.col("log_odds") > 0) | F.col("covered"))
-    rows = table.orderBy(F.desc("z"), "level", "key").limit(MAX_ENTRIES).collect()
+    rows = table.collect()
     words = {r.key: r.log_odds for r in rows if r.level == 0}
     prefixes = {r.key: r.log_odds for r in rows if r.level and r.z >= MIN_Z}
     total = counts.filter("level = 0").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
@@ -165,13 +168,17 @@ def fit(sample: DataFrame) -> SegmentModel:
     model = SegmentModel(words, prefixes, min(rest, -1e-3))
     clean = [(r.log_odds, r.clean / (c + 1)) for r in rows if r.level == 0 and r.clean]
     model.decay = decay_rate([s for s, _ in clean] + [model.rest], [p for _, p in clean] + [1 - sum(p for _, p in clean)])
-    found = sample.select("text", "label").mapInArrow(_training_rows(model), "label int, n long, best double, segments array<double>").toPandas()
+    found = shared.written(sample.select("text", "label").mapInArrow(_training_rows(model), "label int, n long, segments array<double>"), "segments")
     least = min([s for s in [*words.values(), *prefixes.values()] if s > 0], default=1.0)
-    clean_rows = found[found["label"] == 0]
-    hits = max(0.5, float((clean_rows["best"] >= least).sum()))
-    model.scale = hits / max(1.0, float(clean_rows["n"].sum()) * math.exp(-model.decay * least))
-    evidence = np.array([model.evidence([(0, 0, s) for s in row.segments], row.n) for row in found.itertuples()])
-    model.intercept, model.slope = calibrate(evidence, found["label"].to_numpy() > 0)
+    good = F.count(F.when(F.array_max("segments") >= least, 1))
+    seen = found.filter("label = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), good.alias("hits")).first()
+    model.scale = max(0.5, float(seen.hits)) / max(1.0, seen.n * math.exp(-model.decay * least))
+    log_e = lambda s: F.log(F.lit(model.scale) * F.greatest("n", F.lit(1))) - F.lit(model.decay) * s
+    significant = F.filter("segments", lambda s: log_e(s) <= math.log(MAX_E))
+    evidence = F.aggregate(significant, F.lit(0.0), lambda acc, s: acc + F.greatest(F.lit(0.0), -log_e(s)))
+    pairs = found.select("label", evidence.alias("evidence")).toPandas()
+    model.intercept, model.slope = calibrate(pairs["evidence"].to_numpy(), pairs["label"].to_numpy() > 0)
+    shared.discard(sample, counts, found)
     return model
 
 
@@ -182,8 +189,8 @@ def _training_rows(model: SegmentModel):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = tokens(text)
                 segments = [s for _, _, s in segments_of(np.array([model.score_of(w) for w in words]), model.rest)]
-                rows.append({"label": int(label > 0), "n": len(words), "best": max(segments, default=0.0), "segments": segments})
-            kinds = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("segments", pa.list_(pa.float64()))])
+                rows.append({"label": int(label > 0), "n": len(words), "segments": segments})
+            kinds = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("segments", pa.list_(pa.float64()))])
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return run
@@ -255,7 +262,11 @@ def fit_on(spark: SparkSession, sf_dir: str, docs: DataFrame) -> SegmentModel:
 
 
 def drop_toxic(docs: DataFrame, model: SegmentModel) -> DataFrame:
-    """The documents whose score stays below THRESHOLD, columns unchanged; text travels to no shuffle."""
+    """The documents whose score stays below THRESHOLD, columns unchanged; text travels to no shuffle.
+
+    Null and empty texts have no evidence and stay; repeated rows fare alike; an empty table stays empty;
+    other columns, whatever their names, are passed through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = BoundedCache(model.score_of)
