@@ -24,6 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         parents = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         jumped = hooked.join(parents, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
         step = shared.written(jumped, "labels")
+        shared.discard(labels)
         labels = step.select("node", "label")
         if step.filter("label <> old").isEmpty():
+            shared.discard(both)
             return labels.withColumnRenamed("label", "component")

@@ -18,10 +18,6 @@ from . import shared
 #: The characters that normalisation deletes.
 WHITE_SPACE = "[\\x20\\x09-\\x0D]"
 
-#: A digest with more rows than this is joined back over several salts.
-HOT_GROUP = 5_000
-SALTS = 32
-
 
 def text_digest(text: Column) -> Column:
     """SHA-256 (lowercase hex) of the text without ASCII white space; null counts as empty."""
@@ -52,9 +48,13 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, digests: DataFrame) -> None:
-        """Adds the groups whose digest is not in the index; those already there stay as they are."""
-        groups = group_digests(digests)
+    def drop(self) -> None:
+        """Removes the index from the catalog and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        shared.remove(self.spark, self.folder)
+
+    def append(self, groups: DataFrame) -> None:
+        """Adds the groups (:func:`group_digests`) whose digest is not in the index; those already there stay as they are."""
         unseen = groups.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         (
             unseen.select("text_sha256", "keep_id", "keep_chars", "group_size")
@@ -92,23 +92,17 @@ def group_digests(rows: DataFrame) -> DataFrame:
     )
 
 
-def mark_duplicates(rows: DataFrame, index: DigestIndex) -> DataFrame:
+def mark_duplicates(rows: DataFrame, groups: DataFrame, index: DigestIndex) -> DataFrame:
     """Every row of ``rows`` with its group's keep_id, group_size and whether it is the one kept.
 
-    Groups above HOT_GROUP rows are joined over SALTS copies of their single index row, the
-    documents being dealt over the salts by id, so no group lands in one task.
+    ``groups`` are the digests of ``rows``. The rows are dealt to the index's buckets, which stay where
+    they are; the few digests that hold a noticeable share of the rows are joined by broadcast instead.
     Of rows that repeat an id within a group, all carry kept where the id is the kept one.
     """
-    groups = index.read().select("text_sha256", "keep_id", "group_size")
-    salted = groups.withColumn(
-        "salt", F.explode(F.when(F.col("group_size") > HOT_GROUP, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    )
-    hot = groups.filter(F.col("group_size") > HOT_GROUP).select("text_sha256", F.lit(True).alias("hot"))
-    # At most (rows / HOT_GROUP) digests are hot; Spark broadcasts them only while that is small.
-    dealt = rows.join(hot, "text_sha256", "left").withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    )
-    return dealt.join(salted, ["text_sha256", "salt"]).select(
+    n_rows = rows.count()
+    heavy = groups.filter(F.col("group_size") * shared.HEAVY_SHARE >= n_rows)
+    known = index.read().select("text_sha256", "keep_id", "group_size")
+    return shared.join_by_group(rows, known, heavy, ["text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
@@ -119,24 +113,35 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_column: st
     Returns doc_id, keep_id, group_size, kept, text_sha256. Null text counts as empty; empty and
     all-white texts are one group; an empty table gives an empty result; a null id is kept only in
     a group of null ids; columns other than the two named are never looked at. With an index that
-    already holds a digest, its earlier row is the keeper and new rows of that digest are dropped.
+    already holds a digest, its earlier row is the keeper, new rows of that digest are dropped, and
+    group_size counts the rows of the batch that brought the digest. Without ``index`` a fresh one
+    serves this call alone.
     """
-    index = index or DigestIndex(docs.sparkSession, buckets=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = index is None
+    if own:
+        index = DigestIndex(docs.sparkSession, buckets=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = shared.written(digest_rows(docs, id_column, text_column), "digests")
-    index.append(rows)
-    return mark_duplicates(rows, index)
+    groups = shared.written(group_digests(rows), "digest-groups")
+    index.append(groups)
+    marked = shared.written(mark_duplicates(rows, groups, index), "marked")
+    shared.discard(rows, groups)
+    if own:
+        index.drop()
+    return marked
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The documents that exact dedup keeps, exactly one row per group of equal texts, columns unchanged.
 
-    The semi-join deals the documents by (id, digest); a repeat of both falls to the aggregate after
-    it, which needs no shuffle of its own.
+    Null text counts as empty, so of all null, empty and white texts one stays; of rows that repeat both
+    id and text one stays; an empty table stays empty; other columns, whatever their names, are kept.
+    Rows are joined by (id, digest); a repeat of both falls to the aggregate after it, which needs no
+    shuffle of its own.
     """
-    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_sha256")).alias("_copy_key")
-    kept = exact_dedup(docs).filter("kept").select(key)
-    named = docs.select("*", F.concat_ws(":", F.col("doc_id").cast("string"), text_digest(F.col("text"))).alias("_copy_key"))
-    return named.join(kept, "_copy_key", "left_semi").dropDuplicates(["_copy_key"]).drop("_copy_key").select(*docs.columns)
+    key = lambda digest: F.concat_ws(":", F.col("doc_id").cast("string"), digest).alias("key")
+    kept = exact_dedup(docs).filter("kept").select(key(F.col("text_sha256")))
+    named = shared.row_and_columns(docs, key(text_digest(F.col("text"))))
+    return named.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*shared.row_fields(docs))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,7 +222,7 @@ def readable(docs: DataFrame) -> DataFrame:
 def classes_and_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, max_hashes: int = 384) -> tuple[DataFrame, DataFrame]:
     """The sketch of every row of ``docs`` (see :func:`readable`), and a row per class.
 
-    A class has its node, its smallest id (rep) with that row's text_hash, its size, the documents linked
+    A class has its node (a number of its own), its smallest id (rep) with that row's text_hash, its size, the documents linked
     to it, and its component's keeper: (rep, text_hash, node) of the class with the smallest id.
     """
     bands, rows = banding(threshold, recall, max_hashes)
@@ -230,7 +230,7 @@ def classes_and_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recal
     classes = sketches.groupBy("d1", "d2", "n_grams").agg(
         F.count("*").alias("size"), F.min(F.struct("doc_id", "text_hash", "bands")).alias("b")
     ).select(
-        "d1", "d2", "n_grams", F.xxhash64("d1", "d2", "n_grams").alias("node"), "size",
+        "d1", "d2", "n_grams", F.monotonically_increasing_id().alias("node"), "size",
         F.col("b.doc_id").alias("rep"), F.col("b.text_hash").alias("text_hash"), F.col("b.bands").alias("bands"),
     )
     classes = shared.written(classes, "classes")
@@ -240,8 +240,8 @@ def classes_and_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recal
     blocks = shared.written(place_in_blocks(buckets, classes.select("node", "n_grams")), "blocks")
     chosen = classes.select("node", "size", F.col("rep").alias("doc_id"), "text_hash").join(blocks, "node")
     texts = docs.join(chosen, ["doc_id", "text_hash"])
-    members = shared.written(gram_sets(texts, n), "members").dropDuplicates(["node"])
-    found = shared.written(compare_blocks(block_pairs(buckets, blocks), members, n, threshold), "links")
+    sets = shared.written(gram_sets(texts, n), "members")
+    found = shared.written(compare_blocks(block_pairs(buckets, blocks), sets.dropDuplicates(["node"]), n, threshold), "links")
     components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("documents").alias("linked"))
     own = F.struct("rep", "text_hash", "node")
@@ -250,6 +250,8 @@ def classes_and_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recal
     info = classes.join(linked, "node", "left").select(
         "d1", "d2", "n_grams", "node", "rep", "text_hash", "size", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("keeper", own).alias("keeper")
     )
+    info = shared.written(info, "class-info")
+    shared.discard(classes, buckets, blocks, sets, found, components)
     return sketches, info
 
 
@@ -265,34 +267,29 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     gives an empty result; other columns are ignored.
     """
     sketches, info = classes_and_links(readable(docs), n, threshold, recall, max_hashes)
-    marked = spread(sketches.select("doc_id", "d1", "d2", "n_grams"), info.select("d1", "d2", "n_grams", "rep", "size", "linked", F.col("keeper.rep").alias("component")))
+    rows, key = sketches.select("doc_id", "d1", "d2", "n_grams"), ["d1", "d2", "n_grams"]
+    groups = info.select(*key, "rep", "size", "linked", F.col("keeper.rep").alias("component"))
+    marked = shared.join_by_group(rows, groups, groups.filter(F.col("size") * shared.HEAVY_SHARE >= rows.count()), key)
     return marked.select(
         "doc_id", F.col("rep").alias("class_id"), F.col("size").alias("class_size"), (F.col("size") - 1 + F.col("linked")).alias("n_links"),
         F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"),
     )
 
 
-def spread(rows: DataFrame, info: DataFrame, hot: int = 1_000, salts: int = 64) -> DataFrame:
-    """Joins each document with its class's row; classes above ``hot`` members are joined over several salts."""
-    salted = info.withColumn("salt", F.explode(F.when(F.col("size") > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    marks = info.filter(F.col("size") > hot).select("d1", "d2", "n_grams", F.lit(True).alias("is_hot"))
-    dealt = rows.join(marks, ["d1", "d2", "n_grams"], "left").withColumn(
-        "salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    )
-    return dealt.join(salted, ["d1", "d2", "n_grams", "salt"])
-
-
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, exactly one row of each group of near duplicates (of its smallest id), columns unchanged.
 
-    The row is found by id and text, so null and repeated ids neither save a copy nor drop another text.
+    The row is found by id and text, so null and repeated ids neither save a copy nor drop another text; of
+    rows that repeat both one stays, and one of all texts without a word. An empty table stays empty; other
+    columns, whatever their names, are kept.
     """
-    _, info = classes_and_links(readable(docs))
-    kept = info.filter("node = keeper.node").select(F.col("rep").alias("_kept_id"), F.col("text_hash").alias("_kept_text"))
-    return (
-        docs.withColumn("_kept_id", F.coalesce("doc_id", F.lit(-1)).cast("long")).withColumn("_kept_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-        .join(kept, ["_kept_id", "_kept_text"], "left_semi").dropDuplicates(["_kept_id", "_kept_text"]).select(*docs.columns)
-    )
+    sketches, info = classes_and_links(readable(docs))
+    shared.discard(sketches)
+    kept = info.filter("node = keeper.node").select(F.col("rep").alias("kept_id"), F.col("text_hash").alias("kept_text"))
+    named = shared.row_and_columns(
+        docs, F.coalesce("doc_id", F.lit(-1)).cast("long").alias("kept_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("kept_text")
+    )
+    return named.join(kept, ["kept_id", "kept_text"], "left_semi").dropDuplicates(["kept_id", "kept_text"]).select(*shared.row_fields(docs))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,8 +138,11 @@ def best_split(binned: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.n
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """All columns but text, and ``statistics`` (array of doubles)."""
-    others = [f for f in docs.schema.fields if f.name != "text"]
+    """All columns but text, and ``statistics`` (array of doubles), which takes the place of a column of that name.
+
+    Null and empty texts have zeros; repeated rows come out alike; an empty table gives no rows.
+    """
+    others = [f for f in docs.schema.fields if f.name not in ("text", "statistics")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

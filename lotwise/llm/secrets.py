@@ -34,30 +34,47 @@ MIN_RUN = 12
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of the values before each element of an int array.
+
+    An array grows by copying, so the fold goes over parts of about the root of the length, first over
+    the parts' sums and then within each part; a text with a hundred thousand matches stays cheap.
+    """
+
+    def fold(array: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(array, start, step, lambda acc: acc["out"])
+
+    def by_parts(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1), lambda i: F.slice(v, i * width + 1, width))
+        sums = lambda p: F.transform(p, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x))
+        return let(parts, lambda p: let(fold(sums(p), F.lit(0)), lambda begins: F.flatten(F.transform(p, lambda part, k: fold(part, F.get(begins, k))))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, by_parts))
+
+
 def matches(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
     """Leftmost non-overlapping matches as spans in code points; those with a short group are dropped.
 
     The text between matches (split) and the matches themselves (regexp_extract_all) alternate, so
-    running lengths give the positions.
+    running sums of their lengths give the positions.
     """
 
     def scan(found: Column) -> Column:
-        gaps, group_of = found["gaps"], found["groups"]
-        step = lambda acc, i: let(
-            acc["at"] + F.length(F.get(gaps, i)),
-            lambda begin: let(
-                begin + F.length(F.get(found["all"], i)),
-                lambda stop: F.struct(
-                    stop.alias("at"),
-                    F.when(
-                        F.length(F.get(group_of, i)) >= least,
-                        F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind")))),
-                    ).otherwise(acc["spans"]).alias("spans"),
-                ),
-            ),
-        )
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found["all"]) - 1), start, step, lambda acc: acc["spans"])
+        length = F.transform(found["all"], lambda m: F.length(m))
+        steps = F.transform(found["all"], lambda m, i: F.length(F.get(found["gaps"], i)) + F.length(m))
+
+        def spans(sizes: Column) -> Column:
+            def one(before: Column, i: Column) -> Column:
+                begin = before + F.length(F.get(found["gaps"], i))
+                return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + F.get(sizes, i)).alias("stop"), F.lit(kind).alias("kind"))
+
+            every = F.transform(running_sums(steps), one)
+            return F.filter(every, lambda _, i: F.length(F.get(found["groups"], i)) >= least) if group else F.filter(every, lambda s: s["stop"] - s["start"] >= least)
+
+        return let(length, spans)
 
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     found = F.struct(whole.alias("all"), (part if group else whole).alias("groups"), F.split(text, pattern, -1).alias("gaps"))
@@ -136,7 +153,7 @@ def random_parts(token: Column, begin: Column, model: list[float], threshold: fl
 
     def whole_pieces(p: Column) -> Column:
         inside = F.substring(token, p["first"] + 1, p["last"] - p["first"] + 1)
-        before = F.length(F.regexp_extract(F.substring(token, F.lit(1), p["first"]), "[A-Za-z0-9]*$", 0))
+        before = F.length(F.regexp_extract(F.reverse(F.substring(token, F.lit(1), p["first"])), "^[A-Za-z0-9]*", 0))
         after = F.length(F.regexp_extract(F.substring(token, p["last"] + 2, F.length(token)), "^[A-Za-z0-9]*", 0))
         head, tail = F.regexp_extract(inside, "^[A-Za-z0-9]*[+/_=-]+", 0), F.regexp_extract(inside, "[+/_=-]+[A-Za-z0-9]*$", 0)
         of = lambda edge: F.length(F.regexp_replace(edge, "[+/_=-]", ""))
@@ -212,9 +229,12 @@ def corpus_samples(docs: DataFrame, ordinary_documents: int = 2_000) -> DataFram
 
 
 def redact(docs: DataFrame, model: list[float], mask: str = "[SECRET]") -> DataFrame:
-    """The documents with each secret span replaced by ``mask`` (n_chars follows); all rows stay."""
-    # The document travels as one struct, so its columns may have any names.
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    """The documents with each secret span replaced by ``mask`` (n_chars follows); all rows stay.
+
+    Spans that overlap or touch become one mask. Null and empty texts stay as they are; repeated rows are
+    treated alike; an empty table stays empty; other columns, whatever their names, are kept.
+    """
+    whole = shared.row_and_columns(docs, F.coalesce("text", F.lit("")).alias("text"))
     found = find_secrets(whole, model).withColumn("spans", F.array_sort(F.concat(*BASE_KINDS, RANDOM_KIND)))
     text = F.col("text")
 
@@ -225,11 +245,11 @@ def redact(docs: DataFrame, model: list[float], mask: str = "[SECRET]") -> DataF
 
     masked = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     changed = F.size("spans") > 0
-    out = found.withColumn("masked", F.when(changed, masked).otherwise(F.col("doc.text")))
+    out = found.withColumn("masked", F.when(changed, masked).otherwise(F.col("row.text")))
     replaced = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        replaced["n_chars"] = F.when(changed, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
-    return out.select(*(replaced.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
+        replaced["n_chars"] = F.when(changed, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*shared.row_fields(docs, **replaced))
 
 
 def written_spans(spans: Column) -> Column:

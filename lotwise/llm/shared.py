@@ -1,8 +1,9 @@
 """What the operators of this subpackage share: the shared folder, written intermediates, word hashes.
 
 Intermediates are Parquet tables in the folder that ``spark.checkpoint.dir`` names, so a lost
-executor never takes the only copy of anything with it. Where the setting is absent (tests, a
-notebook) a temporary folder is chosen once per application.
+executor never takes the only copy of anything with it. Where the setting is absent and the master is
+local (tests, a notebook) a temporary folder is chosen once per application; a cluster without it is
+refused, since its machines share no temporary folder. What nothing reads any more is discarded.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import tempfile
 import uuid
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="lotwise-")
@@ -49,6 +52,38 @@ def remove(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that :func:`written` returned, once nothing reads them."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            remove(table.sparkSession, folder)
+
+
+def row_and_columns(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``docs`` with each row as the one struct ``row`` beside ``columns``, so its own names clash with nothing."""
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"), *columns)
+
+
+def row_fields(docs: DataFrame, **replaced: Column) -> list[Column]:
+    """The columns of ``docs`` out of the struct ``row``, some replaced."""
+    return [replaced.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+
+
+#: A group that holds this share of all rows or more is joined by broadcast; there are at most 1,024.
+HEAVY_SHARE = 1_024
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``groups`` (a row per key), those of the keys ``heavy`` by broadcast.
+
+    ``heavy`` holds the keys with at least 1/HEAVY_SHARE of the rows, so it has at most HEAVY_SHARE rows
+    and no other group can fill a task.
+    """
+    marks = F.broadcast(heavy.select(*keys))
+    light = rows.join(marks, keys, "left_anti").join(groups.hint("merge"), keys)
+    return light.unionByName(rows.join(F.broadcast(groups.join(marks, keys, "left_semi")), keys))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
