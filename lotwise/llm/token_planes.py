@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from . import shared
 from .tokenize import encode
 
 INDEX_SCHEMA = (
-    "file string, first_doc long, n_docs long, n_ids long, docs_at long, docs_size long, "
+    "shard long, file string, first_doc long, n_docs long, n_ids long, docs_at long, docs_size long, "
     "blocks array<struct<at:long,n_ids:int,sizes:array<int>>>"
 )
 MAGIC = b"LWPLANE1"
@@ -130,10 +131,10 @@ def write_token_shards(
 ) -> DataFrame:
     """Encodes documents and writes them in ascending doc_id order; returns the shard index.
 
-    Documents are range-partitioned by id before encoding, so shards are consecutive id ranges and
-    a third of all rows from one source changes nothing. Null text is an empty document (its only id is
-    ``end_id``); null ids come first; rows that repeat an id stay together, ordered by a text hash;
-    an empty table gives an empty index; other columns are ignored.
+    Documents are range-partitioned by id and text hash before encoding, so shards are consecutive ranges,
+    numbered by ``shard``, and neither a hot source nor one id that a third of all rows repeat fills a task.
+    Null text is an empty document (its only id is ``end_id``); null ids come first; rows that repeat an id
+    are ordered by a text hash; an empty table gives an empty index; other columns are ignored.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +144,14 @@ def write_token_shards(
                 writer = writer or ShardWriter(f"{folder}/shards", block_ids, planes)
                 writer.add(doc_id, encode(text, tokenizer_file) + end)
         if writer:
-            yield pa.RecordBatch.from_pylist([writer.close()], pa.schema([
-                ("file", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("docs_at", pa.int64()), ("docs_size", pa.int64()),
+            row = {"shard": TaskContext.get().partitionId(), **writer.close()}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([
+                ("shard", pa.int64()), ("file", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("docs_at", pa.int64()), ("docs_size", pa.int64()),
                 ("blocks", pa.list_(pa.struct([("at", pa.int64()), ("n_ids", pa.int32()), ("sizes", pa.list_(pa.int32()))]))),
             ]))
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    placed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    ordered = placed.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
     ordered.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{folder}/index")
     return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
 
@@ -171,10 +174,10 @@ def read_token_shards(index: DataFrame, folder: str, planes: str = "byte") -> Da
                     if out:
                         yield _as_batch(out)
 
-    # The index has a row per shard (some MB of ids), so its running sum is over few rows.
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = index.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return placed.repartition(max(1, index.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    # Two longs per shard (some MB of ids) go through the running sum; the block lists do not.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = index.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    return index.join(bases, "shard").repartition(max(1, index.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:

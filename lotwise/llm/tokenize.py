@@ -3,7 +3,8 @@
 Byte-level BPE never merges across pre-tokens, so a text may be cut at places that always are
 pre-token bounds, each piece encoded by the library once per worker, and the ids joined. A piece
 is a word with its leading space, or any other run up to white space. This does the library's
-work once per distinct piece instead of once per occurrence.
+work once per distinct piece instead of once per occurrence. As the library does by default, the string
+of a special token in a text becomes that token, so a text that holds one is cut there first.
 """
 
 from __future__ import annotations
@@ -24,16 +25,20 @@ PIECES = re.compile(f" ?[{LETTERS}]++(?=[{SPACES},.;:!?]|\\Z)| ?[^{SPACES}]+|[{S
 
 
 @functools.lru_cache(maxsize=4)
-def piece_ids(tokenizer_file: str) -> BoundedCache:
-    """Cache of piece -> ids as little-endian unsigned 32-bit bytes; one per worker process."""
+def tokenizer_of(tokenizer_file: str):
+    """Cache of piece -> ids as little-endian unsigned 32-bit bytes, and the strings of added tokens; one per worker process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
-    return BoundedCache(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes(), 1_000_000)
+    added = tuple(token.content for token in tokenizer.get_added_tokens_decoder().values())
+    return BoundedCache(lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes(), 1_000_000), added
 
 
 def encode(text: str | None, tokenizer_file: str) -> bytes:
     """The ids of a whole text, little-endian unsigned 32-bit; null is empty."""
-    return b"".join(map(piece_ids(tokenizer_file).__getitem__, PIECES.findall(text or "")))
+    pieces, added = tokenizer_of(tokenizer_file)
+    text = text or ""
+    if any(string in text for string in added):
+        return pieces.compute(text)  # rare: the library cuts the whole text itself
+    return b"".join(map(pieces.__getitem__, PIECES.findall(text)))

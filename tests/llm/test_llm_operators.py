@@ -41,9 +41,7 @@ def empty(docs):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 ODD = st.text(st.sampled_from(list("ab é'st,.1²ⅷ\x85\xa0 \x1c中😀_!-́\n\t\r ſ<|>")), max_size=40)
@@ -53,7 +51,6 @@ ODD = st.text(st.sampled_from(list("ab é'st,.1²ⅷ\x85\xa0 \x1c中😀_!-́\
 @given(ODD)
 def test_pieces_encode_as_the_library_does(text):
     library = Tokenizer.from_file(JSON) if not hasattr(test_pieces_encode_as_the_library_does, "t") else test_pieces_encode_as_the_library_does.t
-    library.encode_special_tokens = True
     test_pieces_encode_as_the_library_does.t = library
     assert tokenize.encode(text, JSON) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -371,8 +368,8 @@ def test_exact_dedup_equals_brute_force(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_hot_groups_are_salted(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_GROUP", 10)
+def test_hot_groups_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HEAVY_SHARE", 10)
     frame = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, "same").otherwise(F.col("id").cast("string")).alias("text"))
     rows = exact_dedup.exact_dedup(frame).collect()
     assert len(rows) == 200 and sum(r.kept for r in rows) == 101 and all(r.group_size == 100 and r.keep_id == 0 for r in rows if r.doc_id < 100)
