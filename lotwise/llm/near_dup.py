@@ -150,31 +150,30 @@ def _repeated(grams: np.ndarray) -> np.ndarray:
     return values[counts > 1]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
-    """Each linked node's smallest node within these links."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-    return {x: root(x) for x in list(parent)}
-
-
-def link_statistics(nodes_a: np.ndarray, nodes_b: np.ndarray, weights: dict[int, int], both_ways: bool = True) -> pd.DataFrame:
-    """Per node: linked classes, linked documents (class sizes) and its root in the links' forest."""
-    roots = forest(nodes_a, nodes_b)
-    ends, partners = np.concatenate([nodes_a, nodes_b]), np.concatenate([nodes_b, nodes_a])
-    frame = pd.DataFrame({"node": ends, "documents": [weights[x] for x in partners.tolist()]})
-    out = frame.groupby("node").agg(classes=("documents", "size"), documents=("documents", "sum")).reset_index()
-    out["root"] = [roots[x] for x in out["node"].tolist()]
-    return out.astype(np.int64)
+class LinkSums:
+    """Link counts and a spanning forest over some nodes, of links that arrive part by part as index pairs."""
+
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray):
+        self.nodes, self.sizes, self.label = nodes, sizes, np.arange(len(nodes))
+        self.classes, self.documents = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        n = len(self.nodes)
+        for x, y in ((a, b), (b, a)):
+            self.classes += np.bincount(x, minlength=n)
+            self.documents += np.bincount(x, self.sizes[y], n).astype(np.int64)
+        while len(a):
+            up, down = self.label[a], self.label[b]
+            apart = up != down
+            a, b, up, down = a[apart], b[apart], up[apart], down[apart]
+            np.minimum.at(self.label, np.maximum(up, down), np.minimum(up, down))
+            while ((root := self.label[self.label]) != self.label).any():
+                self.label = root
+
+    def frame(self) -> pd.DataFrame:
+        """Per linked node: linked classes, linked documents (class sizes) and its root in the links' forest."""
+        k = np.flatnonzero(self.classes)
+        return pd.DataFrame({"node": self.nodes[k], "classes": self.classes[k], "documents": self.documents[k], "root": self.nodes[self.label[k]]})
 
 
 def compare_blocks(pairs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -187,17 +186,16 @@ def compare_blocks(pairs: DataFrame, members: DataFrame, n: int, threshold: floa
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        weights = dict(zip(frame["node"].tolist(), frame["size"].tolist(), strict=True))
-        frame = frame.sort_values("node")
-        by_side = [frame[frame["side"] == s] for s in (0, 1)]
-        sets = [[np.frombuffer(g, np.uint64) for g in f["grams"]] for f in by_side]
-        nodes = [f["node"].to_numpy(np.int64) for f in by_side]
-        inside = len(nodes[1]) == 0
-        right = 0 if inside else 1
-        a, b = links_between(sets[0], sets[right], threshold)
-        if inside:
+        frame = frame.sort_values(["side", "node"])
+        sums = LinkSums(frame["node"].to_numpy(np.int64), frame["size"].to_numpy(np.int64))
+        n_left = int((frame["side"] == 0).sum())
+        sets = [np.frombuffer(g, np.uint64) for g in frame["grams"]]
+        left, right = sets[:n_left], sets[n_left:]
+        a, b = links_between(left, right or left, threshold)
+        if not right:
             a, b = a[keep := a < b], b[keep]
-        return link_statistics(nodes[0][a], nodes[right][b], weights)
+        sums.add(a, b + n_left if right else b)
+        return sums.frame()
 
     dealt = sides.join(members, "block")
     return dealt.groupBy("left", "right").applyInPandas(compare, "node long, classes long, documents long, root long")

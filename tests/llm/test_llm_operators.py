@@ -292,28 +292,37 @@ def test_random_parts_of_longer_runs(spark):
         assert [r.text[s.start : s.stop] for s in r["random"]] == texts[r.doc_id][1], r.text
 
 
-def test_embedding_links_equal_brute_force(spark):
+def test_embedding_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dup, "LEAST_ROWS", 30)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 24))
     rows = [(i, (base[i % 40] + rng.normal(size=24) * rng.choice([0.05, 0.2, 0.3])).tolist()) for i in range(300)]
-    rows += [(300, None), (301, [0.0] * 24), (302, [float("nan")] * 24), (303, [1.0] * 3), (304, rows[0][1]), (305, [None] + rows[0][1][1:]), (306, []), (None, rows[0][1])]
+    rows += [(300, None), (301, [0.0] * 24), (302, [float("nan")] * 24), (303, [1.0] * 3), (304, rows[0][1]), (305, [None] + rows[0][1][1:]), (306, [])]
+    rows += [(7, rows[3][1]), (7, None), (None, rows[5][1]), (None, [0.0] * 24)]  # ids that repeat or are null
     found = embedding_dup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=50).collect()
-    live = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and (i < 300 or i == 304)}
+    bad = {k for k, (i, v) in enumerate(rows) if v is None or len(v) != 24 or None in v or not np.isfinite(v).all() or not any(v)}
+    live = {k: np.array(v) / np.linalg.norm(v) for k, (_, v) in enumerate(rows) if k not in bad}
     links = {(a, b) for a in live for b in live if a < b and live[a] @ live[b] >= 0.95}
-    ids = [i for i, _ in rows if i is not None]
-    root, degree = roots_of(ids, links), Counter(x for link in links for x in link)
-    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in found if r.vec_id is not None}
-    assert got == {(i, degree[i], root[i], root[i] == i) for i in ids}
+    root, degree = roots_of(range(len(rows)), links), Counter(x for link in links for x in link)
+    low = {r: min((i for k, (i, _) in enumerate(rows) if root[k] == r and i is not None), default=None) for r in set(root.values())}
+    want = [(i, degree[k], low[root[k]], low[root[k]] == i) for k, (i, _) in enumerate(rows)]
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == Counter(want)
+    assert embedding_dup.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.integers(0, 10**6), st.floats(0.3, 0.999))
+@given(st.integers(0, 10**6), st.floats(-0.9, 0.999))
 def test_quantisation_bound_misses_nothing(seed, threshold):
     x = np.random.default_rng(seed).normal(size=(60, 8))
     x[30:] = x[:30] + np.random.default_rng(seed + 1).normal(size=(30, 8)) * 0.2
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = embedding_dup.tile_links(x, x, threshold, inside=True)
-    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i in range(60) for j in range(i + 1, 60) if np.einsum("i,i->", x[i], x[j]) >= threshold}
+    codes = embedding_dup.quantise(x)
+    found = []
+    add = lambda a, b: found.extend(zip(a.tolist(), b.tolist(), strict=True))
+    still_open, _ = embedding_dup.sure_links(codes, codes, threshold, True, add)
+    embedding_dup.exact_links(x[still_open], x[still_open], threshold, True, lambda a, b: add(still_open[a], still_open[b]))
+    assert len(found) == len(set(found))
+    assert set(found) == {(i, j) for i in range(60) for j in range(i + 1, 60) if np.einsum("i,i->", x[i], x[j]) >= threshold}
 
 
 def test_bpe_equals_the_library(spark, docs, empty):
