@@ -1,11 +1,15 @@
 """Density clustering of all panels at once, by grid joins.
 
 A point's neighbours lie in its own or the eight cells around it (cell width = radius), so the
-neighbour search is an equi-join on (panel, cell) with a distance test, not a product of points.
+neighbour search is an equi-join on (panel, cell) with a distance test, not a product of points. A
+panel of some thousand points fits into a task and is labelled there with NumPy; a larger one, which
+could be a third of all points, goes through the joins. Both give the same labels.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,10 @@ from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
 
 
+#: A panel of at most so many points is labelled in one task (a Boolean matrix of its square, 16 MB).
+TASK_POINTS = 4_000
+
+
 def neighbours(points: DataFrame) -> DataFrame:
     """panel_id, a, b: ordered pairs within ``eps`` of each other, a point and itself included.
 
@@ -27,10 +35,52 @@ def neighbours(points: DataFrame) -> DataFrame:
     return around.join(other, ["panel_id", "cx", "cy"]).filter(dx * dx + dy * dy <= F.col("eps") * F.col("eps")).select("panel_id", "a", "b")
 
 
-def dbscan(points: DataFrame, min_samples: int) -> DataFrame:
+def dbscan(points: DataFrame, min_samples: int, task_points: int = TASK_POINTS) -> DataFrame:
     """panel_id, idx, label: clusters numbered by their first core point in scan order; noise is -1.
 
-    A border point joins the lowest-numbered cluster that reaches it. Core components come from rounds of
+    A border point joins the lowest-numbered cluster that reaches it. ``points`` is read more than once.
+    """
+    large = points.groupBy("panel_id").agg(F.count("*").alias("n")).filter(F.col("n") > task_points).select("panel_id")
+    if large.isEmpty():
+        return label_in_tasks(points, min_samples)
+    large = cut(large)
+    return label_in_tasks(points.join(large, "panel_id", "left_anti"), min_samples).unionByName(label_by_joins(cut(points.join(large, "panel_id", "left_semi")), min_samples))
+
+
+def label_panel(x: np.ndarray, y: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+    """Labels of one panel's points, which are in scan order: smallest labels spread over core links, with pointer jumping."""
+    near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= eps * eps
+    core = near.sum(axis=1) >= min_samples
+    n, root = len(x), np.arange(len(x))
+    links = near & core & core[:, None]
+    while True:
+        lower = np.where(links, root, n).min(axis=1, initial=n)
+        step = np.minimum(root, np.where(core, lower, root))
+        step = np.minimum(step, step[step])
+        if (step == root).all():
+            break
+        root = step
+    heads = np.unique(root[core])
+    label = np.where(core, np.searchsorted(heads, root), n)
+    reached = np.where(near & core, label, n).min(axis=1, initial=n)
+    return np.where(core, label, np.where(reached < n, reached, -1))
+
+
+def label_in_tasks(points: DataFrame, min_samples: int) -> DataFrame:
+    """:func:`dbscan` of panels whose points fit into a task."""
+
+    def label(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.sort_values("idx")
+        labels = label_panel(own["x"].to_numpy(), own["y"].to_numpy(), float(own["eps"].iloc[0]), min_samples)
+        return pd.DataFrame({"panel_id": own["panel_id"].to_numpy(), "idx": own["idx"].to_numpy(), "label": labels})
+
+    return points.groupBy("panel_id").applyInPandas(label, "panel_id string, idx int, label int")
+
+
+def label_by_joins(points: DataFrame, min_samples: int) -> DataFrame:
+    """:func:`dbscan` of panels of any size.
+
+    Core components come from rounds of
     smallest-label joins with pointer jumping; a round's count of changes is all the driver sees.
     """
     pairs = cut(neighbours(points))
@@ -57,24 +107,38 @@ def panel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """system_a defects on active dies in scan order, with a radius that suits the test tables."""
     order = Window.partitionBy("panel_id").orderBy("defect_key", "defect_type", "confidence_score", "created_at")
     eps = F.when(F.col("substrate_type") == "wafer", 10.0).otherwise(130.0)
-    return fab.active_defects(spark, sf_dir).select("panel_id", F.row_number().over(order).alias("idx"), "x", "y", eps.alias("eps"))
+    return fab.active_defects(spark, sf_dir).select("panel_id", F.row_number().over(order).alias("idx"), "x", "y", eps.alias("eps"), "component_row", "component_col")
 
 
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dbscan(cut(panel_points(spark, sf_dir)), 3)
+    return dbscan(panel_points(spark, sf_dir).select("panel_id", "idx", "x", "y", "eps"), 3)
 
 
-def dbscan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def classify(labels: DataFrame) -> DataFrame:
     """Clusters, noise and class of each panel: excursion when one cluster holds over 30 % of all points."""
-    sizes = dbscan_labels(spark, sf_dir).groupBy("panel_id", "label").agg(F.count("*").alias("n"))
+    sizes = labels.groupBy("panel_id", "label").agg(F.count("*").alias("n"))
     agg = sizes.groupBy("panel_id").agg(F.count(F.when(F.col("label") >= 0, 1)).alias("n_clusters"), F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("n"))), F.lit(0)).alias("n_noise"), F.coalesce(F.max(F.when(F.col("label") >= 0, F.col("n"))), F.lit(0)).alias("largest"), F.sum("n").alias("points"))
     label = F.when(F.col("n_clusters") == 0, "random").when(F.col("largest") / F.col("points") > 0.30, "excursion").when(F.col("n_clusters") >= 2, "systematic").otherwise("random")
     return agg.withColumn("pattern", label)
 
 
-QUERIES = {"dbscan_labels": dbscan_labels, "dbscan_summary": dbscan_summary}
+def dbscan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(dbscan_labels(spark, sf_dir))
+
+
+def die_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each die's clustered points and its dominant cluster: the most frequent, then smallest label; -1 if all are noise."""
+    place = panel_points(spark, sf_dir).select("panel_id", "idx", "component_row", "component_col")
+    key = ["panel_id", "component_row", "component_col"]
+    n = dbscan_labels(spark, sf_dir).join(place, ["panel_id", "idx"]).groupBy(*key, "label").agg(F.count("*").alias("n"))
+    top = F.min(F.when(F.col("label") >= 0, F.struct((-F.col("n")).alias("less"), "label")))
+    return n.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("label") >= 0, F.col("n"))), F.lit(0)).alias("clustered"), F.coalesce(top["label"], F.lit(-1)).alias("cluster_label"))
+
+
+QUERIES = {"dbscan_labels": dbscan_labels, "dbscan_summary": dbscan_summary, "die_clusters": die_clusters}
 
-_DB = PREFIX + """, pt AS (SELECT panel_id, row_number() OVER (PARTITION BY panel_id ORDER BY defect_key, defect_type, confidence_score, created_at) AS idx, x, y, CASE WHEN substrate_type = 'wafer' THEN 10.0 ELSE 130.0 END::DOUBLE AS eps FROM active_a),
+#: CTEs that follow PREFIX: points, neighbours, labels (lb), classes (cls) and dies (dc).
+CLUSTERS = """, pt AS (SELECT panel_id, component_row, component_col, row_number() OVER (PARTITION BY panel_id ORDER BY defect_key, defect_type, confidence_score, created_at) AS idx, x, y, CASE WHEN substrate_type = 'wafer' THEN 10.0 ELSE 130.0 END::DOUBLE AS eps FROM active_a),
 nb AS (SELECT a.panel_id, a.idx AS a, b.idx AS b FROM pt a JOIN pt b ON a.panel_id = b.panel_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= a.eps * a.eps),
 core AS (SELECT panel_id, a AS idx FROM nb GROUP BY ALL HAVING count(*) >= 3),
 cc AS (SELECT nb.* FROM nb JOIN core c ON c.panel_id = nb.panel_id AND c.idx = a JOIN core d ON d.panel_id = nb.panel_id AND d.idx = b),
@@ -82,11 +146,16 @@ reach(panel_id, a, b) AS (SELECT panel_id, a, b FROM cc UNION SELECT r.panel_id,
 root AS (SELECT panel_id, a AS idx, min(b) AS root FROM reach GROUP BY ALL),
 lab AS (SELECT panel_id, idx, (dense_rank() OVER (PARTITION BY panel_id ORDER BY root) - 1)::INT AS label FROM root),
 bd AS (SELECT nb.panel_id, b AS idx, min(label) AS label FROM nb JOIN lab ON lab.panel_id = nb.panel_id AND lab.idx = a GROUP BY ALL),
-lb AS (SELECT p.panel_id, p.idx, coalesce(l.label, b.label, -1) AS label FROM pt p LEFT JOIN lab l USING (panel_id, idx) LEFT JOIN bd b USING (panel_id, idx))
+lb AS (SELECT p.panel_id, p.idx, coalesce(l.label, b.label, -1) AS label FROM pt p LEFT JOIN lab l USING (panel_id, idx) LEFT JOIN bd b USING (panel_id, idx)),
+cs AS (SELECT panel_id, label, count(*) AS n FROM lb GROUP BY ALL),
+cg AS (SELECT panel_id, count(*) FILTER (label >= 0) AS n_clusters, coalesce(sum(n) FILTER (label < 0), 0)::BIGINT AS n_noise, coalesce(max(n) FILTER (label >= 0), 0) AS largest, sum(n)::BIGINT AS points FROM cs GROUP BY 1),
+cls AS (SELECT *, CASE WHEN n_clusters = 0 THEN 'random' WHEN largest / points > 0.3 THEN 'excursion' WHEN n_clusters >= 2 THEN 'systematic' ELSE 'random' END AS pattern FROM cg),
+dn AS (SELECT panel_id, component_row, component_col, label, count(*) AS n FROM lb JOIN pt USING (panel_id, idx) GROUP BY ALL),
+dr AS (SELECT *, row_number() OVER (PARTITION BY panel_id, component_row, component_col ORDER BY label < 0, n DESC, label) AS k FROM dn),
+dc AS (SELECT panel_id, component_row, component_col, coalesce(sum(n) FILTER (label >= 0), 0)::BIGINT AS clustered, max(label) FILTER (k = 1) AS cluster_label FROM dr GROUP BY ALL)
 """
 ORACLE_SQL = {
-    "dbscan_labels": _DB + "SELECT * FROM lb",
-    "dbscan_summary": _DB + """, s AS (SELECT panel_id, label, count(*) AS n FROM lb GROUP BY ALL),
-g AS (SELECT panel_id, count(*) FILTER (label >= 0) AS n_clusters, coalesce(sum(n) FILTER (label < 0), 0)::BIGINT AS n_noise, coalesce(max(n) FILTER (label >= 0), 0) AS largest, sum(n)::BIGINT AS points FROM s GROUP BY 1)
-SELECT *, CASE WHEN n_clusters = 0 THEN 'random' WHEN largest / points > 0.3 THEN 'excursion' WHEN n_clusters >= 2 THEN 'systematic' ELSE 'random' END AS pattern FROM g""",
+    "dbscan_labels": PREFIX + CLUSTERS + "SELECT * FROM lb",
+    "dbscan_summary": PREFIX + CLUSTERS + "SELECT * FROM cls",
+    "die_clusters": PREFIX + CLUSTERS + "SELECT * FROM dc",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions.yield_models import normal_cdf
+from lotwise.operators.lots import LOTS, lot_summary
 from lotwise.operators.yields import DIES, panel_yield
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
@@ -99,9 +100,12 @@ def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fleet_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of lot yields and lots with high, middle and low yield."""
-    lots = panel_yield(spark, sf_dir).join(fab.panels(spark, sf_dir).select("panel_id", "lot_id"), "panel_id").groupBy("lot_id").agg(F.avg("yield_negbinom").alias("y"))
-    return lots.agg(F.count("*").alias("lots"), F.avg("y").alias("mean_yield"), F.count(F.when(F.col("y") >= 0.5, 1)).alias("high"), F.count(F.when((F.col("y") < 0.5) & (F.col("y") >= 0.25), 1)).alias("mid"), F.count(F.when(F.col("y") < 0.25, 1)).alias("low"))
+    """Mean of lot yields, lots by status, and lots with high, middle and low yield."""
+    y, status = F.col("avg_yield"), F.col("lot_status")
+    return lot_summary(spark, sf_dir).agg(
+        F.count("*").alias("lots"), F.avg(y).alias("mean_yield"), *(F.count(F.when(status == s, 1)).alias(s) for s in ("clean", "watch", "excursion")),
+        F.count(F.when(y >= 0.5, 1)).alias("high"), F.count(F.when((y < 0.5) & (y >= 0.25), 1)).alias("mid"), F.count(F.when(y < 0.25, 1)).alias("low"),
+    )
 
 
 QUERIES = {f.__name__: f for f in (repeat_locations, repeat_class, signature_match, welch_lots, yield_buckets, size_histogram, fleet_kpis)}
@@ -142,5 +146,6 @@ SELECT lot_id_a, lot_id_b, t, df, d, 2 * (1 - 0.5 * (1 + (1 - ((((1.061405429::D
   CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM z""",
     "yield_buckets": YIELDS + "SELECT substrate_type, floor(yield_negbinom * 5)::INT AS bucket, count(*) AS panels FROM py WHERE yield_negbinom < 1 GROUP BY ALL",
     "size_histogram": PREFIX + ", d AS (SELECT lot_id, size, max(size) OVER (PARTITION BY lot_id) AS largest FROM defects WHERE source_system = 'system_a') SELECT lot_id, least(floor(size / (largest / 10)), 9)::INT AS bin, count(*) AS n FROM d GROUP BY ALL",
-    "fleet_kpis": YIELDS + ", l AS (SELECT lot_id, avg(yield_negbinom) AS y FROM py JOIN panels p USING (panel_id) GROUP BY 1) SELECT count(*) AS lots, avg(y) AS mean_yield, count(*) FILTER (y >= 0.5) AS high, count(*) FILTER (y < 0.5 AND y >= 0.25) AS mid, count(*) FILTER (y < 0.25) AS low FROM l",
+    "fleet_kpis": LOTS + """SELECT count(*) AS lots, avg(avg_yield) AS mean_yield, count(*) FILTER (lot_status = 'clean') AS clean, count(*) FILTER (lot_status = 'watch') AS watch, count(*) FILTER (lot_status = 'excursion') AS excursion,
+  count(*) FILTER (avg_yield >= 0.5) AS high, count(*) FILTER (avg_yield < 0.5 AND avg_yield >= 0.25) AS mid, count(*) FILTER (avg_yield < 0.25) AS low FROM ls""",
 }

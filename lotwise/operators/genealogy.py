@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.lineage import cut
@@ -37,21 +39,87 @@ def walk(edges: DataFrame, starts: DataFrame, forward: bool = True, max_depth: i
     return seen.filter("depth > 0")
 
 
+def dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree with a second parent, the key before, for every fifth key."""
+    k = fab.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("child")).filter("child > 1 and child % 5 = 0")
+    return tree_edges(spark, sf_dir).unionByName(k.select((F.col("child") - 1).alias("parent"), "child")).distinct()
+
+
+def related(edges: DataFrame, nodes: DataFrame, starts: DataFrame, forward: bool = True, max_depth: int | None = None) -> DataFrame:
+    """:func:`walk`, which goes through nodes that the node table lacks, without returning those."""
+    return walk(edges, starts, forward, max_depth).join(nodes.select("node"), "node", "left_semi")
+
+
+def longest_depth(edges: DataFrame) -> DataFrame:
+    """node, depth: length of the longest path from a root (0 there) for every end of an edge; null on and below cycles.
+
+    Rounds remove the nodes without a remaining parent; the round in which a node goes is its depth. A count
+    of nodes left reaches the driver each round.
+    """
+    edges = cut(edges.select("parent", "child").distinct())
+    ends = edges.select(F.col("parent").alias("node")).unionByName(edges.select(F.col("child").alias("node"))).distinct()
+    left, done, depth = cut(ends), [], 0
+    remaining = edges
+    while not left.isEmpty():
+        held = cut(left.join(remaining.select(F.col("child").alias("node")).distinct(), "node", "left_semi"))
+        free = left.join(held, "node", "left_anti").withColumn("depth", F.lit(depth))
+        free = cut(free)
+        if free.isEmpty():
+            done.append(left.withColumn("depth", F.lit(None).cast("int")))
+            break
+        done.append(free)
+        remaining = cut(remaining.join(held.select(F.col("node").alias("parent")), "parent", "left_semi"))
+        left, depth = held, depth + 1
+    return reduce(DataFrame.unionByName, done, ends.limit(0).withColumn("depth", F.lit(0)))
+
+
+def lineage(edges: DataFrame, nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """kind (self, ancestor, descendant, edge), node, other, depth of the nodes around ``start``.
+
+    An edge counts when both its ends are among them; depth of self is its longest ancestral path.
+    An unknown start raises.
+    """
+    if start.join(nodes.select("node"), "node", "left_semi").isEmpty():
+        raise ValueError("unknown lot")
+    none = F.lit(None).cast("long")
+    up, down = cut(related(edges, nodes, start, forward=False)), cut(related(edges, nodes, start))
+    ids = cut(start.select("node").unionByName(up.select("node")).unionByName(down.select("node")).distinct())
+    inner = edges.join(ids.select(F.col("node").alias("parent")), "parent", "left_semi").join(ids.select(F.col("node").alias("child")), "child", "left_semi")
+    # Only edges above the start matter for its depth, those through unknown nodes included.
+    above = walk(edges, start, forward=False).select(F.col("node").alias("parent"))
+    own = start.join(longest_depth(edges.join(above, "parent", "left_semi")), "node", "left")
+    rows = [
+        own.select(F.lit("self").alias("kind"), "node", none.alias("other"), F.coalesce("depth", F.lit(0)).alias("depth")), up.select(F.lit("ancestor").alias("kind"), "node", none.alias("other"), "depth"),
+        down.select(F.lit("descendant").alias("kind"), "node", none.alias("other"), "depth"), inner.select(F.lit("edge").alias("kind"), F.col("parent").alias("node"), F.col("child").alias("other"), F.lit(None).cast("int").alias("depth")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table: all part keys but the multiples of 31, whose edges stay."""
+    return fab.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).filter("node % 31 <> 0")
+
+
 def _start(spark: SparkSession, node: int) -> DataFrame:
     return spark.range(node, node + 1).select(F.col("id").alias("node"))
 
 
 def ancestors(spark: SparkSession, sf_dir: str, node: int = 777) -> DataFrame:
-    return walk(tree_edges(spark, sf_dir), _start(spark, node), forward=False)
+    return related(dag_edges(spark, sf_dir), _known(spark, sf_dir), _start(spark, node), forward=False)
 
 
 def descendants(spark: SparkSession, sf_dir: str, node: int = 3) -> DataFrame:
-    return walk(tree_edges(spark, sf_dir), _start(spark, node))
+    return related(dag_edges(spark, sf_dir), _known(spark, sf_dir), _start(spark, node))
 
 
 def lot_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of every node under the root, by one walk for all."""
-    return walk(tree_edges(spark, sf_dir), _start(spark, 1))
+    """Longest path from a root to every node."""
+    return longest_depth(dag_edges(spark, sf_dir))
+
+
+def lot_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything around node 45."""
+    return lineage(dag_edges(spark, sf_dir), _known(spark, sf_dir), _start(spark, 45))
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,26 +150,59 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cyclic_nodes(nodes, tree_edges(spark, sf_dir).unionByName(back))
 
 
+MODELS = ("poisson", "murphy", "negbinom")
+
+
+def correlate_lots(yields: DataFrame, pairs: DataFrame, model: str = "negbinom", pair_by: str = "panel_id") -> DataFrame:
+    """Pearson correlation (population form, 0 when either side is flat) of an ancestor's and a descendant's panel yields.
+
+    ``yields`` has lot_id, panel_id and the models' yields, ``pairs`` ancestor and descendant lots. Panels pair
+    by id, so two lots without a common panel give no row; ``ordinal`` pairs them by their place within the lot.
+    """
+    if model not in MODELS:
+        raise ValueError(f"unknown yield model {model!r}")
+    rows = yields.select("lot_id", "panel_id", F.col(f"yield_{model}").alias("y"))
+    if pair_by == "ordinal":
+        rows = rows.withColumn("panel_id", F.row_number().over(Window.partitionBy("lot_id").orderBy("panel_id")))
+    side = lambda lot, y: rows.select(F.col("lot_id").alias(lot), "panel_id", F.col("y").alias(y))
+    joined = pairs.join(side("ancestor", "a"), "ancestor").join(side("descendant", "b"), ["descendant", "panel_id"])
+    agg = joined.groupBy("ancestor", "descendant").agg(
+        F.count("*").alias("n_panels"), F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.avg("a").alias("ma"), F.avg("b").alias("mb")
+    )
+    flat = (F.col("n_panels") < 2) | (F.col("sa") < 1e-12) | (F.col("sb") < 1e-12)
+    r = F.when(flat, 0.0).otherwise(F.try_divide("cov", F.col("sa") * F.col("sb")))
+    return agg.select("ancestor", "descendant", "n_panels", F.round(r, 6).alias("r"), F.round("ma", 6).alias("mean_ancestor"), F.round("mb", 6).alias("mean_descendant"))
+
+
 def yield_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pearson correlation (population form, 0 when either side is flat) of density and yield within each lot."""
-    y = panel_yield(spark, sf_dir).join(fab.panels(spark, sf_dir).select("panel_id", "lot_id"), "panel_id")
-    a, b = "defect_density", "yield_negbinom"
-    agg = y.groupBy("lot_id").agg(F.count("*").alias("n"), F.covar_pop(a, b).alias("cov"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"))
-    flat = (F.col("n") < 2) | (F.col("sa") < 1e-12) | (F.col("sb") < 1e-12)
-    return agg.select("lot_id", "n", F.when(flat, 0.0).otherwise(F.try_divide("cov", F.col("sa") * F.col("sb"))).alias("r"))
+    """Each lot with itself and the two after it by common panels, and with the next by ordinal."""
+    yields = panel_yield(spark, sf_dir).join(fab.panels(spark, sf_dir).select("panel_id", "lot_id"), "panel_id")
+    lots = fab.lots(spark, sf_dir).select(F.col("lot_id").alias("ancestor"), "lot_no")
+    after = lambda *steps: lots.select("ancestor", F.explode(F.array(*(F.concat(F.lit("LOT"), F.col("lot_no") + k) for k in steps))).alias("descendant"))
+    by_panel = correlate_lots(yields, after(0, 1, 2)).withColumn("pairing", F.lit("panel_id"))
+    return by_panel.unionByName(correlate_lots(yields, after(1), "poisson", "ordinal").withColumn("pairing", F.lit("ordinal")))
 
 
-QUERIES = {f.__name__: f for f in (ancestors, descendants, lot_depth, adjacency, cycles, yield_correlation)}
+QUERIES = {f.__name__: f for f in (ancestors, descendants, lot_depth, lot_lineage, adjacency, cycles, yield_correlation)}
 
 _E = "WITH RECURSIVE e AS (SELECT p_partkey // 2 AS parent, p_partkey AS child FROM part WHERE p_partkey > 1)"
-_DOWN = ", w(node, depth) AS (SELECT {0}::BIGINT, 0 UNION ALL SELECT child, depth + 1 FROM w JOIN e ON parent = node) SELECT node, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY 1"
+_G = "WITH RECURSIVE e AS (SELECT p_partkey // 2 AS parent, p_partkey AS child FROM part WHERE p_partkey > 1 UNION SELECT p_partkey - 1, p_partkey FROM part WHERE p_partkey > 1 AND p_partkey % 5 = 0)"
+_WALK = ", {2}(node, depth) AS (SELECT {0}::BIGINT, 0 UNION SELECT {1}, depth + 1 FROM {2} JOIN e ON {3} = node)"
+_SEEN = "SELECT node, min(depth) AS depth FROM {0} WHERE depth > 0 AND node % 31 <> 0 GROUP BY 1"
+_UP, _DOWN = (lambda n: _WALK.format(n, "parent", "u", "child")), (lambda n: _WALK.format(n, "child", "d", "parent"))
 ORACLE_SQL = {
-    "ancestors": _E + ", w(node, depth) AS (SELECT 777::BIGINT, 0 UNION ALL SELECT parent, depth + 1 FROM w JOIN e ON child = node) SELECT node, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY 1",
-    "descendants": _E + _DOWN.format(3),
-    "lot_depth": _E + _DOWN.format(1),
+    "ancestors": _G + _UP(777) + _SEEN.format("u"),
+    "descendants": _G + _DOWN(3) + _SEEN.format("d"),
+    "lot_depth": _G + ", d(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT child, depth + 1 FROM d JOIN e ON parent = node) SELECT node, max(depth) AS depth FROM d GROUP BY 1",
+    "lot_lineage": _G + _UP(45) + _DOWN(45) + f""", a AS ({_SEEN.format("u")}), b AS ({_SEEN.format("d")}), ids AS (SELECT 45::BIGINT AS node UNION SELECT node FROM a UNION SELECT node FROM b)
+SELECT 'self' AS kind, 45::BIGINT AS node, NULL::BIGINT AS other, max(depth) AS depth FROM u UNION ALL SELECT 'ancestor', node, NULL, depth FROM a UNION ALL SELECT 'descendant', node, NULL, depth FROM b
+UNION ALL SELECT 'edge', parent, child, NULL FROM e WHERE parent IN (SELECT node FROM ids) AND child IN (SELECT node FROM ids)""",
     "adjacency": _E + " SELECT p_partkey AS node, coalesce((SELECT string_agg(child::VARCHAR, ',' ORDER BY child) FROM e WHERE parent = p_partkey), '') AS children FROM part",
     "cycles": _E + """, f AS (SELECT * FROM e UNION ALL VALUES (40, 5), (97, 12)), r(a, b) AS (SELECT parent, child FROM f WHERE parent >= 5 UNION SELECT a, child FROM r JOIN f ON parent = b WHERE a < 100),
 on_cycle AS (SELECT DISTINCT a AS node FROM r WHERE a = b), down(node) AS (SELECT node FROM on_cycle UNION SELECT child FROM down JOIN f ON parent = node) SELECT node FROM down""",
-    "yield_correlation": PREFIX + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,") + """, g AS (SELECT lot_id, count(*) AS n, covar_pop(defect_density, yield_negbinom) AS cov, stddev_pop(defect_density) AS sa, stddev_pop(yield_negbinom) AS sb FROM py JOIN panels USING (panel_id) GROUP BY 1)
-SELECT lot_id, n, CASE WHEN n < 2 OR sa < 1e-12 OR sb < 1e-12 THEN 0.0 ELSE cov / (sa * sb) END AS r FROM g""",
+    "yield_correlation": PREFIX + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,") + """, y AS (SELECT lot_id, panel_id, yield_poisson, yield_negbinom, row_number() OVER (PARTITION BY lot_id ORDER BY panel_id) AS k FROM py JOIN panels USING (panel_id)),
+j AS (SELECT 'panel_id' AS pairing, a.lot_id AS ancestor, b.lot_id AS descendant, a.yield_negbinom AS a, b.yield_negbinom AS b FROM y a JOIN y b USING (panel_id)
+  UNION ALL SELECT 'ordinal', a.lot_id, b.lot_id, a.yield_poisson, b.yield_poisson FROM y a JOIN y b ON a.k = b.k JOIN lots l ON l.lot_id = a.lot_id JOIN lots m ON m.lot_id = b.lot_id AND m.lot_no = l.lot_no + 1)
+SELECT ancestor, descendant, pairing, count(*) AS n_panels, round(CASE WHEN count(*) < 2 OR stddev_pop(a) < 1e-12 OR stddev_pop(b) < 1e-12 THEN 0.0 ELSE covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END, 6) AS r,
+  round(avg(a), 6) AS mean_ancestor, round(avg(b), 6) AS mean_descendant FROM j GROUP BY ALL""",
 }

@@ -13,49 +13,44 @@ from lotwise.functions import yield_models as ym
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
 
-FEATURES = ["bias", "size", "confidence", "x_norm", "y_norm", "row_norm", "col_norm", "is_wafer"]
 REGIONS = ["zone_center", "zone_mid", "zone_edge", "region_NW", "region_NE", "region_SW", "region_SE"]
-#: The reference's fifteen, in its order.
-ALL_FEATURES = [*FEATURES[:-1], *REGIONS, "is_wafer"]
+#: Fixed order.
+FEATURES = ["bias", "size", "confidence", "x_norm", "y_norm", "row_norm", "col_norm", *REGIONS, "is_wafer"]
 
 
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numeric features of every system_a defect; positions are clamped to +-10."""
-    return _vectors(fab.defects(spark, sf_dir).filter("source_system = 'system_a'"))
+    """The fifteen features of every system_a defect on an active die.
 
-
-def classifier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fifteen features of every system_a defect on an active die, seven of them the die's region."""
-    return _vectors(fab.active_defects(spark, sf_dir), *((F.col("region_id") == r).cast("double").alias(r) for r in REGIONS))
-
-
-def _vectors(found: DataFrame, *regions: Column) -> DataFrame:
+    Positions are over the panel's columns and rows and clamped to +-10; seven indicators tell the region.
+    """
     clamp = lambda c: F.greatest(F.lit(-10.0), F.least(F.lit(10.0), c))
-    return found.select(
-        "panel_id", "defect_key", "defect_type", F.lit(1.0).alias("bias"), "size", F.col("confidence_score").alias("confidence"), clamp(F.col("x") / 10.0).alias("x_norm"), clamp(F.col("y") / 10.0).alias("y_norm"),
-        (F.col("component_row") / 10.0).alias("row_norm"), (F.col("component_col") / 10.0).alias("col_norm"), *regions, (F.col("substrate_type") == "wafer").cast("double").alias("is_wafer"),
+    size = fab.panels(spark, sf_dir).select("panel_id", F.greatest("rows", F.lit(1)).cast("double").alias("n_rows"), F.greatest("cols", F.lit(1)).cast("double").alias("n_cols"))
+    return fab.active_defects(spark, sf_dir).join(size, "panel_id").select(
+        "panel_id", "defect_key", "defect_type", F.lit(1.0).alias("bias"), "size", F.col("confidence_score").alias("confidence"), clamp(F.col("x") / F.col("n_cols")).alias("x_norm"), clamp(F.col("y") / F.col("n_rows")).alias("y_norm"),
+        (F.col("component_row") / F.col("n_rows")).alias("row_norm"), (F.col("component_col") / F.col("n_cols")).alias("col_norm"), *((F.col("region_id") == r).cast("double").alias(r) for r in REGIONS),
+        (F.col("substrate_type") == "wafer").cast("double").alias("is_wafer"),
     )
 
 
-def features_of(rows: DataFrame) -> list[str]:
-    """Those of the fifteen features that the rows have."""
-    return [f for f in ALL_FEATURES if f in rows.columns]
-
-
 def predict(rows: DataFrame, weights: list[list[float]], classes: list[str]) -> DataFrame:
-    """Adds ``predicted`` and ``probability`` of a softmax model; of equal scores the first class."""
-    scores = [sum((F.col(f) * w for f, w in zip(features_of(rows), line, strict=True)), F.lit(0.0)) for line in weights]
+    """Adds ``predicted``, its ``probability`` and the array ``class_probs`` of a softmax model; of equal scores the first class.
+
+    Probabilities have six digits.
+    """
+    scores = [sum((F.col(f) * w for f, w in zip(FEATURES, line, strict=True)), F.lit(0.0)) for line in weights]
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
     total = sum((F.exp(s - F.col("_top")) for s in scores), F.lit(0.0))
     label: Column = F.lit(None).cast("string")
     for name, score in reversed(list(zip(classes, scores, strict=True))):
         label = F.when(score == F.col("_top"), name).otherwise(label)
-    return rows.withColumn("_top", top).withColumn("predicted", label).withColumn("probability", 1 / total).drop("_top")
+    return rows.withColumn("_top", top).withColumn("predicted", label).withColumn("probability", F.round(1 / total, 6)).withColumn(
+        "class_probs", F.array(*(F.round(F.exp(s - F.col("_top")) / total, 6) for s in scores))
+    ).drop("_top")
 
 
-def example_weights(classes: list[str], features: list[str] = FEATURES) -> list[list[float]]:
+def example_weights(classes: list[str]) -> list[list[float]]:
     """Fixed weights by a rule, for exact comparison with an oracle."""
-    return [[((i * 7 + j * 3) % 11 - 5) / 8.0 for j in range(len(features))] for i in range(len(classes))]
+    return [[((i * 7 + j * 3) % 11 - 5) / 8.0 for j in range(len(FEATURES))] for i in range(len(classes))]
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -64,29 +59,33 @@ def _classes(spark: SparkSession, sf_dir: str) -> list[str]:
 
 def logit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _classes(spark, sf_dir)
-    return predict(feature_vectors(spark, sf_dir), example_weights(names), names).select("panel_id", "defect_key", "defect_type", "predicted")
+    found = predict(feature_vectors(spark, sf_dir), example_weights(names), names)
+    probs = F.array_join(F.transform("class_probs", lambda p: F.format_number(p, 4)), ",")
+    return found.select("panel_id", "defect_key", "defect_type", "predicted", "probability", probs.alias("class_probs"), (F.col("predicted") == F.col("defect_type")).alias("correct"))
 
 
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision, recall and support per class from one grouping of (true, predicted) pairs."""
-    return _per_class(logit_predict(spark, sf_dir))
+    """Precision, recall and support per class and the accuracy, from one grouping of (true, predicted) pairs."""
+    return evaluate(logit_predict(spark, sf_dir))
 
 
-def classifier_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _classes(spark, sf_dir)
-    return predict(classifier_features(spark, sf_dir), example_weights(names, ALL_FEATURES), names).select("panel_id", "defect_key", "defect_type", "predicted")
-
-
-def classifier_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`confusion`, of the model with all fifteen features."""
-    return _per_class(classifier_predict(spark, sf_dir))
-
-
-def _per_class(predicted: DataFrame) -> DataFrame:
+def evaluate(predicted: DataFrame) -> DataFrame:
+    """Per class: support, guessed, tp, precision, recall; and the accuracy over all classes."""
     pairs = predicted.groupBy("defect_type", "predicted").agg(F.count("*").alias("n"))
     sides = pairs.select(F.explode(F.array(F.struct(F.col("defect_type").alias("class"), F.lit(1).alias("true"), F.lit(0).alias("guess")), F.struct(F.col("predicted").alias("class"), F.lit(0).alias("true"), F.lit(1).alias("guess")))).alias("s"), "n", (F.col("defect_type") == F.col("predicted")).alias("hit"))
     agg = sides.groupBy(F.col("s.class").alias("class")).agg(F.sum(F.col("s.true") * F.col("n")).alias("support"), F.sum(F.col("s.guess") * F.col("n")).alias("guessed"), F.sum(F.when(F.col("hit"), F.col("s.true") * F.col("n")).otherwise(0)).alias("tp"))
-    return agg.select("class", "support", "guessed", "tp", F.coalesce(F.try_divide("tp", "guessed"), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("tp", "support"), F.lit(0.0)).alias("recall"))
+    every = Window.partitionBy()  # a row per class
+    accuracy = F.coalesce(F.try_divide(F.sum("tp").over(every), F.sum("support").over(every)), F.lit(0.0))
+    return agg.select("class", "support", "guessed", "tp", F.coalesce(F.try_divide("tp", "guessed"), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("tp", "support"), F.lit(0.0)).alias("recall"), accuracy.alias("accuracy"))
+
+
+def softmax_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of ten rounds of training, against that of the first weights (all zero: the first class)."""
+    names, rows = _classes(spark, sf_dir), feature_vectors(spark, sf_dir)
+    share = lambda weights: F.avg((F.col("predicted") == F.col("defect_type")).cast("double"))  # noqa: E731, ARG005
+    both = [("zero", [[0.0] * len(FEATURES) for _ in names]), ("trained", train_softmax(rows, names, rate=0.02, rounds=10))]
+    scored = [predict(rows, w, names).agg(F.lit(k).alias("model"), F.count("*").alias("n"), share(w).alias("accuracy")) for k, w in both]
+    return scored[0].unionByName(scored[1])
 
 
 def train_softmax(rows: DataFrame, classes: list[str], rate: float = 0.05, l2: float = 0.01, rounds: int = 400, stop: float = 1e-5) -> list[list[float]]:
@@ -96,7 +95,7 @@ def train_softmax(rows: DataFrame, classes: list[str], rate: float = 0.05, l2: f
     """
     if len(classes) < 2 or rows.limit(10).count() < 10:
         raise ValueError("training needs ten rows and two classes")
-    features = features_of(rows)
+    features = FEATURES
     kept = rows.select("defect_type", *features).persist()
     weights, last = np.zeros((len(classes), len(features))), math.inf
     shape = weights.shape
@@ -130,38 +129,69 @@ def train_softmax(rows: DataFrame, classes: list[str], rate: float = 0.05, l2: f
     return weights.tolist()
 
 
+def split_by_type(rows: DataFrame, key: list[str], type_column: str = "defect_type", seed: int = 42, train: float = 0.8, val: float = 0.1, per_panel: int | None = None) -> DataFrame:
+    """Adds ``split``: of each type's n rows in hash order, floor(train n) train, the next floor(val n) val, the rest test.
+
+    ``per_panel`` keeps that many rows of each panel, the first in key order. The hash of the key and seed orders the rows;
+    equal keys follow one another. Ranks come from counts: rows are dealt to slices of the hash's range,
+    each slice is ranked by itself, and the slices' counts before it are added, so no type fills a task.
+    """
+    if per_panel is not None:
+        w = Window.partitionBy("panel_id").orderBy(*key)
+        rows = rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= per_panel).drop("_k")
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in key))))
+    hashed = hashed.withColumn("_slice", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    counts = hashed.groupBy(type_column, "_slice").agg(F.count("*").alias("_c"))
+    # At most 4,096 rows per type: running sums over slices.
+    by_slice = Window.partitionBy(type_column).orderBy("_slice")
+    before = counts.select(
+        type_column, "_slice", (F.sum("_c").over(by_slice) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(type_column)).alias("_n")
+    )
+    placed = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(type_column, "_slice").orderBy("_h", *key))).join(F.broadcast(before), [type_column, "_slice"])
+    rank, n_train, n_val = F.col("_before") + F.col("_r"), F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(val))
+    split = F.when(rank <= n_train, "train").when(rank <= n_train + n_val, "val").otherwise("test")
+    return placed.withColumn("split", split).drop("_h", "_slice", "_before", "_n", "_r")
+
+
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per defect type: the first 80 % in hash order train, the next 10 % validate, the rest test."""
-    found = fab.defects(spark, sf_dir).select("defect_type", "defect_key", F.md5("defect_key").alias("h")).distinct()
-    w = Window.partitionBy("defect_type")
-    placed = found.withColumn("k", F.row_number().over(w.orderBy("h", "defect_key"))).withColumn("n", F.count("*").over(w))
-    train, val = F.floor(F.col("n") * 8 / 10), F.floor(F.col("n") / 10)
-    return placed.select("defect_type", "defect_key", F.when(F.col("k") <= train, "train").when(F.col("k") <= train + val, "val").otherwise("test").alias("split"))
+    """Every defect of at most 500 a panel, split by type."""
+    rows = fab.defects(spark, sf_dir).select("panel_id", "defect_type", "defect_key")
+    return split_by_type(rows, ["defect_key"], per_panel=500).groupBy("panel_id", "defect_type", "split").agg(F.count("*").alias("n"), F.max("defect_key").alias("last_key"))
 
 
-def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each system_a defect of a die, in key order, takes the nearest free system_b defect within the threshold."""
-
-    def match_die(frame: pd.DataFrame) -> list[tuple]:
-        a, b = frame[frame.source_system == "system_a"], frame[frame.source_system == "system_b"]
-        free, rows = np.ones(len(b), bool), []
-        bx, by, keys = b.x.to_numpy(), b.y.to_numpy(), b.defect_key.tolist()
-        for key, x, y, limit in zip(a.defect_key.tolist(), a.x.tolist(), a.y.tolist(), a.match_mm.tolist(), strict=True):
-            d = np.where(free, np.hypot(bx - x, by - y), np.inf)
-            k = int(d.argmin()) if len(d) else -1
-            if k >= 0 and d[k] <= limit:
-                free[k] = False
-                rows.append((key, keys[k], float(d[k])))
-        return rows
+def match_die(a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
+    """(a_key, b_key, distance): each row of ``a`` in turn takes the nearest free row of ``b`` (the first of equals) within its limit."""
+    free, rows = np.ones(len(b), bool), []
+    bx, by, keys = b.x.to_numpy(), b.y.to_numpy(), b.defect_key.tolist()
+    for key, x, y, limit in zip(a.defect_key.tolist(), a.x.tolist(), a.y.tolist(), a.match_mm.tolist(), strict=True):
+        d = np.where(free, np.hypot(bx - x, by - y), np.inf)
+        k = int(d.argmin()) if len(d) else -1
+        if k >= 0 and d[k] <= limit:
+            free[k] = False
+            rows.append((key, keys[k], float(d[k])))
+    return rows
+
+
+def match_systems(found: DataFrame) -> DataFrame:
+    """panel_id, a_key, b_key, distance of system_a defects matched with system_b ones, die by die.
+
+    A die is the unit within which order counts, so it is the group; defects go in key order.
+    """
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("defect_key", kind="stable")
-        rows = [(die.panel_id.iloc[0], *r) for _, die in ordered.groupby(["component_row", "component_col"]) for r in match_die(die)]
+        ordered = frame.sort_values(["defect_key", "x", "y"], kind="stable")
+        rows = [(frame.panel_id.iloc[0], *r) for r in match_die(ordered[ordered.source_system == "system_a"], ordered[ordered.source_system == "system_b"])]
         return pd.DataFrame(rows, columns=["panel_id", "a_key", "b_key", "distance"])
 
-    found = fab.with_profile(fab.defects(spark, sf_dir)).select("panel_id", "component_row", "component_col", "source_system", "defect_key", "x", "y", "match_mm")
-    # A panel is one inspection image's worth of rows; its dies are matched inside the group, which saves a call per die.
-    return found.groupBy("panel_id").applyInPandas(match, "panel_id string, a_key string, b_key string, distance double")
+    # A die without both systems has no match and needs no call.
+    die = ["panel_id", "component_row", "component_col"]
+    both = found.groupBy(*die).agg(F.count_distinct("source_system").alias("k")).filter("k = 2").select(*die)
+    return found.join(both, die, "left_semi").groupBy(*die).applyInPandas(match, "panel_id string, a_key string, b_key string, distance double")
+
+
+def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fab.with_profile(fab.defects(spark, sf_dir))
+    return match_systems(found.select("panel_id", "component_row", "component_col", "source_system", "defect_key", "x", "y", "match_mm"))
 
 
 def learning_curve(spark: SparkSession, sf_dir: str, start: float = 0.4, ceiling: float = 0.9, rate: float = 0.08, months: int = 24) -> DataFrame:
@@ -197,7 +227,7 @@ def monte_carlo(spark: SparkSession, runs: int, dies: int, density_cm2: float, a
 
 
 def monte_carlo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, deviation, extremes and percentiles of the default simulation, with 20 equal bins' largest count."""
+    """Mean, deviation, extremes and percentiles of the default simulation."""
     y = F.col("yield")
     runs = monte_carlo(spark, 2000, 500, 0.5, 100.0)
     return runs.agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max"), F.percentile(y, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p")).select(
@@ -205,32 +235,24 @@ def monte_carlo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (feature_vectors, logit_predict, confusion, classifier_features, classifier_predict, classifier_confusion, stratified_split, greedy_match, learning_curve, dies_per_wafer, component_grid, monte_carlo_summary)}
+QUERIES = {f.__name__: f for f in (feature_vectors, logit_predict, confusion, softmax_model, stratified_split, greedy_match, learning_curve, dies_per_wafer, component_grid, monte_carlo_summary)}
 
-_FV = PREFIX + """, fv AS (SELECT panel_id, defect_key, defect_type, 1.0::DOUBLE AS bias, size, confidence_score AS confidence, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, x / 10.0)) AS x_norm, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, y / 10.0)) AS y_norm,
-  component_row / 10.0::DOUBLE AS row_norm, component_col / 10.0::DOUBLE AS col_norm, (substrate_type = 'wafer')::INT::DOUBLE AS is_wafer FROM defects WHERE source_system = 'system_a')"""
-_LP = _FV + ", cl AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part)), fr AS (SELECT *, row_number() OVER () AS rid FROM fv), sc AS (SELECT fr.*, p_type, i, 0.0::DOUBLE + " + " + ".join(
-    f"{f} * (((i * 7 + {j * 3}) % 11 - 5) / 8.0::DOUBLE)" for j, f in enumerate(FEATURES)
-) + " AS s FROM fr CROSS JOIN cl), lp AS (SELECT panel_id, defect_key, defect_type, p_type AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY rid ORDER BY s DESC, i) = 1)"
+_FV = PREFIX + """, fv AS (SELECT panel_id, defect_key, defect_type, 1.0::DOUBLE AS bias, size, confidence_score AS confidence, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, x / cols)) AS x_norm, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, y / rows)) AS y_norm,
+  component_row / rows AS row_norm, component_col / cols AS col_norm, """ + ", ".join(f"(region_id = '{r}')::INT::DOUBLE AS {r}" for r in REGIONS) + ", (substrate_type = 'wafer')::INT::DOUBLE AS is_wafer FROM active_a JOIN (SELECT panel_id, rows, cols FROM panels) USING (panel_id))"
+_SCORE = "0.0::DOUBLE + " + " + ".join(f"{f} * (((i * 7 + {j * 3}) % 11 - 5) / 8.0::DOUBLE)" for j, f in enumerate(FEATURES))
+_LP = _FV + f""", cl AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part)), fr AS (SELECT *, row_number() OVER () AS rid FROM fv),
+sc AS (SELECT rid, panel_id, defect_key, defect_type, p_type, i, {_SCORE} AS s FROM fr CROSS JOIN cl), ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY rid)) AS e FROM sc), pr AS (SELECT *, round(e / sum(e) OVER (PARTITION BY rid), 6) AS p FROM ex),
+lp AS (SELECT panel_id, defect_key, defect_type, first(p_type ORDER BY s DESC, i) AS predicted, max(p) AS probability, string_agg(printf('%.4f', p), ',' ORDER BY i) AS class_probs, first(p_type ORDER BY s DESC, i) = defect_type AS correct FROM pr GROUP BY rid, panel_id, defect_key, defect_type)"""
 ORACLE_SQL = {
     "feature_vectors": _FV + " SELECT * FROM fv",
     "logit_predict": _LP + " SELECT * FROM lp",
     "confusion": _LP + """, c AS (SELECT defect_type AS class, count(*) AS support, count(*) FILTER (defect_type = predicted) AS tp FROM lp GROUP BY 1), g AS (SELECT predicted AS class, count(*) AS guessed FROM lp GROUP BY 1)
-SELECT class, coalesce(support, 0) AS support, coalesce(guessed, 0) AS guessed, coalesce(tp, 0) AS tp, coalesce(tp / nullif(guessed, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall FROM c FULL JOIN g USING (class)""",
+SELECT class, coalesce(support, 0) AS support, coalesce(guessed, 0) AS guessed, coalesce(tp, 0) AS tp, coalesce(tp / nullif(guessed, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall,
+  (SELECT avg(correct::INT) FROM lp) AS accuracy FROM c FULL JOIN g USING (class)""",
     "learning_curve": "SELECT m::INT AS month, least(0.9::DOUBLE, 0.4::DOUBLE + 0.08::DOUBLE * (0.9::DOUBLE - 0.4::DOUBLE) * m) AS linear, 0.9::DOUBLE - (0.9::DOUBLE - 0.4::DOUBLE) * pow(0.92::DOUBLE, m) AS exponential, least(0.9::DOUBLE, exp(ln(0.4::DOUBLE) * pow(0.92::DOUBLE, m))) AS d0_learning FROM range(25) r(m)",
     "dies_per_wafer": "SELECT DISTINCT p_size::DOUBLE AS area, greatest(1, trunc(pi() * 150 * 150 / p_size - pi() * 300 / sqrt(2 * p_size))::INT) AS dies FROM part",
     "component_grid": PREFIX + "SELECT * FROM components",
-    "stratified_split": PREFIX + """, f AS (SELECT DISTINCT defect_type, defect_key, md5(defect_key) AS h FROM defects),
-p AS (SELECT *, row_number() OVER (PARTITION BY defect_type ORDER BY h, defect_key) AS k, count(*) OVER (PARTITION BY defect_type) AS n FROM f)
-SELECT defect_type, defect_key, CASE WHEN k <= n * 8 // 10 THEN 'train' WHEN k <= n * 8 // 10 + n // 10 THEN 'val' ELSE 'test' END AS split FROM p""",
-}
-_FV_ALL = PREFIX + """, fv AS (SELECT panel_id, defect_key, defect_type, 1.0::DOUBLE AS bias, size, confidence_score AS confidence, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, x / 10.0)) AS x_norm, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, y / 10.0)) AS y_norm,
-  component_row / 10.0::DOUBLE AS row_norm, component_col / 10.0::DOUBLE AS col_norm, """ + ", ".join(f"(region_id = '{r}')::INT::DOUBLE AS {r}" for r in REGIONS) + ", (substrate_type = 'wafer')::INT::DOUBLE AS is_wafer FROM active_a)"
-_LP_ALL = _FV_ALL + ", cl AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part)), fr AS (SELECT *, row_number() OVER () AS rid FROM fv), sc AS (SELECT fr.*, p_type, i, 0.0::DOUBLE + " + " + ".join(
-    f"{f} * (((i * 7 + {j * 3}) % 11 - 5) / 8.0::DOUBLE)" for j, f in enumerate(ALL_FEATURES)
-) + " AS s FROM fr CROSS JOIN cl), lp AS (SELECT panel_id, defect_key, defect_type, p_type AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY rid ORDER BY s DESC, i) = 1)"
-ORACLE_SQL |= {
-    "classifier_features": _FV_ALL + " SELECT * FROM fv",
-    "classifier_predict": _LP_ALL + " SELECT * FROM lp",
-    "classifier_confusion": ORACLE_SQL["confusion"].replace(_LP, _LP_ALL),
+    "stratified_split": PREFIX + """, r AS (SELECT panel_id, defect_type, defect_key, row_number() OVER (PARTITION BY panel_id ORDER BY defect_key) AS k FROM defects),
+f AS (SELECT panel_id, defect_type, defect_key, row_number() OVER (PARTITION BY defect_type ORDER BY md5('42|' || defect_key), defect_key) AS k, count(*) OVER (PARTITION BY defect_type) AS n FROM r WHERE k <= 500)
+SELECT panel_id, defect_type, CASE WHEN k <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split, count(*) AS n, max(defect_key) AS last_key FROM f GROUP BY ALL""",
 }

@@ -5,29 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwise.operators.clustering import CLUSTERS, dbscan_summary
 from lotwise.operators.yields import DIES, panel_yield
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
 
 
-def lot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and spread of panel densities per lot and its status against a robust threshold.
+def summarise(panels: DataFrame) -> DataFrame:
+    """Spread of panel densities and yields per lot, and its status.
 
-    With three panels or more the threshold is median + 3 MAD (MAD at least a twentieth of the
-    median); below, three times the mean density of the lot. Medians come from aggregates joined back.
+    ``panels`` has lot_id, substrate_type, panel_id, defect_density (null counts as 0), yield_negbinom and
+    pattern, the panel's cluster class. With three panels or more the limits are median + 2 and + 3 times the
+    MAD (at least a twentieth of the median); below, three times the profile's mean density. A clustered
+    excursion comes first, then densities over the limit; densities between the limits and systematic
+    clusters ask for a watch. Medians come from aggregates joined back.
     """
-    panels = panel_yield(spark, sf_dir).join(fab.panels(spark, sf_dir).select("panel_id", "lot_id"), "panel_id").select("lot_id", "defect_density", "yield_negbinom")
-    middle = panels.groupBy("lot_id").agg(F.median("defect_density").alias("med"), F.count("*").alias("n"), F.avg("defect_density").alias("mean"))
-    spread = panels.join(middle, "lot_id").groupBy("lot_id").agg(F.median(F.abs(F.col("defect_density") - F.col("med"))).alias("dev"))
-    limits = middle.join(spread, "lot_id").withColumn("mad", F.greatest(F.col("dev") * 1.4826, 0.05 * F.col("med")))
-    limits = limits.withColumn("high", F.when(F.col("n") >= 3, F.col("med") + 3 * F.col("mad")).otherwise(3 * F.col("mean"))).withColumn("watch", F.when(F.col("n") >= 3, F.col("med") + 2 * F.col("mad")))
-    d = F.col("defect_density")
-    agg = panels.join(limits, "lot_id").groupBy("lot_id").agg(
+    rows = fab.with_profile(panels).withColumn("d", F.coalesce("defect_density", F.lit(0.0)))
+    middle = rows.groupBy("lot_id").agg(F.median("d").alias("med"), F.count("*").alias("n"), F.max(3.0 * F.col("mean_count") / (F.col("pitch") * F.col("pitch"))).alias("fixed"))
+    spread = rows.join(middle, "lot_id").groupBy("lot_id").agg(F.median(F.abs(F.col("d") - F.col("med"))).alias("dev"))
+    mad = F.greatest(F.col("dev") * 1.4826, 0.05 * F.col("med"))
+    limits = middle.join(spread, "lot_id").select(
+        "lot_id", F.when(F.col("n") >= 3, F.col("med") + 3 * mad).otherwise(F.col("fixed")).alias("high"), F.when(F.col("n") >= 3, F.col("med") + 2 * mad).alias("low")
+    )
+    excursion, over, d = F.coalesce(F.col("pattern") == "excursion", F.lit(False)), F.col("d") > F.col("high"), F.col("d")
+    agg = rows.join(limits, "lot_id").groupBy("lot_id", "substrate_type").agg(
         F.count("*").alias("panel_count"), F.avg(d).alias("avg_density"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("std_density"), F.avg("yield_negbinom").alias("avg_yield"),
-        F.coalesce(F.stddev_samp("yield_negbinom"), F.lit(0.0)).alias("std_yield"), F.count(F.when(d > F.col("high"), 1)).alias("excursion_count"), F.count(F.when(d > F.col("watch"), 1)).alias("near"),
+        F.stddev_samp("yield_negbinom").alias("std_yield"), F.count(F.when(excursion | over, 1)).alias("excursion_count"), F.count(F.when(excursion, 1)).alias("by_cluster"),
+        F.count(F.when(over, 1)).alias("by_density"), F.count(F.when((d > F.col("low")) & ~over, 1)).alias("near"), F.count(F.when(F.col("pattern") == "systematic", 1)).alias("systematic"),
     )
-    status = F.when(F.col("excursion_count") > 0, "excursion").when(F.col("near") > 0, "watch").otherwise("clean")
-    return agg.withColumn("lot_status", status).drop("near")
+    status = F.when(F.col("by_cluster") + F.col("by_density") > 0, "excursion").when(F.col("near") + F.col("systematic") > 0, "watch").otherwise("clean")
+    return agg.withColumn("lot_status", status)
+
+
+def lot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`summarise` of all panels with their yields and cluster classes."""
+    classes = dbscan_summary(spark, sf_dir).select("panel_id", "pattern")
+    yields = panel_yield(spark, sf_dir).select("panel_id", "defect_density", "yield_negbinom")
+    placed = fab.panels(spark, sf_dir).select("panel_id", "lot_id", "substrate_type").join(yields, "panel_id", "left").join(classes, "panel_id", "left")
+    return summarise(placed)
+
+
+def assign_lots(waiting: DataFrame, lots: DataFrame, panels: DataFrame, lot_size: int = 25) -> DataFrame:
+    """waiting panels (panel_id, substrate_type, seq) with a lot_id each: first the free places of active lots, oldest first, then new lots.
+
+    ``lots`` has lot_id, substrate_type, lot_size, status and created_at. New ids are WL_ or GL_ with a number
+    of five digits. Free places and waiting panels meet by their running numbers within a substrate.
+    """
+    taken = panels.groupBy("lot_id").agg(F.count("*").alias("taken"))
+    free = lots.filter("status = 'active'").join(taken, "lot_id", "left").withColumn("free", F.col("lot_size") - F.coalesce("taken", F.lit(0))).filter("free > 0")
+    by_age = Window.partitionBy("substrate_type").orderBy("created_at", "lot_id").rowsBetween(Window.unboundedPreceding, 0)
+    places = free.withColumn("upto", F.sum("free").over(by_age)).select("substrate_type", "lot_id", F.explode(F.sequence(F.col("upto") - F.col("free") + 1, "upto")).alias("place"))
+    numbered = waiting.withColumn("place", F.row_number().over(Window.partitionBy("substrate_type").orderBy("seq", "panel_id")).cast("long"))
+    full = free.groupBy("substrate_type").agg(F.sum("free").alias("places"))
+    joined = numbered.join(places, ["substrate_type", "place"], "left").join(F.broadcast(full), "substrate_type", "left")  # a row per substrate
+    fresh = F.floor((F.col("place") - F.coalesce("places", F.lit(0)) - 1) / lot_size) + 1
+    name = F.concat(F.when(F.col("substrate_type") == "wafer", "WL_").otherwise("GL_"), F.lpad(fresh.cast("string"), 5, "0"))
+    return joined.select("panel_id", "substrate_type", F.coalesce("lot_id", name).alias("lot_id"))
+
+
+def lot_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots for twice as many panels again: free places first, then new lots."""
+    known = fab.panels(spark, sf_dir)
+    waiting = known.select(F.explode(F.array(F.concat("panel_id", F.lit("x")), F.concat("panel_id", F.lit("y")))).alias("panel_id"), "substrate_type", F.col("panel_no").alias("seq"))
+    lots = fab.lots(spark, sf_dir).withColumn("created_at", F.col("lot_no"))
+    return assign_lots(waiting, lots.withColumn("lot_size", F.lit(6)), known, 6)
 
 
 def lot_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,36 +97,77 @@ def lot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count_distinct("panel_id").alias("panels"), F.count("*").alias("n"), F.avg("size").alias("avg_size"), F.avg("confidence_score").alias("avg_confidence"), F.max("size").alias("max_size"))
 
 
-def trend_ols(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
-    """Least-squares line of mean lot density over the oldest ``limit`` lots of each substrate."""
-    order = Window.partitionBy("substrate_type").orderBy("lot_no")
-    lots = lot_summary(spark, sf_dir).join(fab.lots(spark, sf_dir).select("lot_id", "lot_no", "substrate_type"), "lot_id")
-    placed = lots.withColumn("seq", F.row_number().over(order)).filter(F.col("seq") <= limit)
-    fit = placed.groupBy("substrate_type").agg(
-        F.count("*").alias("n_lots"), F.regr_slope("avg_density", "seq").alias("slope"), F.regr_intercept("avg_density", "seq").alias("intercept"),
-        F.regr_r2("avg_density", "seq").alias("r2"), F.avg("avg_density").alias("mean_density"), F.avg(F.when(F.col("avg_yield") != 0, F.col("avg_yield"))).alias("mean_yield"),
+def lot_trend(lots: DataFrame, summaries: DataFrame, estimates: DataFrame, limit: int = 50, most_recent: bool = False) -> DataFrame:
+    """Least-squares line of mean lot density over the oldest (or most recent) ``limit`` lots of each substrate.
+
+    ``lots`` has lot_id, substrate_type and created (its order); a lot without a row in ``summaries``
+    (avg_density, avg_yield) takes the mean of all its rows in ``estimates`` (lot_id, defect_density, yield_negbinom).
+    """
+    window = Window.partitionBy("substrate_type").orderBy
+    rank = F.row_number().over(window(F.desc("created"), F.desc("lot_id")) if most_recent else window("created", "lot_id"))
+    chosen = lots.withColumn("k", rank).filter(F.col("k") <= limit)
+    placed = chosen.withColumn("seq", F.row_number().over(window("created", "lot_id")))
+    means = estimates.groupBy("lot_id").agg(F.avg("defect_density").alias("d2"), F.avg("yield_negbinom").alias("y2"))
+    rows = placed.join(summaries.select("lot_id", "avg_density", "avg_yield"), "lot_id", "left").join(means, "lot_id", "left")
+    rows = rows.select("substrate_type", "seq", F.coalesce("avg_density", "d2").alias("d"), F.coalesce("avg_yield", "y2").alias("y")).filter("d is not null")
+    fit = rows.groupBy("substrate_type").agg(
+        F.count("*").alias("n_lots"), F.regr_slope("d", "seq").alias("slope"), F.regr_intercept("d", "seq").alias("intercept"),
+        F.regr_r2("d", "seq").alias("r2"), F.avg("d").alias("mean_density"), F.avg(F.when(F.col("y") != 0, F.col("y"))).alias("mean_yield"),
     )
     flat = F.greatest(0.05 * F.abs("mean_density"), F.lit(1e-6))
     return fit.withColumn("direction", F.when(F.col("slope") > flat, "degrading").when(F.col("slope") < -flat, "improving").otherwise("stable"))
 
 
-QUERIES = {"lot_summary": lot_summary, "lot_capacity": lot_capacity, "latest_estimate": latest_estimate, "lot_report": lot_report, "trend_ols": trend_ols}
+def _trend(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    lots = fab.lots(spark, sf_dir).select("lot_id", "substrate_type", F.col("lot_no").alias("created"))
+    estimates = panel_yield(spark, sf_dir).join(fab.panels(spark, sf_dir).select("panel_id", "lot_id"), "panel_id")
+    # Only lots of even number have a summary; the others fall back to their estimates, which give the same means.
+    summaries = lot_summary(spark, sf_dir).join(lots.filter("created % 4 < 2").select("lot_id"), "lot_id", "left_semi")
+    return lot_trend(lots, summaries, estimates, **options)
 
-LOTS = PREFIX + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,") + """, lp AS (SELECT p.lot_id, defect_density, yield_negbinom FROM py JOIN panels p USING (panel_id)),
-md AS (SELECT lot_id, median(defect_density) AS med, count(*) AS n, avg(defect_density) AS mean FROM lp GROUP BY 1),
-sp AS (SELECT lot_id, median(abs(defect_density - med)) AS dev FROM lp JOIN md USING (lot_id) GROUP BY 1),
-lim AS (SELECT *, CASE WHEN n >= 3 THEN med + 3 * greatest(dev * 1.4826, 0.05 * med) ELSE 3 * mean END AS high, CASE WHEN n >= 3 THEN med + 2 * greatest(dev * 1.4826, 0.05 * med) END AS watch FROM md JOIN sp USING (lot_id)),
-ls0 AS (SELECT lot_id, count(*) AS panel_count, avg(defect_density) AS avg_density, coalesce(stddev_samp(defect_density), 0.0) AS std_density, avg(yield_negbinom) AS avg_yield,
-        coalesce(stddev_samp(yield_negbinom), 0.0) AS std_yield, count(*) FILTER (defect_density > high) AS excursion_count, count(*) FILTER (defect_density > watch) AS near FROM lp JOIN lim USING (lot_id) GROUP BY 1),
-ls AS (SELECT * EXCLUDE near, CASE WHEN excursion_count > 0 THEN 'excursion' WHEN near > 0 THEN 'watch' ELSE 'clean' END AS lot_status FROM ls0)
+
+def trend_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend of the oldest 50 lots of each substrate."""
+    return _trend(spark, sf_dir)
+
+
+def trend_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend of the eight most recent lots of each substrate."""
+    return _trend(spark, sf_dir, limit=8, most_recent=True)
+
+
+QUERIES = {"lot_summary": lot_summary, "lot_capacity": lot_capacity, "latest_estimate": latest_estimate, "lot_report": lot_report, "lot_assignment": lot_assignment, "trend_ols": trend_ols, "trend_recent": trend_recent}
+
+#: CTEs up to ls, the lot summaries.
+LOTS = PREFIX + CLUSTERS + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,") + """, lp AS (SELECT p.lot_id, p.substrate_type, p.panel_id, coalesce(defect_density, 0) AS d, yield_negbinom, pattern FROM panels p LEFT JOIN py USING (panel_id) LEFT JOIN cls USING (panel_id)),
+md AS (SELECT lot_id, median(d) AS med, count(*) AS n FROM lp GROUP BY 1),
+sp AS (SELECT lot_id, median(abs(d - med)) AS dev FROM lp JOIN md USING (lot_id) GROUP BY 1),
+lim AS (SELECT lot_id, n, med + 3 * greatest(dev * 1.4826, 0.05 * med) AS hi, med + 2 * greatest(dev * 1.4826, 0.05 * med) AS lo FROM md JOIN sp USING (lot_id)),
+jd AS (SELECT lp.*, CASE WHEN n >= 3 THEN d > hi ELSE d > 3 * mean_count / (pitch * pitch) END AS dense, n >= 3 AND d > lo AS raised FROM lp JOIN lim USING (lot_id) JOIN dim_profile USING (substrate_type)),
+ls AS (SELECT lot_id, substrate_type, count(*) AS panel_count, avg(d) AS avg_density, coalesce(stddev_samp(d), 0.0) AS std_density, avg(yield_negbinom) AS avg_yield, stddev_samp(yield_negbinom) AS std_yield,
+  count(*) FILTER (dense OR pattern = 'excursion') AS excursion_count, count(*) FILTER (pattern = 'excursion') AS by_cluster, count(*) FILTER (dense) AS by_density, count(*) FILTER (raised AND NOT dense) AS near,
+  count(*) FILTER (pattern = 'systematic') AS systematic,
+  CASE WHEN bool_or(dense OR pattern IS NOT DISTINCT FROM 'excursion') THEN 'excursion' WHEN bool_or(raised OR pattern IS NOT DISTINCT FROM 'systematic') THEN 'watch' ELSE 'clean' END AS lot_status FROM jd GROUP BY ALL)
 """
+
+
+def _trend_sql(rank: str, limit: int) -> str:
+    return PREFIX + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,") + f""", lm AS (SELECT lot_id, avg(defect_density) AS d, avg(yield_negbinom) AS y FROM py JOIN panels USING (panel_id) GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY substrate_type ORDER BY {rank}) AS k FROM lots), pl AS (SELECT *, row_number() OVER (PARTITION BY substrate_type ORDER BY lot_no) AS seq FROM k WHERE k <= {limit}),
+f AS (SELECT substrate_type, count(*) AS n_lots, regr_slope(d, seq) AS slope, regr_intercept(d, seq) AS intercept, regr_r2(d, seq) AS r2, avg(d) AS mean_density, avg(nullif(y, 0)) AS mean_yield FROM pl JOIN lm USING (lot_id) GROUP BY 1)
+SELECT *, CASE WHEN slope > greatest(0.05 * abs(mean_density), 1e-6) THEN 'degrading' WHEN slope < -greatest(0.05 * abs(mean_density), 1e-6) THEN 'improving' ELSE 'stable' END AS direction FROM f"""
+
+
 ORACLE_SQL = {
     "lot_summary": LOTS + "SELECT * FROM ls",
     "lot_capacity": PREFIX + "SELECT l.lot_id, count(panel_id) AS panel_count, lot_size - count(panel_id) AS free FROM lots l LEFT JOIN panels p USING (lot_id) WHERE status = 'active' GROUP BY l.lot_id, lot_size HAVING count(panel_id) < lot_size",
     "latest_estimate": PREFIX + "SELECT panel_id, created_at, defect_key, defect_type, size FROM (SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY created_at DESC, defect_key DESC, defect_type DESC, size DESC) AS k FROM defects) WHERE k = 1",
     "lot_report": PREFIX + "SELECT lot_id, defect_type, count(DISTINCT panel_id) AS panels, count(*) AS n, avg(size) AS avg_size, avg(confidence_score) AS avg_confidence, max(size) AS max_size FROM defects WHERE source_system = 'system_a' GROUP BY ALL",
-    "trend_ols": LOTS + """, pl AS (SELECT l.substrate_type, ls.*, row_number() OVER (PARTITION BY l.substrate_type ORDER BY lot_no) AS seq FROM ls JOIN lots l USING (lot_id)),
-f AS (SELECT substrate_type, count(*) AS n_lots, regr_slope(avg_density, seq) AS slope, regr_intercept(avg_density, seq) AS intercept, regr_r2(avg_density, seq) AS r2, avg(avg_density) AS mean_density,
-      avg(nullif(avg_yield, 0)) AS mean_yield FROM pl WHERE seq <= 50 GROUP BY 1)
-SELECT *, CASE WHEN slope > greatest(0.05 * abs(mean_density), 1e-6) THEN 'degrading' WHEN slope < -greatest(0.05 * abs(mean_density), 1e-6) THEN 'improving' ELSE 'stable' END AS direction FROM f""",
+    "lot_assignment": PREFIX + """, t AS (SELECT lot_id, lot_no, substrate_type, greatest(6 - count(*), 0) AS free FROM panels JOIN lots USING (lot_id, substrate_type) GROUP BY ALL),
+s AS (SELECT *, sum(free) OVER (PARTITION BY substrate_type ORDER BY lot_no) AS upto FROM t), w AS (SELECT panel_id || x AS panel_id, substrate_type, panel_no FROM panels, (VALUES ('x'), ('y')) v(x)),
+n AS (SELECT *, row_number() OVER (PARTITION BY substrate_type ORDER BY panel_no, panel_id) AS place FROM w)
+SELECT panel_id, n.substrate_type, coalesce((SELECT lot_id FROM s WHERE s.substrate_type = n.substrate_type AND place > upto - free AND place <= upto),
+  CASE WHEN n.substrate_type = 'wafer' THEN 'WL_' ELSE 'GL_' END || lpad(((place - (SELECT max(upto) FROM s WHERE s.substrate_type = n.substrate_type) - 1) // 6 + 1)::BIGINT::VARCHAR, 5, '0')) AS lot_id FROM n""",
+    "trend_ols": _trend_sql("lot_no", 50),
+    "trend_recent": _trend_sql("lot_no DESC", 8),
 }

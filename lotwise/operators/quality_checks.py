@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,21 +30,41 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("panel_id", (F.col("rows") * F.col("cols")).cast("long").alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual"))
 
 
-def validation_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """check, metric, passed: every check is one aggregate over its table."""
+def input_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger of the files that the defects come from."""
+    return fab.table(spark, sf_dir, "lineitem").select(F.col("_metadata.file_path").alias("file_path")).distinct().withColumn("status", F.lit("processed"))
+
+
+def validation_suite(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    """check, metric, passed: ten rows.
+
+    The defects are joined with their dies and grouped twice, by place (for duplicates) and by match; each
+    group and the counts over it are one pass, so no check scans for itself.
+    """
     found, dies, panels = fab.defects(spark, sf_dir), fab.components(spark, sf_dir), fab.panels(spark, sf_dir)
     n = F.count("*").cast("long")
-    orphans = found.join(dies.select(*PLACE), PLACE, "left_anti")
-    sided = found.filter("match_id is not null and match_id <> ''").groupBy("match_id").agg(F.count_distinct("source_system").alias("k")).filter("k < 2")
-    balance = found.agg(F.count(F.when(F.col("source_system") == "system_a", 1)).alias("a"), F.count(F.when(F.col("source_system") == "system_b", 1)).alias("b"))
-    rows = [
-        *(t.agg(n.alias("metric")).select(F.lit(f"row_count_{k}").alias("check"), "metric", F.lit(True).alias("passed")) for k, t in (("panels", panels), ("components", dies), ("defects", found))),
-        *(t.agg(n.alias("metric")).select(F.lit(k).alias("check"), "metric", (F.col("metric") == 0).alias("passed")) for k, t in (
-            ("duplicate_defects", near_duplicates(spark, sf_dir)), ("orphan_defects", orphans), ("component_coverage", coverage(spark, sf_dir).filter("expected <> actual")),
-            ("confidence_range", found.filter("confidence_score < 0 or confidence_score > 1")), ("match_symmetry", sided))),
-        balance.select(F.lit("system_balance").alias("check"), F.abs(F.col("a") - F.col("b")).alias("metric"), (F.col("a") >= F.col("b")).alias("passed")),
+    match = F.when(F.col("match_id") != "", F.col("match_id"))
+    places = found.groupBy(*PLACE, "source_system", "defect_type", F.round("x", 1), F.round("y", 1)).agg(
+        n.alias("n"), F.count(F.when((F.col("confidence_score") < 0) | (F.col("confidence_score") > 1), 1)).alias("bad")
+    )
+    known = places.join(dies.select(*PLACE, F.lit(1).alias("known")), PLACE, "left")
+    a, b = (F.coalesce(F.sum(F.when(F.col("source_system") == f"system_{x}", F.col("n"))), F.lit(0)) for x in "ab")
+    facts = known.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("defects"), F.count(F.when(F.col("n") > 1, 1)).alias("duplicates"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("orphans"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("confidence"), a.alias("a"), b.alias("b"),
+    )
+    sided = found.select(match.alias("m"), "source_system").filter("m is not null").groupBy("m").agg(F.min("source_system").alias("lo"), F.max("source_system").alias("hi")).filter("lo = hi").agg(n.alias("sided"))
+    cover = coverage(spark, sf_dir).agg(n.alias("panels"), F.coalesce(F.sum("actual"), F.lit(0)).alias("components"), F.count(F.when(F.col("expected") != F.col("actual"), 1)).alias("uncovered"))
+    listed = (input_files(spark, sf_dir) if files is None else files).agg(n.alias("files"))
+    one = facts.crossJoin(sided).crossJoin(cover).crossJoin(listed)  # four frames of one row
+    none = lambda c: (F.col(c) == 0)
+    checks = [
+        *((f"row_count_{k}", F.col(k), F.lit(True)) for k in ("panels", "components", "defects", "files")), ("duplicate_defects", F.col("duplicates"), none("duplicates")),
+        ("orphan_defects", F.col("orphans"), none("orphans")), ("component_coverage", F.col("uncovered"), none("uncovered")), ("confidence_range", F.col("confidence"), none("confidence")),
+        ("match_symmetry", F.col("sided"), none("sided")), ("system_balance", F.abs(F.col("a") - F.col("b")), F.col("a") >= F.col("b")),
     ]
-    return reduce(DataFrame.unionByName, rows)
+    rows = F.array(*(F.struct(F.lit(k).alias("check"), metric.cast("long").alias("metric"), passed.alias("passed")) for k, metric, passed in checks))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def record_errors(records: DataFrame) -> DataFrame:
@@ -75,7 +93,7 @@ ORACLE_SQL = {
     "coverage": PREFIX + "SELECT p.panel_id, (rows * cols)::BIGINT AS expected, (SELECT count(*) FROM components c WHERE c.panel_id = p.panel_id) AS actual FROM panels p",
     "validation_suite": PREFIX + f""", dup AS ({_DUP}), m AS (SELECT match_id FROM defects WHERE match_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source_system) < 2)
 SELECT 'row_count_panels' AS "check", count(*) AS metric, true AS passed FROM panels UNION ALL SELECT 'row_count_components', count(*), true FROM components
-UNION ALL SELECT 'row_count_defects', count(*), true FROM defects UNION ALL SELECT 'duplicate_defects', count(*), count(*) = 0 FROM dup
+UNION ALL SELECT 'row_count_defects', count(*), true FROM defects UNION ALL SELECT 'row_count_files', 1, true UNION ALL SELECT 'duplicate_defects', count(*), count(*) = 0 FROM dup
 UNION ALL SELECT 'orphan_defects', count(*), count(*) = 0 FROM defects d ANTI JOIN components c USING (panel_id, component_row, component_col)
 UNION ALL SELECT 'component_coverage', count(*), count(*) = 0 FROM (SELECT panel_id FROM components GROUP BY 1 HAVING count(*) <> 100)
 UNION ALL SELECT 'confidence_range', count(*), count(*) = 0 FROM defects WHERE confidence_score < 0 OR confidence_score > 1

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwise.functions.lineage import cut
+from lotwise.operators.listing import where_equal
 from lotwise.operators.yields import DIES, panel_yield
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
@@ -14,12 +19,15 @@ D4, MAD_SCALE = 3.267, 1.4826
 LAMBDA, WIDTH, SLACK, DECISION = 0.2, 3.0, 0.5, 5.0
 
 
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scope, seq, panel_id, x: panels in order of their first defect."""
-    first = fab.defects(spark, sf_dir).groupBy("panel_id", "panel_no").agg(F.min("created_at").alias("t"))
-    values = panel_yield(spark, sf_dir).select("panel_id", F.col("substrate_type").alias("scope"), F.col("defect_density").alias("x"))
+def series(spark: SparkSession, sf_dir: str, scope: str = "substrate_type", **wanted: str | None) -> DataFrame:
+    """scope, seq, panel_id, x: panels in order of their first defect, a row per panel, cut from its lineage.
+
+    ``scope`` is substrate_type or lot_id; ``wanted`` (lot_id, substrate_type) asks for some panels only.
+    """
+    first = fab.defects(spark, sf_dir).groupBy("panel_id", "panel_no", "lot_id").agg(F.min("created_at").alias("t"))
+    values = where_equal(panel_yield(spark, sf_dir).select("panel_id", "substrate_type", F.col("defect_density").alias("x")).join(first, "panel_id"), **wanted)
     order = Window.partitionBy("scope").orderBy("t", "panel_no")
-    return values.join(first, "panel_id").select("scope", F.row_number().over(order).alias("seq"), "panel_id", "x")
+    return cut(values.withColumn("scope", F.col(scope)).select("scope", F.row_number().over(order).alias("seq"), "panel_id", "x"))
 
 
 def baseline(points: DataFrame) -> DataFrame:
@@ -32,13 +40,26 @@ def baseline(points: DataFrame) -> DataFrame:
     return a.join(mad, "scope").select("scope", "mean", "med", "n", F.when(robust > 0, robust).when(F.col("sd") > 0, classic).otherwise(last).alias("sigma"))
 
 
-def spc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+@dataclass(frozen=True)
+class Chart:
+    """Chart parameters: EWMA weight (0 to 1) and width, CUSUM slack and decision interval in sigmas."""
+
+    weight: float = LAMBDA
+    width: float = WIDTH
+    slack: float = SLACK
+    decision: float = DECISION
+
+    def __post_init__(self):
+        if not 0 < self.weight <= 1 or self.width <= 0:
+            raise ValueError("the EWMA weight must be in (0, 1] and its width positive")
+
+
+def control_points(points: DataFrame, chart: Chart = Chart()) -> DataFrame:  # noqa: B008
     """Shewhart, moving range, EWMA and CUSUM values with their signals, for scopes of two points or more.
 
-    CUSUM is a running sum less its running minimum; EWMA folds the scope's ordered array, one
-    array per scope's series.
+    All are windows over a scope: CUSUM is a running sum less its running minimum; EWMA folds the points
+    within reach, so many that what lies before weighs less than a double's last bit.
     """
-    points = series(spark, sf_dir)
     base = baseline(points).filter("n >= 2")
     w = Window.partitionBy("scope").orderBy("seq")
     joined = points.join(base, "scope")
@@ -54,52 +75,82 @@ def spc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     we4 = (F.col("seq") >= 8) & ((recent(z > 0, 7) == 8) | (recent(z < 0, 7) == 8))
     ratio = (F.col("med") > 0) & (F.col("x") > 5 * F.col("med"))
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    sums = joined.withColumn("s_hi", F.sum(z - SLACK * s).over(up_to)).withColumn("s_lo", F.sum(-z - SLACK * s).over(up_to))
+    rest = 1 - chart.weight
+    reach = 0 if rest == 0 else min(10_000, math.ceil(math.log(1e-19) / math.log(rest)))
+    ewma = F.aggregate(F.collect_list("x").over(w.rowsBetween(-reach, 0)), F.col("mean"), lambda e, x: chart.weight * x + rest * e)
+    sums = joined.withColumn("s_hi", F.sum(z - chart.slack * s).over(up_to)).withColumn("s_lo", F.sum(-z - chart.slack * s).over(up_to)).withColumn("ewma", ewma)
     sums = sums.withColumn("cusum_hi", F.col("s_hi") - F.least(F.lit(0.0), F.min("s_hi").over(up_to))).withColumn("cusum_lo", F.col("s_lo") - F.least(F.lit(0.0), F.min("s_lo").over(up_to)))
-    fold = F.aggregate(
-        F.col("values"), F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all")),
-        lambda acc, v: F.struct((LAMBDA * v["x"] + (1 - LAMBDA) * F.coalesce(acc["last"], v["mean"])).alias("last"), F.concat(acc["all"], F.array(LAMBDA * v["x"] + (1 - LAMBDA) * F.coalesce(acc["last"], v["mean"]))).alias("all")),
-        lambda acc: acc["all"],
-    )
-    arrays = joined.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "mean"))).alias("values"))
-    ewma = arrays.select("scope", F.posexplode(fold).alias("k", "ewma")).select("scope", (F.col("k") + 1).alias("seq"), "ewma")
-    width = WIDTH * s * F.sqrt(F.lit(LAMBDA / (2 - LAMBDA)) * (1 - F.pow(F.lit(1 - LAMBDA), 2.0 * F.col("seq"))))
-    out = sums.select("*", we1.alias("we1"), ratio.alias("ratio"), we2.alias("we2"), we3.alias("we3"), we4.alias("we4")).join(ewma, ["scope", "seq"])
+    width = chart.width * s * F.sqrt(F.lit(chart.weight / (2 - chart.weight)) * (1 - F.pow(F.lit(rest), 2.0 * F.col("seq"))))
+    out = sums.select("*", we1.alias("we1"), ratio.alias("ratio"), we2.alias("we2"), we3.alias("we3"), we4.alias("we4"))
     return out.select(
         "scope", "seq", "panel_id", "x", "mean", "sigma", (F.col("med") + 3 * s).alias("ucl"), F.greatest(F.lit(0.0), F.col("med") - 3 * s).alias("lcl"), "mr", "mr_limit",
         "ewma", (F.col("mean") + width).alias("ewma_ucl"), F.greatest(F.lit(0.0), F.col("mean") - width).alias("ewma_lcl"), "cusum_hi", "cusum_lo",
         "we1", "ratio", "we2", "we3", "we4", (F.col("mr") > F.col("mr_limit")).alias("imr"), ((F.col("ewma") > F.col("mean") + width) | (F.col("ewma") < F.greatest(F.lit(0.0), F.col("mean") - width))).alias("ewma_signal"),
-        ((F.col("cusum_hi") > DECISION * s) | (F.col("cusum_lo") > DECISION * s)).alias("cusum_signal"),
+        ((F.col("cusum_hi") > chart.decision * s) | (F.col("cusum_lo") > chart.decision * s)).alias("cusum_signal"),
     )
 
 
+def spc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control_points(series(spark, sf_dir))
+
+
+def spc_lot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts of the wafer lots, one scope each, with a quicker EWMA and a tighter CUSUM."""
+    points = control_points(series(spark, sf_dir, "lot_id", substrate_type="wafer"), Chart(weight=0.4, width=2.5, slack=0.25, decision=4.0))
+    return points.select("scope", "seq", "panel_id", "x", "ewma", "ewma_ucl", "cusum_hi", "cusum_lo", "ewma_signal", "cusum_signal")
+
+
 SIGNALS = [("we1", "out_of_control"), ("ratio", "out_of_control"), ("we2", "warning"), ("we3", "warning"), ("we4", "warning"), ("ewma_signal", "warning"), ("cusum_signal", "out_of_control"), ("imr", "warning")]
 
 
+def alarms_of(points: DataFrame, chart: Chart = Chart()) -> DataFrame:  # noqa: B008
+    """One row per signal of a point: chart, rule, value, control limit, direction, severity; values to eight digits.
+
+    A CUSUM alarm's direction is positive if that arm is over its interval; an EWMA alarm's limit is the upper one.
+    """
+    rising, interval = F.col("cusum_hi") > chart.decision * F.col("sigma"), chart.decision * F.col("sigma")
+    none, way = F.lit(None).cast("string"), F.when(rising, "positive").otherwise("negative")
+    of = {"ewma_signal": ("ewma", F.col("ewma"), F.col("ewma_ucl"), none), "cusum_signal": ("cusum", F.greatest("cusum_hi", "cusum_lo"), interval, way), "imr": ("imr", F.col("mr"), F.col("mr_limit"), none)}
+    raised = []
+    for column, severity in SIGNALS:
+        kind, value, limit, direction = of.get(column, ("shewhart", F.col("x"), F.col("ucl"), none))
+        raised.append(F.when(F.col(column), F.struct(
+            F.lit(kind).alias("chart"), F.lit(column).alias("signal"), F.round(value, 8).alias("value"), F.round(limit, 8).alias("control_limit"), direction.alias("direction"), F.lit(severity).alias("severity")
+        )))
+    return points.select("scope", "seq", "panel_id", F.explode(F.array_compact(F.array(*raised))).alias("a")).select("scope", "seq", "panel_id", "a.*")
+
+
 def spc_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per signal of a point, with its severity."""
-    raised = F.array_compact(F.array(*(F.when(F.col(c), F.struct(F.lit(c).alias("signal"), F.lit(s).alias("severity"))) for c, s in SIGNALS)))
-    return spc_points(spark, sf_dir).select("scope", "seq", "panel_id", "x", F.explode(raised).alias("a")).select("scope", "seq", "panel_id", "x", "a.signal", "a.severity")
+    return alarms_of(spc_points(spark, sf_dir))
 
 
 def spc_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Process state per scope: out of control beyond the upper limit or by CUSUM, warning on any signal."""
+    """Process state per scope: out of control beyond the upper limit (both to eight digits) or by CUSUM, warning on any signal."""
     any_signal = F.greatest(*(F.col(c).cast("int") for c, _ in SIGNALS)) == 1
-    out = F.bool_or((F.col("x") > F.col("ucl")) | F.col("cusum_signal"))
+    out = F.bool_or((F.round("x", 8) > F.round("ucl", 8)) | F.col("cusum_signal"))
     return spc_points(spark, sf_dir).groupBy("scope").agg(F.count("*").alias("points"), F.when(out, "out_of_control").when(F.bool_or(any_signal), "warning").otherwise("in_control").alias("state"))
 
 
-def spc_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cp and Cpk at the natural limits."""
-    base = baseline(series(spark, sf_dir)).withColumn("usl", F.col("mean") + 3 * F.col("sigma")).withColumn("lsl", F.greatest(F.lit(0.0), F.col("mean") - 3 * F.col("sigma")))
+def capability(base: DataFrame, usl: float | None = None, lsl: float | None = None) -> DataFrame:
+    """Cp and Cpk of :func:`baseline` rows at the given limits, else the natural ones."""
+    upper = F.col("mean") + 3 * F.col("sigma") if usl is None else F.lit(float(usl))
+    lower = F.greatest(F.lit(0.0), F.col("mean") - 3 * F.col("sigma")) if lsl is None else F.lit(float(lsl))
+    base = base.withColumn("usl", upper).withColumn("lsl", lower)
     fine = (F.col("sigma") > 0) & (F.col("usl") > F.col("lsl"))
     cpk = F.least(F.col("usl") - F.col("mean"), F.col("mean") - F.col("lsl")) / (3 * F.col("sigma"))
     rated = base.select("scope", "usl", "lsl", F.when(fine, (F.col("usl") - F.col("lsl")) / (6 * F.col("sigma"))).alias("cp"), F.when(fine, cpk).alias("cpk"))
     rounded = F.round("cpk", 9)  # at the natural limits Cpk is 1 but for its last bits
-    return rated.withColumn("rating", F.when(rounded >= 1.67, "excellent").when(rounded >= 1.33, "capable").when(rounded >= 1.0, "marginal").otherwise("incapable"))
+    return rated.withColumn("rating", F.when(rounded >= 1.67, "excellent").when(rounded >= 1.33, "capable").when(rounded >= 1.0, "marginal").when(F.col("cpk").isNotNull(), "incapable"))
 
 
-QUERIES = {"spc_points": spc_points, "spc_alarms": spc_alarms, "spc_state": spc_state, "spc_capability": spc_capability}
+def spc_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the natural limits, and at a fixed window (rows with limits ``fixed``)."""
+    base = cut(baseline(series(spark, sf_dir)))
+    natural = capability(base).withColumn("limits", F.lit("natural"))
+    return natural.unionByName(capability(base, usl=0.004, lsl=0.00001).withColumn("limits", F.lit("fixed")))
+
+
+QUERIES = {"spc_points": spc_points, "spc_lot_points": spc_lot_points, "spc_alarms": spc_alarms, "spc_state": spc_state, "spc_capability": spc_capability}
 
 _W = "OVER (PARTITION BY scope ORDER BY seq"
 
@@ -108,31 +159,46 @@ def _recent(cond: str, back: int) -> str:
     return f"count(*) FILTER ({cond}) {_W} ROWS BETWEEN {back} PRECEDING AND CURRENT ROW)"
 
 
-SPC = PREFIX + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,") + f""", ft AS (SELECT panel_id, panel_no, min(created_at) AS t FROM defects GROUP BY ALL),
-sr AS (SELECT substrate_type AS scope, row_number() OVER (PARTITION BY substrate_type ORDER BY t, panel_no) AS seq, panel_id, defect_density AS x FROM py JOIN ft USING (panel_id)),
+
+def _charts(scope: str = "substrate_type", where: str = "true", weight: float = 0.2, width: float = 3.0, slack: float = 0.5, decision: float = 5.0) -> str:
+    rest = f"{1 - weight}::DOUBLE"
+    return PREFIX + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,") + f""", ft AS (SELECT panel_id, panel_no, lot_id, min(created_at) AS t FROM defects GROUP BY ALL),
+sr AS (SELECT {scope} AS scope, row_number() OVER (PARTITION BY {scope} ORDER BY t, panel_no) AS seq, panel_id, defect_density AS x FROM py JOIN ft USING (panel_id) WHERE {where}),
 b0 AS (SELECT scope, avg(x) AS mean, median(x) AS med, coalesce(stddev_samp(x), 0.0) AS sd, count(*) AS n FROM sr GROUP BY 1),
 b1 AS (SELECT scope, median(abs(x - med)) AS dev FROM sr JOIN b0 USING (scope) GROUP BY 1),
 bl AS (SELECT scope, mean, med, n, CASE WHEN dev * 1.4826 > 0 THEN dev * 1.4826 WHEN sd > 0 THEN CASE WHEN med > 0 THEN greatest(sd, 0.10 * med) ELSE sd END WHEN mean <> 0 THEN 0.10 * mean ELSE 1e-10 END AS sigma FROM b0 JOIN b1 USING (scope)),
 j AS (SELECT *, x - mean AS z, CASE WHEN seq = 1 THEN 0.0 ELSE abs(x - lag(x) {_W})) END AS mr FROM sr JOIN bl USING (scope) WHERE n >= 2),
 mm AS (SELECT scope, median(mr) AS mr_med FROM j WHERE seq >= 2 GROUP BY 1),
-s1 AS (SELECT *, CASE WHEN mr_med > 0 THEN 3.267 * mr_med ELSE 3.267 * sigma END AS mr_limit, sum(z - 0.5 * sigma) {_W} ROWS UNBOUNDED PRECEDING) AS s_hi, sum(-z - 0.5 * sigma) {_W} ROWS UNBOUNDED PRECEDING) AS s_lo FROM j JOIN mm USING (scope)),
-ew AS (SELECT scope, 1::BIGINT AS seq, 0.2 * x + 0.8 * mean AS ewma FROM j WHERE seq = 1 UNION ALL SELECT j.scope, j.seq, 0.2 * j.x + 0.8 * ew.ewma FROM ew JOIN j ON j.scope = ew.scope AND j.seq = ew.seq + 1),
+s1 AS (SELECT *, CASE WHEN mr_med > 0 THEN 3.267 * mr_med ELSE 3.267 * sigma END AS mr_limit, sum(z - {slack} * sigma) {_W} ROWS UNBOUNDED PRECEDING) AS s_hi, sum(-z - {slack} * sigma) {_W} ROWS UNBOUNDED PRECEDING) AS s_lo FROM j JOIN mm USING (scope)),
+ew AS (SELECT scope, 1::BIGINT AS seq, {weight} * x + {rest} * mean AS ewma FROM j WHERE seq = 1 UNION ALL SELECT j.scope, j.seq, {weight} * j.x + {rest} * ew.ewma FROM ew JOIN j ON j.scope = ew.scope AND j.seq = ew.seq + 1),
 s2 AS (SELECT *, s_hi - least(0.0, min(s_hi) {_W} ROWS UNBOUNDED PRECEDING)) AS cusum_hi, s_lo - least(0.0, min(s_lo) {_W} ROWS UNBOUNDED PRECEDING)) AS cusum_lo,
   abs(z) > 3 * sigma OR x > med + 3 * sigma AS we1, med > 0 AND x > 5 * med AS ratio,
   seq >= 3 AND ({_recent("z > 2 * sigma", 2)} >= 2 OR {_recent("z < -2 * sigma", 2)} >= 2) AS we2,
   seq >= 5 AND ({_recent("z > sigma", 4)} >= 4 OR {_recent("z < -sigma", 4)} >= 4) AS we3,
   seq >= 8 AND ({_recent("z > 0", 7)} = 8 OR {_recent("z < 0", 7)} = 8) AS we4,
-  3.0 * sigma * sqrt(0.2::DOUBLE / 1.8::DOUBLE * (1 - pow(0.8::DOUBLE, 2.0 * seq))) AS width FROM s1),
+  {width} * sigma * sqrt({weight}::DOUBLE / {2 - weight}::DOUBLE * (1 - pow({rest}, 2.0 * seq))) AS width FROM s1),
 pt AS (SELECT s2.scope, s2.seq, panel_id, x, mean, sigma, med + 3 * sigma AS ucl, greatest(0.0, med - 3 * sigma) AS lcl, mr, mr_limit, ewma, mean + width AS ewma_ucl, greatest(0.0, mean - width) AS ewma_lcl, cusum_hi, cusum_lo,
-  we1, ratio, we2, we3, we4, mr > mr_limit AS imr, ewma > mean + width OR ewma < greatest(0.0, mean - width) AS ewma_signal, cusum_hi > 5.0 * sigma OR cusum_lo > 5.0 * sigma AS cusum_signal
+  we1, ratio, we2, we3, we4, mr > mr_limit AS imr, ewma > mean + width OR ewma < greatest(0.0, mean - width) AS ewma_signal, cusum_hi > {decision} * sigma OR cusum_lo > {decision} * sigma AS cusum_signal
   FROM s2 JOIN ew ON ew.scope = s2.scope AND ew.seq = s2.seq)
 """
+
+
+SPC = _charts()
 _ANY = " OR ".join(c for c, _ in SIGNALS)
+_SHEWHART = ("shewhart", "x", "ucl", "NULL::VARCHAR")
+_OF = {
+    "ewma_signal": ("ewma", "ewma", "ewma_ucl", "NULL::VARCHAR"), "imr": ("imr", "mr", "mr_limit", "NULL::VARCHAR"),
+    "cusum_signal": ("cusum", "greatest(cusum_hi, cusum_lo)", "5 * sigma", "CASE WHEN cusum_hi > 5 * sigma THEN 'positive' ELSE 'negative' END"),
+}
 ORACLE_SQL = {
     "spc_points": SPC + "SELECT * FROM pt",
-    "spc_alarms": SPC + " UNION ALL ".join(f"SELECT scope, seq, panel_id, x, '{c}' AS signal, '{s}' AS severity FROM pt WHERE {c}" for c, s in SIGNALS),
-    "spc_state": SPC + f"SELECT scope, count(*) AS points, CASE WHEN bool_or(x > ucl OR cusum_signal) THEN 'out_of_control' WHEN bool_or({_ANY}) THEN 'warning' ELSE 'in_control' END AS state FROM pt GROUP BY 1",
-    "spc_capability": SPC + """, u AS (SELECT *, mean + 3 * sigma AS usl, greatest(0.0, mean - 3 * sigma) AS lsl FROM bl),
-v AS (SELECT scope, usl, lsl, CASE WHEN sigma > 0 AND usl > lsl THEN (usl - lsl) / (6 * sigma) END AS cp, CASE WHEN sigma > 0 AND usl > lsl THEN least(usl - mean, mean - lsl) / (3 * sigma) END AS cpk FROM u)
-SELECT *, CASE WHEN round(cpk, 9) >= 1.67 THEN 'excellent' WHEN round(cpk, 9) >= 1.33 THEN 'capable' WHEN round(cpk, 9) >= 1.0 THEN 'marginal' ELSE 'incapable' END AS rating FROM v""",
+    "spc_lot_points": _charts("lot_id", "substrate_type = 'wafer'", 0.4, 2.5, 0.25, 4.0) + "SELECT scope, seq, panel_id, x, ewma, ewma_ucl, cusum_hi, cusum_lo, ewma_signal, cusum_signal FROM pt",
+    "spc_alarms": SPC + " UNION ALL ".join(
+        f"SELECT scope, seq, panel_id, '{_OF.get(c, _SHEWHART)[0]}' AS chart, '{c}' AS signal, round({_OF.get(c, _SHEWHART)[1]}, 8) AS value, round({_OF.get(c, _SHEWHART)[2]}, 8) AS control_limit, {_OF.get(c, _SHEWHART)[3]} AS direction, '{s}' AS severity FROM pt WHERE {c}"
+        for c, s in SIGNALS
+    ),
+    "spc_state": SPC + f"SELECT scope, count(*) AS points, CASE WHEN bool_or(round(x, 8) > round(ucl, 8) OR cusum_signal) THEN 'out_of_control' WHEN bool_or({_ANY}) THEN 'warning' ELSE 'in_control' END AS state FROM pt GROUP BY 1",
+    "spc_capability": SPC + """, u AS (SELECT *, 'natural' AS limits, mean + 3 * sigma AS usl, greatest(0.0, mean - 3 * sigma) AS lsl FROM bl UNION ALL SELECT *, 'fixed', 0.004::DOUBLE, 0.00001::DOUBLE FROM bl),
+v AS (SELECT scope, limits, usl, lsl, CASE WHEN sigma > 0 AND usl > lsl THEN (usl - lsl) / (6 * sigma) END AS cp, CASE WHEN sigma > 0 AND usl > lsl THEN least(usl - mean, mean - lsl) / (3 * sigma) END AS cpk FROM u)
+SELECT *, CASE WHEN round(cpk, 9) >= 1.67 THEN 'excellent' WHEN round(cpk, 9) >= 1.33 THEN 'capable' WHEN round(cpk, 9) >= 1.0 THEN 'marginal' WHEN cpk IS NOT NULL THEN 'incapable' END AS rating FROM v""",
 }

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import yield_models as ym
+from lotwise.operators.clustering import CLUSTERS, die_clusters
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
 
+DIE = ["panel_id", "component_row", "component_col"]
+
 
 def die_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active dies with their number of system_a defects, zero included."""
@@ -27,15 +30,30 @@ def critical_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("panel_id", "substrate_type", F.coalesce(F.round("fraction", 6), "layout_density").alias("critical_fraction"))
 
 
-def panel_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defect density, alpha and the three yield models of every panel that has active dies."""
-    dies = die_counts(spark, sf_dir).groupBy("panel_id", "substrate_type").agg(
-        F.count("*").alias("inspected_dies"), F.sum("n_defects").alias("defect_count"), F.avg("n_defects").alias("mean_n"), F.var_samp("n_defects").alias("var_n")
-    )
-    joined = fab.with_profile(dies).join(critical_area(spark, sf_dir).select("panel_id", "critical_fraction"), "panel_id")
+def die_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every die with its system_a defects and their summed critical fraction: one pass over the defects.
+
+    Dies that the components lack keep their sums, since the critical area counts defects anywhere.
+    """
+    found = fab.with_profile(fab.defects(spark, sf_dir).filter("source_system = 'system_a'"))
+    fraction = ym.critical_fraction(F.col("size"), F.col("layout_density"), F.col("min_feature"))
+    counts = found.groupBy(*DIE).agg(F.count("*").alias("n"), F.sum(fraction).alias("fraction"))
+    dies = fab.components(spark, sf_dir).select(*DIE, "substrate_type", "lot_id", "region_id", "active")
+    return dies.join(counts, DIE, "full").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def yields_of_dies(dies: DataFrame) -> DataFrame:
+    """Panel yields from :func:`die_sums`, by one aggregate per panel."""
+    n = F.when(F.col("active"), F.col("n"))
+    sums = dies.groupBy("panel_id").agg(
+        F.max("substrate_type").alias("substrate_type"), F.count(n).alias("inspected_dies"), F.sum(n).alias("defect_count"), F.avg(n).alias("mean_n"), F.var_samp(n).alias("var_n"),
+        F.round(F.sum("fraction") / F.nullif(F.sum("n"), F.lit(0)), 6).alias("fraction"),
+    )
     area = F.col("pitch") * F.col("pitch")
     base = (
-        joined.withColumn("defect_density", F.col("defect_count") / (F.col("inspected_dies") * area))
+        fab.with_profile(sums.filter("inspected_dies > 0"))
+        .withColumn("critical_fraction", F.coalesce("fraction", "layout_density"))
+        .withColumn("defect_density", F.col("defect_count") / (F.col("inspected_dies") * area))
         .withColumn("alpha", ym.moments_alpha(F.col("inspected_dies"), F.col("mean_n"), F.col("var_n")))
         .withColumn("area", F.col("critical_fraction") * area)
     )
@@ -47,6 +65,11 @@ def panel_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def panel_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defect density, alpha and the three yield models of every panel that has active dies."""
+    return yields_of_dies(die_sums(spark, sf_dir))
+
+
 def spatial_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of per-die Poisson yields against the yield at the mean density."""
     dies = fab.with_profile(die_counts(spark, sf_dir)).join(critical_area(spark, sf_dir).select("panel_id", "critical_fraction"), "panel_id")
@@ -63,16 +86,27 @@ def spatial_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every die with its counts over all dies, dominant defect type and Poisson yield (full area) where active."""
-    found = fab.defects(spark, sf_dir).filter("source_system = 'system_a'").groupBy("panel_id", "component_row", "component_col", "defect_type").agg(F.count("*").alias("n"))
-    key = ["panel_id", "component_row", "component_col"]
+    """Every die of the rows x cols grid with counts by type, dominant type, dominant cluster and Poisson yield.
+
+    Counts are of all system_a defects, active die or not; a die without a component is inactive with an
+    empty region; the yield (full area) stands where the die is active; the cluster label is null where
+    nothing was clustered.
+    """
+    found = fab.defects(spark, sf_dir).filter("source_system = 'system_a'").groupBy(*DIE, "defect_type").agg(F.count("*").alias("n"))
     # The most frequent type, then the first name: one aggregate, no window.
-    per_die = found.groupBy(*key).agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("less"), F.col("defect_type").alias("t"))).alias("top"))
-    density = panel_yield(spark, sf_dir).select("panel_id", "defect_density")
-    joined = fab.with_profile(fab.components(spark, sf_dir)).join(per_die, key, "left").join(density, "panel_id", "left")
+    types = F.sort_array(F.collect_list(F.struct("defect_type", "n")))
+    per_die = found.groupBy(*DIE).agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("less"), F.col("defect_type").alias("t"))).alias("top"), types.alias("types"))
+    dies = fab.components(spark, sf_dir).select(*DIE, "region_id", "active").join(per_die, DIE, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    active = F.when(F.col("active"), F.col("n"))
+    density = fab.with_profile(dies.groupBy("panel_id").agg(F.sum(active).alias("found"), F.count(active).alias("dies")).join(fab.panels(spark, sf_dir).select("panel_id", "substrate_type"), "panel_id"))
+    density = density.select("panel_id", F.exp(-(F.col("pitch") * F.col("pitch")) * (F.col("found") / (F.nullif("dies", F.lit(0)) * (F.col("pitch") * F.col("pitch"))))).alias("die_yield"))
+    grid = fab.panels(spark, sf_dir).select("panel_id", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("component_row"), "cols")
+    grid = grid.select("panel_id", "component_row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("component_col"))
+    joined = grid.join(dies, DIE, "left").join(die_clusters(spark, sf_dir), DIE, "left").join(density, "panel_id", "left")
+    is_active = F.coalesce("active", F.lit(False))
     return joined.select(
-        *key, "region_id", "active", F.coalesce("n", F.lit(0)).alias("n_defects"), F.col("top.t").alias("dominant_type"),
-        F.when(F.col("active") & F.col("defect_density").isNotNull(), F.exp(-(F.col("pitch") * F.col("pitch")) * F.col("defect_density"))).alias("die_yield"),
+        *DIE, F.coalesce("region_id", F.lit("")).alias("region_id"), is_active.alias("active"), F.coalesce("n", F.lit(0)).alias("n_defects"), F.col("top.t").alias("dominant_type"),
+        F.array_join(F.transform("types", lambda t: F.concat_ws(":", t["defect_type"], t["n"])), ",").alias("type_counts"), "cluster_label", F.when(is_active, F.col("die_yield")).alias("die_yield"),
     )
 
 
@@ -106,11 +140,11 @@ ORACLE_SQL = {
 g AS (SELECT panel_id, avg(die_yield) AS spatial_yield, exp(-any_value(critical_fraction) * (sum(n_defects) / count(*))) AS global_yield, avg(n_defects) AS m, stddev_pop(n_defects) AS s FROM y GROUP BY 1)
 SELECT panel_id, spatial_yield, global_yield, spatial_yield - global_yield AS gain, CASE WHEN m > 0 THEN s / m ELSE 0.0 END AS cv FROM g""",
     "panel_map": PREFIX
+    + CLUSTERS
     + DIES
     + """, t AS (SELECT panel_id, component_row, component_col, defect_type, count(*) AS n FROM defects WHERE source_system = 'system_a' GROUP BY ALL),
-top AS (SELECT *, row_number() OVER (PARTITION BY panel_id, component_row, component_col ORDER BY n DESC, defect_type) AS k,
-               sum(n) OVER (PARTITION BY panel_id, component_row, component_col) AS total FROM t)
-SELECT c.panel_id, c.component_row, c.component_col, c.region_id, c.active, coalesce(total, 0)::BIGINT AS n_defects, defect_type AS dominant_type,
-       CASE WHEN c.active AND defect_density IS NOT NULL THEN exp(-(pitch * pitch) * defect_density) END AS die_yield
-FROM components c JOIN dim_profile USING (substrate_type) LEFT JOIN (SELECT * FROM top WHERE k = 1) USING (panel_id, component_row, component_col) LEFT JOIN py USING (panel_id)""",
+top AS (SELECT panel_id, component_row, component_col, sum(n)::BIGINT AS total, first(defect_type ORDER BY n DESC, defect_type) AS dominant_type, string_agg(defect_type || ':' || n, ',' ORDER BY defect_type) AS type_counts FROM t GROUP BY ALL)
+SELECT c.panel_id, c.component_row, c.component_col, c.region_id, c.active, coalesce(total, 0) AS n_defects, dominant_type, type_counts, cluster_label,
+       CASE WHEN c.active THEN exp(-(pitch * pitch) * defect_density) END AS die_yield
+FROM components c JOIN dim_profile USING (substrate_type) LEFT JOIN top USING (panel_id, component_row, component_col) LEFT JOIN dc USING (panel_id, component_row, component_col) LEFT JOIN py USING (panel_id)""",
 }

@@ -91,7 +91,7 @@ _PROFILE_ROWS = ", ".join(f"('{p[0]}', {', '.join(f'{v}::DOUBLE' for v in p[1:])
 
 #: DuckDB CTEs for the same views; an oracle appends its own after a comma or a SELECT.
 PREFIX = f"""
-WITH RECURSIVE dim_profile(substrate_type, pitch, match_mm, layout_density, min_feature, default_alpha) AS (VALUES {_PROFILE_ROWS}),
+WITH RECURSIVE dim_profile(substrate_type, pitch, match_mm, layout_density, min_feature, default_alpha, mean_count) AS (VALUES {_PROFILE_ROWS}),
 panels AS (
   SELECT 'P' || s_suppkey AS panel_id, 'PT' || (s_nationkey % 4) AS product_type,
          CASE WHEN s_nationkey % 2 = 0 THEN 'wafer' ELSE 'glass_panel' END AS substrate_type, 10 AS rows, 10 AS cols,

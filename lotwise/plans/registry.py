@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lotwise.operators import clustering, correlation, genealogy, learning, lots, pareto, quality_checks, spc, yields
-from lotwise.sources import tables
+from lotwise.operators import clustering, correlation, genealogy, learning, listing, lots, pareto, quality_checks, spc, yields
+from lotwise.sources import klarf, tables
 from lotwise.streaming import event_windows
 
-MODULES = [yields, pareto, quality_checks, lots, spc, correlation, genealogy, clustering, learning, tables, event_windows]
+MODULES = [yields, pareto, quality_checks, lots, spc, correlation, genealogy, clustering, learning, listing, klarf, tables, event_windows]
 
 
 def queries() -> dict:

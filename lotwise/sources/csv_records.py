@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +19,11 @@ REQUIRED = ["panel_id", "component_row", "component_col", "source_system", "defe
 TYPES = {"component_row": "int", "component_col": "int", "x": "double", "y": "double", "size": "double", "confidence_score": "double"}
 
 
-def read_defect_csv(spark: SparkSession, path: str, skip_invalid: bool = False) -> DataFrame:
+def read_defect_csv(spark: SparkSession, path: str | list[str], skip_invalid: bool = False) -> DataFrame:
     """Typed records of a plain file; extra columns are ignored and match_id is null.
 
     A missing column raises. Rows that break a record rule are dropped with ``skip_invalid``; else
-    the read fails at the first of them, when it runs.
+    any of them refuses the read.
     """
     raw = spark.read.option("header", True).csv(path)
     missing = [c for c in REQUIRED if c not in raw.columns]
@@ -27,61 +31,95 @@ def read_defect_csv(spark: SparkSession, path: str, skip_invalid: bool = False)
         raise ValueError(f"{path}: missing columns {missing}")
     created = F.try_to_timestamp("created_at") if "created_at" in raw.columns else F.lit(None).cast("timestamp")
     typed = raw.select(*(F.trim(c).try_cast(TYPES[c]).alias(c) if c in TYPES else F.trim(c).alias(c) for c in REQUIRED), F.lit(None).cast("string").alias("match_id"), F.coalesce(created, F.current_timestamp()).alias("created_at"))
-    return _judged(typed, skip_invalid)
+    return _judged(typed.withColumn("place", F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in REQUIRED[:5]))), skip_invalid)
 
 
 def _judged(typed: DataFrame, skip_invalid: bool) -> DataFrame:
+    """Drops rows with errors, or refuses the whole read with the number of bad rows and the first five.
+
+    ``typed`` may have ``place`` (file and line) and ``faults`` found on the way; both leave.
+    """
     judged = record_errors(typed)
-    if skip_invalid:
-        return judged.filter(F.size("errors") == 0).drop("errors")
-    wrong = F.raise_error(F.concat(F.lit("invalid record: "), F.array_join("errors", "; "))).cast("string")
-    return judged.withColumn("panel_id", F.when(F.size("errors") == 0, F.col("panel_id")).otherwise(wrong)).drop("errors")
+    if "faults" in judged.columns:
+        judged = judged.withColumn("errors", F.concat("faults", "errors")).drop("faults")
+    if not skip_invalid:
+        bad = judged.filter(F.size("errors") > 0)
+        if (n := bad.count()) > 0:
+            shown = bad.select(F.concat_ws(": ", F.col("place") if "place" in bad.columns else F.lit("record"), F.array_join("errors", ", ")).alias("e")).orderBy("e").limit(5).collect()
+            raise ValueError(f"{n} invalid records: " + "; ".join(r.e for r in shown))
+    return judged.filter(F.size("errors") == 0).drop("errors", "place")
 
 
-def mapped_column(spec, columns: list[str]) -> Column:
-    """Column of one mapping entry.
+def mapped_column(spec, cells: Column) -> tuple[Column, Column]:
+    """Value and fault (null if none) of one mapping entry over a row's map of cells.
 
     A string names a column and a number is a literal. In an object, ``value`` wins over ``template``
-    ("{A}_{B}"), and that over ``column`` with ``default``, ``map`` of texts, ``type`` and ``scale``.
+    ("{A}_{B}"), and that over ``column`` with ``default``, ``map`` of texts, ``type`` and ``scale``. A
+    missing or empty cell takes the default; a text outside the map takes it too, or is a fault without one.
     """
+    cell = lambda name: F.try_element_at(cells, F.lit(name))
+    fault = F.lit(None).cast("string")
     if isinstance(spec, str):
         spec = {"column": spec}
     if not isinstance(spec, dict):
-        return F.lit(spec)
+        return F.lit(spec), fault
     if "value" in spec:
         found = F.lit(spec["value"])
     elif "template" in spec:
         parts = re.split(r"\{(\w+)\}", spec["template"])
-        found = F.concat(*(F.coalesce(F.col(p), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+        found = F.concat(*(F.coalesce(F.trim(cell(p)), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)))
     else:
         default = F.lit(spec.get("default")).cast("string")
-        found = F.coalesce(F.nullif(F.trim(F.col(spec["column"])), F.lit("")), default) if spec["column"] in columns else default
+        found = F.coalesce(F.nullif(F.trim(cell(spec["column"])), F.lit("")), default)
         if "map" in spec:
             entries = F.create_map(*(F.lit(str(x)) for pair in spec["map"].items() for x in pair))
-            found = F.coalesce(F.element_at(entries, found), default)
+            mapped = F.coalesce(F.try_element_at(entries, found), default)
+            fault = F.when(found.isNotNull() & mapped.isNull(), F.concat(F.lit(f"{spec['column']} has no mapping for "), found))
+            found = mapped
     if spec.get("type") in ("int", "float"):
-        number = found.cast("string").try_cast("double")
+        text, number = found.cast("string"), found.cast("string").try_cast("double")
+        fault = F.coalesce(fault, F.when(text.isNotNull() & number.isNull(), F.concat(text, F.lit(" is not a number"))))
         found = number.cast("long") if spec["type"] == "int" else number
-    return found * spec["scale"] if "scale" in spec else found
+    return (found * spec["scale"] if "scale" in spec else found), fault
+
+
+def cells_of(spark: SparkSession, path: str, delimiter: str, skip: int, encoding: str) -> DataFrame:
+    """place (file:line) and cells (header name to text) of every record; each file's own header counts."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, content in zip(frame["path"], frame["content"], strict=True):
+                source = io.TextIOWrapper(io.BytesIO(bytes(content)), encoding=encoding, newline="")
+                for _ in range(skip):
+                    source.readline()
+                rows = csv.reader(source, delimiter=delimiter)
+                header, out = [name.strip() for name in next(rows, [])], []
+                for cells in filter(None, rows):
+                    out.append((f"{file}:{skip + rows.line_num}", dict(zip(header, cells, strict=False))))
+                    if len(out) == 10_000:
+                        yield pd.DataFrame(out, columns=["place", "cells"])
+                        out = []
+                yield pd.DataFrame(out, columns=["place", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "place string, cells map<string,string>")
 
 
 def read_mapped_csv(spark: SparkSession, path: str, config: dict | str, skip_invalid: bool = False) -> DataFrame:
-    """Records of a vendor file by ``config``: columns (target to mapping), delimiter, encoding and skip_rows."""
+    """Records of vendor files by ``config``: columns (target to mapping), delimiter, encoding and skip_rows.
+
+    Quoted and multi-line cells are read as CSV has them. All faults are gathered; one refuses the whole
+    read unless ``skip_invalid``. created_at falls back to the time of reading.
+    """
     config = json.loads(config) if isinstance(config, str) else config
-    delimiter, skip = config.get("delimiter", ","), int(config.get("skip_rows", 0))
-    reader = spark.read.option("header", skip == 0).option("delimiter", delimiter).option("encoding", config.get("encoding", "UTF-8"))
-    raw = reader.csv(path)
-    if skip:  # the header stands below lines to be skipped; the first lines of one file give it
-        head = spark.read.text(path).limit(skip + 1).collect()[skip][0]
-        names = head.split(delimiter)
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"))
-        body = lines.join(lines.groupBy("f").agg(F.min("i").alias("first")), "f").filter(F.col("i") > F.col("first") + skip)
-        cells = F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)), {"delimiter": delimiter})
-        raw = body.select(cells.alias("r")).select("r.*")
-    typed = raw.select(*(mapped_column(spec, raw.columns).alias(name) for name, spec in config["columns"].items()))
+    raw = cells_of(spark, path, config.get("delimiter", ","), int(config.get("skip_rows", 0)), config.get("encoding", "UTF-8"))
+    specs = {name: mapped_column(spec, F.col("cells")) for name, spec in config["columns"].items()}
+    typed = raw.select("place", *(found.alias(name) for name, (found, _) in specs.items()), F.array_compact(F.array(F.lit(None).cast("string"), *(fault for _, fault in specs.values()))).alias("faults"))
     for name in REQUIRED:
-        typed = typed.withColumn(name, F.col(name).cast(TYPES.get(name, "string")) if name in typed.columns else F.lit(None).cast(TYPES.get(name, "string")))
-    return _judged(typed.withColumn("match_id", F.lit(None).cast("string")), skip_invalid)
+        kind = TYPES.get(name, "string")
+        typed = typed.withColumn(name, F.col(name).cast("string").try_cast(kind) if name in typed.columns else F.lit(None).cast(kind))
+    created = F.try_to_timestamp(F.col("created_at").cast("string")) if "created_at" in typed.columns else F.lit(None).cast("timestamp")
+    typed = typed.withColumn("match_id", F.lit(None).cast("string")).withColumn("created_at", F.coalesce(created, F.current_timestamp()))
+    return _judged(typed.select("place", "faults", *REQUIRED, "match_id", "created_at"), skip_invalid)
 
 
 def write_defect_csv(records: DataFrame, path: str) -> None:

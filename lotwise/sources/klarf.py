@@ -1,6 +1,7 @@
 """KLARF files: the 1.x text form and the 2.0 binary form, one file per row of a distributed read.
 
-A file's bytes are one row (a wafer lot's report, some MB); records leave as exploded rows.
+A file's bytes are one row (a wafer lot's report, some MB). Text files become defect records; binary
+files become a row per wafer with its defects nested, which an explode turns into records.
 """
 
 from __future__ import annotations
@@ -8,113 +9,320 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwise.plans import fab_view as fab
+from lotwise.plans.fab_view import PREFIX
+
+#: Fixed values of the text form: class names (any other number is unclassified), columns that a record must have.
+TEXT_CLASSES = {
+    0: "unclassified", 1: "particle", 2: "scratch", 3: "pit", 4: "crystal_defect", 5: "void", 6: "bridging", 7: "metal_spike", 8: "edge_defect", 9: "foreign_material",
+}
+NEEDED = ("XREL", "YREL", "DEFECTSIZE", "CLASSNUMBER", "DIEROW", "DIECOL")
+#: Fixed values of the binary form: class names, file header, block types.
+BINARY_CLASSES = {
+    0: "particle", 1: "scratch", 2: "pit", 3: "crystal_defect", 4: "metal_spike", 5: "void", 6: "bridging", 7: "mura", 8: "pinhole", 9: "line_defect", 10: "open_circuit",
+    11: "short_circuit",
+}
+MAGIC, VERSION, MARK = b"KLARF200", 2, 0x4949
+FILE_INFO, LOT_INFO, SETUP_INFO, WAFER_INFO, DEFECT_LIST, SUMMARY, EOF = 1, 2, 3, 4, 5, 6, 0xFFFF
+#: Fixed layouts, little-endian: file header, block header, and the blocks' fields by name.
+HEADER, BLOCK = struct.Struct("<8sHH"), struct.Struct("<HI")
+LAYOUT = {
+    FILE_INFO: (struct.Struct("<32sI16s"), ("station_id", "file_timestamp", "inspector_version")),
+    LOT_INFO: (struct.Struct("<32s32s32s32s"), ("lot_id", "step_id", "device_id", "process_step")),
+    SETUP_INFO: (struct.Struct("<32sBBfffH"), ("recipe_id", "inspection_mode", None, "pixel_size_um", "die_width_mm", "die_height_mm", "num_defect_classes")),
+    WAFER_INFO: (struct.Struct("<16sBBHI"), ("wafer_id", "slot", "wafer_type", "orientation", "num_defects")),
+    SUMMARY: (struct.Struct("<HIf"), ("total_wafers", "total_defects", "mean_defects_per_wafer")),
+}
+DEFECT = np.dtype([
+    ("defect_id", "<u4"), ("x", "<f4"), ("y", "<f4"), ("x_size", "<f4"), ("y_size", "<f4"), ("class_no", "<u2"), ("rough_bin", "<u2"), ("fine_bin", "<u2"), ("test_no", "<u2"),
+    ("cluster_no", "<u2"), ("pad", "<u2"), ("confidence", "<f4"),
+])
+
 TEXT_SCHEMA = "file string, panel_id string, component_row int, component_col int, class_no int, x double, y double, size double"
-BINARY_SCHEMA = "file string, lot_id string, wafer_id string, slot int, defect_id long, x double, y double, x_size double, y_size double, class_no int"
-NEEDED = ("DEFECTID", "XREL", "YREL", "XINDEX", "YINDEX", "DSIZE")
-#: Fixed values of the binary layout: magic, version, byte-order mark; block types; a 36-byte defect.
-MAGIC, VERSION, MARK = b"KLF2", 2, 0x4949
-LOT, WAFER, DEFECTS, EOF = 1, 3, 4, 0xFFFF
-HEADER, BLOCK, DEFECT = struct.Struct("<4sHHI"), struct.Struct("<HI"), struct.Struct("<IffffHHHHHHf")
-
-
-def parse_text(file: str, text: str) -> list[tuple]:
-    """Records of a 1.x file. Microns unless Units says otherwise; several wafers may follow one another."""
-    wafer, scale, order, rows, inside = f"UNKNOWN_{file.rsplit('/', 1)[-1]}", 0.001, None, [], False
-    for line in text.splitlines():
-        words = line.strip().rstrip(";").split()
-        if not words:
-            continue
-        tag = words[0]
-        if tag == "WaferID":
-            wafer = words[1].strip('"')
-        elif tag == "Units":
-            scale = 0.001 if words[1].upper().startswith("MICRON") else 1.0
-        elif tag == "DefectRecordSpec":
-            order = {name: k for k, name in enumerate(words[2:])}
-            missing = [n for n in NEEDED if n not in order]
-            if missing:
-                raise ValueError(f"{file}: DefectRecordSpec lacks {missing}")
-        elif tag == "DefectList":
-            inside = True
-        elif tag in ("SummarySpec", "EndOfFile", "SummaryList"):
-            inside = False
-        elif inside and (tag.lstrip("-").isdigit()):
-            if order is None:
-                raise ValueError(f"{file}: records before DefectRecordSpec")
-            value = lambda n: float(words[order[n]])  # noqa: E731, B023
-            size = value("DSIZE") * scale
-            if size > 0:
-                kind = int(value("CLASSNUMBER")) if "CLASSNUMBER" in order else 0
-                rows.append((file, wafer, int(value("YINDEX")), int(value("XINDEX")), kind, round(value("XREL") * scale, 4), round(value("YREL") * scale, 4), round(size, 4)))
-    return rows
-
-
-def encode_binary(lot: str, wafers: list[tuple[str, int, list[tuple]]]) -> bytes:
-    """A 2.0 file from (wafer id, slot, [(defect id, x, y, x size, y size, class)])."""
-    out = [HEADER.pack(MAGIC, VERSION, MARK, 0), BLOCK.pack(LOT, len(lot.encode())), lot.encode()]
-    for wafer, slot, records in wafers:
-        body = struct.pack("<H", slot) + wafer.encode()
-        packed = b"".join(DEFECT.pack(i, x, y, xs, ys, kind, 0, 0, 0, 0, 0, 0.0) for i, x, y, xs, ys, kind in records)
-        out += [BLOCK.pack(WAFER, len(body)), body, BLOCK.pack(DEFECTS, len(packed)), packed]
-    return b"".join([*out, BLOCK.pack(EOF, 0)])
-
-
-def parse_binary(file: str, data: bytes) -> list[tuple]:
-    """Records of a 2.0 file: the i-th defect list belongs to the i-th wafer; unknown blocks are skipped, a cut list ends early."""
-    magic, version, mark, _ = HEADER.unpack_from(data)
+_RECORD = "array<struct<defect_id:long,x:double,y:double,x_size:double,y_size:double,class_no:int,rough_bin:int,fine_bin:int,test_no:int,cluster_no:int,confidence:double>>"
+WAFER_SCHEMA = (
+    "file string, station_id string, file_timestamp long, inspector_version string, lot_id string, step_id string, device_id string, process_step string, recipe_id string, "
+    "inspection_mode int, pixel_size_um double, die_width_mm double, die_height_mm double, num_defect_classes int, wafer_id string, slot int, wafer_type int, orientation int, "
+    f"num_defects long, total_wafers int, total_defects long, mean_defects_per_wafer double, defects {_RECORD}"
+)
+
+
+def text_records(file: str, text: str, units: str | None = None) -> list[tuple]:
+    """Records of a 1.x text, as TEXT_SCHEMA.
+
+    Keywords in any case. Positions are microns unless ``units`` or the file's Units says MM. Rows wait
+    until their list ends, and take the wafer named last until then; a missing name becomes UNKNOWN_<file>.
+    A malformed row, or a DefectRecordSpec without a needed column, raises; rows of no size are left out.
+    """
+    short, found = file.rsplit("/", 1)[-1], []
+    wafer, unit, columns, waiting = "", units or "MICRON", {}, None
+
+    def flush() -> None:
+        scale = 0.001 if unit == "MICRON" else 1.0
+        for number, line in enumerate(waiting, 1):
+            words = line.rstrip(";").split()
+            if not words:
+                continue
+            try:
+                x, y, size, kind, row, col = (float(words[columns[name]]) for name in NEEDED)
+            except (IndexError, KeyError, ValueError) as e:
+                raise ValueError(f"{short}: malformed defect record {number}: {line!r}") from e
+            if size * scale > 0:
+                found.append((file, wafer or f"UNKNOWN_{short}", int(row), int(col), int(kind), round(x * scale, 4), round(y * scale, 4), round(size * scale, 4)))
+
+    for line in filter(lambda s: s and not s.startswith("#"), map(str.strip, text.splitlines())):
+        keyword, value = (*line.split(None, 1), "")[:2]
+        keyword, value = keyword.upper(), value.rstrip(";").strip().strip('"')
+        if keyword.startswith("WAFERID"):
+            wafer = value
+        elif keyword.startswith("UNITS") and not units:
+            unit = value.upper() if value.upper() in ("MICRON", "MM") else unit
+        elif keyword.startswith("DEFECTRECORDSPEC"):
+            columns = {name.upper(): k for k, name in enumerate(w for w in line.replace(";", " ").split()[2:])}
+            if missing := sorted(set(NEEDED) - set(columns)):
+                raise ValueError(f"{short}: DefectRecordSpec lacks {missing}")
+        elif keyword.startswith("DEFECTLIST"):
+            waiting = [] if waiting is None else waiting
+        elif waiting is not None and keyword.startswith(("SUMMARYSPEC", "ENDOFFILE")):
+            flush()
+            waiting = None
+        elif waiting is not None:
+            waiting.append(line)
+    if waiting and columns:
+        flush()
+    return found
+
+
+def _text(raw: bytes) -> str:
+    return raw.rstrip(b"\0").decode("ascii", "replace")
+
+
+def blocks(file: str, data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Type and body of each block up to the end block (or the end of the file)."""
+    if len(data) < HEADER.size:
+        raise ValueError(f"{file}: too short for a header")
+    magic, version, mark = HEADER.unpack_from(data)
     if (magic, version, mark) != (MAGIC, VERSION, MARK):
-        raise ValueError(f"{file}: not a KLARF 2.0 file")
-    at, lot, wafers, lists = HEADER.size, "", [], []
-    while at + BLOCK.size <= len(data):
+        raise ValueError(f"{file}: not a little-endian KLARF 2 file: {magic!r}, version {version}, mark {mark:#06x}")
+    at = HEADER.size
+    while at < len(data):
+        if len(data) - at < BLOCK.size:
+            raise ValueError(f"{file}: cut within a block header")
         kind, size = BLOCK.unpack_from(data, at)
-        body = data[at + BLOCK.size : at + BLOCK.size + size]
-        at += BLOCK.size + size
+        at += BLOCK.size
         if kind == EOF:
-            break
-        if kind == LOT:
-            lot = body.decode()
-        elif kind == WAFER:
-            wafers.append((body[2:].decode(), struct.unpack_from("<H", body)[0]))
-        elif kind == DEFECTS:
-            lists.append([DEFECT.unpack_from(body, k) for k in range(0, len(body) // DEFECT.size * DEFECT.size, DEFECT.size)])
-    return [(file, lot, wafer, slot, r[0], r[1], r[2], r[3], r[4], r[5]) for (wafer, slot), own in zip(wafers, lists, strict=False) for r in own]
+            return
+        if len(data) - at < size:
+            raise ValueError(f"{file}: cut within block {kind}")
+        yield kind, data[at : at + size]
+        at += size
+
+
+def wafer_rows(file: str, data: bytes) -> list[dict]:
+    """A dict per wafer, as WAFER_SCHEMA. The i-th defect list belongs to the i-th wafer, if that came before it.
+
+    A list shorter than its wafer's num_defects ends early; unknown blocks are skipped; a block too short
+    for its layout raises.
+    """
+    about, wafers, lists = {"file": file}, [], 0
+    for kind, body in blocks(file, data):
+        if kind == DEFECT_LIST:
+            if lists < len(wafers):
+                n = min(wafers[lists]["num_defects"], len(body) // DEFECT.itemsize)
+                records = np.frombuffer(body, DEFECT, n)
+                wafers[lists]["defects"] = [dict(zip((k for k in DEFECT.names if k != "pad"), row, strict=True)) for row in zip(*(records[k].tolist() for k in DEFECT.names if k != "pad"), strict=True)]
+            lists += 1
+        elif kind in LAYOUT:
+            layout, names = LAYOUT[kind]
+            if len(body) < layout.size:
+                raise ValueError(f"{file}: block {kind} has {len(body)} bytes, needs {layout.size}")
+            fields = {k: _text(v) if isinstance(v, bytes) else v for k, v in zip(names, layout.unpack_from(body), strict=True) if k}
+            if kind == WAFER_INFO:
+                wafers.append({"defects": [], **fields})
+            else:
+                about |= fields
+    return [about | w for w in wafers]
 
 
-def _read(spark: SparkSession, path: str, schema: str, parse) -> DataFrame:
+def packed(kind: int, **fields) -> bytes:
+    """One block from its fields; absent ones are 0 or empty, texts are cut to their width."""
+    layout, names = LAYOUT[kind]
+    texts = {name for name, x in zip(names, layout.unpack(bytes(layout.size)), strict=True) if isinstance(x, bytes)}
+    values = [str(fields.get(name, "")).encode("ascii", "replace") if name in texts else fields.get(name, 0) for name in names]
+    return BLOCK.pack(kind, layout.size) + layout.pack(*values)
+
+
+def wafer_blocks(records: np.ndarray, **wafer) -> bytes:
+    """The info and list blocks of one wafer; ``records`` has the fields of DEFECT."""
+    body = records.astype(DEFECT).tobytes()
+    return packed(WAFER_INFO, num_defects=len(records), **wafer) + BLOCK.pack(DEFECT_LIST, len(body)) + body
+
+
+def lot_file(lot: str, wafers: list, station: str, timestamp: int) -> bytes:
+    """A whole file from its wafers' packed blocks (``n`` records in ``blob``), in order."""
+    total = sum(w["n"] for w in wafers)
+    return b"".join([
+        HEADER.pack(MAGIC, VERSION, MARK), packed(FILE_INFO, station_id=station, file_timestamp=timestamp, inspector_version="1.0.0"),
+        packed(LOT_INFO, lot_id=lot, step_id="AOI", device_id="EXPORT", process_step="FINAL_INSPECTION"),
+        packed(SETUP_INFO, recipe_id="EXPORT", pixel_size_um=1.0, die_width_mm=1.0, die_height_mm=1.0, num_defect_classes=len(BINARY_CLASSES)),
+        *(bytes(w["blob"]) for w in wafers), packed(SUMMARY, total_wafers=len(wafers), total_defects=total, mean_defects_per_wafer=total / len(wafers)), BLOCK.pack(EOF, 0),
+    ])
+
+
+def _parsed(files: DataFrame, schema: str, parse) -> DataFrame:
+    """Rows of (file, content) through ``parse``."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for file, content in zip(frame["path"], frame["content"], strict=True):
+            for file, content in zip(frame["file"], frame["content"], strict=True):
                 yield pd.DataFrame(parse(file, bytes(content)), columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return files.select("file", "content").mapInPandas(run, schema)
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """file, content of every file under ``path``."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+
+
+def _named(number, classes: dict[int, str], other):
+    names = F.create_map(*(F.lit(x) for pair in classes.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, number), other)
+
+
+def klarf_records(
+    files: DataFrame, source_system: str = "system_a", confidence_score: float = 0.75, classes: dict[int, str] | None = None, units: str | None = None, encoding: str = "latin-1"
+) -> DataFrame:
+    """Defect records of 1.x text files given as (file, content)."""
+    if source_system not in ("system_a", "system_b"):
+        raise ValueError(f"unknown source system {source_system!r}")
+    rows = _parsed(files, TEXT_SCHEMA, lambda file, data: text_records(file, data.decode(encoding), units))
+    return rows.select(
+        "file", "panel_id", "component_row", "component_col", F.lit(source_system).alias("source_system"), _named(F.col("class_no"), classes or TEXT_CLASSES, F.lit("unclassified")).alias("defect_type"),
+        "x", "y", "size", F.lit(confidence_score).alias("confidence_score"), F.lit(None).cast("string").alias("match_id"),
+    )
+
 
+def read_klarf(spark: SparkSession, path: str, **options) -> DataFrame:
+    """:func:`klarf_records` of the files under ``path``."""
+    return klarf_records(files_of(spark, path), **options)
 
-def read_klarf(spark: SparkSession, path: str, classes: dict[int, str] | None = None) -> DataFrame:
-    """1.x text files; ``classes`` names class numbers, any other is unclassified."""
-    rows = _read(spark, path, TEXT_SCHEMA, lambda file, data: parse_text(file, data.decode("utf-8", "replace")))
-    names = F.create_map(*(F.lit(x) for pair in (classes or {-1: "unclassified"}).items() for x in pair))
-    return rows.withColumn("defect_type", F.coalesce(F.element_at(names, F.col("class_no")), F.lit("unclassified")))
+
+def klarf2_wafers(files: DataFrame) -> DataFrame:
+    """A row per wafer (WAFER_SCHEMA) of 2.0 binary files given as (file, content)."""
+    return _parsed(files, WAFER_SCHEMA, wafer_rows)
 
 
 def read_klarf2(spark: SparkSession, path: str) -> DataFrame:
-    """2.0 binary files; a record's size is the larger of its two extents."""
-    return _read(spark, path, BINARY_SCHEMA, parse_binary).withColumn("size", F.greatest("x_size", "y_size"))
+    """:func:`klarf2_wafers` of the files under ``path``."""
+    return klarf2_wafers(files_of(spark, path))
+
+
+def ingested(wafers: DataFrame, prefix: str = "KLA", substrate_type: str = "wafer", source_system: str = "system_a") -> tuple[DataFrame, DataFrame]:
+    """Panels (one per wafer, a 1 x 1 grid) and defects to append; nothing is written.
+
+    A defect's size is the larger of its extents; an unknown class number n is class_<n>.
+    """
+    lot = F.coalesce("lot_id", F.lit("UNKNOWN"))
+    named = wafers.withColumn("panel_id", F.concat_ws("_", F.lit(prefix), lot, "wafer_id")).withColumn("lot_id", lot)
+    panels = named.select("panel_id", F.lit(substrate_type).alias("substrate_type"), F.lit(1).alias("rows"), F.lit(1).alias("cols"), "lot_id", F.lit("KLARF_IMPORT").alias("product_type")).distinct()
+    d = named.select("panel_id", F.explode("defects").alias("d"))
+    defects = d.select(
+        "panel_id", F.lit(0).alias("component_row"), F.lit(0).alias("component_col"), F.lit(source_system).alias("source_system"),
+        _named(F.col("d.class_no"), BINARY_CLASSES, F.concat(F.lit("class_"), "d.class_no")).alias("defect_type"), F.col("d.x").alias("x"), F.col("d.y").alias("y"),
+        F.greatest("d.x_size", "d.y_size").alias("size"), F.col("d.confidence").alias("confidence_score"),
+    )
+    return panels, defects
+
+
+def lot_files(defects: DataFrame, panels: DataFrame, order: list[str], station: str = "lotwise", timestamp: int = 0) -> DataFrame:
+    """lot_id, file, content: one 2.0 file per lot with the system_a defects of its panels.
+
+    Slots follow panel ids, defect ids restart at 1 in each wafer in the ``order`` of columns; unknown types
+    are class 0. A task packs one wafer at a time; a lot's wafers meet as packed blocks.
+    """
+    numbers = {v: k for k, v in BINARY_CLASSES.items()}
+    chosen = defects.filter("source_system = 'system_a'").select("panel_id", "defect_type", "x", "y", F.col("size").alias("extent"), "confidence_score", F.struct(*order).alias("o"))
+    ranked = chosen.withColumn("k", F.row_number().over(Window.partitionBy("panel_id").orderBy("o"))).drop("o")
+    slots = panels.select("lot_id", "panel_id", F.row_number().over(Window.partitionBy("lot_id").orderBy("panel_id")).alias("slot"))
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame[frame["k"].notna()].sort_values("k")
+        records = np.zeros(len(own), DEFECT)
+        for field, column in (("defect_id", "k"), ("x", "x"), ("y", "y"), ("x_size", "extent"), ("y_size", "extent"), ("confidence", "confidence_score")):
+            records[field] = own[column].to_numpy()
+        records["class_no"] = [numbers.get(t, 0) for t in own["defect_type"]]
+        records["test_no"] = 1
+        first = frame.iloc[0]
+        blob = wafer_blocks(records, wafer_id=first["panel_id"][:16], slot=int(first["slot"]))
+        return pd.DataFrame([(first["lot_id"], int(first["slot"]), len(own), blob)], columns=["lot_id", "slot", "n", "blob"])
+
+    wafers = slots.join(ranked, "panel_id", "left").groupBy("lot_id", "panel_id").applyInPandas(pack, "lot_id string, slot int, n long, blob binary")
+    lots = wafers.groupBy("lot_id").agg(F.sort_array(F.collect_list(F.struct("slot", "n", "blob"))).alias("w"))
+
+    def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(lot, f"{lot}.klf2", lot_file(lot, own, station, timestamp)) for lot, own in zip(frame["lot_id"], frame["w"], strict=True)]
+            yield pd.DataFrame(out, columns=["lot_id", "file", "content"])
+
+    return lots.mapInPandas(file, "lot_id string, file string, content binary")
+
+
+def text_files(defects: DataFrame, classes: dict[str, int]) -> DataFrame:
+    """file, content: one 1.x file per panel, positions in whole microns, built by column functions alone."""
+    micron = lambda c: F.round(F.col(c) * 1000).cast("long")
+    number = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in classes.items() for x in pair)), F.col("defect_type")), F.lit(0))
+    line = F.concat_ws(" ", F.lit(""), F.lit(1), micron("x"), micron("y"), "component_col", "component_row", micron("size"), number)
+    lines = defects.select("panel_id", line.alias("line")).groupBy("panel_id").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("body"))
+    head = F.concat(F.lit('FileVersion 1 2;\nWaferID "'), "panel_id", F.lit('";\nUnits MICRON;\nDefectRecordSpec 7 DEFECTID XREL YREL DIECOL DIEROW DEFECTSIZE CLASSNUMBER ;\nDefectList\n'))
+    return lines.select(F.concat("panel_id", F.lit(".klarf")).alias("file"), F.concat(head, "body", F.lit(";\nSummarySpec 1 DEFECTS;\nEndOfFile;\n")).cast("binary").alias("content"))
+
+
+def _typed(spark: SparkSession, sf_dir: str, classes: dict[int, str]) -> DataFrame:
+    """The defects with types that the formats can name, chosen by size."""
+    names = F.array(*(F.lit(v) for _, v in sorted(classes.items())))
+    return fab.defects(spark, sf_dir).withColumn("defect_type", F.get(names, F.round(F.col("size") * 1000).cast("int") % len(classes)))
+
+
+def klarf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All defects written as 1.x files and read back."""
+    made = text_files(_typed(spark, sf_dir, TEXT_CLASSES), {v: k for k, v in TEXT_CLASSES.items()})
+    return klarf_records(made).select("panel_id", "component_row", "component_col", "defect_type", "x", "y", "size", "confidence_score")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lot_files(_typed(spark, sf_dir, BINARY_CLASSES), fab.panels(spark, sf_dir), ["defect_key", "x", "y", "size", "confidence_score"])
+
+
+def klarf_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots exported as 2.0 files and read back, a row per wafer."""
+    wafers = klarf2_wafers(_exported(spark, sf_dir))
+    return wafers.select("lot_id", "wafer_id", "slot", "process_step", "num_defects", "total_wafers", "total_defects", F.aggregate("defects", F.lit(0).cast("long"), lambda a, d: a + d["class_no"]).alias("class_sum"))
+
+
+def klarf_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects that ingesting the exported lots would append."""
+    return ingested(klarf2_wafers(_exported(spark, sf_dir)))[1]
+
+
+QUERIES = {f.__name__: f for f in (klarf_text, klarf_binary, klarf_ingest)}
 
 
-def lot_files(records: DataFrame) -> DataFrame:
-    """lot_id, content: one 2.0 file per lot from (lot_id, panel_id, x, y, size); ids restart in each wafer."""
+def _sql_types(classes: dict[int, str]) -> str:
+    return f"[{', '.join(repr(v) for _, v in sorted(classes.items()))}][(round(size * 1000)::INT % {len(classes)}) + 1]"
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        wafers = [
-            (str(panel)[:16], slot + 1, [(k + 1, r.x, r.y, r.size_mm, r.size_mm, 0) for k, r in enumerate(own.itertuples())])
-            for slot, (panel, own) in enumerate(frame.sort_values(["panel_id", "x", "y"]).groupby("panel_id"))
-        ]
-        return pd.DataFrame([(frame.lot_id.iloc[0], encode_binary(frame.lot_id.iloc[0], wafers))], columns=["lot_id", "content"])
 
-    return records.select("lot_id", "panel_id", "x", "y", F.col("size").alias("size_mm")).groupBy("lot_id").applyInPandas(build, "lot_id string, content binary")
+ORACLE_SQL = {
+    "klarf_text": PREFIX + f"SELECT panel_id, component_row, component_col, {_sql_types(TEXT_CLASSES)} AS defect_type, round(x, 4) AS x, round(y, 4) AS y, round(size, 4) AS size, 0.75::DOUBLE AS confidence_score FROM defects",
+    "klarf_binary": PREFIX + """, n AS (SELECT panel_id, count(*) AS n, sum(round(size * 1000)::INT % 12)::BIGINT AS class_sum FROM defects WHERE source_system = 'system_a' GROUP BY 1)
+SELECT lot_id, panel_id AS wafer_id, row_number() OVER (PARTITION BY lot_id ORDER BY panel_id) AS slot, 'FINAL_INSPECTION' AS process_step, coalesce(n, 0) AS num_defects,
+  count(*) OVER (PARTITION BY lot_id) AS total_wafers, (sum(coalesce(n, 0)) OVER (PARTITION BY lot_id))::BIGINT AS total_defects, coalesce(class_sum, 0) AS class_sum FROM panels LEFT JOIN n USING (panel_id)""",
+    "klarf_ingest": PREFIX + f"""SELECT 'KLA_' || lot_id || '_' || panel_id AS panel_id, 0 AS component_row, 0 AS component_col, source_system, {_sql_types(BINARY_CLASSES)} AS defect_type,
+  x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, size::FLOAT::DOUBLE AS size, confidence_score::FLOAT::DOUBLE AS confidence_score FROM defects WHERE source_system = 'system_a'""",
+}

@@ -1,12 +1,35 @@
-"""Writes that keep keys unique, and the file ledger."""
+"""Writes that keep keys unique, append-only histories, the file ledger, table copies and product specs.
+
+Tables are Parquet folders. A write appends rows computed against what the folder holds; a rewrite
+goes to a new folder, so a lost executor or a failed job never leaves half a table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.functions.lineage import cut, scratch
+from lotwise.operators.lots import latest_per_key
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
+from lotwise.sources.csv_records import read_defect_csv, write_defect_csv
+
+#: Fixed names.
+DEFECT_KEY = ["panel_id", "component_row", "component_col", "source_system", "defect_type", "x", "y"]
+RELATIONS = ("split", "merge", "rework", "convert", "inspect")
+LEDGER = "file_path string, status string, processed_at timestamp"
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was written at ``folder``."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def read_or_empty(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).parquet(folder) if exists(spark, folder) else like.limit(0)
 
 
 def first_writer_wins(existing: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -16,9 +39,16 @@ def first_writer_wins(existing: DataFrame, new: DataFrame, key: list[str], order
     return one.select(*new.columns).join(existing.select(*key), key, "left_anti")
 
 
-def last_writer_wins(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``existing`` with its rows replaced by those of ``new`` that have the same key."""
-    return existing.join(new.select(*key), key, "left_anti").unionByName(new)
+def last_writer_wins(existing: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``existing`` with its rows replaced by those of ``new`` with the same key; of several new ones the last by ``order``."""
+    return existing.join(new.select(*key), key, "left_anti").unionByName(latest_per_key(new, key, order))
+
+
+def checked_edges(edges: DataFrame) -> DataFrame:
+    """Genealogy edges; an unknown relation or an edge from a lot to itself fails when read."""
+    wrong = F.when(~F.coalesce(F.col("relation_type").isin(*RELATIONS), F.lit(False)), F.concat(F.lit("unknown relation "), F.coalesce("relation_type", F.lit("null"))))
+    wrong = wrong.when(F.col("parent_lot_id") == F.col("child_lot_id"), F.concat(F.lit("edge from a lot to itself: "), "parent_lot_id"))
+    return edges.withColumn("relation_type", F.when(wrong.isNull(), F.col("relation_type")).otherwise(F.raise_error(wrong)))
 
 
 def merge_columns(existing: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -29,21 +59,141 @@ def merge_columns(existing: DataFrame, new: DataFrame, key: list[str], columns:
     return rows.select(*key, *(pick(c).alias(c) for c in existing.columns if c not in key))
 
 
+def append_history(rows: DataFrame, folder: str, at: Column) -> None:
+    """Appends a run's rows under its time ``calculated_at``; earlier runs stay."""
+    rows.withColumn("calculated_at", at).write.mode("append").parquet(folder)
+
+
 def unprocessed(files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Files that the ledger doesn't list as processed."""
-    return files.join(ledger.filter("status = 'processed'").select("file_path"), "file_path", "left_anti")
+    """Files whose latest entry in the ledger isn't processed."""
+    done = latest_per_key(ledger, ["file_path"], ["processed_at", "status"]).filter("status = 'processed'")
+    return files.join(done.select("file_path"), "file_path", "left_anti")
+
+
+def ingest_csv(spark: SparkSession, path: str, target: str, ledger: str, skip_if_processed: bool = True) -> int:
+    """Appends the files under ``path`` to ``target``, once each; returns the rows read.
+
+    All new files are one write. If it fails the ledger says failed for them, and the error is raised again.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"))
+    known = spark.read.schema(LEDGER).parquet(ledger) if exists(spark, ledger) else spark.createDataFrame([], LEDGER)
+    new = [r.file_path for r in (unprocessed(files, known) if skip_if_processed else files).collect()]  # names of files
+
+    def enter(status: str) -> None:
+        entries = spark.createDataFrame([(f, status) for f in new], "file_path string, status string")
+        entries.withColumn("processed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(ledger)
+
+    if not new:
+        return 0
+    try:
+        records = cut(read_defect_csv(spark, new))
+        added = first_writer_wins(read_or_empty(spark, target, records), records, DEFECT_KEY, ["size", "confidence_score"])
+        added.write.mode("append").parquet(target)
+    except Exception:
+        enter("failed")
+        raise
+    enter("processed")
+    return records.count()
+
+
+def copy_tables(spark: SparkSession, source: dict[str, DataFrame], folder: str, keys: dict[str, list[str]]) -> dict[str, int]:
+    """Copies tables in order to Parquet under ``folder``; keys that are there stay. Returns rows added."""
+    added = {}
+    for name, rows in source.items():
+        at = f"{folder}/{name}"
+        rest = [c for c in rows.columns if c not in keys[name]]
+        new = cut(first_writer_wins(read_or_empty(spark, at, rows), rows, keys[name], rest or keys[name]))
+        new.write.mode("append").parquet(at)
+        added[name] = new.count()
+    return added
+
+
+def insert_spec(specs: DataFrame, new: DataFrame) -> DataFrame:
+    """``specs`` with new ones; a spec_id that exists fails when read."""
+    taken = new.join(specs.select("spec_id", F.lit(True).alias("_taken")), "spec_id", "left")
+    fresh = taken.withColumn("spec_id", F.when(F.col("_taken").isNull(), F.col("spec_id")).otherwise(F.raise_error(F.concat(F.lit("spec exists: "), "spec_id")))).drop("_taken")
+    return specs.unionByName(fresh)
+
+
+def update_spec(specs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Known specs with the non-null fields of ``changes``; unknown ids change nothing."""
+    known = changes.join(specs.select("spec_id"), "spec_id", "left_semi")
+    return merge_columns(specs, known, ["spec_id"], [c for c in changes.columns if c != "spec_id"]).select(*specs.columns)
+
+
+def delete_spec(specs: DataFrame, ids: DataFrame) -> DataFrame:
+    return specs.join(ids.select("spec_id"), "spec_id", "left_anti")
+
+
+def list_specs(specs: DataFrame) -> DataFrame:
+    """Newest first, with the die's area."""
+    return specs.withColumn("die_area_mm2", F.col("die_width_mm") * F.col("die_height_mm")).orderBy(F.desc("created_at"), "spec_id")
 
 
 def upsert_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appending all defects to those of the first ten panels: rows to add per panel, natural key unique."""
     every = fab.defects(spark, sf_dir)
-    key = ["panel_id", "component_row", "component_col", "source_system", "defect_type", "x", "y"]
-    added = first_writer_wins(every.filter("panel_no <= 10"), every, key, ["created_at", "defect_key"])
+    added = first_writer_wins(every.filter("panel_no <= 10"), every, DEFECT_KEY, ["created_at", "defect_key"])
     return added.groupBy("panel_id").agg(F.count("*").alias("added"), F.min("created_at").alias("first"))
 
 
-QUERIES = {"upsert_defects": upsert_defects}
+def replaced_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lot nodes replaced by the panels that name them, the last panel of each lot winning."""
+    nodes = fab.lots(spark, sf_dir).select("lot_id", F.lit("created").alias("process_step"), F.lit(0).cast("long").alias("version"))
+    new = fab.panels(spark, sf_dir).filter("panel_no % 3 = 0").select("lot_id", F.col("panel_id").alias("process_step"), F.col("panel_no").cast("long").alias("version"))
+    return last_writer_wins(nodes, new, ["lot_id"], ["version"])
+
+
+def estimate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of panel defect counts appended to a history, the second of even panels; the newest row of each panel."""
+    counts = fab.defects(spark, sf_dir).groupBy("panel_id", "panel_no").agg(F.count("*").alias("n"))
+    folder = scratch(spark, "history")
+    append_history(counts, folder, F.lit("2024-01-01").cast("timestamp"))
+    append_history(counts.filter("panel_no % 2 = 0").withColumn("n", F.col("n") + 1000), folder, F.lit("2024-02-01").cast("timestamp"))
+    return latest_per_key(spark.read.parquet(folder), ["panel_id"], ["calculated_at"])
+
+
+def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects written as CSV and ingested twice: rows read each time, and rows and files afterwards."""
+    folder = scratch(spark, "ingest")
+    write_defect_csv(fab.defects(spark, sf_dir), f"{folder}/csv")
+    read = [ingest_csv(spark, f"{folder}/csv/part-*", f"{folder}/defects", f"{folder}/files") for _ in range(2)]
+    rows, files = spark.read.parquet(f"{folder}/defects").count(), spark.read.schema(LEDGER).parquet(f"{folder}/files").filter("status <> 'processed'").count()
+    return spark.createDataFrame([(*read, rows, files)], "first_read long, second_read long, rows long, not_processed long")
+
+
+def table_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that two copies of the tables add."""
+    source = {"panels": fab.panels(spark, sf_dir), "components": fab.components(spark, sf_dir), "defects": fab.defects(spark, sf_dir)}
+    keys, folder = {"panels": ["panel_id"], "components": ["panel_id", "component_row", "component_col"], "defects": DEFECT_KEY}, scratch(spark, "copy")
+    first, second = (copy_tables(spark, source, folder, keys) for _ in range(2))
+    return spark.createDataFrame([(k, n, second[k]) for k, n in first.items()], "table_name string, first_copy long, second_copy long")
+
+
+def product_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specs made of parts: inserted, every third updated, every seventh deleted, listed."""
+    part = fab.table(spark, sf_dir, "part")
+    every = part.select(
+        F.concat(F.lit("S"), "p_partkey").alias("spec_id"), F.col("p_name").alias("product_name"), F.col("p_size").cast("double").alias("die_width_mm"), (F.col("p_size") * 2).cast("double").alias("die_height_mm"),
+        F.lit(None).cast("string").alias("notes"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("p_partkey")).alias("created_at"), "p_partkey",
+    )
+    specs = insert_spec(every.filter("p_partkey % 2 = 0"), every.filter("p_partkey % 2 = 1"))
+    changes = every.filter("p_partkey % 3 = 0").select("spec_id", F.lit(None).cast("string").alias("product_name"), (F.col("die_width_mm") + 1).alias("die_width_mm"), F.lit("changed").alias("notes"))
+    left = delete_spec(update_spec(specs, changes), every.filter("p_partkey % 7 = 0"))
+    return list_specs(left.drop("p_partkey"))
+
+
+QUERIES = {f.__name__: f for f in (upsert_defects, replaced_lots, estimate_history, ingest_ledger, table_copy, product_specs)}
+_KEYS = "SELECT DISTINCT " + ", ".join(DEFECT_KEY) + " FROM defects"
 ORACLE_SQL = {
     "upsert_defects": PREFIX + """, k AS (SELECT panel_id, component_row, component_col, source_system, defect_type, x, y, min(created_at) AS t FROM defects WHERE panel_no > 10 GROUP BY ALL)
-SELECT panel_id, count(*) AS added, min(t) AS first FROM k GROUP BY 1"""
+SELECT panel_id, count(*) AS added, min(t) AS first FROM k GROUP BY 1""",
+    "replaced_lots": PREFIX + """, n AS (SELECT lot_id, arg_max(panel_id, panel_no) AS process_step, max(panel_no)::BIGINT AS version FROM panels WHERE panel_no % 3 = 0 GROUP BY 1)
+SELECT lot_id, coalesce(process_step, 'created') AS process_step, coalesce(version, 0) AS version FROM lots LEFT JOIN n USING (lot_id)""",
+    "estimate_history": PREFIX + """SELECT panel_id, panel_no, CASE WHEN panel_no % 2 = 0 THEN count(*) + 1000 ELSE count(*) END AS n,
+  CASE WHEN panel_no % 2 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS calculated_at FROM defects GROUP BY panel_id, panel_no""",
+    "ingest_ledger": PREFIX + f"SELECT count(*) AS first_read, 0::BIGINT AS second_read, (SELECT count(*) FROM ({_KEYS})) AS rows, 0::BIGINT AS not_processed FROM defects",
+    "table_copy": PREFIX + f"SELECT 'panels' AS table_name, count(*) AS first_copy, 0::BIGINT AS second_copy FROM panels UNION ALL SELECT 'components', count(*), 0 FROM components UNION ALL SELECT 'defects', count(*), 0 FROM ({_KEYS})",
+    "product_specs": """SELECT 'S' || p_partkey AS spec_id, p_name AS product_name, (p_size + (p_partkey % 3 = 0)::INT)::DOUBLE AS die_width_mm, (p_size * 2)::DOUBLE AS die_height_mm,
+  CASE WHEN p_partkey % 3 = 0 THEN 'changed' END AS notes, make_timestamp((1700000000 + p_partkey) * 1000000) AS created_at, (p_size + (p_partkey % 3 = 0)::INT)::DOUBLE * (p_size * 2) AS die_area_mm2 FROM part WHERE p_partkey % 7 <> 0""",
 }
