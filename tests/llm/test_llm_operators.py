@@ -341,6 +341,19 @@ def test_bpe_equals_the_library(spark, docs, empty):
     assert bpe.encode_texts(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_words_fold_in_parts(spark, monkeypatch):
+    """The same ids from both folds on short words, and the library's on long ones, one of 5,000 bytes."""
+    ranks = bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    alphabet = ["a", "b", "the", "ing", "é", "Z", "q", "ation", "un"]
+    words = ["".join(rng.choice(alphabet) for _ in range(n)) for n in [*range(1, 60), 400, 900]] + ["a" * 700, "ab" * 600, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5_000))]
+    monkeypatch.setattr(bpe, "LONG_WORD", 1)
+    frame = spark.createDataFrame([(bytearray(w.encode()),) for w in words], "word binary").repartition(4)
+    for r in bpe.encode_words(frame, ranks).collect():
+        assert r.ids == library.encode(bytes(r.word).decode())
+
+
 def test_quality_trees(docs, empty):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, len(quality.STATISTICS)))
@@ -396,40 +409,46 @@ def test_digest_index_persists(spark):
     assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1  # the index side isn't shuffled
 
 
-def test_kneser_ney_equals_brute_force(spark, docs, empty):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_equals_brute_force(spark, docs, empty, order):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["a", "b", "B", "c", "dd", "é", "e" * rng.randrange(1, 4)]) for _ in range(rng.randrange(30)))) for i in range(60)]
     frame = spark.createDataFrame(rows + [(60, None), (61, ""), (62, "zz unknown\x0bwords")], "doc_id long, text string")
-    model = kneser_ney.fit(frame.filter("doc_id < 50"))
-    count, pairs = Counter(), Counter()
+    model = kneser_ney.fit(frame.filter("doc_id < 50"), order)
     words = lambda t: (t or "").encode().lower().split() + ["end"]
+    pad = ["start"] * (order - 1)
+    word_count, grams = Counter(), {k: Counter() for k in range(1, order + 1)}
     for _, t in rows[:50]:
-        count.update(words(t))
-        pairs.update(zip(["start", *words(t)], words(t), strict=False))
-    types, total, followers = Counter(b for _, b in pairs), Counter(), defaultdict(Counter)
-    for (a, _), n in pairs.items():
-        total[a] += n
-        followers[a][min(n, 3)] += 1
-    d2 = kneser_ney.discounts([sum(v == k for v in pairs.values()) for k in (1, 2, 3, 4)])
-    d1 = kneser_ney.discounts([sum(v == k for v in types.values()) for k in (1, 2, 3, 4)])
-    reserve = sum(d1[min(v, 3) - 1] for v in types.values()) / len(pairs)
-    alone = lambda w: (types[w] - d1[min(types[w], 3) - 1] if types[w] else 0) / len(pairs) + reserve / (len(count) + 1)
-
-    def p(a, w):
-        if not total[a]:
-            return alone(w)
-        n = pairs[(a, w)]
-        return (n - d2[min(n, 3) - 1] if n else 0) / total[a] + sum(d2[k - 1] * c for k, c in followers[a].items()) / total[a] * alone(w)
-
-    assert abs(sum(p("start", w) for w in count) + p("start", "?") - 1) < 1e-9
+        own = words(t)
+        word_count.update(own)
+        grams[order].update(tuple((pad + own)[i : i + order]) for i in range(len(own)))
+    for k in range(order - 1, 0, -1):  # distinct words before; raw counts where a text begins
+        for g, n in grams[k + 1].items():
+            grams[k][g[1:]] += n if g[1] == "start" else 1
+    d = {k: kneser_ney.discounts([sum(v == c for v in grams[k].values()) for c in (1, 2, 3, 4)]) for k in grams}
+    less = lambda k, n: d[k][min(n, 3) - 1] if n else 0
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            total = sum(grams[1].values())
+            return (grams[1][g] - less(1, grams[1][g])) / total + sum(less(1, n) for n in grams[1].values()) / total / (len(word_count) + 1)
+        after = [n for x, n in grams[k].items() if x[:-1] == g[:-1]]
+        if not after:
+            return p(g[1:])
+        return (grams[k][g] - less(k, grams[k][g])) / sum(after) + sum(less(k, n) for n in after) / sum(after) * p(g[1:])
+
+    for context in (pad, (pad + [b"a", b"b"])[1 - order :]):
+        assert abs(sum(p((*context, w)) for w in word_count) + p((*context, "?")) - 1) < 1e-9
     texts = {r.doc_id: r.text for r in frame.collect()}
     for r in kneser_ney.score_documents(frame, model).collect():
         own = words(texts[r.doc_id])
-        assert r.n_tokens == len(own) and r.n_known == sum(w in count for w in own)
-        assert np.isclose(r.base_score, sum(np.log10((count[w] + 1) / (sum(count.values()) + len(count) + 1)) for w in own))
-        assert np.isclose(r.score, sum(np.log10(p(a, w)) for a, w in zip(["start", *own], own, strict=False)))
-    assert kneser_ney.score_documents(docs, kneser_ney.fit(empty)).count() == len(TEXTS) + 2
-    assert kneser_ney.score_documents(empty, model).count() == 0
+        assert r.n_tokens == len(own) and r.n_known == sum(w in word_count for w in own)
+        assert np.isclose(r.base_score, sum(np.log10((word_count[w] + 1) / (sum(word_count.values()) + len(word_count) + 1)) for w in own))
+        assert np.isclose(r.score, sum(np.log10(p(tuple((pad + own)[i : i + order]))) for i in range(len(own))))
+    if order == 2:
+        assert kneser_ney.score_documents(docs, kneser_ney.fit(empty)).count() == len(TEXTS) + 2
+        assert kneser_ney.score_documents(empty, model).count() == 0
 
 
 def test_crc_folds(spark):

@@ -1,9 +1,18 @@
-"""The registered queries over the smallest tables."""
+"""The registered queries over the smallest tables: contract columns by brute force, pair by pair or row by row."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
+from tokenizers import Tokenizer
 
-from lotwise.llm import registry
+from lotwise.llm import bpe, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +45,159 @@ def test_pipeline_keeps_clean_documents(spark):
     assert left <= set(before) and len(left) > 0.7 * len(before)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == left
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
+    assert len({i for i, _ in rows}) == len(rows) == 200
+    return {i: t or "" for i, t in rows}
+
+
+@pytest.fixture(scope="module")
+def labels():
+    return {i: (q, t) for i, q, t in duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{SF}/labels.parquet'").fetchall()}
+
+
+def rows_of(spark, name, folder=SF):
+    return registry.queries()[name](spark, folder).collect()
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_op1(spark, texts):
+    library, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    found = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rows_of(spark, "op1_token_planes")}
+    assert found.keys() == texts.keys()
+    for i, text in texts.items():
+        ids = library.encode(text, add_special_tokens=False).ids + [2]
+        assert found[i] == (at, len(ids), crc(ids))
+        at += len(ids)
+
+
+def test_op2(spark, texts):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows_of(spark, "op2_packing"):
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert pieces.keys() == texts.keys()
+    for i, text in texts.items():
+        ids, at = library.encode(text, add_special_tokens=False).ids + [1], 0
+        for r in sorted(pieces[i], key=lambda r: r.start):  # each id in exactly one piece
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == crc(ids[at : at + r.length])
+            at += r.length
+        assert at == len(ids)
+    padded = 0
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 2048
+        padded += 0 if at & (at - 1) == 0 else 2048 - at
+    assert padded == 0
+
+
+def grams(text, n=5):
+    words = text.lower().encode().split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
+
+
+def test_op3(spark, texts):
+    sets = {i: grams(t) for i, t in texts.items()}
+    links, parent = Counter(), {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))):
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    found = {(r.doc_id, r.class_id, r.n_links, r.component_id, r.kept) for r in rows_of(spark, "op3_jaccard_join")}
+    assert found == {(i, first[frozenset(sets[i])], links[i], root(i), root(i) == i) for i in sets}
+
+
+@pytest.mark.parametrize("name,modulus,fold,column,least", [("op4_toxicity", 4, 2, 1, 0.85), ("op8_quality", 5, 0, 0, 0.95)])
+def test_classifiers_on_held_out_labels(spark, name, modulus, fold, column, least):
+    """Ranking and the decision at 0.3 on labelled documents that the fit never saw, of a tenth of the tables."""
+    folder = "/root/testdata/sf0.1"
+    known = {i: x[column] for *x, i in duckdb.sql(f"SELECT quality, toxic, doc_id FROM '{folder}/labels.parquet'").fetchall() if x[column] is not None}
+    rows = rows_of(spark, name, folder)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == fold) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    held = [(r.score, r.predicted, known[r.doc_id]) for r in rows if r.held_out and r.doc_id in known]
+    good, bad = [s for s, _, y in held if y], [s for s, _, y in held if not y]
+    auc = np.mean([(s > np.array(bad)).mean() + (s == np.array(bad)).mean() / 2 for s in good])
+    hits = sum(p and y for _, p, y in held)
+    precision, recall = hits / max(1, sum(p for _, p, _ in held)), hits / len(good)
+    print(f"{name}: {len(held)} held-out rows, AUC {auc:.3f}, precision {precision:.3f}, recall {recall:.3f}")
+    assert len(held) > 500 and auc > 0.95 and precision > least and recall > least
+
+
+def test_op5(spark, texts):
+    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = [("assign", f"(?:{word})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12, 1), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0)]
+    found = {r.doc_id: r for r in rows_of(spark, "op5_secrets")}
+    assert found.keys() == texts.keys()
+    for i, text in texts.items():
+        spans = [(m.start(), k, m.end(), kind) for k, (kind, pattern, least, group) in enumerate(kinds) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+        written = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans))
+        n = Counter(s[3] for s in spans)
+        r = found[i]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (n["assign"], n["access"], n["hex"], hashlib.sha256(written.encode()).hexdigest())
+        assert set(filter(None, written.split(","))) <= set(r.spans.split(","))
+
+
+def test_op7(spark, texts):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows_of(spark, "op7_bpe")}
+    want = {}
+    for i, text in texts.items():
+        ids = library.encode_ordinary(text)
+        want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert found == want
+
+
+def test_op10(spark, texts):
+    words = {i: t.encode().lower().split() + ["end"] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    count = Counter(w for i, own in words.items() if not held[i] for w in own)
+    total = sum(count.values())
+    found = {r.doc_id: r for r in rows_of(spark, "op10_kneser_ney")}
+    assert found.keys() == texts.keys()
+    for i, own in words.items():
+        r = found[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(own), sum(w in count for w in own), total)
+        assert np.isclose(r.base_score, sum(np.log10((count[w] + 1) / (total + len(count) + 1)) for w in own)) and r.score < 0
+    rate = {h: sum(found[i].score for i in words if held[i] == h) / sum(len(words[i]) for i in words if held[i] == h) for h in (False, True)}
+    assert rate[False] > rate[True]  # trained texts are likelier
+
+
+def test_stages_with_clashing_names_null_rows_and_nothing(spark):
+    """Every filtering stage keeps foreign columns of any name and does not fail on an empty table."""
+    import corpus_pipeline
+
+    odd = ["key", "row", "a.b", "_copy_key", "_kept_id", "kept_text", "statistics", "hex", "spans", "masked", "text_sha256", "start", "label", "tick`"]
+    values = [(1, "one two three four five six", 3), (2, "One two  three four five six", 3), (None, None, None), (None, "", None), (1, "one two three four five six", 3), (3, "password=abcdefghijklmnop1 x", 4)]
+    rows = [(i, t, n, *[k] * len(odd)) for k, (i, t, n) in enumerate(values)]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` int" for c in odd)
+    frame = spark.createDataFrame(rows, schema)
+    left = {"toxicity": 6, "exact dedup": 4, "n-gram Jaccard join": 3, "secret scans": 6}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, frame, SF)
+        assert kept.columns == frame.columns and kept.count() == left[name], name
+        assert stage(spark, frame.limit(0), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() > 0
