@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,10 @@ from .tokenize import LETTERS, PIECES, SPACES
 UNRANKED = 2**31 - 1
 #: Buckets of the rank table's perfect hash, as a power of two.
 BUCKET_BITS = 14
+#: Words of more bytes are folded in parts.
+LONG_WORD = 512
+#: Distinct words for which there is a dictionary part, and the bits of the least number of parts.
+PART_WORDS, LEAST_BITS = 131_072, 5
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -76,6 +81,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _chosen(place: Column, value: Column, changes: tuple) -> Column:
+    """The new value of the first of ``changes`` (place, value) that is at ``place``, else ``value``."""
+    for where, new in reversed(changes):
+        value = F.when(place == where, new).otherwise(value)
+    return value
+
+
 class Ranks:
     """A rank table as literal columns: token bytes by rank, and ranks by slot of a perfect hash."""
 
@@ -124,7 +136,69 @@ class Ranks:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hex_literal, i)), ""))
 
     def fold(self, word: Column) -> Column:
-        """The fold of ranked merges over a word's bytes.
+        """The fold of ranked merges over a word's bytes, by :meth:`fold_in_parts` if there are many."""
+        n = F.octet_length(word)
+        return F.when(n > LONG_WORD, let(F.ceil(F.sqrt(n)).cast("int"), lambda width: self.fold_in_parts(word, width))).otherwise(self.fold_whole(word))
+
+    def fold_in_parts(self, word: Column, width: Column) -> Column:
+        """The same merges over parts of ``width`` byte places, for long words.
+
+        A merge in one array copies it, so time grows with the square of the length. Here every place holds
+        where its piece ends (0 if no piece starts there), where the piece before starts, and the rank of the
+        pair it begins; a part knows its lowest rank. A merge looks through the parts' lowest ranks and copies only
+        the parts of the places that it changes, so time grows with the power 1.5.
+        """
+        n = F.octet_length(word)
+        part_of, spot = (lambda p: F.floor((p - 1) / width).cast("int")), (lambda p: F.pmod(p - 1, width))
+        at = lambda parts, field, p: F.get(F.get(parts, part_of(p))[field], spot(p))
+        piece = lambda first, end: F.substring(word, first, end - first)
+
+        def part(ends: Column, before: Column, ranks: Column) -> Column:
+            return let(ranks, lambda r: F.struct(ends.alias("ends"), before.alias("before"), r.alias("ranks"), F.array_min(r).alias("low")))
+
+        def first_state(q: Column) -> Column:
+            ranks = lambda places: F.transform(places, lambda p: F.when(p < n, self.rank(F.substring(word, p, F.lit(2)))).otherwise(F.lit(UNRANKED)))
+            whole = lambda places: part(F.transform(places, lambda p: p + 1), F.transform(places, lambda p: p - 1), ranks(places))
+            return let(F.sequence(q * width + 1, F.least((q + 1) * width, n)), whole)
+
+        def merge(parts: Column, _: Column) -> Column:
+            def join(m: Column) -> Column:
+                i, j, k, h = m["i"], m["j"], m["k"], m["h"]
+
+                def changed(own: Column, q: Column) -> Column:
+                    set_at = lambda values, *changes: F.transform(values, lambda v, o: _chosen(q * width + o + 1, v, changes))
+                    touched = (q == part_of(i)) | (q == part_of(j)) | (q == part_of(k)) | (q == part_of(h))
+                    new = part(set_at(own["ends"], (i, k), (j, F.lit(0))), set_at(own["before"], (k, i)), set_at(own["ranks"], (i, m["after"]), (j, F.lit(UNRANKED)), (h, m["ahead"])))
+                    return F.when(touched, new).otherwise(own)
+
+                return F.transform(parts, changed)
+
+            def ranked(m: Column) -> Column:
+                i, k, h = m["i"], m["k"], m["h"]
+                after = F.when(k <= n, self.rank(piece(i, at(parts, "ends", k)))).otherwise(F.lit(UNRANKED))
+                return let(F.struct(i.alias("i"), m["j"].alias("j"), k.alias("k"), h.alias("h"), after.alias("after"), self.rank(piece(h, k)).alias("ahead")), join)
+
+            def around(i: Column) -> Column:
+                ends = lambda j: F.struct(i.alias("i"), j.alias("j"), at(parts, "ends", j).alias("k"), at(parts, "before", i).alias("h"))
+                return let(at(parts, "ends", i), lambda j: let(ends(j), ranked))
+
+            def lowest(lows: Column) -> Column:
+                low = F.array_min(lows)
+                q = F.array_position(lows, low).cast("int") - 1
+                place = q * width + F.array_position(F.get(parts, q)["ranks"], low).cast("int")
+                return F.when(low == UNRANKED, parts).otherwise(let(place, around))
+
+            return let(F.transform(parts, lambda own: own["low"]), lowest)
+
+        def ids(parts: Column) -> Column:
+            of = lambda own, q: F.transform(own["ends"], lambda end, o: F.when(end > 0, self.rank(piece(q * width + o + 1, end))))
+            return F.filter(F.flatten(F.transform(parts, of)), lambda rank: rank.isNotNull())
+
+        start = F.transform(F.sequence(F.lit(0), part_of(n)), first_state)
+        return F.aggregate(F.sequence(F.lit(1), n - 1), start, merge, ids)
+
+    def fold_whole(self, word: Column) -> Column:
+        """The fold over a word of moderate length.
 
         Its state are the places where pieces start (with the end) and the rank of each piece joined with
         the next; a merge drops a start and ranks the joined piece with its neighbours.
@@ -286,7 +360,7 @@ def text_encoder(folder: str, pattern: str, names: tuple, bits: int) -> TextEnco
     return TextEncoder(folder, pattern, names, bits)
 
 
-def encode_texts(docs: DataFrame, ranks_file: str, pattern: str, word_bits: int = 5) -> DataFrame:
+def encode_texts(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int>, ids_le binary (uint32, little-endian) of every whole text.
 
     Null and empty texts have no ids; a word of any length is folded whole; rows that repeat are encoded
@@ -294,10 +368,13 @@ def encode_texts(docs: DataFrame, ranks_file: str, pattern: str, word_bits: int
     """
     spark = docs.sparkSession
     folder = shared.new_folder(spark, "bpe-words")
-    encoded = encode_words(distinct_words(docs, pattern), read_ranks(ranks_file))
+    words = shared.written(distinct_words(docs, pattern), "bpe-distinct")
+    word_bits = max(LEAST_BITS, math.ceil(math.log2(max(words.count(), 1) / PART_WORDS)))
+    encoded = encode_words(words, read_ranks(ranks_file))
     index: dict[int, list[str]] = {}
     for row in write_dictionary(encoded, folder, word_bits).collect():  # names of some files per part, no data
         index.setdefault(row.part, []).append(row.name)
+    shared.discard(words)
     names = tuple((part, tuple(files)) for part, files in sorted(index.items()))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
