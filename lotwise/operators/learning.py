@@ -60,7 +60,7 @@ def _classes(spark: SparkSession, sf_dir: str) -> list[str]:
 def logit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _classes(spark, sf_dir)
     found = predict(feature_vectors(spark, sf_dir), example_weights(names), names)
-    probs = F.array_join(F.transform("class_probs", lambda p: F.format_number(p, 4)), ",")
+    probs = F.array_join(F.transform("class_probs", lambda p: F.format_number(p, 6)), ",")
     return found.select("panel_id", "defect_key", "defect_type", "predicted", "probability", probs.alias("class_probs"), (F.col("predicted") == F.col("defect_type")).alias("correct"))
 
 
@@ -242,7 +242,7 @@ _FV = PREFIX + """, fv AS (SELECT panel_id, defect_key, defect_type, 1.0::DOUBLE
 _SCORE = "0.0::DOUBLE + " + " + ".join(f"{f} * (((i * 7 + {j * 3}) % 11 - 5) / 8.0::DOUBLE)" for j, f in enumerate(FEATURES))
 _LP = _FV + f""", cl AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part)), fr AS (SELECT *, row_number() OVER () AS rid FROM fv),
 sc AS (SELECT rid, panel_id, defect_key, defect_type, p_type, i, {_SCORE} AS s FROM fr CROSS JOIN cl), ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY rid)) AS e FROM sc), pr AS (SELECT *, round(e / sum(e) OVER (PARTITION BY rid), 6) AS p FROM ex),
-lp AS (SELECT panel_id, defect_key, defect_type, first(p_type ORDER BY s DESC, i) AS predicted, max(p) AS probability, string_agg(printf('%.4f', p), ',' ORDER BY i) AS class_probs, first(p_type ORDER BY s DESC, i) = defect_type AS correct FROM pr GROUP BY rid, panel_id, defect_key, defect_type)"""
+lp AS (SELECT panel_id, defect_key, defect_type, first(p_type ORDER BY s DESC, i) AS predicted, max(p) AS probability, string_agg(printf('%.6f', p), ',' ORDER BY i) AS class_probs, first(p_type ORDER BY s DESC, i) = defect_type AS correct FROM pr GROUP BY rid, panel_id, defect_key, defect_type)"""
 ORACLE_SQL = {
     "feature_vectors": _FV + " SELECT * FROM fv",
     "logit_predict": _LP + " SELECT * FROM lp",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import yield_models as ym
+from lotwise.operators.listing import where_equal
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
 
@@ -33,13 +34,24 @@ def _types(found: DataFrame, *keys: str) -> DataFrame:
     return found.groupBy(*keys, "defect_type").agg(F.count("*").alias("n"), F.avg("size").alias("avg_size"), F.avg("confidence_score").alias("avg_confidence"))
 
 
-def pareto_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defect types per substrate, system_a on active dies."""
-    dies = fab.components(spark, sf_dir).filter("active").groupBy("substrate_type").agg(F.count("*").alias("dies"))
-    types = fab.with_profile(_types(fab.active_defects(spark, sf_dir), "substrate_type").join(F.broadcast(dies), "substrate_type"))  # two rows
+def pareto(spark: SparkSession, sf_dir: str, panel_id: str | None = None, substrate_type: str | None = None, source_system: str = "system_a") -> DataFrame:
+    """Defect types per substrate on active dies, of one panel or substrate if named; dies are counted in the same scope."""
+    scope = {"panel_id": panel_id, "substrate_type": substrate_type}
+    dies = where_equal(fab.components(spark, sf_dir).filter("active"), **scope).groupBy("substrate_type").agg(F.count("*").alias("dies"))
+    found = where_equal(fab.active_defects(spark, sf_dir, source_system), **scope)
+    types = fab.with_profile(_types(found, "substrate_type").join(F.broadcast(dies), "substrate_type"))  # two rows
     return rank_types(types.withColumn("area", F.col("dies") * F.col("pitch") * F.col("pitch")), ["substrate_type"])
 
 
+def pareto_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto(spark, sf_dir)
+
+
+def pareto_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """system_b's types on one panel."""
+    return pareto(spark, sf_dir, panel_id="P3", source_system="system_b")
+
+
 def pareto_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within each region of a substrate."""
     keys = ["substrate_type", "region_id"]
@@ -96,7 +108,7 @@ def pareto_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "pareto_overall": pareto_overall, "pareto_zone": pareto_zone, "system_comparison": system_comparison,
+    "pareto_overall": pareto_overall, "pareto_panel": pareto_panel, "pareto_zone": pareto_zone, "system_comparison": system_comparison,
     "lot_pareto_trend": lot_pareto_trend, "pareto_direction": pareto_direction,
 }
 
@@ -121,6 +133,9 @@ ORACLE_SQL = {
     "pareto_overall": _ranked("substrate_type", """SELECT a.substrate_type, defect_type, count(*) AS n, avg(size) AS avg_size, avg(confidence_score) AS avg_confidence, any_value(pitch) AS pitch,
   any_value(dies * pitch * pitch) AS area FROM active_a a JOIN dim_profile USING (substrate_type)
   JOIN (SELECT substrate_type, count(*) AS dies FROM components WHERE active GROUP BY 1) USING (substrate_type) GROUP BY a.substrate_type, defect_type"""),
+    "pareto_panel": _ranked("substrate_type", """SELECT a.substrate_type, defect_type, count(*) AS n, avg(size) AS avg_size, avg(confidence_score) AS avg_confidence, any_value(pitch) AS pitch,
+  any_value(dies * pitch * pitch) AS area FROM (SELECT d.* FROM defects d JOIN components c USING (panel_id, component_row, component_col) WHERE c.active AND panel_id = 'P3' AND source_system = 'system_b') a
+  JOIN dim_profile USING (substrate_type) CROSS JOIN (SELECT count(*) AS dies FROM components WHERE active AND panel_id = 'P3') GROUP BY a.substrate_type, defect_type"""),
     "pareto_zone": _ranked("substrate_type, region_id", """SELECT a.substrate_type, a.region_id, defect_type, count(*) AS n, avg(size) AS avg_size, avg(confidence_score) AS avg_confidence, any_value(pitch) AS pitch,
   any_value(greatest(dies, 1) * pitch * pitch) AS area FROM active_a a JOIN dim_profile USING (substrate_type)
   JOIN (SELECT substrate_type, region_id, count(*) AS dies FROM components WHERE active GROUP BY ALL) USING (substrate_type, region_id) GROUP BY a.substrate_type, a.region_id, defect_type"""),

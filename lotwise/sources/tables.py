@@ -13,7 +13,7 @@ from lotwise.functions.lineage import cut, scratch
 from lotwise.operators.lots import latest_per_key
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
-from lotwise.sources.csv_records import read_defect_csv, write_defect_csv
+from lotwise.sources.csv_records import read_defect_csv, read_mapped_csv, write_defect_csv
 
 #: Fixed names.
 DEFECT_KEY = ["panel_id", "component_row", "component_col", "source_system", "defect_type", "x", "y"]
@@ -55,7 +55,12 @@ def merge_columns(existing: DataFrame, new: DataFrame, key: list[str], columns:
     """Inserts new keys; for known ones updates only ``columns``, and those only where the new value is not null."""
     renamed = new.select(*key, *(F.col(c).alias(f"_new_{c}") for c in new.columns if c not in key))
     rows = existing.withColumn("_old", F.lit(True)).join(renamed, key, "full")
-    pick = lambda c: F.when(F.col("_old").isNull(), F.col(f"_new_{c}")).otherwise(F.coalesce(f"_new_{c}", c) if c in columns else F.col(c))
+
+    def pick(c: str) -> Column:
+        if c not in new.columns:
+            return F.col(c)
+        return F.when(F.col("_old").isNull(), F.col(f"_new_{c}")).otherwise(F.coalesce(f"_new_{c}", c) if c in columns else F.col(c))
+
     return rows.select(*key, *(pick(c).alias(c) for c in existing.columns if c not in key))
 
 
@@ -162,6 +167,27 @@ def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(*read, rows, files)], "first_read long, second_read long, rows long, not_processed long")
 
 
+def mapped_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects written as a vendor's semicolon file with its own names, units and codes, and read by a mapping."""
+    folder = scratch(spark, "vendor")
+    rows = fab.defects(spark, sf_dir)
+    code = F.when(F.col("source_system") == "system_a", "A").otherwise("")
+    vendor = rows.select(
+        F.col("lot_id").alias("LOT"), F.col("panel_id").alias("WAF"), "component_row", "component_col", code.alias("TOOL"), F.col("defect_type").alias("KIND"), "x", "y",
+        F.round(F.col("size") * 1000).cast("int").alias("UM"), F.round(F.col("confidence_score") * 100).cast("int").alias("PCT"),
+    )
+    vendor.write.option("header", True).option("sep", ";").csv(folder)
+    config = {
+        "delimiter": ";",
+        "columns": {
+            "panel_id": {"template": "{LOT}_{WAF}"}, "component_row": "component_row", "component_col": {"column": "component_col", "type": "int"}, "defect_type": "KIND", "x": {"column": "x", "type": "float"},
+            "source_system": {"column": "TOOL", "default": "B", "map": {"A": "system_a", "B": "system_b"}}, "y": {"column": "y", "type": "float", "scale": 2}, "size": {"column": "UM", "type": "float", "scale": 0.001},
+            "confidence_score": {"column": "PCT", "type": "int", "scale": 0.01},
+        },
+    }
+    return read_mapped_csv(spark, f"{folder}/part-*", config).select("panel_id", "component_row", "component_col", "source_system", "defect_type", "x", "y", "size", "confidence_score")
+
+
 def table_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that two copies of the tables add."""
     source = {"panels": fab.panels(spark, sf_dir), "components": fab.components(spark, sf_dir), "defects": fab.defects(spark, sf_dir)}
@@ -183,7 +209,7 @@ def product_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_specs(left.drop("p_partkey"))
 
 
-QUERIES = {f.__name__: f for f in (upsert_defects, replaced_lots, estimate_history, ingest_ledger, table_copy, product_specs)}
+QUERIES = {f.__name__: f for f in (upsert_defects, replaced_lots, estimate_history, ingest_ledger, mapped_csv, table_copy, product_specs)}
 _KEYS = "SELECT DISTINCT " + ", ".join(DEFECT_KEY) + " FROM defects"
 ORACLE_SQL = {
     "upsert_defects": PREFIX + """, k AS (SELECT panel_id, component_row, component_col, source_system, defect_type, x, y, min(created_at) AS t FROM defects WHERE panel_no > 10 GROUP BY ALL)
@@ -193,6 +219,8 @@ SELECT lot_id, coalesce(process_step, 'created') AS process_step, coalesce(versi
     "estimate_history": PREFIX + """SELECT panel_id, panel_no, CASE WHEN panel_no % 2 = 0 THEN count(*) + 1000 ELSE count(*) END AS n,
   CASE WHEN panel_no % 2 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS calculated_at FROM defects GROUP BY panel_id, panel_no""",
     "ingest_ledger": PREFIX + f"SELECT count(*) AS first_read, 0::BIGINT AS second_read, (SELECT count(*) FROM ({_KEYS})) AS rows, 0::BIGINT AS not_processed FROM defects",
+    "mapped_csv": PREFIX + """SELECT lot_id || '_' || panel_id AS panel_id, component_row, component_col, source_system, defect_type, x, y * 2 AS y, round(size * 1000) * 0.001::DOUBLE AS size,
+  round(confidence_score * 100)::INT * 0.01::DOUBLE AS confidence_score FROM defects""",
     "table_copy": PREFIX + f"SELECT 'panels' AS table_name, count(*) AS first_copy, 0::BIGINT AS second_copy FROM panels UNION ALL SELECT 'components', count(*), 0 FROM components UNION ALL SELECT 'defects', count(*), 0 FROM ({_KEYS})",
     "product_specs": """SELECT 'S' || p_partkey AS spec_id, p_name AS product_name, (p_size + (p_partkey % 3 = 0)::INT)::DOUBLE AS die_width_mm, (p_size * 2)::DOUBLE AS die_height_mm,
   CASE WHEN p_partkey % 3 = 0 THEN 'changed' END AS notes, make_timestamp((1700000000 + p_partkey) * 1000000) AS created_at, (p_size + (p_partkey % 3 = 0)::INT)::DOUBLE * (p_size * 2) AS die_area_mm2 FROM part WHERE p_partkey % 7 <> 0""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.plans.fab_view import table
-from lotwise.sources.tables import first_writer_wins
+from lotwise.sources.tables import first_writer_wins, read_or_empty
 
 
 def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -32,22 +32,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "10 mi
     return agg.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def ingest_stream(new: DataFrame, target: str, key: list[str], order: list[str], checkpoint: str):
+def ingest_stream(new: DataFrame, target: str, key: list[str], order: list[str], checkpoint: str, within: str | None = None):
     """Appends a stream of records to a Parquet table, each batch against what the table holds.
 
-    A batch that is run again finds its rows there and adds none.
+    A batch that is run again finds its rows there and adds none. ``within`` names a column that the key
+    determines (a day, say): the table is partitioned by it, and a batch reads the keys of its own partitions alone.
     """
 
     def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            existing = spark.read.schema(batch.schema).parquet(target)
-            existing.limit(1).count()
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            existing = batch.limit(0)
-        first_writer_wins(existing, batch, key, order).write.mode("append").parquet(target)
+        existing = read_or_empty(batch.sparkSession, target, batch)
+        if within:
+            touched = [r[0] for r in batch.select(within).distinct().collect()]  # partitions of one batch
+            existing = existing.filter(F.col(within).isin(touched))
+        added = first_writer_wins(existing, batch, key, order).write.mode("append")
+        (added.partitionBy(within) if within else added).parquet(target)
 
     return new.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

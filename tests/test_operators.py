@@ -288,6 +288,9 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # a second run over the same files adds nothing
         new = event_windows.read_events(spark, str(tmp_path / "in"), events.schema)
         event_windows.ingest_stream(new, str(tmp_path / "out"), ["event_id"], ["ts"], str(tmp_path / f"c{_}")).awaitTermination(120)
+        by_day = new.withColumn("day", F.to_date("ts"))
+        event_windows.ingest_stream(by_day, str(tmp_path / "days"), ["event_id", "day"], ["ts"], str(tmp_path / f"d{_}"), within="day").awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "days")).count() == events.select("event_id", F.to_date("ts")).distinct().count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("event_id").distinct().count()
 
 
