@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -175,18 +176,28 @@ def match_die(a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
 def match_systems(found: DataFrame) -> DataFrame:
     """panel_id, a_key, b_key, distance of system_a defects matched with system_b ones, die by die.
 
-    A die is the unit within which order counts, so it is the group; defects go in key order.
+    A die is the unit within which order counts, so one die is all that a task holds; defects go in key order.
     """
 
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values(["defect_key", "x", "y"], kind="stable")
-        rows = [(frame.panel_id.iloc[0], *r) for r in match_die(ordered[ordered.source_system == "system_a"], ordered[ordered.source_system == "system_b"])]
+    die = ["panel_id", "component_row", "component_col"]
+
+    def matches(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [(key[0], *r) for key, own in frame.groupby(die, sort=False) for r in match_die(own[own.source_system == "system_a"], own[own.source_system == "system_b"])]
         return pd.DataFrame(rows, columns=["panel_id", "a_key", "b_key", "distance"])
 
-    # A die without both systems has no match and needs no call.
-    die = ["panel_id", "component_row", "component_col"]
-    both = found.groupBy(*die).agg(F.count_distinct("source_system").alias("k")).filter("k = 2").select(*die)
-    return found.join(both, die, "left_semi").groupBy(*die).applyInPandas(match, "panel_id string, a_key string, b_key string, distance double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the die that the batches so far end with
+        for frame in frames:
+            rest = pd.concat([*held, frame]) if held else frame
+            last = (rest[die] == rest[die].iloc[-1]).all(axis=1)
+            yield matches(rest[~last])
+            held = [rest[last]]
+        if held:
+            yield matches(held[0])
+
+    # Dies follow one another in a task, so a call per die and a group per panel are both avoided.
+    dealt = found.repartition(*die).sortWithinPartitions(*die, "defect_key", "x", "y")
+    return dealt.mapInPandas(run, "panel_id string, a_key string, b_key string, distance double")
 
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
