@@ -26,8 +26,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """``df`` written to the shared folder and read back.
+
+    A written table is computed once, where a checkpoint computes twice, and brings no inferred constraints
+    along, which pile up over the rounds of a loop.
+    """
+    spark = df.sparkSession
+    where = scratch(spark, "cut")
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import yield_models as ym
@@ -22,12 +22,17 @@ def die_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rounded(fraction: Column) -> Column:
+    """Six digits, by way of ten, so that a mean on the edge of a digit doesn't depend on the order of summing."""
+    return F.round(F.round(fraction, 10), 6)
+
+
 def critical_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean critical fraction per panel over all system_a defects; the layout density without any."""
     found = fab.with_profile(fab.defects(spark, sf_dir).filter("source_system = 'system_a'"))
     mean = found.groupBy("panel_id").agg(F.avg(ym.critical_fraction(F.col("size"), F.col("layout_density"), F.col("min_feature"))).alias("fraction"))
     every = fab.with_profile(fab.panels(spark, sf_dir)).join(mean, "panel_id", "left")
-    return every.select("panel_id", "substrate_type", F.coalesce(F.round("fraction", 6), "layout_density").alias("critical_fraction"))
+    return every.select("panel_id", "substrate_type", F.coalesce(rounded(F.col("fraction")), "layout_density").alias("critical_fraction"))
 
 
 def die_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +52,7 @@ def yields_of_dies(dies: DataFrame) -> DataFrame:
     n = F.when(F.col("active"), F.col("n"))
     sums = dies.groupBy("panel_id").agg(
         F.max("substrate_type").alias("substrate_type"), F.count(n).alias("inspected_dies"), F.sum(n).alias("defect_count"), F.avg(n).alias("mean_n"), F.var_samp(n).alias("var_n"),
-        F.round(F.sum("fraction") / F.nullif(F.sum("n"), F.lit(0)), 6).alias("fraction"),
+        rounded(F.sum("fraction") / F.nullif(F.sum("n"), F.lit(0))).alias("fraction"),
     )
     area = F.col("pitch") * F.col("pitch")
     base = (
@@ -115,7 +120,7 @@ QUERIES = {"panel_yield": panel_yield, "die_counts": die_counts, "critical_area"
 DIES = """, counts AS (SELECT panel_id, component_row, component_col, count(*) AS n FROM defects WHERE source_system = 'system_a' GROUP BY ALL),
 dies AS (SELECT c.panel_id, c.substrate_type, c.lot_id, c.component_row, c.component_col, c.region_id, coalesce(n, 0)::BIGINT AS n_defects
          FROM components c LEFT JOIN counts USING (panel_id, component_row, component_col) WHERE c.active),
-ca AS (SELECT p.panel_id, p.substrate_type, coalesce(round(f, 6), layout_density) AS critical_fraction FROM panels p JOIN dim_profile USING (substrate_type)
+ca AS (SELECT p.panel_id, p.substrate_type, coalesce(round(round(f, 10), 6), layout_density) AS critical_fraction FROM panels p JOIN dim_profile USING (substrate_type)
        LEFT JOIN (SELECT panel_id, avg(CASE WHEN size <= 0 THEN layout_density ELSE least(1.0::DOUBLE, layout_density * (1 + size / min_feature)) END) AS f
                   FROM defects JOIN dim_profile USING (substrate_type) WHERE source_system = 'system_a' GROUP BY 1) USING (panel_id)),
 py0 AS (SELECT panel_id, substrate_type, count(*) AS inspected_dies, sum(n_defects)::BIGINT AS defect_count, avg(n_defects) AS m, var_samp(n_defects) AS v FROM dies GROUP BY ALL),
