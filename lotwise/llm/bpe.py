@@ -269,8 +269,8 @@ def reordered(values: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple
     return values[np.arange(at[-1]) + np.repeat(begin - at[:-1], sizes)], at
 
 
-def write_dictionary(encoded: DataFrame, folder: str, bits: int) -> DataFrame:
-    """Stores word -> ids as sorted hash arrays; returns part, name."""
+def write_dictionary(words: DataFrame, ranks: dict[bytes, int], folder: str, bits: int) -> DataFrame:
+    """Stores word -> ids as sorted hash arrays; returns part, name. Words are folded in the task that stores them."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, words, sizes, ids, counts = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
@@ -298,8 +298,8 @@ def write_dictionary(encoded: DataFrame, folder: str, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found])], ["part", "name"])
 
     part = F.shiftrightunsigned(F.xxhash64("word"), 64 - bits)
-    dealt = encoded.withColumn("word_part", part).repartition(1 << bits, "word_part").select("word", "ids")
-    return dealt.mapInArrow(write, "part int, name string")
+    dealt = words.withColumn("word_part", part).repartition(1 << bits, "word_part")
+    return encode_words(dealt, ranks).mapInArrow(write, "part int, name string")
 
 
 class TextEncoder:
@@ -370,9 +370,8 @@ def encode_texts(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     folder = shared.new_folder(spark, "bpe-words")
     words = shared.written(distinct_words(docs, pattern), "bpe-distinct")
     word_bits = max(LEAST_BITS, math.ceil(math.log2(max(words.count(), 1) / PART_WORDS)))
-    encoded = encode_words(words, read_ranks(ranks_file))
     index: dict[int, list[str]] = {}
-    for row in write_dictionary(encoded, folder, word_bits).collect():  # names of some files per part, no data
+    for row in write_dictionary(words, read_ranks(ranks_file), folder, word_bits).collect():  # names of some files per part, no data
         index.setdefault(row.part, []).append(row.name)
     shared.discard(words)
     names = tuple((part, tuple(files)) for part, files in sorted(index.items()))
