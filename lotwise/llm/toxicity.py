@@ -272,13 +272,14 @@ def drop_toxic(docs: DataFrame, model: SegmentModel) -> DataFrame:
         score_of = BoundedCache(model.score_of)
         for batch in batches:
             keep = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("row").field("text").to_pylist():
                 words = tokens(text)
                 segments = segments_of(np.fromiter(map(score_of.__getitem__, words), np.float64, len(words)), model.rest)
                 keep.append(model.probability(model.evidence(segments, len(words))) < THRESHOLD)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = shared.row_and_columns(docs)
+    return rows.mapInArrow(run, rows.schema).select(*shared.row_fields(docs))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
