@@ -111,7 +111,7 @@ def panel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dbscan(panel_points(spark, sf_dir).select("panel_id", "idx", "x", "y", "eps"), 3)
+    return dbscan(cut(panel_points(spark, sf_dir).select("panel_id", "idx", "x", "y", "eps")), 3)
 
 
 def classify(labels: DataFrame) -> DataFrame:
@@ -128,9 +128,9 @@ def dbscan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def die_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each die's clustered points and its dominant cluster: the most frequent, then smallest label; -1 if all are noise."""
-    place = panel_points(spark, sf_dir).select("panel_id", "idx", "component_row", "component_col")
-    key = ["panel_id", "component_row", "component_col"]
-    n = dbscan_labels(spark, sf_dir).join(place, ["panel_id", "idx"]).groupBy(*key, "label").agg(F.count("*").alias("n"))
+    points, key = cut(panel_points(spark, sf_dir)), ["panel_id", "component_row", "component_col"]
+    place = points.select("panel_id", "idx", "component_row", "component_col")
+    n = dbscan(points.select("panel_id", "idx", "x", "y", "eps"), 3).join(place, ["panel_id", "idx"]).groupBy(*key, "label").agg(F.count("*").alias("n"))
     top = F.min(F.when(F.col("label") >= 0, F.struct((-F.col("n")).alias("less"), "label")))
     return n.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("label") >= 0, F.col("n"))), F.lit(0)).alias("clustered"), F.coalesce(top["label"], F.lit(-1)).alias("cluster_label"))
 
