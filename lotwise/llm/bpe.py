@@ -163,20 +163,28 @@ class Ranks:
 
         def merge(parts: Column, _: Column) -> Column:
             def join(m: Column) -> Column:
-                i, j, k, h = m["i"], m["j"], m["k"], m["h"]
+                def set_at(values: Column, *changes: tuple) -> Column:
+                    return F.transform(values, lambda v, o: _chosen(o, v, changes))
+
+                def renewed(own: Column) -> Callable[[Column], Column]:
+                    return lambda own_spot: part(
+                        set_at(own["ends"], (own_spot["i"], m["k"]), (own_spot["j"], F.lit(0))), set_at(own["before"], (own_spot["k"], m["i"])),
+                        set_at(own["ranks"], (own_spot["i"], m["after"]), (own_spot["j"], F.lit(UNRANKED)), (own_spot["h"], m["ahead"])),
+                    )
 
                 def changed(own: Column, q: Column) -> Column:
-                    set_at = lambda values, *changes: F.transform(values, lambda v, o: _chosen(q * width + o + 1, v, changes))
-                    touched = (q == part_of(i)) | (q == part_of(j)) | (q == part_of(k)) | (q == part_of(h))
-                    new = part(set_at(own["ends"], (i, k), (j, F.lit(0))), set_at(own["before"], (k, i)), set_at(own["ranks"], (i, m["after"]), (j, F.lit(UNRANKED)), (h, m["ahead"])))
-                    return F.when(touched, new).otherwise(own)
+                    touched = (q == m["qi"]) | (q == m["qj"]) | (q == m["qk"]) | (q == m["qh"])
+                    # Places relative to the part; those of other parts fall outside its range.
+                    own_spots = F.struct(*((m[x] - 1 - q * width).alias(x) for x in "ijkh"))
+                    return F.when(touched, let(own_spots, renewed(own))).otherwise(own)
 
                 return F.transform(parts, changed)
 
             def ranked(m: Column) -> Column:
                 i, k, h = m["i"], m["k"], m["h"]
                 after = F.when(k <= n, self.rank(piece(i, at(parts, "ends", k)))).otherwise(F.lit(UNRANKED))
-                return let(F.struct(i.alias("i"), m["j"].alias("j"), k.alias("k"), h.alias("h"), after.alias("after"), self.rank(piece(h, k)).alias("ahead")), join)
+                places = [m[x].alias(x) for x in "ijkh"] + [part_of(m[x]).alias(f"q{x}") for x in "ijkh"]
+                return let(F.struct(*places, after.alias("after"), self.rank(piece(h, k)).alias("ahead")), join)
 
             def around(i: Column) -> Column:
                 ends = lambda j: F.struct(i.alias("i"), j.alias("j"), at(parts, "ends", j).alias("k"), at(parts, "before", i).alias("h"))
