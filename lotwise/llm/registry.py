@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dup, exact_dedup, kneser_ney, near_dup, packing, quality, secrets, token_planes, toxicity
+from . import bpe, embedding_dup, exact_dedup, kneser_ney, near_dup, packing, quality, secrets, token_planes, toxicity, url_reputation
 
-MODULES = [token_planes, packing, near_dup, toxicity, secrets, embedding_dup, bpe, quality, exact_dedup, kneser_ney]
+MODULES = [token_planes, packing, near_dup, toxicity, secrets, embedding_dup, bpe, quality, exact_dedup, kneser_ney, url_reputation]
 
 
 def queries() -> dict:
