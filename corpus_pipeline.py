@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.documents(spark, sf_dir)
+    docs, done = shared.documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if done is not None:  # only the next stage reads a stage's table
+            shared.discard(done)
+        done = docs
     return docs

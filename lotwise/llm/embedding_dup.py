@@ -102,11 +102,10 @@ def unit_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> Data
             packed, dims = [], []
             for values in batch.column(1).to_pylist():
                 v = np.array(values if values is not None else [], np.float64)  # a null component becomes nan
-                with np.errstate(over="ignore"):
-                    norm = math.sqrt(math.fsum((v * v).tolist())) if len(v) and np.isfinite(v).all() else 0.0
-                if norm and not np.isfinite(norm):
-                    v = v / np.abs(v).max()
-                    norm = np.linalg.norm(v)
+                live = bool(len(v)) and bool(np.isfinite(v).all()) and bool(v.any())
+                if live:  # by a power of two, which is exact: no square leaves the range of doubles
+                    v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+                norm = math.sqrt(math.fsum((v * v).tolist())) if live else 0.0
                 packed.append((v / norm).tobytes() if norm > 0 else None)
                 dims.append(len(v))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], ["id", "dim", "packed"])

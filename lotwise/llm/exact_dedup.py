@@ -28,13 +28,13 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A digest table in the session's catalog: digest, keep_id, keep_chars, group_size.
+    """A digest table in the session's catalog: digest, keep_id, keep_chars, group_size, and the batch that brought it.
 
     ``folder`` places its files; by default they go under the shared folder. Opening a folder that
     already holds an index attaches to it, so an index outlives the session that made it.
     """
 
-    COLUMNS = "text_sha256 STRING, keep_id BIGINT, keep_chars INT, group_size BIGINT"
+    COLUMNS = "text_sha256 STRING, keep_id BIGINT, keep_chars INT, group_size BIGINT, batch STRING"
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 64):
         self.spark, self.buckets = spark, buckets
@@ -53,11 +53,11 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         shared.remove(self.spark, self.folder)
 
-    def append(self, groups: DataFrame) -> None:
-        """Adds the groups (:func:`group_digests`) whose digest is not in the index; those already there stay as they are."""
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Adds the groups (:func:`group_digests`) whose digest is not in the index, under the name ``batch``; those already there stay as they are."""
         unseen = groups.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         (
-            unseen.select("text_sha256", "keep_id", "keep_chars", "group_size")
+            unseen.select("text_sha256", "keep_id", "keep_chars", "group_size", F.lit(batch).alias("batch"))
             .repartition(self.buckets, "text_sha256")
             .write.bucketBy(self.buckets, "text_sha256")
             .sortBy("text_sha256")
@@ -92,18 +92,20 @@ def group_digests(rows: DataFrame) -> DataFrame:
     )
 
 
-def mark_duplicates(rows: DataFrame, groups: DataFrame, index: DigestIndex) -> DataFrame:
+def mark_duplicates(rows: DataFrame, groups: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     """Every row of ``rows`` with its group's keep_id, group_size and whether it is the one kept.
 
+    Only a digest that came with ``batch`` has a row to keep: those that the index held before have theirs already.
+
     ``groups`` are the digests of ``rows``. The rows are dealt to the index's buckets, which stay where
     they are; the few digests that hold a noticeable share of the rows are joined by broadcast instead.
     Of rows that repeat an id within a group, all carry kept where the id is the kept one.
     """
     n_rows = rows.count()
     heavy = groups.filter(F.col("group_size") * shared.HEAVY_SHARE >= n_rows)
-    known = index.read().select("text_sha256", "keep_id", "group_size")
+    known = index.read().select("text_sha256", "keep_id", "group_size", F.col("batch").eqNullSafe(batch).alias("new"))
     return shared.join_by_group(rows, known, heavy, ["text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("new")).alias("kept"), "text_sha256"
     )
 
 
@@ -113,8 +115,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_column: st
     Returns doc_id, keep_id, group_size, kept, text_sha256. Null text counts as empty; empty and
     all-white texts are one group; an empty table gives an empty result; a null id is kept only in
     a group of null ids; columns other than the two named are never looked at. With an index that
-    already holds a digest, its earlier row is the keeper, new rows of that digest are dropped, and
-    group_size counts the rows of the batch that brought the digest. Without ``index`` a fresh one
+    already holds a digest, its earlier row is the keeper, new rows of that digest are dropped (also
+    where a batch is delivered twice, with the same ids), and group_size counts the rows of the batch that brought the digest. Without ``index`` a fresh one
     serves this call alone.
     """
     own = index is None
@@ -122,8 +124,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_column: st
         index = DigestIndex(docs.sparkSession, buckets=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = shared.written(digest_rows(docs, id_column, text_column), "digests")
     groups = shared.written(group_digests(rows), "digest-groups")
-    index.append(groups)
-    marked = shared.written(mark_duplicates(rows, groups, index), "marked")
+    batch = uuid.uuid4().hex
+    index.append(groups, batch)
+    marked = shared.written(mark_duplicates(rows, groups, index, batch), "marked")
     shared.discard(rows, groups)
     if own:
         index.drop()
@@ -135,13 +138,13 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty, so of all null, empty and white texts one stays; of rows that repeat both
     id and text one stays; an empty table stays empty; other columns, whatever their names, are kept.
-    Rows are joined by (id, digest); a repeat of both falls to the aggregate after it, which needs no
-    shuffle of its own.
+    Rows are joined by (id, digest); rows that repeat both are reduced to one within each task before the
+    shuffle, so a repeated row costs a row per task at most.
     """
     key = lambda digest: F.concat_ws(":", F.col("doc_id").cast("string"), digest).alias("key")
-    kept = exact_dedup(docs).filter("kept").select(key(F.col("text_sha256")))
+    kept = exact_dedup(docs).filter("kept").select(key(F.col("text_sha256"))).distinct()
     named = shared.row_and_columns(docs, key(text_digest(F.col("text"))))
-    return named.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*shared.row_fields(docs))
+    return named.dropDuplicates(["key"]).join(kept, "key", "left_semi").select(*shared.row_fields(docs))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,7 +278,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, exactly one row of each group of near duplicates (of its smallest id), columns unchanged.
 
     The row is found by id and text, so null and repeated ids neither save a copy nor drop another text; of
-    rows that repeat both one stays, and one of all texts without a word. An empty table stays empty; other
+    rows that repeat both one stays (they are reduced within each task before the shuffle), and one of all texts without a word. An empty table stays empty; other
     columns, whatever their names, are kept.
     """
     sketches, info = classes_and_links(readable(docs))
@@ -287,7 +287,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     named = shared.row_and_columns(
         docs, F.coalesce("doc_id", F.lit(-1)).cast("long").alias("kept_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("kept_text")
     )
-    return named.join(kept, ["kept_id", "kept_text"], "left_semi").dropDuplicates(["kept_id", "kept_text"]).select(*shared.row_fields(docs))
+    return named.dropDuplicates(["kept_id", "kept_text"]).join(kept, ["kept_id", "kept_text"], "left_semi").select(*shared.row_fields(docs))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

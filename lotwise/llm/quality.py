@@ -181,7 +181,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(labelled_sample(docs, labels, "quality", shared.crc_bucket("doc_id", 5) != 0))
     return score_quality(docs, model).select(
-        "doc_id", (shared.crc_bucket("doc_id", 5) == 0).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= THRESHOLD).cast("int").alias("predicted")
+        "doc_id", F.coalesce(shared.crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 

@@ -286,7 +286,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir).select("doc_id", "text")
     scored = score_toxicity(docs, fit_on(spark, sf_dir, docs))
     return scored.select(
-        "doc_id", (shared.crc_bucket("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"),
+        "doc_id", F.coalesce(shared.crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages"),
     )
 
