@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.lineage import cut
 from lotwise.operators.listing import where_equal
+from lotwise.operators.ordered import CHUNK, STATE, carried, decayed_sums, followed, in_chunks, medians, numbered
 from lotwise.operators.yields import DIES, panel_yield
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
@@ -26,18 +26,21 @@ def series(spark: SparkSession, sf_dir: str, scope: str = "substrate_type", **wa
     """
     first = fab.defects(spark, sf_dir).groupBy("panel_id", "panel_no", "lot_id").agg(F.min("created_at").alias("t"))
     values = where_equal(panel_yield(spark, sf_dir).select("panel_id", "substrate_type", F.col("defect_density").alias("x")).join(first, "panel_id"), **wanted)
-    order = Window.partitionBy("scope").orderBy("t", "panel_no")
-    return cut(values.withColumn("scope", F.col(scope)).select("scope", F.row_number().over(order).alias("seq"), "panel_id", "x"))
+    return cut(numbered(values.withColumn("scope", F.col(scope)), "scope", ["t", "panel_no"]).select("scope", "seq", "panel_id", "x"))
 
 
 def baseline(points: DataFrame) -> DataFrame:
-    """scope, mean, med, sigma: robust sigma from the MAD with its fallbacks for a flat series."""
-    a = points.groupBy("scope").agg(F.avg("x").alias("mean"), F.median("x").alias("med"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
-    mad = points.join(a, "scope").groupBy("scope").agg(F.median(F.abs(F.col("x") - F.col("med"))).alias("dev"))
+    """scope, mean, med, sigma: robust sigma from the MAD with its fallbacks for a flat series.
+
+    Medians are selected by ranges of values, so a scope may hold any number of points.
+    """
+    a = points.groupBy("scope").agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
+    a = cut(a.join(medians(points, "scope", "x", "med"), "scope"))
+    deviations = points.join(a.select("scope", "med"), "scope").withColumn("dev", F.abs(F.col("x") - F.col("med")))
     robust = F.col("dev") * MAD_SCALE
     classic = F.when(F.col("med") > 0, F.greatest("sd", 0.10 * F.col("med"))).otherwise(F.col("sd"))
     last = F.when(F.col("mean") != 0, 0.10 * F.col("mean")).otherwise(1e-10)
-    return a.join(mad, "scope").select("scope", "mean", "med", "n", F.when(robust > 0, robust).when(F.col("sd") > 0, classic).otherwise(last).alias("sigma"))
+    return a.join(medians(deviations, "scope", "dev", "dev"), "scope").select("scope", "mean", "med", "n", F.when(robust > 0, robust).when(F.col("sd") > 0, classic).otherwise(last).alias("sigma"))
 
 
 @dataclass(frozen=True)
@@ -54,34 +57,43 @@ class Chart:
             raise ValueError("the EWMA weight must be in (0, 1] and its width positive")
 
 
-def control_points(points: DataFrame, chart: Chart = Chart()) -> DataFrame:  # noqa: B008
+def control_points(points: DataFrame, chart: Chart = Chart(), chunk: int = CHUNK) -> DataFrame:  # noqa: B008
     """Shewhart, moving range, EWMA and CUSUM values with their signals, for scopes of two points or more.
 
-    All are windows over a scope: CUSUM is a running sum less its running minimum; EWMA folds the points
-    within reach, so many that what lies before weighs less than a double's last bit.
+    ``points`` has scope, seq (dense from 1), panel_id and x. A scope of any length is worked on in chunks of
+    ``chunk`` points: within a chunk CUSUM is a running sum less its running minimum and EWMA a decayed sum by
+    doubling steps; what comes before a chunk is carried in as (sums, least prefixes, decayed sum), which
+    compose, so chunks are scanned like points. The runs rules look back over the seven points that lead a chunk.
     """
-    base = baseline(points).filter("n >= 2")
-    w = Window.partitionBy("scope").orderBy("seq")
-    joined = points.join(base, "scope")
+    base = cut(baseline(points).filter("n >= 2"))
+    rest, s = 1 - chart.weight, F.col("sigma")
+    w = Window.partitionBy("scope", "chunk").orderBy("seq")
     z = F.col("x") - F.col("mean")
-    joined = joined.withColumn("mr", F.when(F.col("seq") == 1, 0.0).otherwise(F.abs(F.col("x") - F.lag("x").over(w))))
-    mr_med = joined.filter("seq >= 2").groupBy("scope").agg(F.median("mr").alias("mr_med"))
-    joined = joined.join(mr_med, "scope").withColumn("mr_limit", F.when(F.col("mr_med") > 0, D4 * F.col("mr_med")).otherwise(D4 * F.col("sigma")))
     recent = lambda cond, back: F.sum(F.when(cond, 1).otherwise(0)).over(w.rowsBetween(-back, 0))
-    s = F.col("sigma")
-    we1 = (F.abs(z) > 3 * s) | (F.col("x") > F.col("med") + 3 * s)
-    we2 = (F.col("seq") >= 3) & ((recent(z > 2 * s, 2) >= 2) | (recent(z < -2 * s, 2) >= 2))
-    we3 = (F.col("seq") >= 5) & ((recent(z > s, 4) >= 4) | (recent(z < -s, 4) >= 4))
-    we4 = (F.col("seq") >= 8) & ((recent(z > 0, 7) == 8) | (recent(z < 0, 7) == 8))
-    ratio = (F.col("med") > 0) & (F.col("x") > 5 * F.col("med"))
-    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    rest = 1 - chart.weight
-    reach = 0 if rest == 0 else min(10_000, math.ceil(math.log(1e-19) / math.log(rest)))
-    ewma = F.aggregate(F.collect_list("x").over(w.rowsBetween(-reach, 0)), F.col("mean"), lambda e, x: chart.weight * x + rest * e)
-    sums = joined.withColumn("s_hi", F.sum(z - chart.slack * s).over(up_to)).withColumn("s_lo", F.sum(-z - chart.slack * s).over(up_to)).withColumn("ewma", ewma)
-    sums = sums.withColumn("cusum_hi", F.col("s_hi") - F.least(F.lit(0.0), F.min("s_hi").over(up_to))).withColumn("cusum_lo", F.col("s_lo") - F.least(F.lit(0.0), F.min("s_lo").over(up_to)))
+    rules = {
+        "mr": F.when(F.col("seq") == 1, 0.0).otherwise(F.abs(F.col("x") - F.lag("x").over(w))),
+        "we1": (F.abs(z) > 3 * s) | (F.col("x") > F.col("med") + 3 * s),
+        "ratio": (F.col("med") > 0) & (F.col("x") > 5 * F.col("med")),
+        "we2": (F.col("seq") >= 3) & ((recent(z > 2 * s, 2) >= 2) | (recent(z < -2 * s, 2) >= 2)),
+        "we3": (F.col("seq") >= 5) & ((recent(z > s, 4) >= 4) | (recent(z < -s, 4) >= 4)),
+        "we4": (F.col("seq") >= 8) & ((recent(z > 0, 7) == 8) | (recent(z < 0, 7) == 8)),
+    }
+    mine = lambda value: F.when(F.col("own"), value).otherwise(0.0)
+    sums = {"s_hi": F.sum(mine(z - chart.slack * s)).over(w), "s_lo": F.sum(mine(-z - chart.slack * s)).over(w), "b": mine(chart.weight * F.col("x"))}
+    dealt = in_chunks(points.join(base, "scope"), "seq", chunk, halo=7).withColumns(rules | sums)
+    dealt = decayed_sums(dealt, w, "b", rest, chunk + 7).withColumns({f"m_{arm}": F.min(F.when(F.col("own"), F.col(f"s_{arm}"))).over(w) for arm in ("hi", "lo")})
+    local = cut(dealt.filter("own").drop("own", "n").withColumn("n", F.col("seq") - F.col("chunk") * chunk))
+    if not local.filter("chunk > 0").isEmpty():
+        ends = local.groupBy("scope", "chunk").agg(F.max_by(F.struct(*STATE), "seq").alias("s")).select("scope", "chunk", *(F.col(f"s.{c}").alias(c) for c in STATE))
+        before = carried(ends, "scope", rest, chunk).select("scope", "chunk", *(F.col(c).alias(f"_{c}") for c in STATE))
+        local = local.join(before, ["scope", "chunk"], "left").withColumns(dict(zip(STATE, followed(rest), strict=True)))
+    ranges = medians(local.filter("seq >= 2"), "scope", "mr", "mr_med")
+    out = local.join(ranges, "scope").withColumns({
+        "mr_limit": F.when(F.col("mr_med") > 0, D4 * F.col("mr_med")).otherwise(D4 * s),
+        "ewma": F.col("b") + F.pow(F.lit(rest), F.col("seq").cast("double")) * F.col("mean"),
+        "cusum_hi": F.col("s_hi") - F.least(F.lit(0.0), "m_hi"), "cusum_lo": F.col("s_lo") - F.least(F.lit(0.0), "m_lo"),
+    })
     width = chart.width * s * F.sqrt(F.lit(chart.weight / (2 - chart.weight)) * (1 - F.pow(F.lit(rest), 2.0 * F.col("seq"))))
-    out = sums.select("*", we1.alias("we1"), ratio.alias("ratio"), we2.alias("we2"), we3.alias("we3"), we4.alias("we4"))
     return out.select(
         "scope", "seq", "panel_id", "x", "mean", "sigma", (F.col("med") + 3 * s).alias("ucl"), F.greatest(F.lit(0.0), F.col("med") - 3 * s).alias("lcl"), "mr", "mr_limit",
         "ewma", (F.col("mean") + width).alias("ewma_ucl"), F.greatest(F.lit(0.0), F.col("mean") - width).alias("ewma_lcl"), "cusum_hi", "cusum_lo",
