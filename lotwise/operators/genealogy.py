@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwise.functions.lineage import cut
+from lotwise.functions.lineage import cut, scratch
 from lotwise.operators.yields import DIES, panel_yield
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
@@ -53,24 +53,26 @@ def related(edges: DataFrame, nodes: DataFrame, starts: DataFrame, forward: bool
 def longest_depth(edges: DataFrame) -> DataFrame:
     """node, depth: length of the longest path from a root (0 there) for every end of an edge; null on and below cycles.
 
-    Rounds remove the nodes without a remaining parent; the round in which a node goes is its depth. A count
-    of nodes left reaches the driver each round.
+    Rounds remove the nodes without a remaining parent; the round in which a node goes is its depth. Rounds
+    append to one table, so the plan stays the same at any depth; whether nodes are left reaches the driver.
     """
     edges = cut(edges.select("parent", "child").distinct())
     ends = edges.select(F.col("parent").alias("node")).unionByName(edges.select(F.col("child").alias("node"))).distinct()
-    left, done, depth = cut(ends), [], 0
-    remaining = edges
+    spark, done = edges.sparkSession, scratch(edges.sparkSession, "depths")
+    left, remaining, depth = cut(ends), edges, 0
+    kinds = f"node {ends.schema['node'].dataType.simpleString()}, depth int"
+    keep = lambda nodes, depth: nodes.select("node", F.lit(depth).cast("int").alias("depth")).write.mode("append").parquet(done)
+    keep(left.limit(0), 0)
     while not left.isEmpty():
         held = cut(left.join(remaining.select(F.col("child").alias("node")).distinct(), "node", "left_semi"))
-        free = left.join(held, "node", "left_anti").withColumn("depth", F.lit(depth))
-        free = cut(free)
+        free = cut(left.join(held, "node", "left_anti"))
         if free.isEmpty():
-            done.append(left.withColumn("depth", F.lit(None).cast("int")))
+            keep(left, None)
             break
-        done.append(free)
+        keep(free, depth)
         remaining = cut(remaining.join(held.select(F.col("node").alias("parent")), "parent", "left_semi"))
         left, depth = held, depth + 1
-    return reduce(DataFrame.unionByName, done, ends.limit(0).withColumn("depth", F.lit(0)))
+    return spark.read.schema(kinds).parquet(done)
 
 
 def lineage(edges: DataFrame, nodes: DataFrame, start: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwise.functions.lineage import cut
 from lotwise.operators.clustering import CLUSTERS, dbscan_summary
+from lotwise.operators.ordered import numbered, running_total
 from lotwise.operators.yields import DIES, panel_yield
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
@@ -49,15 +51,16 @@ def assign_lots(waiting: DataFrame, lots: DataFrame, panels: DataFrame, lot_size
     """waiting panels (panel_id, substrate_type, seq) with a lot_id each: first the free places of active lots, oldest first, then new lots.
 
     ``lots`` has lot_id, substrate_type, lot_size, status and created_at. New ids are WL_ or GL_ with a number
-    of five digits. Free places and waiting panels meet by their running numbers within a substrate.
+    of five digits. Free places and waiting panels meet by their running numbers within a substrate, which are
+    summed by ranges, so no task holds a substrate.
     """
     taken = panels.groupBy("lot_id").agg(F.count("*").alias("taken"))
     free = lots.filter("status = 'active'").join(taken, "lot_id", "left").withColumn("free", F.col("lot_size") - F.coalesce("taken", F.lit(0))).filter("free > 0")
-    by_age = Window.partitionBy("substrate_type").orderBy("created_at", "lot_id").rowsBetween(Window.unboundedPreceding, 0)
-    places = free.withColumn("upto", F.sum("free").over(by_age)).select("substrate_type", "lot_id", F.explode(F.sequence(F.col("upto") - F.col("free") + 1, "upto")).alias("place"))
-    numbered = waiting.withColumn("place", F.row_number().over(Window.partitionBy("substrate_type").orderBy("seq", "panel_id")).cast("long"))
+    free = cut(free)
+    places = running_total(free, "substrate_type", ["created_at", "lot_id"], F.col("free").cast("long"), "upto").select("substrate_type", "lot_id", F.explode(F.sequence(F.col("upto") - F.col("free") + 1, "upto")).alias("place"))
+    in_line = numbered(waiting, "substrate_type", ["seq", "panel_id"], "place")
     full = free.groupBy("substrate_type").agg(F.sum("free").alias("places"))
-    joined = numbered.join(places, ["substrate_type", "place"], "left").join(F.broadcast(full), "substrate_type", "left")  # a row per substrate
+    joined = in_line.join(places, ["substrate_type", "place"], "left").join(F.broadcast(full), "substrate_type", "left")  # a row per substrate
     fresh = F.floor((F.col("place") - F.coalesce("places", F.lit(0)) - 1) / lot_size) + 1
     name = F.concat(F.when(F.col("substrate_type") == "wafer", "WL_").otherwise("GL_"), F.lpad(fresh.cast("string"), 5, "0"))
     return joined.select("panel_id", "substrate_type", F.coalesce("lot_id", name).alias("lot_id"))

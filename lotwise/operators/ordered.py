@@ -33,6 +33,18 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str = "seq") -
     return running_total(rows, group, order, F.lit(1).cast("long"), name)
 
 
+def last_known(rows: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the latest ``value`` that is not null up to and with each row of its group, by ``order``."""
+    ranged = cut(rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
+    window = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.withColumn("_within", F.last(value, ignorenulls=True).over(window))
+    ends = ranged.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_group"), F.col("_range").alias("_at")).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    every = ranged.select(F.col(group).alias("_group"), F.col("_range").alias("_at")).distinct().join(ends, ["_group", "_at"], "left")
+    before = every.withColumn("_before", F.last("_end", ignorenulls=True).over(Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)))
+    joined = within.join(before, within[group].eqNullSafe(before["_group"]) & (within["_range"] == before["_at"]), "left")
+    return joined.withColumn(name, F.coalesce("_within", "_before")).select(*rows.columns, name)
+
+
 def medians(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """``group`` and ``name``, the exact median of ``value`` (the mean of two middles; nulls left out).
 
