@@ -171,18 +171,20 @@ def _recent(cond: str, back: int) -> str:
     return f"count(*) FILTER ({cond}) {_W} ROWS BETWEEN {back} PRECEDING AND CURRENT ROW)"
 
 
-
-def _charts(scope: str = "substrate_type", where: str = "true", weight: float = 0.2, width: float = 3.0, slack: float = 0.5, decision: float = 5.0) -> str:
+def _points_sql(weight: float = 0.2, width: float = 3.0, slack: float = 0.5, decision: float = 5.0, far: int | None = None) -> str:
+    """CTEs from sr (scope, seq, panel_id, x) to pt, the charts; EWMA by recursion, or as a sum over ``far`` points back."""
     rest = f"{1 - weight}::DOUBLE"
-    return PREFIX + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,") + f""", ft AS (SELECT panel_id, panel_no, lot_id, min(created_at) AS t FROM defects GROUP BY ALL),
-sr AS (SELECT {scope} AS scope, row_number() OVER (PARTITION BY {scope} ORDER BY t, panel_no) AS seq, panel_id, defect_density AS x FROM py JOIN ft USING (panel_id) WHERE {where}),
+    ewma = f"SELECT scope, 1::BIGINT AS seq, {weight} * x + {rest} * mean AS ewma FROM j WHERE seq = 1 UNION ALL SELECT j.scope, j.seq, {weight} * j.x + {rest} * ew.ewma FROM ew JOIN j ON j.scope = ew.scope AND j.seq = ew.seq + 1"
+    if far:
+        ewma = f"SELECT a.scope, a.seq, sum({weight} * b.x * pow({rest}, a.seq - b.seq)) + pow({rest}, a.seq) * any_value(a.mean) AS ewma FROM j a JOIN j b ON b.scope = a.scope AND b.seq BETWEEN a.seq - {far} AND a.seq GROUP BY a.scope, a.seq"
+    return f"""
 b0 AS (SELECT scope, avg(x) AS mean, median(x) AS med, coalesce(stddev_samp(x), 0.0) AS sd, count(*) AS n FROM sr GROUP BY 1),
 b1 AS (SELECT scope, median(abs(x - med)) AS dev FROM sr JOIN b0 USING (scope) GROUP BY 1),
 bl AS (SELECT scope, mean, med, n, CASE WHEN dev * 1.4826 > 0 THEN dev * 1.4826 WHEN sd > 0 THEN CASE WHEN med > 0 THEN greatest(sd, 0.10 * med) ELSE sd END WHEN mean <> 0 THEN 0.10 * mean ELSE 1e-10 END AS sigma FROM b0 JOIN b1 USING (scope)),
 j AS (SELECT *, x - mean AS z, CASE WHEN seq = 1 THEN 0.0 ELSE abs(x - lag(x) {_W})) END AS mr FROM sr JOIN bl USING (scope) WHERE n >= 2),
 mm AS (SELECT scope, median(mr) AS mr_med FROM j WHERE seq >= 2 GROUP BY 1),
 s1 AS (SELECT *, CASE WHEN mr_med > 0 THEN 3.267 * mr_med ELSE 3.267 * sigma END AS mr_limit, sum(z - {slack} * sigma) {_W} ROWS UNBOUNDED PRECEDING) AS s_hi, sum(-z - {slack} * sigma) {_W} ROWS UNBOUNDED PRECEDING) AS s_lo FROM j JOIN mm USING (scope)),
-ew AS (SELECT scope, 1::BIGINT AS seq, {weight} * x + {rest} * mean AS ewma FROM j WHERE seq = 1 UNION ALL SELECT j.scope, j.seq, {weight} * j.x + {rest} * ew.ewma FROM ew JOIN j ON j.scope = ew.scope AND j.seq = ew.seq + 1),
+ew AS ({ewma}),
 s2 AS (SELECT *, s_hi - least(0.0, min(s_hi) {_W} ROWS UNBOUNDED PRECEDING)) AS cusum_hi, s_lo - least(0.0, min(s_lo) {_W} ROWS UNBOUNDED PRECEDING)) AS cusum_lo,
   abs(z) > 3 * sigma OR x > med + 3 * sigma AS we1, med > 0 AND x > 5 * med AS ratio,
   seq >= 3 AND ({_recent("z > 2 * sigma", 2)} >= 2 OR {_recent("z < -2 * sigma", 2)} >= 2) AS we2,
@@ -195,6 +197,11 @@ pt AS (SELECT s2.scope, s2.seq, panel_id, x, mean, sigma, med + 3 * sigma AS ucl
 """
 
 
+def _charts(scope: str = "substrate_type", where: str = "true", **chart) -> str:
+    return PREFIX + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,") + f""", ft AS (SELECT panel_id, panel_no, lot_id, min(created_at) AS t FROM defects GROUP BY ALL),
+sr AS (SELECT {scope} AS scope, row_number() OVER (PARTITION BY {scope} ORDER BY t, panel_no) AS seq, panel_id, defect_density AS x FROM py JOIN ft USING (panel_id) WHERE {where}),""" + _points_sql(**chart)
+
+
 SPC = _charts()
 _ANY = " OR ".join(c for c, _ in SIGNALS)
 _SHEWHART = ("shewhart", "x", "ucl", "NULL::VARCHAR")
@@ -202,13 +209,21 @@ _OF = {
     "ewma_signal": ("ewma", "ewma", "ewma_ucl", "NULL::VARCHAR"), "imr": ("imr", "mr", "mr_limit", "NULL::VARCHAR"),
     "cusum_signal": ("cusum", "greatest(cusum_hi, cusum_lo)", "5 * sigma", "CASE WHEN cusum_hi > 5 * sigma THEN 'positive' ELSE 'negative' END"),
 }
+ALARMS = " UNION ALL ".join(
+    f"SELECT scope, seq, panel_id, '{_OF.get(c, _SHEWHART)[0]}' AS chart, '{c}' AS signal, round({_OF.get(c, _SHEWHART)[1]}, 8) AS value, round({_OF.get(c, _SHEWHART)[2]}, 8) AS control_limit, {_OF.get(c, _SHEWHART)[3]} AS direction, '{s}' AS severity FROM pt WHERE {c}"
+    for c, s in SIGNALS
+)
+
+
+def charts_sql(series: str, **chart) -> tuple[str, str]:
+    """SQL up to pt of any series (a WITH that ends with sr), and the SELECT of its alarms."""
+    return series + "," + _points_sql(**chart), ALARMS
+
+
 ORACLE_SQL = {
     "spc_points": SPC + "SELECT * FROM pt",
-    "spc_lot_points": _charts("lot_id", "substrate_type = 'wafer'", 0.4, 2.5, 0.25, 4.0) + "SELECT scope, seq, panel_id, x, ewma, ewma_ucl, cusum_hi, cusum_lo, ewma_signal, cusum_signal FROM pt",
-    "spc_alarms": SPC + " UNION ALL ".join(
-        f"SELECT scope, seq, panel_id, '{_OF.get(c, _SHEWHART)[0]}' AS chart, '{c}' AS signal, round({_OF.get(c, _SHEWHART)[1]}, 8) AS value, round({_OF.get(c, _SHEWHART)[2]}, 8) AS control_limit, {_OF.get(c, _SHEWHART)[3]} AS direction, '{s}' AS severity FROM pt WHERE {c}"
-        for c, s in SIGNALS
-    ),
+    "spc_lot_points": _charts("lot_id", "substrate_type = 'wafer'", weight=0.4, width=2.5, slack=0.25, decision=4.0) + "SELECT scope, seq, panel_id, x, ewma, ewma_ucl, cusum_hi, cusum_lo, ewma_signal, cusum_signal FROM pt",
+    "spc_alarms": SPC + ALARMS,
     "spc_state": SPC + f"SELECT scope, count(*) AS points, CASE WHEN bool_or(round(x, 8) > round(ucl, 8) OR cusum_signal) THEN 'out_of_control' WHEN bool_or({_ANY}) THEN 'warning' ELSE 'in_control' END AS state FROM pt GROUP BY 1",
     "spc_capability": SPC + """, u AS (SELECT *, 'natural' AS limits, mean + 3 * sigma AS usl, greatest(0.0, mean - 3 * sigma) AS lsl FROM bl UNION ALL SELECT *, 'fixed', 0.004::DOUBLE, 0.00001::DOUBLE FROM bl),
 v AS (SELECT scope, limits, usl, lsl, CASE WHEN sigma > 0 AND usl > lsl THEN (usl - lsl) / (6 * sigma) END AS cp, CASE WHEN sigma > 0 AND usl > lsl THEN least(usl - mean, mean - lsl) / (3 * sigma) END AS cpk FROM u)

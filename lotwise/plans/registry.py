@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from lotwise.operators import clustering, correlation, genealogy, learning, listing, lots, pareto, quality_checks, spc, time_joins, yields
 from lotwise.sources import klarf, tables
-from lotwise.streaming import event_windows
+from lotwise.streaming import event_windows, online_spc
 
-MODULES = [yields, pareto, quality_checks, lots, spc, correlation, genealogy, clustering, learning, listing, time_joins, klarf, tables, event_windows]
+MODULES = [yields, pareto, quality_checks, lots, spc, correlation, genealogy, clustering, learning, listing, time_joins, klarf, tables, event_windows, online_spc]
 
 
 def queries() -> dict:
