@@ -13,6 +13,7 @@ from lotwise.functions.lineage import cut, scratch
 from lotwise.operators.lots import latest_per_key
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
+from lotwise.sources.commits import Store
 from lotwise.sources.csv_records import read_defect_csv, read_mapped_csv, write_defect_csv
 
 #: Fixed names.
@@ -75,30 +76,52 @@ def unprocessed(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(done.select("file_path"), "file_path", "left_anti")
 
 
-def ingest_csv(spark: SparkSession, path: str, target: str, ledger: str, skip_if_processed: bool = True) -> int:
-    """Appends the files under ``path`` to ``target``, once each; returns the rows read.
+def ingest_csv(spark: SparkSession, path: str, store: Store, skip_if_processed: bool = True) -> int:
+    """Appends the files under ``path`` to the store's ``defects``, once each; returns the rows read.
 
-    All new files are one write. If it fails the ledger says failed for them, and the error is raised again.
+    Rows and ledger entries are one commit, computed against the version that it follows, so a crash at
+    any point and a second writer leave each row and each file once. If the read fails the ledger says
+    failed for the files, and the error is raised again.
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"))
-    known = spark.read.schema(LEDGER).parquet(ledger) if exists(spark, ledger) else spark.createDataFrame([], LEDGER)
-    new = [r.file_path for r in (unprocessed(files, known) if skip_if_processed else files).collect()]  # names of files
-
-    def enter(status: str) -> None:
-        entries = spark.createDataFrame([(f, status) for f in new], "file_path string, status string")
-        entries.withColumn("processed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(ledger)
+    taken: dict[str, object] = {"rows": 0, "files": []}
+
+    def entries(status: str) -> DataFrame:
+        rows = spark.createDataFrame([(f, status) for f in taken["files"]], "file_path string, status string")
+        return rows.withColumn("processed_at", F.current_timestamp()).coalesce(1)
+
+    def build(version: int) -> dict[str, DataFrame]:
+        known = store.read("files", version, LEDGER)
+        new = taken["files"] = [r.file_path for r in (unprocessed(files, known) if skip_if_processed else files).collect()]  # names of files
+        if not new:
+            taken["rows"] = 0
+            return {}
+        records = cut(read_defect_csv(spark, new))
+        taken["rows"] = records.count()
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
+        added = first_writer_wins(store.read("defects", version, kind), records, DEFECT_KEY, ["size", "confidence_score"])
+        return {"defects": added, "files": entries("processed")}
 
-    if not new:
-        return 0
     try:
-        records = cut(read_defect_csv(spark, new))
-        added = first_writer_wins(read_or_empty(spark, target, records), records, DEFECT_KEY, ["size", "confidence_score"])
-        added.write.mode("append").parquet(target)
+        store.transact(build)
     except Exception:
-        enter("failed")
+        if taken["files"]:
+            store.transact(lambda _: {"files": entries("failed")})
         raise
-    enter("processed")
-    return records.count()
+    return taken["rows"]
+
+
+def append_events(store: Store, events: DataFrame) -> int:
+    """Appends process events as they are, without any key; returns the store's version."""
+    return store.transact(lambda _: {"events": events})
+
+
+def upsert_runs(store: Store, runs: DataFrame) -> int:
+    """Appends process runs that are not there: one per panel and time, the first writer wins."""
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields)
+    key = ["panel_id", "run_time"]
+    rest = [c for c in runs.columns if c not in key]
+    return store.transact(lambda version: {"process_runs": first_writer_wins(store.read("process_runs", version, kind), runs, key, rest)})
 
 
 def copy_tables(spark: SparkSession, source: dict[str, DataFrame], folder: str, keys: dict[str, list[str]]) -> dict[str, int]:
@@ -162,8 +185,9 @@ def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defects written as CSV and ingested twice: rows read each time, and rows and files afterwards."""
     folder = scratch(spark, "ingest")
     write_defect_csv(fab.defects(spark, sf_dir), f"{folder}/csv")
-    read = [ingest_csv(spark, f"{folder}/csv/part-*", f"{folder}/defects", f"{folder}/files") for _ in range(2)]
-    rows, files = spark.read.parquet(f"{folder}/defects").count(), spark.read.schema(LEDGER).parquet(f"{folder}/files").filter("status <> 'processed'").count()
+    store = Store(spark, f"{folder}/store")
+    read = [ingest_csv(spark, f"{folder}/csv/part-*", store) for _ in range(2)]
+    rows, files = store.read("defects").count(), store.read("files").filter("status <> 'processed'").count()
     return spark.createDataFrame([(*read, rows, files)], "first_read long, second_read long, rows long, not_processed long")
 
 
@@ -188,6 +212,19 @@ def mapped_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_mapped_csv(spark, f"{folder}/part-*", config).select("panel_id", "component_row", "component_col", "source_system", "defect_type", "x", "y", "size", "confidence_score")
 
 
+def process_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the log appended twice (each row twice), process runs upserted twice (each once): rows and values by kind."""
+    store, log = Store(spark, scratch(spark, "process")), fab.table(spark, sf_dir, "events")
+    events = log.select(F.concat(F.lit("P"), "user_id").alias("panel_id"), F.col("ts").cast("timestamp").alias("event_time"), "event_type", F.col("props").alias("details"))
+    runs = log.select(F.concat(F.lit("P"), "user_id").alias("panel_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("run_time"), F.col("value").alias("temperature_c"), "event_id")
+    for _ in range(2):
+        append_events(store, events)
+        upsert_runs(store, runs)
+    stored = store.read("events").groupBy("panel_id").agg(F.count("*").alias("events"))
+    kept = store.read("process_runs").groupBy("panel_id").agg(F.count("*").alias("runs"), F.round(F.sum("temperature_c"), 4).alias("temperature"))
+    return stored.join(kept, "panel_id")
+
+
 def table_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that two copies of the tables add."""
     source = {"panels": fab.panels(spark, sf_dir), "components": fab.components(spark, sf_dir), "defects": fab.defects(spark, sf_dir)}
@@ -209,7 +246,7 @@ def product_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_specs(left.drop("p_partkey"))
 
 
-QUERIES = {f.__name__: f for f in (upsert_defects, replaced_lots, estimate_history, ingest_ledger, mapped_csv, table_copy, product_specs)}
+QUERIES = {f.__name__: f for f in (upsert_defects, replaced_lots, estimate_history, ingest_ledger, process_history, mapped_csv, table_copy, product_specs)}
 _KEYS = "SELECT DISTINCT " + ", ".join(DEFECT_KEY) + " FROM defects"
 ORACLE_SQL = {
     "upsert_defects": PREFIX + """, k AS (SELECT panel_id, component_row, component_col, source_system, defect_type, x, y, min(created_at) AS t FROM defects WHERE panel_no > 10 GROUP BY ALL)
@@ -219,6 +256,8 @@ SELECT lot_id, coalesce(process_step, 'created') AS process_step, coalesce(versi
     "estimate_history": PREFIX + """SELECT panel_id, panel_no, CASE WHEN panel_no % 2 = 0 THEN count(*) + 1000 ELSE count(*) END AS n,
   CASE WHEN panel_no % 2 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS calculated_at FROM defects GROUP BY panel_id, panel_no""",
     "ingest_ledger": PREFIX + f"SELECT count(*) AS first_read, 0::BIGINT AS second_read, (SELECT count(*) FROM ({_KEYS})) AS rows, 0::BIGINT AS not_processed FROM defects",
+    "process_history": """WITH r AS (SELECT user_id, date_trunc('hour', ts) AS h, arg_min(value, (value, event_id)) AS v FROM events GROUP BY ALL),
+k AS (SELECT user_id, count(*) AS runs, round(sum(v), 4) AS temperature FROM r GROUP BY 1) SELECT 'P' || user_id AS panel_id, 2 * count(*) AS events, any_value(runs) AS runs, any_value(temperature) AS temperature FROM events JOIN k USING (user_id) GROUP BY user_id""",
     "mapped_csv": PREFIX + """SELECT lot_id || '_' || panel_id AS panel_id, component_row, component_col, source_system, defect_type, x, y * 2 AS y, round(size * 1000) * 0.001::DOUBLE AS size,
   round(confidence_score * 100)::INT * 0.01::DOUBLE AS confidence_score FROM defects""",
     "table_copy": PREFIX + f"SELECT 'panels' AS table_name, count(*) AS first_copy, 0::BIGINT AS second_copy FROM panels UNION ALL SELECT 'components', count(*), 0 FROM components UNION ALL SELECT 'defects', count(*), 0 FROM ({_KEYS})",

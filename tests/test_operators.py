@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lotwise.functions import yield_models as ym
 from lotwise.operators import clustering, genealogy, learning, listing, lots, spc
 from lotwise.operators.quality_checks import record_errors
-from lotwise.sources import csv_records, klarf, tables
+from lotwise.sources import commits, csv_records, klarf, tables
 from lotwise.streaming import event_windows
 
 
@@ -206,13 +206,13 @@ def test_upserts(spark):
 def test_failed_ingest_is_in_the_ledger(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text(HEADER + "1,P1,0,1,system_a,void,1.5,2.5,-1,.9,m\n")
-    target, ledger = str(tmp_path / "out"), str(tmp_path / "files")
+    store = commits.Store(spark, f"file://{tmp_path}/store")
     with pytest.raises(ValueError, match="1 invalid"):
-        tables.ingest_csv(spark, str(tmp_path / "in"), target, ledger)
+        tables.ingest_csv(spark, str(tmp_path / "in"), store)
     (tmp_path / "in" / "a.csv").write_text(HEADER + "1,P1,0,1,system_a,void,1.5,2.5,1,.9,m\n")
-    assert tables.ingest_csv(spark, str(tmp_path / "in"), target, ledger) == 1 and tables.ingest_csv(spark, str(tmp_path / "in"), target, ledger) == 0
-    assert tables.ingest_csv(spark, str(tmp_path / "in"), target, ledger, skip_if_processed=False) == 1 and spark.read.parquet(target).count() == 1
-    assert {r.status for r in spark.read.parquet(ledger).collect()} == {"failed", "processed"}
+    assert tables.ingest_csv(spark, str(tmp_path / "in"), store) == 1 and tables.ingest_csv(spark, str(tmp_path / "in"), store) == 0
+    assert tables.ingest_csv(spark, str(tmp_path / "in"), store, skip_if_processed=False) == 1 and store.read("defects").count() == 1
+    assert {r.status for r in store.read("files").collect()} == {"failed", "processed"}
 
 
 def test_specs(spark):
