@@ -1,7 +1,7 @@
 """KLARF files: the 1.x text form and the 2.0 binary form, one file per row of a distributed read.
 
-A file's bytes are one row (a wafer lot's report, some MB). Text files become defect records; binary
-files become a row per wafer with its defects nested, which an explode turns into records.
+A file's bytes are one row (a wafer lot's report, some MB). Text files become defect records by column
+functions; binary files become a row per wafer with its defects nested, which an explode turns into records.
 """
 
 from __future__ import annotations
@@ -52,50 +52,64 @@ WAFER_SCHEMA = (
 )
 
 
-def text_records(file: str, text: str, units: str | None = None) -> list[tuple]:
-    """Records of a 1.x text, as TEXT_SCHEMA.
+#: Charsets by the names that Python gives them.
+CHARSETS = {"latin-1": "ISO-8859-1", "ascii": "US-ASCII"}
 
-    Keywords in any case. Positions are microns unless ``units`` or the file's Units says MM. Rows wait
-    until their list ends, and take the wafer named last until then; a missing name becomes UNKNOWN_<file>.
-    A malformed row, or a DefectRecordSpec without a needed column, raises; rows of no size are left out.
+
+def numbered_lines(files: DataFrame, encoding: str) -> DataFrame:
+    """file, n, line (trimmed) and word (its keyword in capitals) of files given as (file, content), without blank lines and comments."""
+    text = F.decode("content", CHARSETS.get(encoding, encoding))
+    lines = files.select("file", F.posexplode(F.split(text, "\r\n|\r|\n")).alias("n", "raw")).select("file", "n", F.regexp_replace("raw", "^\\s+|\\s+$", "").alias("line"))
+    return lines.filter(~F.col("line").rlike("^(#|$)")).withColumn("word", F.upper(F.regexp_extract("line", "^\\S+", 0)))
+
+
+def text_rows(files: DataFrame, units: str | None = None, encoding: str = "latin-1") -> DataFrame:
+    """Records of 1.x texts given as (file, content), as TEXT_SCHEMA.
+
+    A file's lines fall into sections, each up to the line that ends its list. Whatever a section says of wafer,
+    units (microns unless ``units`` or the file says MM) and columns holds for all of its rows and, until said
+    again, for the sections after it; a missing wafer is UNKNOWN_<file>. Rows stand between a list's first
+    line and its end, or the file's. A malformed row and a DefectRecordSpec without a needed column raise; rows of no
+    size are left out, and so is a list without columns that the file's end cuts off.
     """
-    short, found = file.rsplit("/", 1)[-1], []
-    wafer, unit, columns, waiting = "", units or "MICRON", {}, None
-
-    def flush() -> None:
-        scale = 0.001 if unit == "MICRON" else 1.0
-        for number, line in enumerate(waiting, 1):
-            words = line.rstrip(";").split()
-            if not words:
-                continue
-            try:
-                x, y, size, kind, row, col = (float(words[columns[name]]) for name in NEEDED)
-            except (IndexError, KeyError, ValueError) as e:
-                raise ValueError(f"{short}: malformed defect record {number}: {line!r}") from e
-            if size * scale > 0:
-                found.append((file, wafer or f"UNKNOWN_{short}", int(row), int(col), int(kind), round(x * scale, 4), round(y * scale, 4), round(size * scale, 4)))
-
-    for line in filter(lambda s: s and not s.startswith("#"), map(str.strip, text.splitlines())):
-        keyword, value = (*line.split(None, 1), "")[:2]
-        keyword, value = keyword.upper(), value.rstrip(";").strip().strip('"')
-        if keyword.startswith("WAFERID"):
-            wafer = value
-        elif keyword.startswith("UNITS") and not units:
-            unit = value.upper() if value.upper() in ("MICRON", "MM") else unit
-        elif keyword.startswith("DEFECTRECORDSPEC"):
-            columns = {name.upper(): k for k, name in enumerate(w for w in line.replace(";", " ").split()[2:])}
-            if missing := sorted(set(NEEDED) - set(columns)):
-                raise ValueError(f"{short}: DefectRecordSpec lacks {missing}")
-        elif keyword.startswith("DEFECTLIST"):
-            waiting = [] if waiting is None else waiting
-        elif waiting is not None and keyword.startswith(("SUMMARYSPEC", "ENDOFFILE")):
-            flush()
-            waiting = None
-        elif waiting is not None:
-            waiting.append(line)
-    if waiting and columns:
-        flush()
-    return found
+    of = lambda *words: F.greatest(*(F.startswith("word", F.lit(w)) for w in words), F.lit(False))
+    said = F.regexp_replace(F.regexp_replace("line", "^\\S+\\s*|[;\\s]+$", ""), '^"+|"+$', "")
+    names = F.transform(F.slice(F.split(F.regexp_replace(F.translate("line", ";", " "), "\\s+$", ""), "\\s+"), 3, 10_000), lambda w: F.upper(w))
+    marks = numbered_lines(files, encoding).select(
+        "file", "n", "line",
+        F.when(of("WAFERID"), said).alias("wafer"),
+        F.when(of("UNITS") & F.upper(said).isin("MICRON", "MM"), F.upper(said)).alias("unit"),
+        F.when(of("DEFECTRECORDSPEC"), F.filter(names, lambda w: w != "")).alias("columns"),
+        F.when(of("DEFECTLIST"), True).when(of("SUMMARYSPEC", "ENDOFFILE"), False).alias("opens"),
+        of("WAFERID", "UNITS", "DEFECTRECORDSPEC", "DEFECTLIST", "SUMMARYSPEC", "ENDOFFILE").alias("keyword"),
+    )
+    by_line = Window.partitionBy("file").orderBy("n")
+    known = lambda c: F.last(c, ignorenulls=True).over(by_line)
+    lines = marks.withColumns({
+        "section": F.count(F.when(~F.col("opens"), 1)).over(by_line.rowsBetween(Window.unboundedPreceding, -1)), "is_row": F.coalesce(known("opens"), F.lit(False)) & ~F.col("keyword"),
+        "wafer": known("wafer"), "unit": known("unit"), "spec": F.col("columns"), "columns": known("columns"),
+    })
+    whole = Window.partitionBy("file", "section").orderBy("n")
+    at_end = lambda c: F.last(c).over(whole.rowsBetween(0, Window.unboundedFollowing))
+    rows = lines.withColumns({
+        "wafer": at_end("wafer"), "unit": F.lit(units) if units else F.coalesce(at_end("unit"), F.lit("MICRON")), "columns": at_end("columns"), "ended": at_end("opens").isNotNull() & ~F.coalesce(at_end("opens"), F.lit(True)),
+        "words": F.filter(F.split(F.regexp_replace("line", ";+$", ""), "\\s+"), lambda w: w != ""), "number": F.count(F.when(F.col("is_row"), 1)).over(whole),
+    })
+    field = lambda name: F.get("words", F.array_position("columns", F.lit(name)).cast("int") - 1).try_cast("double")
+    values = {name: field(name) for name in NEEDED}
+    short = F.regexp_extract("file", "[^/]*$", 0)
+    lacks = F.array_sort(F.array_except(F.array(*map(F.lit, NEEDED)), "spec"))
+    fault = F.when(F.size(lacks) > 0, F.concat(short, F.lit(": DefectRecordSpec lacks "), F.array_join(lacks, ", ")))
+    malformed = F.col("is_row") & (F.size("words") > 0) & (F.col("columns").isNotNull() | F.col("ended")) & F.greatest(*(v.isNull() for v in values.values()))
+    fault = F.coalesce(fault, F.when(malformed, F.concat(short, F.lit(": malformed defect record "), "number", F.lit(": "), "line")))
+    scale = F.when(F.col("unit") == "MICRON", 0.001).otherwise(1.0)
+    live = F.col("is_row") & (F.size("words") > 0) & F.col("columns").isNotNull() & (values["DEFECTSIZE"] * scale > 0)
+    found = rows.filter(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(live))
+    length = lambda name: F.round(values[name] * scale, 4)
+    return found.select(
+        "file", F.coalesce(F.nullif("wafer", F.lit("")), F.concat(F.lit("UNKNOWN_"), short)).alias("panel_id"), values["DIEROW"].cast("int").alias("component_row"),
+        values["DIECOL"].cast("int").alias("component_col"), values["CLASSNUMBER"].cast("int").alias("class_no"), length("XREL").alias("x"), length("YREL").alias("y"), length("DEFECTSIZE").alias("size"),
+    )
 
 
 def _text(raw: bytes) -> str:
@@ -202,8 +216,7 @@ def klarf_records(
     """Defect records of 1.x text files given as (file, content)."""
     if source_system not in ("system_a", "system_b"):
         raise ValueError(f"unknown source system {source_system!r}")
-    rows = _parsed(files, TEXT_SCHEMA, lambda file, data: text_records(file, data.decode(encoding), units))
-    return rows.select(
+    return text_rows(files, units, encoding).select(
         "file", "panel_id", "component_row", "component_col", F.lit(source_system).alias("source_system"), _named(F.col("class_no"), classes or TEXT_CLASSES, F.lit("unclassified")).alias("defect_type"),
         "x", "y", "size", F.lit(confidence_score).alias("confidence_score"), F.lit(None).cast("string").alias("match_id"),
     )

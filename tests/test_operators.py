@@ -149,14 +149,17 @@ def test_klarf_text(spark, tmp_path):
     assert [(r.panel_id, r.component_row, r.component_col, r.x, r.y, r["size"], r.defect_type, r.confidence_score) for r in rows] == [
         ("W1", 2, 3, 150.0, 250.0, 0.8, "particle", 0.75), ("W1", 4, 5, 300.0, 100.0, 1.2, "scratch", 0.75), ("W1", 1, 1, 500.0, 450.0, 0.5, "unclassified", 0.75), ("W2", 1, 1, 450.0, 1.0005, 0.5, "unclassified", 0.75),
     ]
-    one = lambda text, **o: klarf.text_records("d/f.txt", text, **o)
+    one = lambda text, **o: [tuple(r) for r in klarf.text_rows(spark.createDataFrame([("d/f.txt", bytearray(text.encode("latin-1")))], "file string, content binary"), **o).collect()]
     spec = "DefectRecordSpec 6 XREL YREL DIECOL DIEROW DEFECTSIZE CLASSNUMBER;\n"
     assert one(spec + "Units MM;\nDefectList\n1 2 3 4 5 6")[0][1:] == ("UNKNOWN_f.txt", 4, 3, 6, 1.0, 2.0, 5.0)  # no end of list
     assert one(spec + "Units MM;\nDefectList\n1 2 3 4 5 6", units="MICRON")[0][5:] == (0.001, 0.002, 0.005)
     assert one(spec + "WaferID A;\nDefectList\n1 2 3 4 5 6\nWaferID B;\nEndOfFile;")[0][1] == "B"  # a wafer named within the list takes its rows
-    for bad in (spec + "DefectList\n1 2 x 4 5 6\nEndOfFile;", spec + "DefectList\n1 2\nEndOfFile;", "DefectRecordSpec 1 XREL;"):
-        with pytest.raises(ValueError):
+    for bad in (spec + "DefectList\n1 2 x 4 5 6\nEndOfFile;", spec + "DefectList\n1 2\nEndOfFile;", "DefectRecordSpec 1 XREL;", "DefectList\n1 2 3 4 5 6\nEndOfFile;"):
+        with pytest.raises(Exception, match="malformed defect record 1|lacks CLASSNUMBER, DEFECTSIZE"):
             one(bad)
+    assert one("DefectList\n1 2 3 4 5 6") == [] and one("") == []
+    mixed = one(spec + 'WaferID "A é";\r\nDefectList\r1 2 3 4 5 6;\n;\n\tUnits MM ;\nSummarySpec;\n1 1 1 1 1 1\nDefectList\n' + "7 8 1 2 1.5 -3;\n 7 8 1 2 0 1\nEndOfFile;")
+    assert sorted(r[1:] for r in mixed) == [("A é", 2, 1, -3, 7.0, 8.0, 1.5), ("A é", 4, 3, 6, 1.0, 2.0, 5.0)]  # units said within a list hold for all of it
     with pytest.raises(ValueError):
         klarf.read_klarf(spark, str(tmp_path / "a.klarf"), source_system="other")
 
