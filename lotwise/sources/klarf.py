@@ -297,20 +297,32 @@ def text_files(defects: DataFrame, classes: dict[str, int]) -> DataFrame:
     return lines.select(F.concat("panel_id", F.lit(".klarf")).alias("file"), F.concat(head, "body", F.lit(";\nSummarySpec 1 DEFECTS;\nEndOfFile;\n")).cast("binary").alias("content"))
 
 
-def _typed(spark: SparkSession, sf_dir: str, classes: dict[int, str]) -> DataFrame:
+def typed_defects(spark: SparkSession, sf_dir: str, classes: dict[int, str] = BINARY_CLASSES) -> DataFrame:
     """The defects with types that the formats can name, chosen by size."""
     names = F.array(*(F.lit(v) for _, v in sorted(classes.items())))
     return fab.defects(spark, sf_dir).withColumn("defect_type", F.get(names, F.round(F.col("size") * 1000).cast("int") % len(classes)))
 
 
+def numbered_records(defects: DataFrame, panels: DataFrame, order: list[str]) -> DataFrame:
+    """lot_id, wafer_id, slot, defects: the system_a defects of each panel, as :func:`lot_files` numbers them, nested by column functions."""
+    numbers = F.create_map(*(F.lit(x) for number, name in BINARY_CLASSES.items() for x in (name, number)))
+    own = defects.filter("source_system = 'system_a'").groupBy("panel_id").agg(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), "x", "y", "size", "confidence_score", "defect_type"))).alias("d"))
+    record = F.transform("d", lambda d, k: F.struct(
+        (k + 1).cast("long").alias("defect_id"), d["x"].alias("x"), d["y"].alias("y"), d["size"].alias("x_size"), d["size"].alias("y_size"),
+        F.coalesce(F.try_element_at(numbers, d["defect_type"]), F.lit(0)).alias("class_no"), F.lit(0).alias("rough_bin"), F.lit(0).alias("fine_bin"), F.lit(1).alias("test_no"), F.lit(0).alias("cluster_no"), d["confidence_score"].alias("confidence"),
+    ))
+    slots = panels.select("lot_id", "panel_id", F.row_number().over(Window.partitionBy("lot_id").orderBy("panel_id")).alias("slot"))
+    return slots.join(own, "panel_id", "left").select("lot_id", F.substring("panel_id", 1, 16).alias("wafer_id"), "slot", F.coalesce(record, F.array().cast(_RECORD)).alias("defects"))
+
+
 def klarf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All defects written as 1.x files and read back."""
-    made = text_files(_typed(spark, sf_dir, TEXT_CLASSES), {v: k for k, v in TEXT_CLASSES.items()})
+    made = text_files(typed_defects(spark, sf_dir, TEXT_CLASSES), {v: k for k, v in TEXT_CLASSES.items()})
     return klarf_records(made).select("panel_id", "component_row", "component_col", "defect_type", "x", "y", "size", "confidence_score")
 
 
 def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lot_files(_typed(spark, sf_dir, BINARY_CLASSES), fab.panels(spark, sf_dir), ["defect_key", "x", "y", "size", "confidence_score"])
+    return lot_files(typed_defects(spark, sf_dir, BINARY_CLASSES), fab.panels(spark, sf_dir), ["defect_key", "x", "y", "size", "confidence_score"])
 
 
 def klarf_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
