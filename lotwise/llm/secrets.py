@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,31 +33,52 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
 MIN_RUN = 12
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+SPAN_TEXT = SPAN.replace("kind:string", "kind:string,text:string")
 
 
-def running_sums(values: Column) -> Column:
-    """Sums of the values before each element of an int array.
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` folded over what stands before each element of an int array, 0 before the first.
 
     An array grows by copying, so the fold goes over parts of about the root of the length, first over
-    the parts' sums and then within each part; a text with a hundred thousand matches stays cheap.
+    the parts' results and then within each part; a text with a hundred thousand matches stays cheap.
     """
 
     def fold(array: Column, first: Column) -> Column:
         start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
         return F.aggregate(array, start, step, lambda acc: acc["out"])
 
     def by_parts(v: Column) -> Column:
         width = F.ceil(F.sqrt(F.size(v))).cast("int")
         parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1), lambda i: F.slice(v, i * width + 1, width))
-        sums = lambda p: F.transform(p, lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x))
-        return let(parts, lambda p: let(fold(sums(p), F.lit(0)), lambda begins: F.flatten(F.transform(p, lambda part, k: fold(part, F.get(begins, k))))))
+        whole = lambda p: F.transform(p, lambda part: F.aggregate(part, F.lit(0), op))
+        return let(parts, lambda p: let(fold(whole(p), F.lit(0)), lambda begins: F.flatten(F.transform(p, lambda part, k: fold(part, F.get(begins, k))))))
 
     return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, by_parts))
 
 
-def matches(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
-    """Leftmost non-overlapping matches as spans in code points; those with a short group are dropped.
+def running_sums(values: Column) -> Column:
+    return running(values, lambda acc, x: acc + x)
+
+
+#: Code points of a block of :func:`blocks_of`.
+BLOCK = 1_024
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, in which a place is found without a walk from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def piece(blocks: Column, start: Column, stop: Column) -> Column:
+    """Code points ``start`` to ``stop`` (exclusive) of a text in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    few = F.array_join(F.slice(blocks, first + 1, F.floor((stop - 1) / BLOCK).cast("int") - first + 1), "")
+    return F.when(stop > start, F.substring(few, start - first * BLOCK + 1, stop - start)).otherwise("")
+
+
+def matches(text: Column, pattern: str, group: int, least: int, kind: str, rank: int, with_text: bool = False) -> Column:
+    """Leftmost non-overlapping matches as spans in code points, ``with_text`` their texts too; those with a short group are dropped.
 
     The text between matches (split) and the matches themselves (regexp_extract_all) alternate, so
     running sums of their lengths give the positions.
@@ -69,7 +91,8 @@ def matches(text: Column, pattern: str, group: int, least: int, kind: str, rank:
         def spans(sizes: Column) -> Column:
             def one(before: Column, i: Column) -> Column:
                 begin = before + F.length(F.get(found["gaps"], i))
-                return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + F.get(sizes, i)).alias("stop"), F.lit(kind).alias("kind"))
+                own = [F.get(found["all"], i).alias("text")] if with_text else []
+                return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + F.get(sizes, i)).alias("stop"), F.lit(kind).alias("kind"), *own)
 
             every = F.transform(running_sums(steps), one)
             return F.filter(every, lambda _, i: F.length(F.get(found["groups"], i)) >= least) if group else F.filter(every, lambda s: s["stop"] - s["start"] >= least)
@@ -78,7 +101,7 @@ def matches(text: Column, pattern: str, group: int, least: int, kind: str, rank:
 
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     found = F.struct(whole.alias("all"), (part if group else whole).alias("groups"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(text.rlike(pattern), let(found, scan)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(found, scan)).otherwise(F.array().cast(SPAN_TEXT if with_text else SPAN))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -179,20 +202,34 @@ def span_of(start: Column, stop: Column) -> Column:
 
 def random_spans(text: Column, model: list[float], threshold: float) -> Column:
     """The random parts of all runs of at least MIN_RUN token characters."""
-    runs = matches(text, f"{RUN}{{{MIN_RUN},}}", 0, MIN_RUN, RANDOM_KIND, len(BASE_KINDS))
-    return F.flatten(F.transform(runs, lambda r: let(F.substring(text, r["start"] + 1, r["stop"] - r["start"]), lambda token: random_parts(token, r["start"], model, threshold))))
+    runs = matches(text, f"{RUN}{{{MIN_RUN},}}", 0, MIN_RUN, RANDOM_KIND, len(BASE_KINDS), with_text=True)
+    return F.flatten(F.transform(runs, lambda r: random_parts(r["text"], r["start"], model, threshold)))
+
+
+def outside(spans: Column, base: Column) -> Column:
+    """What the sorted spans of ``base`` leave of each of ``spans``, as spans.
+
+    ``base`` is looked through in parts of about the root of its length, so many spans among many stay cheap.
+    """
+
+    def left_of(span: Column, parts: Column) -> Column:
+        near = F.filter(parts, lambda p: (p["low"] < span["stop"]) & (span["start"] < p["high"]))
+        touching = F.filter(F.flatten(F.transform(near, lambda p: p["of"])), lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
 
+        def cut(acc: Column, b: Column) -> Column:
+            left = F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(span_of(acc["at"], b["start"])).cast(SPAN))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), left.alias("out"))
 
-def outside(span: Column, base: Column) -> Column:
-    """What the sorted spans of ``base`` leave of ``span``, as spans."""
-    touching = F.filter(base, lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
+        rest = lambda acc: F.when(acc["at"] < span["stop"], F.concat(acc["out"], F.array(span_of(acc["at"], span["stop"])).cast(SPAN))).otherwise(acc["out"])
+        return F.aggregate(touching, F.struct(span["start"].alias("at"), F.array().cast(SPAN).alias("out")), cut, rest)
 
-    def cut(acc: Column, b: Column) -> Column:
-        left = F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(span_of(acc["at"], b["start"])).cast(SPAN))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), left.alias("out"))
+    def in_parts(b: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(b))).cast("int")
+        part = lambda of: F.struct(of.alias("of"), F.get(of, F.lit(0))["start"].alias("low"), F.array_max(F.transform(of, lambda s: s["stop"])).alias("high"))
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(b) / width).cast("int") - 1), lambda k: let(F.slice(b, k * width + 1, width), part))
+        return let(parts, lambda p: F.flatten(F.transform(spans, lambda s: left_of(s, p))))
 
-    rest = lambda acc: F.when(acc["at"] < span["stop"], F.concat(acc["out"], F.array(span_of(acc["at"], span["stop"])).cast(SPAN))).otherwise(acc["out"])
-    return F.aggregate(touching, F.struct(span["start"].alias("at"), F.array().cast(SPAN).alias("out")), cut, rest)
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(let(base, in_parts))
 
 
 def find_secrets(docs: DataFrame, model: list[float], threshold: float | None = None, text_column: str = "text") -> DataFrame:
@@ -207,7 +244,7 @@ def find_secrets(docs: DataFrame, model: list[float], threshold: float | None =
     with_base = docs.select("*", *base_spans(text))
     found = random_spans(text, model, threshold_of(model) if threshold is None else threshold)
     base = F.array_sort(F.concat(*BASE_KINDS))
-    return with_base.withColumn(RANDOM_KIND, F.flatten(F.transform(found, lambda s: outside(s, base))))
+    return with_base.withColumn(RANDOM_KIND, let(found, lambda spans: outside(spans, base)))
 
 
 def corpus_samples(docs: DataFrame, ordinary_documents: int = 2_000) -> DataFrame:
@@ -219,9 +256,9 @@ def corpus_samples(docs: DataFrame, ordinary_documents: int = 2_000) -> DataFram
     """
     text = F.coalesce("text", F.lit(""))
     any_base = "|".join(pattern for pattern, _, _ in BASE_KINDS.values())
-    spans = docs.select(text.alias("text")).filter(F.col("text").rlike(any_base)).select("text", F.explode(F.concat(*base_spans(F.col("text")))).alias("s"))
-    secret = F.substring("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))
-    random = spans.select(F.explode(F.regexp_extract_all(secret, F.lit(f"{RUN}{{12,}}"), F.lit(0))).alias("token"), F.lit(1).alias("label"))
+    found = [matches(F.col("text"), pattern, group, least, kind, rank, with_text=True) for rank, (kind, (pattern, group, least)) in enumerate(BASE_KINDS.items())]
+    spans = docs.select(text.alias("text")).filter(F.col("text").rlike(any_base)).select(F.explode(F.concat(*found)).alias("s"))  # the matches' texts alone are copied
+    random = spans.select(F.explode(F.regexp_extract_all("s.text", F.lit(f"{RUN}{{12,}}"), F.lit(0))).alias("token"), F.lit(1).alias("label"))
     few = docs.filter(shared.smallest_hashes(["doc_id", "text"], ordinary_documents, docs.count())).select(text.alias("text"))
     plain = F.regexp_replace("text", any_base, " ")
     ordinary = few.select(F.explode(F.regexp_extract_all(plain, F.lit(f"{RUN}{{4,}}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
@@ -236,14 +273,17 @@ def redact(docs: DataFrame, model: list[float], mask: str = "[SECRET]") -> DataF
     """
     whole = shared.row_and_columns(docs, F.coalesce("text", F.lit("")).alias("text"))
     found = find_secrets(whole, model).withColumn("spans", F.array_sort(F.concat(*BASE_KINDS, RANDOM_KIND)))
-    text = F.col("text")
 
-    def cut(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-        return F.struct(out.alias("out"), F.greatest(s["stop"], acc["at"]).alias("at"))
+    def joined(at: Column) -> Column:
+        """What stands between masks: from the end of all spans before one (``ends``) to its start, if that is no earlier."""
+        spans, ends, blocks = at["spans"], at["ends"], at["blocks"]
+        first = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: (k == 0) | (F.get(spans, k)["start"] > F.get(ends, k)))
+        between = F.transform(first, lambda k: piece(blocks, F.get(ends, k), F.get(spans, k)["start"]))
+        last = piece(blocks, F.array_max(F.transform(spans, lambda s: s["stop"])), at["n"])
+        return F.array_join(F.concat(between, F.array(last)), mask)
 
-    masked = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    ends = running(F.transform("spans", lambda s: s["stop"]), lambda acc, x: F.greatest(acc, x))
+    masked = let(F.struct(F.col("spans").alias("spans"), ends.alias("ends"), blocks_of(F.col("text")).alias("blocks"), F.length("text").alias("n")), joined)
     changed = F.size("spans") > 0
     out = found.withColumn("masked", F.when(changed, masked).otherwise(F.col("row.text")))
     replaced = {"text": F.col("masked")}
