@@ -32,8 +32,8 @@ from .tokenize import LETTERS, PIECES, SPACES
 UNRANKED = 2**31 - 1
 #: Buckets of the rank table's perfect hash, as a power of two.
 BUCKET_BITS = 14
-#: Words of more bytes are folded in parts.
-LONG_WORD = 512
+#: Words of more bytes are folded in windows of WINDOW bytes, or four times the longest token's.
+LONG_WORD, WINDOW = 512, 128
 #: Distinct words for which there is a dictionary part, and the bits of the least number of parts.
 PART_WORDS, LEAST_BITS = 131_072, 5
 
@@ -43,6 +43,22 @@ def read_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def plain_fold(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces that ranked merges leave of a token's bytes."""
+    pieces = [word[k : k + 1] for k in range(len(word))]
+    while len(pieces) > 1:
+        low, k = min((ranks.get(a + b, UNRANKED), k) for k, (a, b) in enumerate(zip(pieces, pieces[1:], strict=False)))
+        if low == UNRANKED:
+            break
+        pieces[k : k + 2] = [pieces[k] + pieces[k + 1]]
+    return pieces
+
+
+def all_reached(ranks: dict[bytes, int]) -> bool:
+    """Whether merges make every token of its bytes, which windows of long words rely on."""
+    return all(len(plain_fold(token, ranks)) == 1 for token in ranks)
+
+
 def spark_hash(value: bytes) -> int:
     """Spark's xxhash64 of a binary value, as an unsigned number."""
     return xxhash.xxh64_intdigest(value, seed=42)
@@ -77,15 +93,11 @@ def placed_tokens(tokens: list[bytes]) -> tuple[int, list[int], list[int]]:
 
 
 def let(value: Column, body) -> Column:
-    """``body`` with ``value`` computed once: Spark lambdas have no other local names."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+    """``body`` with ``value`` computed once: Spark lambdas have no other local names.
 
-def _chosen(place: Column, value: Column, changes: tuple) -> Column:
-    """The new value of the first of ``changes`` (place, value) that is at ``place``, else ``value``."""
-    for where, new in reversed(changes):
-        value = F.when(place == where, new).otherwise(value)
-    return value
+    A fold over nothing hands its start to the last function as it is; a transform would copy what ``body`` returns.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 class Ranks:
@@ -95,6 +107,7 @@ class Ranks:
         tokens = sorted(ranks, key=ranks.get)
         if [ranks[t] for t in tokens] != list(range(len(tokens))):
             raise ValueError("ranks must be 0, 1, 2, ...")
+        self.ranks, self.longest = ranks, max(map(len, tokens), default=1)
         self.bits, offsets, slots = placed_tokens(tokens)
         compact = {"separators": (",", ":")}
         self.token_literal = F.from_json(F.lit(json.dumps([base64.b64encode(t).decode() for t in tokens], **compact)), "array<binary>")
@@ -136,74 +149,66 @@ class Ranks:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hex_literal, i)), ""))
 
     def fold(self, word: Column) -> Column:
-        """The fold of ranked merges over a word's bytes, by :meth:`fold_in_parts` if there are many."""
-        n = F.octet_length(word)
-        return F.when(n > LONG_WORD, let(F.ceil(F.sqrt(n)).cast("int"), lambda width: self.fold_in_parts(word, width))).otherwise(self.fold_whole(word))
+        """The fold of ranked merges over a word's bytes, by :meth:`fold_windows` if there are many.
 
-    def fold_in_parts(self, word: Column, width: Column) -> Column:
-        """The same merges over parts of ``width`` byte places, for long words.
-
-        A merge in one array copies it, so time grows with the square of the length. Here every place holds
-        where its piece ends (0 if no piece starts there), where the piece before starts, and the rank of the
-        pair it begins; a part knows its lowest rank. A merge looks through the parts' lowest ranks and copies only
-        the parts of the places that it changes, so time grows with the power 1.5.
+        Ranks with a token that merges never make have no windows: their long words are folded whole.
+        """
+        if not all_reached(self.ranks):
+            return self.fold_whole(word)
+        return F.when(F.octet_length(word) > LONG_WORD, self.fold_windows(word, max(WINDOW, 4 * self.longest))).otherwise(self.fold_whole(word))
+
+    def fold_windows(self, word: Column, window: int) -> Column:
+        """The same ids for long words, from folds over overlapping windows, so time grows with the length.
+
+        A sequence of tokens is the encoding of its text if each two neighbours are the encoding of theirs (for
+        ranks whose every token is reached by merges). A window's tokens are such a sequence, and so are two windows' tokens
+        that are joined at a token which both have at the same place. The next window begins at a token of
+        the one before, about its middle; without a common token it begins where the settled tokens end
+        and is twice as long, until tokens are settled again; at worst the whole word is one window.
+        Tokens are held as ``place << 32 | rank``. A fold copies its state at every step, all but binary values, so
+        settled ids are packed as binary and the state stays small.
         """
         n = F.octet_length(word)
-        part_of, spot = (lambda p: F.floor((p - 1) / width).cast("int")), (lambda p: F.pmod(p - 1, width))
-        at = lambda parts, field, p: F.get(F.get(parts, part_of(p))[field], spot(p))
-        piece = lambda first, end: F.substring(word, first, end - first)
-
-        def part(ends: Column, before: Column, ranks: Column) -> Column:
-            return let(ranks, lambda r: F.struct(ends.alias("ends"), before.alias("before"), r.alias("ranks"), F.array_min(r).alias("low")))
-
-        def first_state(q: Column) -> Column:
-            ranks = lambda places: F.transform(places, lambda p: F.when(p < n, self.rank(F.substring(word, p, F.lit(2)))).otherwise(F.lit(UNRANKED)))
-            whole = lambda places: part(F.transform(places, lambda p: p + 1), F.transform(places, lambda p: p - 1), ranks(places))
-            return let(F.sequence(q * width + 1, F.least((q + 1) * width, n)), whole)
-
-        def merge(parts: Column, _: Column) -> Column:
-            def join(m: Column) -> Column:
-                def set_at(values: Column, *changes: tuple) -> Column:
-                    return F.transform(values, lambda v, o: _chosen(o, v, changes))
-
-                def renewed(own: Column) -> Callable[[Column], Column]:
-                    return lambda own_spot: part(
-                        set_at(own["ends"], (own_spot["i"], m["k"]), (own_spot["j"], F.lit(0))), set_at(own["before"], (own_spot["k"], m["i"])),
-                        set_at(own["ranks"], (own_spot["i"], m["after"]), (own_spot["j"], F.lit(UNRANKED)), (own_spot["h"], m["ahead"])),
-                    )
-
-                def changed(own: Column, q: Column) -> Column:
-                    touched = (q == m["qi"]) | (q == m["qj"]) | (q == m["qk"]) | (q == m["qh"])
-                    # Places relative to the part; those of other parts fall outside its range.
-                    own_spots = F.struct(*((m[x] - 1 - q * width).alias(x) for x in "ijkh"))
-                    return F.when(touched, let(own_spots, renewed(own))).otherwise(own)
-
-                return F.transform(parts, changed)
-
-            def ranked(m: Column) -> Column:
-                i, k, h = m["i"], m["k"], m["h"]
-                after = F.when(k <= n, self.rank(piece(i, at(parts, "ends", k)))).otherwise(F.lit(UNRANKED))
-                places = [m[x].alias(x) for x in "ijkh"] + [part_of(m[x]).alias(f"q{x}") for x in "ijkh"]
-                return let(F.struct(*places, after.alias("after"), self.rank(piece(h, k)).alias("ahead")), join)
-
-            def around(i: Column) -> Column:
-                ends = lambda j: F.struct(i.alias("i"), j.alias("j"), at(parts, "ends", j).alias("k"), at(parts, "before", i).alias("h"))
-                return let(at(parts, "ends", i), lambda j: let(ends(j), ranked))
-
-            def lowest(lows: Column) -> Column:
-                low = F.array_min(lows)
-                q = F.array_position(lows, low).cast("int") - 1
-                place = q * width + F.array_position(F.get(parts, q)["ranks"], low).cast("int")
-                return F.when(low == UNRANKED, parts).otherwise(let(place, around))
-
-            return let(F.transform(parts, lambda own: own["low"]), lowest)
-
-        def ids(parts: Column) -> Column:
-            of = lambda own, q: F.transform(own["ends"], lambda end, o: F.when(end > 0, self.rank(piece(q * width + o + 1, end))))
-            return F.filter(F.flatten(F.transform(parts, of)), lambda rank: rank.isNotNull())
-
-        start = F.transform(F.sequence(F.lit(0), part_of(n)), first_state)
-        return F.aggregate(F.sequence(F.lit(1), n - 1), start, merge, ids)
+        at, rank_of = (lambda key: F.shiftright(key, 32).cast("int")), (lambda key: key.bitwiseAND(F.lit(2**32 - 1)).cast("int"))
+        none, few, nothing = F.array().cast("array<bigint>"), F.lit(window), F.lit("").cast("binary")
+        packed = lambda ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0")), ""))
+        unpacked = lambda out: F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(out) / 4) - 1), lambda k: F.conv(F.hex(F.substring(out, (4 * k + 1).cast("int"), F.lit(4))), 16, 10).cast("int"))
+
+        def placed(ids: Column, begin: Column) -> Column:
+            start = F.struct(begin.cast("long").alias("at"), none.alias("keys"))
+            step = lambda acc, i: F.struct((acc["at"] + F.octet_length(F.get(self.tokens, i))).alias("at"), F.concat(acc["keys"], F.array(F.shiftleft(acc["at"], 32).bitwiseOR(i.cast("long")))).alias("keys"))
+            return F.aggregate(ids, start, step, lambda acc: acc["keys"])
+
+        def state(x: Column, width: Column, keys: Column, out: Column, done: Column) -> Column:
+            return F.struct(x.cast("int").alias("x"), width.cast("int").alias("width"), keys.alias("keys"), out.alias("out"), done.alias("done"))
+
+        def next_state(acc: Column, new: Column) -> Column:
+            stop = F.least(acc["x"] + acc["width"], n + 1)
+            common = F.when(F.size(acc["keys"]) == 0, F.get(new, F.lit(0))).otherwise(F.get(F.array_intersect(acc["keys"], new), F.lit(0)))
+
+            def joined(key: Column) -> Column:
+                settled = F.transform(F.filter(acc["keys"], lambda k: k < key), rank_of)
+
+                def go_on(rest: Column) -> Column:
+                    ended = stop == n + 1
+                    ids = F.when(ended, F.concat(settled, F.transform(rest, rank_of))).otherwise(settled)
+                    middle = at(F.array_max(F.filter(rest, lambda k: at(k) <= F.floor((at(key) + stop) / 2))))
+                    x = F.greatest(middle, F.coalesce(at(F.get(rest, F.lit(1))), stop))
+                    moved = F.coalesce(key > F.get(acc["keys"], F.lit(0)), F.lit(True))
+                    return state(x, F.when(moved, few).otherwise(acc["width"]), F.when(ended, none).otherwise(rest), F.concat(acc["out"], packed(ids)), ended)
+
+                return let(F.filter(new, lambda k: k >= key), go_on)
+
+            begin = at(F.get(acc["keys"], F.lit(0)))
+            tried = (acc["x"] == begin) & (stop == n + 1)
+            apart = F.when(tried, state(F.lit(1), n, none, nothing, F.lit(False))).otherwise(state(begin, acc["width"] * 2, acc["keys"], acc["out"], F.lit(False)))
+            return let(common, lambda key: F.when(key.isNull(), apart).otherwise(joined(key)))
+
+        def step(acc: Column, _: Column) -> Column:
+            return F.when(acc["done"], acc).otherwise(let(let(F.substring(word, acc["x"], acc["width"]), self.fold_whole), lambda ids: let(placed(ids, acc["x"]), lambda new: next_state(acc, new))))
+
+        start = state(F.lit(1), few, none, nothing, F.lit(False))
+        return F.aggregate(F.sequence(F.lit(1), n + 64), start, step, lambda acc: unpacked(acc["out"]))
 
     def fold_whole(self, word: Column) -> Column:
         """The fold over a word of moderate length.
@@ -221,11 +226,13 @@ class Ranks:
             starts, ranks = acc["s"], acc["r"]
 
             def at(i: Column) -> Column:
-                before, after = self.rank(piece(starts, i - 1, i + 2)), self.rank(piece(starts, i, i + 3))
-                new = lambda rank, k: F.when(k == i - 1, before).when((k == i) & (i + 3 < F.size(starts)), after).otherwise(rank)
-                return F.struct(F.filter(starts, lambda _, k: k != i + 1).alias("s"), F.transform(F.filter(ranks, lambda _, k: k != i), new).alias("r"))
+                before, after = self.rank(piece(starts, i - 1, i + 2)), F.when(i + 3 < F.size(starts), self.rank(piece(starts, i, i + 3))).otherwise(F.lit(UNRANKED))
+                around = F.when(i > 0, F.array(before, after)).otherwise(F.array(after))
+                left = F.concat(F.slice(starts, F.lit(1), i + 1), F.slice(starts, i + 3, F.size(starts)))  # slices are copied without a look at their elements
+                return F.struct(left.alias("s"), F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 1, F.lit(0))), around, F.slice(ranks, i + 3, F.size(ranks))).alias("r"))
 
-            return F.when(F.array_min(ranks) == UNRANKED, acc).otherwise(let(F.array_position(ranks, F.array_min(ranks)).cast("int") - 1, at))
+            lowest = lambda low: F.when(low == UNRANKED, acc).otherwise(let(F.array_position(ranks, low).cast("int") - 1, at))
+            return let(F.array_min(ranks), lowest)
 
         start = F.struct(F.sequence(F.lit(1), n + 1).alias("s"), F.concat(pairs, F.array(F.lit(UNRANKED))).alias("r"))
         ids = lambda acc: F.transform(F.slice(acc["s"], F.lit(1), F.size(acc["s"]) - 1), lambda _, k: self.rank(piece(acc["s"], k, k + 1)))

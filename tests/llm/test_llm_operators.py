@@ -341,7 +341,7 @@ def test_bpe_equals_the_library(spark, docs, empty):
     assert bpe.encode_texts(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_long_words_fold_in_parts(spark, monkeypatch):
+def test_long_words_fold_in_windows(spark, monkeypatch):
     """The same ids from both folds on short words, and the library's on long ones, one of 5,000 bytes."""
     ranks = bpe.read_ranks(RANKS)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
