@@ -103,11 +103,16 @@ def label_by_joins(points: DataFrame, min_samples: int) -> DataFrame:
     return joined.select("panel_id", "idx", F.coalesce("own", "reached", F.lit(-1)).alias("label"))
 
 
-def panel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """system_a defects on active dies in scan order, with a radius that suits the test tables."""
+def panel_points(spark: SparkSession, sf_dir: str, radius: dict[str, float] | None = None) -> DataFrame:
+    """system_a defects on active dies in scan order, with a radius that suits the test tables, or ``radius`` by substrate ({}: the profile's)."""
     order = Window.partitionBy("panel_id").orderBy("defect_key", "defect_type", "confidence_score", "created_at")
     eps = F.when(F.col("substrate_type") == "wafer", 10.0).otherwise(130.0)
-    return fab.active_defects(spark, sf_dir).select("panel_id", F.row_number().over(order).alias("idx"), "x", "y", eps.alias("eps"), "component_row", "component_col")
+    found = fab.active_defects(spark, sf_dir)
+    if radius is not None:
+        found, eps = fab.with_profile(found), F.col("match_mm")
+        for substrate, own in radius.items():
+            eps = F.when(F.col("substrate_type") == substrate, float(own)).otherwise(eps)
+    return found.select("panel_id", F.row_number().over(order).alias("idx"), "x", "y", eps.alias("eps"), "component_row", "component_col")
 
 
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +131,12 @@ def dbscan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(dbscan_labels(spark, sf_dir))
 
 
+def dbscan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all panels at the radius of their profile."""
+    points = cut(panel_points(spark, sf_dir, {}).select("panel_id", "idx", "x", "y", "eps"))
+    return classify(dbscan(points, 3))
+
+
 def die_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each die's clustered points and its dominant cluster: the most frequent, then smallest label; -1 if all are noise."""
     points, key = cut(panel_points(spark, sf_dir)), ["panel_id", "component_row", "component_col"]
@@ -135,7 +146,7 @@ def die_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("label") >= 0, F.col("n"))), F.lit(0)).alias("clustered"), F.coalesce(top["label"], F.lit(-1)).alias("cluster_label"))
 
 
-QUERIES = {"dbscan_labels": dbscan_labels, "dbscan_summary": dbscan_summary, "die_clusters": die_clusters}
+QUERIES = {"dbscan_labels": dbscan_labels, "dbscan_summary": dbscan_summary, "dbscan_profile": dbscan_profile, "die_clusters": die_clusters}
 
 #: CTEs that follow PREFIX: points, neighbours, labels (lb), classes (cls) and dies (dc).
 CLUSTERS = """, pt AS (SELECT panel_id, component_row, component_col, row_number() OVER (PARTITION BY panel_id ORDER BY defect_key, defect_type, confidence_score, created_at) AS idx, x, y, CASE WHEN substrate_type = 'wafer' THEN 10.0 ELSE 130.0 END::DOUBLE AS eps FROM active_a),
@@ -157,5 +168,6 @@ dc AS (SELECT panel_id, component_row, component_col, coalesce(sum(n) FILTER (la
 ORACLE_SQL = {
     "dbscan_labels": PREFIX + CLUSTERS + "SELECT * FROM lb",
     "dbscan_summary": PREFIX + CLUSTERS + "SELECT * FROM cls",
+    "dbscan_profile": PREFIX + CLUSTERS.replace("THEN 10.0 ELSE 130.0 END", "THEN 2.0 ELSE 15.0 END") + "SELECT * FROM cls",
     "die_clusters": PREFIX + CLUSTERS + "SELECT * FROM dc",
 }

@@ -39,6 +39,35 @@ def repeat_class(spark: SparkSession, sf_dir: str, threshold: float = 0.95) -> D
     return places.join(found, "substrate_type", "left").select("substrate_type", "locations", F.coalesce("systematic", F.lit(0)).alias("systematic"), rate.alias("systematic_rate"), label.alias("pattern"))
 
 
+def repeats_of(found: DataFrame, panels: DataFrame, scope: list[str], threshold: float = 0.5) -> DataFrame:
+    """Pattern class of each scope of panels from the die locations that are defective on at least ``threshold`` of them.
+
+    ``panels`` has the scope and panel_id, ``found`` also the die, its region and the defects' types. A scope of fewer than two
+    panels is insufficient_data and has no locations.
+    """
+    place = [*scope, "component_row", "component_col"]
+    pairs = found.select(*place, "panel_id", "defect_type").distinct()
+    per_type = pairs.groupBy(*place, "defect_type").agg(F.count("*").alias("n"))
+    top = per_type.groupBy(*place).agg(F.sum("n").alias("pairs"), F.min(F.struct((-F.col("n")).alias("less"), "defect_type")).alias("top"))
+    repeats = pairs.select(*place, "panel_id").distinct().groupBy(*place).agg(F.count("*").alias("repeat_count"))
+    sizes = panels.groupBy(*scope).agg(F.count("*").alias("panels"))
+    rated = top.join(repeats, place).join(sizes.filter("panels >= 2"), scope).withColumn("rate", F.col("repeat_count") / F.col("panels"))
+    systematic = F.col("rate") >= threshold
+    sharp = systematic & (-F.col("top.less") / F.col("pairs") > 0.8) & (F.col("rate") > 0.7)
+    agg = rated.groupBy(*scope).agg(F.count("*").alias("locations"), F.count(F.when(systematic, 1)).alias("systematic"), F.count_distinct(F.when(sharp, F.col("top.defect_type"))).alias("sharp"))
+    joined = sizes.join(agg, scope, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("locations", "systematic", "sharp")})
+    share = F.coalesce(F.try_divide("systematic", "locations"), F.lit(0.0))
+    label = F.when(F.col("panels") < 2, "insufficient_data").when(F.col("systematic") == 0, "clean").when(F.col("sharp") == 1, "reticle_suspect").when(share > 0.05, "tool_suspect").otherwise("minor_systematic")
+    return joined.select(*scope, "panels", "locations", "systematic", share.alias("systematic_rate"), label.alias("pattern"))
+
+
+def repeat_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every lot, by each inspection system."""
+    system = F.explode(F.array(F.lit("system_a"), F.lit("system_b"))).alias("source_system")
+    panels = fab.panels(spark, sf_dir).select("lot_id", "panel_id", system)
+    return repeats_of(fab.active_defects(spark, sf_dir, None), panels, ["lot_id", "source_system"])
+
+
 def signature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spatial signatures that each panel's defects match, with confidence."""
     found = fab.active_defects(spark, sf_dir)
@@ -108,7 +137,7 @@ def fleet_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (repeat_locations, repeat_class, signature_match, welch_lots, yield_buckets, size_histogram, fleet_kpis)}
+QUERIES = {f.__name__: f for f in (repeat_locations, repeat_class, repeat_lots, signature_match, welch_lots, yield_buckets, size_histogram, fleet_kpis)}
 
 REPEAT = PREFIX + """, pr AS (SELECT DISTINCT substrate_type, component_row, component_col, region_id, panel_id, defect_type FROM active_a),
 ptn AS (SELECT substrate_type, component_row, component_col, region_id, defect_type, count(*) AS n FROM pr GROUP BY ALL),
@@ -127,6 +156,15 @@ ORACLE_SQL = {
 f AS (SELECT substrate_type, count(*) AS systematic, count(DISTINCT CASE WHEN type_consistency > 0.8 AND repeat_rate > 0.7 THEN dominant_type END) AS sharp FROM rl GROUP BY 1)
 SELECT substrate_type, locations, coalesce(systematic, 0) AS systematic, coalesce(systematic, 0) / locations AS systematic_rate,
   CASE WHEN coalesce(systematic, 0) = 0 THEN 'clean' WHEN sharp = 1 THEN 'reticle_suspect' WHEN coalesce(systematic, 0) / locations > 0.05 THEN 'tool_suspect' ELSE 'minor_systematic' END AS pattern FROM pl LEFT JOIN f USING (substrate_type)""",
+    "repeat_lots": PREFIX + """, f AS (SELECT d.* FROM defects d JOIN components c USING (panel_id, component_row, component_col) WHERE c.active), sz AS (SELECT lot_id, s AS source_system, count(*) AS panels FROM panels, (VALUES ('system_a'), ('system_b')) v(s) GROUP BY ALL),
+q AS (SELECT DISTINCT lot_id, source_system, component_row, component_col, panel_id, defect_type FROM f), t AS (SELECT lot_id, source_system, component_row, component_col, defect_type, count(*) AS n FROM q GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER w AS pairs, row_number() OVER (PARTITION BY lot_id, source_system, component_row, component_col ORDER BY n DESC, defect_type) AS k FROM t WINDOW w AS (PARTITION BY lot_id, source_system, component_row, component_col)),
+r AS (SELECT lot_id, source_system, component_row, component_col, count(DISTINCT panel_id) AS c FROM q GROUP BY ALL),
+g AS (SELECT lot_id, source_system, count(*) AS locations, count(*) FILTER (c / panels >= 0.5) AS systematic, count(DISTINCT CASE WHEN c / panels >= 0.5 AND n / pairs > 0.8 AND c / panels > 0.7 THEN defect_type END) AS sharp
+  FROM u JOIN r USING (lot_id, source_system, component_row, component_col) JOIN sz USING (lot_id, source_system) WHERE k = 1 AND panels >= 2 GROUP BY ALL)
+SELECT lot_id, source_system, panels, coalesce(locations, 0) AS locations, coalesce(systematic, 0) AS systematic, coalesce(systematic / locations, 0.0) AS systematic_rate,
+  CASE WHEN panels < 2 THEN 'insufficient_data' WHEN coalesce(systematic, 0) = 0 THEN 'clean' WHEN sharp = 1 THEN 'reticle_suspect' WHEN systematic / locations > 0.05 THEN 'tool_suspect' ELSE 'minor_systematic' END AS pattern
+FROM sz LEFT JOIN g USING (lot_id, source_system)""",
     "signature_match": PREFIX + f""", ag AS (SELECT panel_id, substrate_type, count(*) AS n, {", ".join(f"round(count(*) FILTER (region_id = '{z}') / count(*), 4) AS {z}" for z in _Z)},
   count(DISTINCT region_id) AS zones, least(max(x) - min(x), max(y) - min(y)) AS low, greatest(max(x) - min(x), max(y) - min(y)) AS high FROM active_a GROUP BY ALL),
 mt AS (SELECT panel_id, substrate_type, 'center_cluster' AS signature, least(1.0::DOUBLE, (zone_center - 0.4) / 0.4 + 0.5) AS c FROM ag WHERE substrate_type = 'wafer' AND zone_center > 0.4

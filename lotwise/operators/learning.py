@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import yield_models as ym
+from lotwise.functions.lineage import cut, scratch
+from lotwise.operators.listing import where_equal
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
+from lotwise.sources.commits import Store
 
 REGIONS = ["zone_center", "zone_mid", "zone_edge", "region_NW", "region_NE", "region_SW", "region_SE"]
 #: Fixed order.
@@ -38,15 +42,46 @@ def predict(rows: DataFrame, weights: list[list[float]], classes: list[str]) ->
 
     Probabilities have six digits.
     """
-    scores = [sum((F.col(f) * w for f, w in zip(FEATURES, line, strict=True)), F.lit(0.0)) for line in weights]
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    total = sum((F.exp(s - F.col("_top")) for s in scores), F.lit(0.0))
-    label: Column = F.lit(None).cast("string")
-    for name, score in reversed(list(zip(classes, scores, strict=True))):
-        label = F.when(score == F.col("_top"), name).otherwise(label)
-    return rows.withColumn("_top", top).withColumn("predicted", label).withColumn("probability", F.round(1 / total, 6)).withColumn(
-        "class_probs", F.array(*(F.round(F.exp(s - F.col("_top")) / total, 6) for s in scores))
-    ).drop("_top")
+    scores = F.array(*(sum((F.col(f) * w for f, w in zip(FEATURES, line, strict=True)), F.lit(0.0)) for line in weights))
+    # Each step is bound to a column of its own, so the plan grows with the classes, not with their square.
+    scored = rows.withColumn("_scores", scores).withColumn("_top", F.array_max("_scores")).withColumn("_exp", F.transform("_scores", lambda s: F.exp(s - F.col("_top"))))
+    summed = scored.withColumn("_total", F.aggregate("_exp", F.lit(0.0), lambda acc, e: acc + e))
+    names = F.array(*map(F.lit, classes))
+    return summed.withColumns({
+        "predicted": F.get(names, (F.array_position("_scores", F.col("_top")) - 1).cast("int")), "probability": F.round(1 / F.col("_total"), 6),
+        "class_probs": F.transform("_exp", lambda e: F.round(e / F.col("_total"), 6)),
+    }).drop("_scores", "_top", "_exp", "_total")
+
+
+MODEL = "model_id string, trained_at timestamp, classes array<string>, weights array<array<double>>, accuracy double"
+
+
+def store_model(store: Store, model_id: str, trained_at: datetime, classes: list[str], weights: list[list[float]], accuracy: float | None = None) -> int:
+    """Appends a trained model to the store's table ``models``; returns the store's version."""
+    return store.transact(lambda _: {"models": store.spark.createDataFrame([(model_id, trained_at, classes, weights, accuracy)], MODEL)})
+
+
+def stored_model(store: Store, model_id: str | None = None):
+    """The row of a stored model, by default of the latest (of equal times the greatest id)."""
+    found = where_equal(store.read("models", like=MODEL), model_id=model_id).orderBy(F.desc("trained_at"), F.desc("model_id")).first()
+    if found is None:
+        raise LookupError("no stored model" if model_id is None else f"no model {model_id!r}")
+    return found
+
+
+def predict_stored(rows: DataFrame, store: Store, model_id: str | None = None) -> DataFrame:
+    """:func:`predict` by a stored model, by default the latest."""
+    model = stored_model(store, model_id)
+    return predict(rows, model.weights, model.classes).withColumn("model_id", F.lit(model.model_id))
+
+
+def latest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions by the latest of two stored models: one of zero weights, and one of a round of training."""
+    names, rows, store = _classes(spark, sf_dir), cut(feature_vectors(spark, sf_dir)), Store(spark, scratch(spark, "models"))
+    store_model(store, "trained", datetime(2024, 2, 1), names, train_softmax(rows, names, rate=0.5, rounds=1))
+    store_model(store, "zero", datetime(2024, 1, 1), names, [[0.0] * len(FEATURES) for _ in names])
+    found = predict_stored(rows, store)
+    return found.groupBy("panel_id", "model_id", "predicted").agg(F.count("*").alias("n"), F.count(F.when(F.col("predicted") == F.col("defect_type"), 1)).alias("correct"), F.round(F.avg("probability"), 5).alias("probability"))
 
 
 def example_weights(classes: list[str]) -> list[list[float]]:
@@ -97,7 +132,7 @@ def train_softmax(rows: DataFrame, classes: list[str], rate: float = 0.05, l2: f
     if len(classes) < 2 or rows.limit(10).count() < 10:
         raise ValueError("training needs ten rows and two classes")
     features = FEATURES
-    kept = rows.select("defect_type", *features).persist()
+    kept = cut(rows.select("defect_type", *features))
     weights, last = np.zeros((len(classes), len(features))), math.inf
     shape = weights.shape
 
@@ -126,7 +161,6 @@ def train_softmax(rows: DataFrame, classes: list[str], rate: float = 0.05, l2: f
         if abs(last - loss) < stop:
             break
         last = loss
-    kept.unpersist()
     return weights.tolist()
 
 
@@ -246,7 +280,7 @@ def monte_carlo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (feature_vectors, logit_predict, confusion, softmax_model, stratified_split, greedy_match, learning_curve, dies_per_wafer, component_grid, monte_carlo_summary)}
+QUERIES = {f.__name__: f for f in (feature_vectors, logit_predict, confusion, softmax_model, latest_predictions, stratified_split, greedy_match, dies_per_wafer, component_grid)}
 
 _FV = PREFIX + """, fv AS (SELECT panel_id, defect_key, defect_type, 1.0::DOUBLE AS bias, size, confidence_score AS confidence, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, x / cols)) AS x_norm, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, y / rows)) AS y_norm,
   component_row / rows AS row_norm, component_col / cols AS col_norm, """ + ", ".join(f"(region_id = '{r}')::INT::DOUBLE AS {r}" for r in REGIONS) + ", (substrate_type = 'wafer')::INT::DOUBLE AS is_wafer FROM active_a JOIN (SELECT panel_id, rows, cols FROM panels) USING (panel_id))"
@@ -260,7 +294,12 @@ ORACLE_SQL = {
     "confusion": _LP + """, c AS (SELECT defect_type AS class, count(*) AS support, count(*) FILTER (defect_type = predicted) AS tp FROM lp GROUP BY 1), g AS (SELECT predicted AS class, count(*) AS guessed FROM lp GROUP BY 1)
 SELECT class, coalesce(support, 0) AS support, coalesce(guessed, 0) AS guessed, coalesce(tp, 0) AS tp, coalesce(tp / nullif(guessed, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall,
   (SELECT avg(correct::INT) FROM lp) AS accuracy FROM c FULL JOIN g USING (class)""",
-    "learning_curve": "SELECT m::INT AS month, least(0.9::DOUBLE, 0.4::DOUBLE + 0.08::DOUBLE * (0.9::DOUBLE - 0.4::DOUBLE) * m) AS linear, 0.9::DOUBLE - (0.9::DOUBLE - 0.4::DOUBLE) * pow(0.92::DOUBLE, m) AS exponential, least(0.9::DOUBLE, exp(ln(0.4::DOUBLE) * pow(0.92::DOUBLE, m))) AS d0_learning FROM range(25) r(m)",
+    "latest_predictions": _FV + ", cl AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT p_type FROM part)), fr AS (SELECT *, row_number() OVER () AS rid FROM fv), wt AS (SELECT p_type, i, "
+    + ", ".join(f"0.5 * (sum({f}) FILTER (defect_type = p_type) - sum({f}) / any_value(k)) / count(*) AS w_{f}" for f in FEATURES)
+    + " FROM fv CROSS JOIN cl GROUP BY p_type, i), sc AS (SELECT rid, panel_id, defect_type, p_type, i, 0.0::DOUBLE + " + " + ".join(f"{f} * coalesce(w_{f}, 0)" for f in FEATURES)
+    + """ AS s FROM fr CROSS JOIN wt), ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY rid)) AS e FROM sc), pr AS (SELECT *, round(e / sum(e) OVER (PARTITION BY rid), 6) AS p FROM ex),
+lp AS (SELECT panel_id, defect_type, first(p_type ORDER BY s DESC, i) AS predicted, max(p) AS probability FROM pr GROUP BY rid, panel_id, defect_type)
+SELECT panel_id, 'trained' AS model_id, predicted, count(*) AS n, count(*) FILTER (predicted = defect_type) AS correct, round(avg(probability), 5) AS probability FROM lp GROUP BY ALL""",
     "dies_per_wafer": "SELECT DISTINCT p_size::DOUBLE AS area, greatest(1, trunc(pi() * 150 * 150 / p_size - pi() * 300 / sqrt(2 * p_size))::INT) AS dies FROM part",
     "component_grid": PREFIX + "SELECT * FROM components",
     "stratified_split": PREFIX + """, r AS (SELECT panel_id, defect_type, defect_key, row_number() OVER (PARTITION BY panel_id ORDER BY defect_key) AS k FROM defects),

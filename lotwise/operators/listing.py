@@ -113,8 +113,18 @@ def scatter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.avg("size").alias("avg_size"), F.max("size").alias("max_size"), F.avg("confidence_score").alias("avg_confidence"), F.count_distinct("defect_type").alias("types"))
 
 
+def scatter_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`scatter_summary` with the count of each type, joined as type:count by name: one aggregate per panel and type, then one per panel."""
+    found = fab.defects(spark, sf_dir).filter("source_system = 'system_a'").groupBy("panel_id", "defect_type")
+    types = found.agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.max("size").alias("most"), F.sum("confidence_score").alias("confidence"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("defect_type", "n"))), lambda t: F.concat_ws(":", t["defect_type"], t["n"])), ",")
+    return types.groupBy("panel_id").agg(
+        F.sum("n").alias("n"), (F.sum("sizes") / F.sum("n")).alias("avg_size"), F.max("most").alias("max_size"), (F.sum("confidence") / F.sum("n")).alias("avg_confidence"), listed.alias("type_counts")
+    )
+
+
 QUERIES = {f.__name__: f for f in (
-    defect_page, panel_page, panel_lookup, panel_components, gallery, scope_regions, defect_distribution, type_sets, yield_histogram, yield_percentiles, scatter_summary,
+    defect_page, panel_page, panel_lookup, panel_components, gallery, scope_regions, defect_distribution, type_sets, yield_histogram, yield_percentiles, scatter_summary, scatter_types,
 )}
 _YIELDS = PREFIX + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,")
 _BIG = "SELECT lot_id, defect_type FROM defects WHERE size > 0.048 AND source_system = "
@@ -136,5 +146,7 @@ UNION ALL SELECT 'only_a', * FROM ({_BIG}'system_a' EXCEPT {_BIG}'system_b')""",
     "yield_histogram": _YIELDS + """SELECT s.substrate_type, b.k::INT AS bin, count(panel_id) AS panels FROM (SELECT DISTINCT substrate_type FROM lots) s CROSS JOIN range(1, 21) b(k)
 LEFT JOIN py ON py.substrate_type = s.substrate_type AND least(floor(yield_negbinom * 20)::INT + 1, 20) = b.k GROUP BY ALL""",
     "yield_percentiles": _YIELDS + "SELECT substrate_type, quantile_cont(yield_negbinom, 0.1) AS p10, quantile_cont(yield_negbinom, 0.5) AS p50, quantile_cont(yield_negbinom, 0.9) AS p90 FROM py GROUP BY 1",
+    "scatter_types": PREFIX + """, t AS (SELECT panel_id, defect_type, count(*) AS n FROM defects WHERE source_system = 'system_a' GROUP BY ALL), l AS (SELECT panel_id, string_agg(defect_type || ':' || n, ',' ORDER BY defect_type) AS type_counts FROM t GROUP BY 1)
+SELECT panel_id, count(*) AS n, avg(size) AS avg_size, max(size) AS max_size, avg(confidence_score) AS avg_confidence, any_value(type_counts) AS type_counts FROM defects JOIN l USING (panel_id) WHERE source_system = 'system_a' GROUP BY 1""",
     "scatter_summary": PREFIX + "SELECT panel_id, count(*) AS n, avg(size) AS avg_size, max(size) AS max_size, avg(confidence_score) AS avg_confidence, count(DISTINCT defect_type) AS types FROM defects WHERE source_system = 'system_a' GROUP BY 1",
 }

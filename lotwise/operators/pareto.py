@@ -107,7 +107,47 @@ def pareto_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return halves.withColumn("direction", F.when(F.col("second") < 0.85 * F.col("first"), "improving").when(F.col("second") > 1.15 * F.col("first"), "degrading").otherwise("stable"))
 
 
+def lot_trend(spark: SparkSession, sf_dir: str, substrate_type: str | None = None, source_system: str = "system_a", top_n: int = 5) -> DataFrame:
+    """The overall top types of a substrate and system in each of its lots that has panels, oldest first: count, impact, share of the lot's impact, yield loss over the lot's dies.
+
+    A type that a lot lacks has zeros. Impact has four digits, share four and yield loss six.
+    """
+    scope = {"substrate_type": substrate_type}
+    found = where_equal(fab.active_defects(spark, sf_dir, source_system), **scope)
+    top = _types(found).withColumn("impact", F.col("n") * F.col("avg_size") * F.col("avg_confidence")).orderBy(F.desc("impact"), "defect_type").limit(top_n)
+    names = [r.defect_type for r in top.select("defect_type").collect()]  # ``top_n`` at most
+    area = fab.with_profile(where_equal(fab.components(spark, sf_dir).filter("active"), **scope)).groupBy("lot_id").agg(
+        F.count_distinct("panel_id").alias("panels"), F.sum(F.col("pitch") * F.col("pitch")).alias("area"), F.max(F.col("pitch") * F.col("pitch")).alias("die_area")
+    )
+    lots = where_equal(fab.lots(spark, sf_dir), **scope).select("lot_id", "lot_no").join(area, "lot_id").withColumn("defect_type", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
+    impact = F.col("n") * F.col("avg_size") * F.col("avg_confidence")
+    per_lot = _types(found, "lot_id").withColumn("impact", impact).withColumn("whole", F.sum("impact").over(Window.partitionBy("lot_id")))
+    n, own = F.coalesce("n", F.lit(0)), F.coalesce("impact", F.lit(0.0))
+    return lots.join(per_lot, ["lot_id", "defect_type"], "left").select(
+        "lot_id", "lot_no", "panels", "defect_type", n.alias("n"), F.round(own, 4).alias("impact"), F.round(own / F.greatest(F.coalesce("whole", F.lit(0.0)), F.lit(1e-12)), 4).alias("fraction"),
+        F.round(1 - ym.poisson(F.col("die_area"), n / F.col("area")), 6).alias("yield_loss"),
+    )
+
+
+def lot_trend_glass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """system_b's three top types over the glass lots."""
+    return lot_trend(spark, sf_dir, "glass_panel", "system_b", 3)
+
+
+def pareto_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types per substrate and per zone of a substrate in one pass over the defects: grouping sets; ``region_id`` is null for whole substrates."""
+    dies = fab.components(spark, sf_dir).filter("active").groupingSets([["substrate_type", "region_id"], ["substrate_type"]], "substrate_type", "region_id").agg(F.count("*").alias("dies"))
+    types = fab.active_defects(spark, sf_dir).groupingSets([["substrate_type", "region_id", "defect_type"], ["substrate_type", "defect_type"]], "substrate_type", "region_id", "defect_type").agg(
+        F.count("*").alias("n"), F.avg("size").alias("avg_size"), F.avg("confidence_score").alias("avg_confidence")
+    )
+    level = lambda df: df.withColumn("region_id", F.coalesce("region_id", F.lit("")))  # noqa: E731  no region is empty
+    joined = fab.with_profile(level(types).join(F.broadcast(level(dies)), ["substrate_type", "region_id"]))  # a row per zone
+    ranked = rank_types(joined.withColumn("area", F.greatest("dies", F.lit(1)) * F.col("pitch") * F.col("pitch")), ["substrate_type", "region_id"])
+    return ranked.withColumn("region_id", F.nullif("region_id", F.lit("")))
+
+
 QUERIES = {
+    "lot_trend_glass": lot_trend_glass, "pareto_levels": pareto_levels,
     "pareto_overall": pareto_overall, "pareto_panel": pareto_panel, "pareto_zone": pareto_zone, "system_comparison": system_comparison,
     "lot_pareto_trend": lot_pareto_trend, "pareto_direction": pareto_direction,
 }
@@ -149,7 +189,16 @@ u AS (SELECT *, CASE WHEN n_a > 0 THEN row_number() OVER (PARTITION BY n_a > 0 O
       CASE WHEN n_a = 0 THEN 0.0 ELSE least(1.0::DOUBLE, n_b / n_a) END AS match_rate FROM t)
 SELECT *, match_rate >= 0.3 AS likely_real, NOT match_rate >= 0.3 AND n_a >= 3 AS nuisance, match_rate >= 0.3 AND n_a >= 3 AS killer FROM u""",
     "lot_pareto_trend": PREFIX + _LOT_TREND + "SELECT * FROM trend",
+    "lot_trend_glass": PREFIX + """, a AS (SELECT d.* FROM defects d JOIN components c USING (panel_id, component_row, component_col) WHERE c.active AND d.source_system = 'system_b' AND d.substrate_type = 'glass_panel'),
+ov AS (SELECT defect_type FROM a GROUP BY 1 ORDER BY count(*) * avg(size) * avg(confidence_score) DESC, 1 LIMIT 3),
+ar AS (SELECT lot_id, count(DISTINCT panel_id) AS panels, sum(pitch * pitch) AS area, max(pitch * pitch) AS die_area FROM components JOIN dim_profile USING (substrate_type) WHERE active AND substrate_type = 'glass_panel' GROUP BY 1),
+pl AS (SELECT lot_id, defect_type, count(*) AS n, count(*) * avg(size) * avg(confidence_score) AS impact FROM a GROUP BY ALL), pw AS (SELECT *, sum(impact) OVER (PARTITION BY lot_id) AS whole FROM pl)
+SELECT lot_id, lot_no, panels, defect_type, coalesce(n, 0) AS n, round(coalesce(impact, 0.0), 4) AS impact, round(coalesce(impact, 0.0) / greatest(coalesce(whole, 0.0), 1e-12), 4) AS fraction,
+  round(1 - exp(-die_area * (coalesce(n, 0) / area)), 6) AS yield_loss FROM lots JOIN ar USING (lot_id) CROSS JOIN ov LEFT JOIN pw USING (lot_id, defect_type) WHERE lots.substrate_type = 'glass_panel'""",
     "pareto_direction": PREFIX + _LOT_TREND + """, p AS (SELECT *, row_number() OVER (PARTITION BY defect_type ORDER BY lot_no) AS k, count(*) OVER (PARTITION BY defect_type) // 2 AS half FROM trend),
 h AS (SELECT defect_type, avg(fraction) FILTER (k <= half) AS first, avg(fraction) FILTER (k > half) AS second FROM p GROUP BY 1)
 SELECT *, CASE WHEN second < 0.85 * first THEN 'improving' WHEN second > 1.15 * first THEN 'degrading' ELSE 'stable' END AS direction FROM h""",
 }
+
+_COLUMNS = "defect_type, n, avg_size, avg_confidence, impact, rank, fraction, cumulative, yield_loss, vital_few"
+ORACLE_SQL["pareto_levels"] = f"SELECT substrate_type, NULL::VARCHAR AS region_id, {_COLUMNS} FROM ({ORACLE_SQL['pareto_overall']}) UNION ALL SELECT substrate_type, region_id, {_COLUMNS} FROM ({ORACLE_SQL['pareto_zone']})"

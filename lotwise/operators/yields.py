@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions import yield_models as ym
+from lotwise.functions.lineage import cut
 from lotwise.operators.clustering import CLUSTERS, die_clusters
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
@@ -90,6 +91,16 @@ def spatial_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spatial_dies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every die with its defects, local density and its yield by each model from the panel's critical area and alpha; an inactive die shows its defects and yields 0."""
+    sums = cut(die_sums(spark, sf_dir))
+    panel = yields_of_dies(sums).select("panel_id", "critical_fraction", "alpha")
+    dies = fab.with_profile(sums.filter("active is not null")).join(panel, "panel_id")
+    area, density = F.col("critical_fraction") * F.col("pitch") * F.col("pitch"), F.col("n") / (F.col("pitch") * F.col("pitch"))
+    models = {"poisson": ym.poisson(area, density), "murphy": ym.murphy(area, density), "negbinom": ym.negative_binomial(area, density, F.col("alpha"))}
+    return dies.select(*DIE, "region_id", "active", F.col("n").alias("n_defects"), density.alias("density"), *(F.when(F.col("active"), y).otherwise(0.0).alias(f"yield_{name}") for name, y in models.items()))
+
+
 def panel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every die of the rows x cols grid with counts by type, dominant type, dominant cluster and Poisson yield.
 
@@ -115,7 +126,7 @@ def panel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"panel_yield": panel_yield, "die_counts": die_counts, "critical_area": critical_area, "spatial_yield": spatial_yield, "panel_map": panel_map}
+QUERIES = {"panel_yield": panel_yield, "die_counts": die_counts, "critical_area": critical_area, "spatial_yield": spatial_yield, "spatial_dies": spatial_dies, "panel_map": panel_map}
 
 DIES = """, counts AS (SELECT panel_id, component_row, component_col, count(*) AS n FROM defects WHERE source_system = 'system_a' GROUP BY ALL),
 dies AS (SELECT c.panel_id, c.substrate_type, c.lot_id, c.component_row, c.component_col, c.region_id, coalesce(n, 0)::BIGINT AS n_defects
@@ -144,6 +155,11 @@ ORACLE_SQL = {
           FROM dies d JOIN dim_profile USING (substrate_type) JOIN ca USING (panel_id)),
 g AS (SELECT panel_id, avg(die_yield) AS spatial_yield, exp(-any_value(critical_fraction) * (sum(n_defects) / count(*))) AS global_yield, avg(n_defects) AS m, stddev_pop(n_defects) AS s FROM y GROUP BY 1)
 SELECT panel_id, spatial_yield, global_yield, spatial_yield - global_yield AS gain, CASE WHEN m > 0 THEN s / m ELSE 0.0 END AS cv FROM g""",
+    "spatial_dies": PREFIX + DIES.replace("py1.substrate_type,", "py1.substrate_type AS substrate_type,") + """, e AS (SELECT c.*, coalesce(n, 0) AS n, py.alpha, py.critical_fraction * pitch * pitch AS area, coalesce(n, 0) / (pitch * pitch) AS density
+  FROM components c JOIN dim_profile USING (substrate_type) JOIN py USING (panel_id) LEFT JOIN counts USING (panel_id, component_row, component_col))
+SELECT panel_id, component_row, component_col, region_id, active, n AS n_defects, density, CASE WHEN active THEN exp(-area * density) ELSE 0.0 END AS yield_poisson,
+  CASE WHEN NOT active THEN 0.0 WHEN area * density < 1e-10 THEN 1.0 ELSE pow((1 - exp(-(area * density))) / (area * density), 2.0) END AS yield_murphy,
+  CASE WHEN active THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, pow(1 + area * density / alpha, -alpha))) ELSE 0.0 END AS yield_negbinom FROM e""",
     "panel_map": PREFIX
     + CLUSTERS
     + DIES
