@@ -1,19 +1,21 @@
-"""Density clustering of all panels at once, by grid joins.
+"""Density clustering of all panels at once.
 
-A point's neighbours lie in its own or the eight cells around it (cell width = radius), so the
-neighbour search is an equi-join on (panel, cell) with a distance test, not a product of points. A
-panel of some thousand points fits into a task and is labelled there with NumPy; a larger one, which
-could be a third of all points, goes through the joins. Both give the same labels.
+A panel of some thousand points fits into a task and is labelled there with NumPy; a larger one, which
+could be a third of all points, goes through joins over small cells, where work grows with the points,
+however dense they lie. Both give the same labels.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.lineage import cut
+from lotwise.operators.ordered import numbered
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
 
@@ -22,19 +24,6 @@ from lotwise.plans.fab_view import PREFIX
 TASK_POINTS = 4_000
 
 
-def neighbours(points: DataFrame) -> DataFrame:
-    """panel_id, a, b: ordered pairs within ``eps`` of each other, a point and itself included.
-
-    ``points`` has panel_id, idx, x, y, eps.
-    """
-    cell = points.withColumn("cx", F.floor(F.col("x") / F.col("eps"))).withColumn("cy", F.floor(F.col("y") / F.col("eps")))
-    shifts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    around = cell.withColumn("s", F.explode(shifts)).select("panel_id", F.col("idx").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), "eps", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
-    other = cell.select("panel_id", F.col("idx").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy")
-    dx, dy = F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")
-    return around.join(other, ["panel_id", "cx", "cy"]).filter(dx * dx + dy * dy <= F.col("eps") * F.col("eps")).select("panel_id", "a", "b")
-
-
 def dbscan(points: DataFrame, min_samples: int, task_points: int = TASK_POINTS) -> DataFrame:
     """panel_id, idx, label: clusters numbered by their first core point in scan order; noise is -1.
 
@@ -44,7 +33,7 @@ def dbscan(points: DataFrame, min_samples: int, task_points: int = TASK_POINTS)
     if large.isEmpty():
         return label_in_tasks(points, min_samples)
     large = cut(large)
-    return label_in_tasks(points.join(large, "panel_id", "left_anti"), min_samples).unionByName(label_by_joins(cut(points.join(large, "panel_id", "left_semi")), min_samples))
+    return label_in_tasks(points.join(large, "panel_id", "left_anti"), min_samples).unionByName(label_by_cells(cut(points.join(large, "panel_id", "left_semi")), min_samples))
 
 
 def label_panel(x: np.ndarray, y: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
@@ -77,16 +66,92 @@ def label_in_tasks(points: DataFrame, min_samples: int) -> DataFrame:
     return points.groupBy("panel_id").applyInPandas(label, "panel_id string, idx int, label int")
 
 
-def label_by_joins(points: DataFrame, min_samples: int) -> DataFrame:
-    """:func:`dbscan` of panels of any size.
+#: A cell's side over the radius: its points surely lie within the radius of each other, whatever the rounding.
+CELL_SIDE = math.sqrt(0.5) * (1 - 1e-12)
+CELL = ["panel_id", "cx", "cy"]
+
+
+def boxes_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """The extent of the points of each key: x0, x1, y0, y1."""
+    return rows.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("eps").alias("eps"))
+
 
-    Core components come from rounds of
-    smallest-label joins with pointer jumping; a round's count of changes is all the driver sees.
+def judged(pairs: DataFrame) -> DataFrame:
+    """Box pairs (columns of the second end with _b) with ``linked``: true where all their points are within the radius, false where none are, else null."""
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0_b") - F.col(f"{c}1"), F.col(f"{c}0") - F.col(f"{c}1_b"))
+    span = lambda c: F.greatest(F.col(f"{c}1_b") - F.col(f"{c}0"), F.col(f"{c}1") - F.col(f"{c}0_b"))
+    reach = F.col("eps") * F.col("eps")
+    far, near = gap("x") * gap("x") + gap("y") * gap("y") > reach, span("x") * span("x") + span("y") * span("y") <= reach
+    return pairs.withColumn("linked", F.when(near, True).when(far, False))
+
+
+def close_pairs(few: DataFrame, many: DataFrame) -> DataFrame:
+    """panel_id, a, b and b's columns: points of ``few`` with those of ``many`` within the radius, which lie at most two cells away.
+
+    Where a cell of ``few`` holds less than a fixed number of points, so is each point of ``many`` in a fixed number of pairs.
+    """
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)))
+    around = few.withColumn("step", F.explode(steps)).select(
+        "panel_id", F.col("idx").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), (F.col("cx") + F.col("step.i")).alias("cx"), (F.col("cy") + F.col("step.j")).alias("cy")
+    )
+    dx, dy = F.col("xa") - F.col("x"), F.col("ya") - F.col("y")
+    return around.join(many, CELL).filter(dx * dx + dy * dy <= F.col("eps") * F.col("eps")).withColumnRenamed("idx", "b")
+
+
+def linked_cells(core: DataFrame) -> DataFrame:
+    """panel_id, a, b: cells (by their root, the smallest idx of their core points) that have core points within the radius of each other.
+
+    Neighbouring cells are compared by the extents of their core points. Where these leave it open, the cells are cut
+    into eighths and the pairs of parts compared, and so on; a part of one place is decided exactly. Only parts
+    at the border of the radius stay open, so no pairs of points are made.
+    """
+    half = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if i or j > 0))
+    cells = cut(boxes_of(core, *CELL, "root"))
+    other = cells.select("panel_id", *(F.col(c).alias(f"{c}_b") for c in ("cx", "cy", "root", "x0", "x1", "y0", "y1")))
+    moved = cells.withColumn("step", F.explode(half)).withColumns({"cx_b": F.col("cx") + F.col("step.i"), "cy_b": F.col("cy") + F.col("step.j")})
+    tested = cut(judged(moved.join(other, ["panel_id", "cx_b", "cy_b"])).select("panel_id", "root", "root_b", "linked"))
+    found = [tested.filter("linked").select("panel_id", "root", "root_b")]
+    still = tested.filter("linked is null").select("panel_id", "root", "root_b", *(F.lit(0).cast("long").alias(c) for c in ("fx", "fy", "fx_b", "fy_b")))
+    parts = core.withColumns({"fx": F.lit(0).cast("long"), "fy": F.lit(0).cast("long")})
+    scale = 1
+    while not still.isEmpty():
+        scale *= 8
+        part = lambda c, scale=scale: F.floor(F.col(c) / F.col("side") * scale)
+        ends = still.select("panel_id", "root", "fx", "fy").unionByName(still.select("panel_id", *(F.col(f"{c}_b").alias(c) for c in ("root", "fx", "fy")))).distinct()
+        parts = cut(parts.join(ends, ["panel_id", "root", "fx", "fy"], "left_semi").withColumns({"gx": part("x"), "gy": part("y")}))
+        boxes = cut(boxes_of(parts, "panel_id", "root", "fx", "fy", "gx", "gy"))
+        second = boxes.select("panel_id", *(F.col(c).alias(f"{c}_b") for c in ("root", "fx", "fy", "gx", "gy", "x0", "x1", "y0", "y1")))
+        pairs = still.join(boxes, ["panel_id", "root", "fx", "fy"]).join(second, ["panel_id", "root_b", "fx_b", "fy_b"])
+        tested = cut(judged(pairs).select("panel_id", "root", "root_b", "gx", "gy", "gx_b", "gy_b", "linked").filter("linked is null or linked"))
+        hits = tested.filter("linked").select("panel_id", "root", "root_b").distinct()
+        found.append(hits)
+        open_pairs = tested.filter("linked is null").join(hits, ["panel_id", "root", "root_b"], "left_anti")
+        still = cut(open_pairs.select("panel_id", "root", "root_b", *(F.col(f"g{c}").alias(f"f{c}") for c in ("x", "y", "x_b", "y_b"))))
+        parts = parts.drop("fx", "fy").withColumnsRenamed({"gx": "fx", "gy": "fy"})
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links.withColumnsRenamed({"root": "a", "root_b": "b"})
+
+
+def label_by_cells(points: DataFrame, min_samples: int) -> DataFrame:
+    """:func:`dbscan` of panels of any size and density.
+
+    Points of a cell are near each other, so a cell of ``min_samples`` points has core points alone, and the
+    points of the others are few in each cell: only these are paired with points around them, to count or to find a
+    core point. Clusters are components of cells, by rounds of smallest-label joins with pointer jumping.
     """
-    pairs = cut(neighbours(points))
-    core = cut(pairs.groupBy("panel_id", "a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("panel_id", F.col("a").alias("idx")))
-    from_core = pairs.join(core.withColumnRenamed("idx", "a"), ["panel_id", "a"])
-    links = cut(from_core.join(core.withColumnRenamed("idx", "b"), ["panel_id", "b"]))
+    side = F.col("eps") * CELL_SIDE
+    cell = cut(points.withColumn("side", side).withColumns({"cx": F.floor(F.col("x") / F.col("side")), "cy": F.floor(F.col("y") / F.col("side"))}))
+    sizes = cell.groupBy(*CELL).agg(F.count("*").alias("n"))
+    placed = cut(cell.join(sizes, CELL))
+    thin = placed.filter(F.col("n") < min_samples).drop("n")
+    counted = close_pairs(thin, placed.drop("n")).groupBy("panel_id", F.col("a").alias("idx")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("panel_id", "idx")
+    core = placed.filter(F.col("n") >= min_samples).drop("n").unionByName(thin.join(counted, ["panel_id", "idx"]).select(*thin.columns))
+    roots = cut(core).groupBy(*CELL).agg(F.min("idx").alias("root"))
+    core = cut(core.join(roots, CELL))
+    one_way = linked_cells(core)
+    links = cut(one_way.unionByName(one_way.select("panel_id", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(core.select("panel_id", F.col("root").alias("a"), F.col("root").alias("b"))).distinct())
     labels = cut(links.groupBy("panel_id", F.col("a").alias("idx")).agg(F.min("b").alias("root")))
     while True:
         near = links.join(labels.withColumnRenamed("idx", "b"), ["panel_id", "b"]).groupBy("panel_id", F.col("a").alias("idx")).agg(F.min("root").alias("near"))
@@ -95,11 +160,12 @@ def label_by_joins(points: DataFrame, min_samples: int) -> DataFrame:
         labels = step.select("panel_id", "idx", "root")
         if step.filter("old <> root").isEmpty():
             break
-    roots = labels.select("panel_id", "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy("panel_id").orderBy("root")) - 1)
-    named = labels.join(roots, ["panel_id", "root"]).select("panel_id", F.col("idx").alias("a"), "label")
-    reached = pairs.join(named, ["panel_id", "a"]).groupBy("panel_id", F.col("b").alias("idx")).agg(F.min("label").alias("reached"))
-    own = named.select("panel_id", F.col("a").alias("idx"), F.col("label").alias("own"))
-    joined = points.select("panel_id", "idx").join(own, ["panel_id", "idx"], "left").join(reached, ["panel_id", "idx"], "left")
+    heads = numbered(labels.select("panel_id", "root").distinct(), "panel_id", ["root"], "label").withColumn("label", (F.col("label") - 1).cast("int"))
+    named = labels.join(heads, ["panel_id", "root"]).select("panel_id", F.col("idx").alias("root"), "label")
+    labelled = cut(core.join(named, ["panel_id", "root"]).drop("root"))
+    border = close_pairs(thin.join(counted, ["panel_id", "idx"], "left_anti"), labelled).groupBy("panel_id", F.col("a").alias("idx")).agg(F.min("label").alias("reached"))
+    own = labelled.select("panel_id", "idx", F.col("label").alias("own"))
+    joined = points.select("panel_id", "idx").join(own, ["panel_id", "idx"], "left").join(border, ["panel_id", "idx"], "left")
     return joined.select("panel_id", "idx", F.coalesce("own", "reached", F.lit(-1)).alias("label"))
 
 
