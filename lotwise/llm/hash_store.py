@@ -1,15 +1,18 @@
 """Sorted hash arrays in the shared folder, memory-mapped by workers.
 
-A store is a set of parts; part k holds the rows whose top bits of the 64-bit hash are k, as
-NumPy files: ``hash`` sorted ascending and one array per value column. A task writes parts under
-names of its own and returns the names; only named parts count. Workers map a part when they
-first look into it, so a lookup touches only the pages it needs. Where the shared folder is not
-a mounted one, a part is read into memory instead.
+A store is a set of parts; part k holds the rows whose top bits of the 64-bit hash are k: ``hash``
+sorted ascending and one array per value column. Workers map a part when they first look into it, so
+a lookup touches only the pages it needs. Where the shared folder is not a mounted one, a part is
+read into memory instead. There are two layouts: a file per array under a name that its task chose and
+returned (:func:`write_part`), for tables of few parts, and one file per part, named by its number
+(:func:`write_numbered`), for tables whose parts grow with the text, where no list of names is held.
 """
 
 from __future__ import annotations
 
 import functools
+import io
+import mmap
 import uuid
 
 import numpy as np
@@ -32,6 +35,12 @@ def part_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def runs_of(parts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, begin, end) of each run of equal values of sorted ``parts``."""
+    bounds = [*np.flatnonzero(np.diff(parts, prepend=-1)).tolist(), len(parts)]
+    return [(int(parts[lo]), lo, hi) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def write_part(folder: str, arrays: dict[str, np.ndarray]) -> str:
     """Writes one part's arrays (``hash`` sorted) under a new name, which it returns."""
     store, root = fs.FileSystem.from_uri(folder)
@@ -53,24 +62,70 @@ def array(folder: str, name: str, key: str) -> np.ndarray:
         return np.lib.format.read_array(source, allow_pickle=False)
 
 
-class HashStore:
-    """Reader; ``names`` has the name of each part that has rows."""
-
-    def __init__(self, folder: str, bits: int, names: dict[int, str]):
-        self.folder, self.bits, self.names = folder, bits, names
-
-    def find(self, hashes: np.ndarray, keys: dict[str, np.dtype]) -> dict[str, np.ndarray]:
-        """Value columns for sorted ``hashes``; 0 where a hash is not stored."""
-        out = {key: np.zeros(len(hashes), kind) for key, kind in keys.items()}
-        parts = part_of(hashes, self.bits)
-        bounds = np.flatnonzero(np.diff(parts, prepend=-1)) if len(parts) else []
-        for begin, end in zip(bounds, [*bounds[1:], len(hashes)], strict=True):
-            name = self.names.get(int(parts[begin]))
-            if name:
-                stored = array(self.folder, name, "hash")
-                at = np.searchsorted(stored, hashes[begin:end])
-                at[at == len(stored)] = 0
-                found = np.flatnonzero(stored[at] == hashes[begin:end])
-                for key in keys:
-                    out[key][begin + found] = array(self.folder, name, key)[at[found]]
-        return out
+def write_numbered(folder: str, part: int, arrays: list[np.ndarray]) -> None:
+    """Writes one part's arrays, the sorted hashes first, to the file that its number names.
+
+    The file appears whole or not at all. A second attempt of the same task has the same bytes, so either may stay.
+    """
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    own, final = f"{root}/.{part}-{uuid.uuid4().hex}", f"{root}/{part}"
+    with store.open_output_stream(own) as out:
+        for values in arrays:
+            np.lib.format.write_array(out, np.ascontiguousarray(values), allow_pickle=False)
+    try:
+        store.move(own, final)
+    except OSError:  # file systems that don't replace a file by a move
+        if store.get_file_info(final).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(own)
+
+
+def arrays_in(data: bytes | mmap.mmap) -> list[np.ndarray]:
+    """Views of the arrays that follow one another in a part's file."""
+    found, at = [], 0
+    while at < len(data):
+        head = io.BytesIO(data[at : at + 256])
+        np.lib.format.read_magic(head)
+        (n,), _, kind = np.lib.format.read_array_header_1_0(head)
+        found.append(np.frombuffer(data, kind, n, at + head.tell()))
+        at += head.tell() + n * kind.itemsize
+    return found
+
+
+#: Mapped parts that a worker keeps; a process may hold about twice as many mappings.
+MAPPED_PARTS = 32_768
+
+
+@functools.lru_cache(maxsize=MAPPED_PARTS)
+def mapped_part(root: str, part: int) -> list[np.ndarray] | None:
+    """The arrays of a part on a mounted file system; None where the part has no rows and so no file."""
+    try:
+        with open(f"{root}/{part}", "rb") as file:
+            return arrays_in(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+    except FileNotFoundError:
+        return None
+
+
+def numbered_part(folder: str, part: int) -> list[np.ndarray] | None:
+    store, root = fs.FileSystem.from_uri(folder)
+    if isinstance(store, fs.LocalFileSystem):
+        return mapped_part(root, part)
+    if store.get_file_info(f"{root}/{part}").type == fs.FileType.NotFound:
+        return None
+    with store.open_input_file(f"{root}/{part}") as source:
+        return arrays_in(source.read())
+
+
+def find_numbered(folder: str, bits: int, hashes: np.ndarray, columns: int) -> list[np.ndarray]:
+    """The ``columns`` value columns for sorted ``hashes``; 0 where a hash is not stored. Each part is opened once at most."""
+    out = [np.zeros(len(hashes)) for _ in range(columns)]
+    for part, begin, end in runs_of(part_of(hashes, bits)):
+        stored = numbered_part(folder, part)
+        if stored:
+            at = np.searchsorted(stored[0], hashes[begin:end])
+            at[at == len(stored[0])] = 0
+            found = np.flatnonzero(stored[0][at] == hashes[begin:end])
+            for values, own in zip(out, stored[1:], strict=True):
+                values[begin + found] = own[at[found]]
+    return out

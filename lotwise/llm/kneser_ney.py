@@ -6,9 +6,12 @@ distinct n-gram then sends what it adds to two sums: to its context (how much fo
 followers occur once, twice, more often) and to the n-gram without its first word (one more
 distinct word before it, or its count where a text begins there). The next shuffle sums both, and so
 on down to single words. Parts are cut by the hash of the whole n-gram, so a context that a third of
-the corpus shares is spread over all of them, and there are as many as the text's size asks for. All
-tables become sorted hash arrays in the shared folder; scoring workers map them and look up a batch's
-distinct n-grams in hash order. N-grams are known by 64-bit hashes; two that clash count as one.
+the corpus shares is spread over all of them, and there are as many as the text's size asks for. From
+some tens of gigabytes on, n-grams go to their parts in steps of some bits of the hash, each a shuffle
+that sums again, so what a task sends to one place never shrinks to a few n-grams. All tables become
+sorted hash arrays in the shared folder, a file per part and table, named by the part's number; the
+driver gets sums of counts alone. Scoring workers map the files and look up a batch's distinct n-grams
+in hash order. N-grams are known by 64-bit hashes; two that clash count as one.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import io
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .hash_store import HashStore, mixed, part_of, write_part
+from .hash_store import find_numbered, mixed, part_of, runs_of, write_numbered
 
 #: Stand for the start and the end of a text among the 64-bit word hashes.
 START, END = np.uint64(1), np.uint64(2)
@@ -34,6 +38,8 @@ START, END = np.uint64(1), np.uint64(2)
 SLICE_TOKENS, SCORE_TOKENS = 2_000_000, 1_000_000
 #: Bytes of text for which there is a part.
 PART_BYTES = 12_000_000
+#: Bits of the hash by which one shuffle may tell parts apart.
+STEP_BITS = 12
 #: Words of the longest n-grams. README has the figures of 3 by the check tool.
 ORDER = 2
 CONTEXT_SUMS = ("total", "n1", "n2", "n3")
@@ -102,21 +108,46 @@ def summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, lis
 
 def by_part(kind: str, keys: np.ndarray, arrays: list[np.ndarray], bits: int) -> Iterator[tuple]:
     """(kind, part, blob) of rows sorted by key; within a part they go in the order of their columns, which compresses."""
-    bounds = np.searchsorted(part_of(keys, bits), np.arange((1 << bits) + 1)).tolist()
-    for part, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        if hi > lo:
-            own = [a[lo:hi] for a in arrays]
-            if kind == "gram":
-                order = np.lexsort(own[-2::-1])
-                own = [a[order] for a in own]
-            yield kind, part, pack([*own[:-1], narrow(own[-1])] if kind != "context" else [own[0], *map(narrow, own[1:])])
+    for part, lo, hi in runs_of(part_of(keys, bits)):
+        own = [a[lo:hi] for a in arrays]
+        if kind == "gram":
+            order = np.lexsort(own[-2::-1])
+            own = [a[order] for a in own]
+        yield kind, part, pack([*own[:-1], narrow(own[-1])] if kind != "context" else [own[0], *map(narrow, own[1:])])
 
 
-SENT = "kind string, part int, name string, stats array<long>, blob binary"
+def steps_to(bits: int, most: int) -> list[int]:
+    """Bits of the hash known after each shuffle: as few shuffles as bring at most ``most`` bits each, as even as can be."""
+    n = math.ceil(bits / most)
+    return [bits * (k + 1) // n for k in range(n)]
 
 
-def sent(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(k, p, None, None, b) for k, p, b in rows], columns=["kind", "part", "name", "stats", "blob"])
+def merged(kind: str, blobs: pd.Series, level: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct hashes in order, what names each (words of an n-gram, else the hash) and its sums; ``level`` is the words of the n-grams."""
+    names = level if kind == "gram" else 1
+    loaded = [unpack(blob, names + (len(CONTEXT_SUMS) if kind == "context" else 1)) for blob in blobs]
+    columns = [np.concatenate(c) for c in zip(*loaded, strict=True)]
+    keys, sums, at = summed(gram_hash(columns[:names]) if kind == "gram" else columns[0], columns[names:])
+    return keys, [c[at] for c in columns[:names]], sums
+
+
+def spread(packed: DataFrame, level: int, known: int, wanted: int, bits: int) -> DataFrame:
+    """Rows whose parts are told by ``known`` bits, brought to parts of ``wanted`` bits.
+
+    A part of few bits is dealt by its blobs' checksums over as many tasks as it has parts of all ``bits``, so a task
+    sums about as much as the final part holds, at any size of the corpus.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        kind = frame["kind"].iloc[0]
+        keys, names, sums = merged(kind, frame["blob"], level)
+        return pd.DataFrame(list(by_part(kind, keys, [*names, *sums], wanted)), columns=["kind", "part", "blob"])
+
+    deal = F.pmod(F.crc32("blob"), F.lit(1 << (bits - known))).alias("deal")
+    return packed.groupBy("kind", "part", deal).applyInPandas(run, "kind string, part int, blob binary")
+
+
+SENT = "kind string, part int, stats array<long>, blob binary"
 
 
 def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
@@ -139,31 +170,25 @@ def counts_of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def reduce_parts(packed: DataFrame, folder: str, level: int, bits: int) -> DataFrame:
-    """Stores n-grams of ``level`` words and contexts of the level above; a row with name and statistics of each part, and what they send down."""
-    width = {"gram": level + 1, "word": 2, "context": 1 + len(CONTEXT_SUMS)}
+def reduce_parts(packed: DataFrame, folder: str, level: int, first_bits: int) -> DataFrame:
+    """Stores n-grams of ``level`` words and contexts of the level above; a row with statistics of each part, and what they send down, by ``first_bits``."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kind, part = frame["kind"].iloc[0], int(frame["part"].iloc[0])
-        loaded = [unpack(blob, width[kind]) for blob in frame["blob"]]
-        columns = [np.concatenate(c) for c in zip(*loaded, strict=True)]
-        rows = []
-        if kind == "context":
-            keys, sums, _ = summed(columns[0], columns[1:])
-            name, stats = write_part(f"{folder}/context{level + 1}", {"hash": keys, **{k: narrow(v) for k, v in zip(CONTEXT_SUMS, sums, strict=True)}}), []
-        else:
-            keys, (count,), at = summed(columns[0] if kind == "word" else gram_hash(columns[:-1]), columns[-1:])
-            name = write_part(f"{folder}/{kind}{level if kind == 'gram' else ''}", {"hash": keys, "count": narrow(count)})
-            stats = [int(count.sum()), len(keys), *counts_of_counts(count)]
-            if kind == "gram" and level > 1:
-                words = [c[at] for c in columns[:-1]]
-                contexts, sums, _ = summed(gram_hash(words[:-1]), [count, count == 1, count == 2, count > 2])
-                rows += by_part("context", contexts, [contexts, *sums], bits)
-                adds = np.where(words[1] == START, count, 1)
-                shorter, (adds,), at = summed(gram_hash(words[1:]), [adds])
-                rows += by_part("gram", shorter, [*(w[at] for w in words[1:]), adds], bits)
-        stored = pd.DataFrame([(kind, part, name, stats, None)], columns=["kind", "part", "name", "stats", "blob"])
-        return pd.concat([stored, sent(rows)]) if rows else stored
+        kind, part, rows = frame["kind"].iloc[0], int(frame["part"].iloc[0]), []
+        keys, words, sums = merged(kind, frame["blob"], level)
+        table = {"gram": f"gram{level}", "context": f"context{level + 1}"}.get(kind, kind)
+        write_numbered(f"{folder}/{table}", part, [keys, *map(narrow, sums)])
+        if kind != "context":
+            (count,) = sums
+            rows.append((kind, part, [int(count.sum()), len(keys), *counts_of_counts(count)], None))
+        if kind == "gram" and level > 1:
+            contexts, sums, _ = summed(gram_hash(words[:-1]), [count, count == 1, count == 2, count > 2])
+            down = list(by_part("context", contexts, [contexts, *sums], first_bits))
+            adds = np.where(words[1] == START, count, 1)
+            shorter, (adds,), at = summed(gram_hash(words[1:]), [adds])
+            down += by_part("gram", shorter, [*(w[at] for w in words[1:]), adds], first_bits)
+            rows += [(k, p, None, blob) for k, p, blob in down]
+        return pd.DataFrame(rows, columns=["kind", "part", "stats", "blob"])
 
     return packed.groupBy("kind", "part").applyInPandas(run, SENT)
 
@@ -178,23 +203,21 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 @dataclass
 class NgramModel:
-    """A few numbers and the names of the mapped files; the counts themselves stay in the shared folder."""
+    """A few numbers; the counts themselves stay in the shared folder."""
 
     folder: str
     order: int
     bits: int
-    parts: dict[str, dict[int, str]]  # of each table
     tokens: int
     words: int
     types: int
     discounts: dict[int, tuple[float, float, float]]  # by level
     reserve: float  # probability that discounting the words leaves to unseen ones
 
-    def find(self, table: str, hashes: np.ndarray, keys: tuple[str, ...] = ("count",)) -> list[np.ndarray]:
+    def find(self, table: str, hashes: np.ndarray, columns: int = 1) -> list[np.ndarray]:
         """Values of each hash in the order given, 0 where it isn't stored; each distinct hash is looked up once."""
         seen, at = np.unique(hashes, return_inverse=True)
-        found = HashStore(f"{self.folder}/{table}", self.bits, self.parts.get(table, {})).find(seen, dict.fromkeys(keys, np.float64))
-        return [found[k][at] for k in keys]
+        return [values[at] for values in find_numbered(f"{self.folder}/{table}", self.bits, seen, columns)]
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per document: log10 probability, base score, tokens known."""
@@ -205,7 +228,7 @@ class NgramModel:
         for level in range(2, self.order + 1):
             words = columns[self.order - level :]
             (count,) = self.find(f"gram{level}", gram_hash(words))
-            total, *n = self.find(f"context{level}", gram_hash(words[:-1]), CONTEXT_SUMS)
+            total, *n = self.find(f"context{level}", gram_hash(words[:-1]), len(CONTEXT_SUMS))
             kept, some = sum(d * x for d, x in zip(self.discounts[level], n, strict=True)), np.maximum(total, 1)
             probability = np.where(total > 0, np.maximum(count - self._discount(count, level), 0) / some + kept / some * probability, probability)
         (known,) = self.find("word", own)
@@ -217,7 +240,7 @@ class NgramModel:
         return np.array([0.0, *self.discounts[level]])[np.minimum(counts, 3).astype(np.int64)]
 
 
-def fit(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> NgramModel:
+def fit(docs: DataFrame, order: int = ORDER, folder: str | None = None, step_bits: int = STEP_BITS) -> NgramModel:
     """Counts all n-grams of ``order`` words (2 at least) of all documents given; an empty table gives the uniform model."""
     if order < 2:
         raise ValueError("the order must be 2 or more")
@@ -225,14 +248,16 @@ def fit(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Ngram
     folder = folder or shared.new_folder(spark, "kneser-ney")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(4, math.ceil(math.log2(max(size, 1) / PART_BYTES)))
-    packed, parts, stats, passed = count_grams(docs, order, bits), {}, {}, []
+    steps = steps_to(bits, step_bits)
+    packed, stats, passed = count_grams(docs, order, steps[0]), {}, []
     for level in range(order, 0, -1):
-        done = shared.written(reduce_parts(packed, folder, level, bits), f"grams-{level}")
+        for known, wanted in pairwise(steps):
+            packed = spread(packed, level, known, wanted, bits)
+        done = shared.written(reduce_parts(packed, folder, level, steps[0]), f"grams-{level}")
         shared.discard(*passed)
-        for row in done.filter("name is not null").select("kind", "part", "name", "stats").collect():  # a row per part and table
-            table = {"gram": f"gram{level}", "context": f"context{level + 1}"}.get(row.kind, row.kind)
-            parts.setdefault(table, {})[row.part] = row.name
-            stats[table] = np.add(stats.get(table, np.zeros(6, np.int64)), row.stats or [0] * 6)
+        sums = done.filter("stats is not null").groupBy("kind").agg(F.array(*(F.sum(F.col("stats")[k]) for k in range(6))).alias("stats"))
+        for row in sums.collect():  # two rows
+            stats[f"gram{level}" if row.kind == "gram" else row.kind] = np.array(row.stats, np.int64)
         packed, passed = done.filter("blob is not null").select("kind", "part", "blob"), [done]
     shared.discard(*passed)
     none = np.zeros(6, np.int64)
@@ -242,7 +267,7 @@ def fit(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Ngram
     d1, d2, d3 = by_level[1]
     reserve = (d1 * m1 + d2 * m2 + d3 * (distinct - m1 - m2)) / types if types else 1.0
     tokens, words, *_ = stats.get("word", none).tolist()
-    return NgramModel(folder, order, bits, parts, tokens, words, types, by_level, reserve)
+    return NgramModel(folder, order, bits, tokens, words, types, by_level, reserve)
 
 
 def score_documents(docs: DataFrame, model: NgramModel) -> DataFrame:

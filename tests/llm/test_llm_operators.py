@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lotwise.llm import bpe, components, embedding_dup, exact_dedup, kneser_ney, near_dup, packing, quality, secrets, shared, token_planes, tokenize, toxicity
+from lotwise.llm import bpe, components, embedding_dup, exact_dedup, hash_store, kneser_ney, near_dup, packing, quality, secrets, shared, token_planes, tokenize, toxicity
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -414,7 +414,7 @@ def test_kneser_ney_equals_brute_force(spark, docs, empty, order):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["a", "b", "B", "c", "dd", "é", "e" * rng.randrange(1, 4)]) for _ in range(rng.randrange(30)))) for i in range(60)]
     frame = spark.createDataFrame(rows + [(60, None), (61, ""), (62, "zz unknown\x0bwords")], "doc_id long, text string")
-    model = kneser_ney.fit(frame.filter("doc_id < 50"), order)
+    model = kneser_ney.fit(frame.filter("doc_id < 50"), order, step_bits=12 if order == 2 else 5 - order)  # parts in one, two and four shuffles
     words = lambda t: (t or "").encode().lower().split() + ["end"]
     pad = ["start"] * (order - 1)
     word_count, grams = Counter(), {k: Counter() for k in range(1, order + 1)}
@@ -451,6 +451,26 @@ def test_kneser_ney_equals_brute_force(spark, docs, empty, order):
         assert kneser_ney.score_documents(empty, model).count() == 0
 
 
+def test_kneser_ney_steps_to_parts():
+    assert kneser_ney.steps_to(4, 12) == [4] and kneser_ney.steps_to(12, 12) == [12] and kneser_ney.steps_to(13, 12) == [6, 13] and kneser_ney.steps_to(25, 12) == [8, 16, 25]
+
+
+def test_numbered_parts(tmp_path):
+    folder, rng = f"file://{tmp_path}/table", np.random.default_rng(5)
+    hashes = np.sort(rng.integers(0, 2**64, 1_000, dtype=np.uint64))
+    hashes = hashes[hash_store.part_of(hashes, 3) != 2]  # a part without rows
+    values, small = rng.integers(0, 2**40, len(hashes)), (np.arange(len(hashes)) % 251).astype(np.uint8)
+    for part in range(8):
+        own = hash_store.part_of(hashes, 3) == part
+        for _ in range(2 if own.any() else 0):  # a task's second attempt
+            hash_store.write_numbered(folder, part, [hashes[own], small[own], values[own]])
+    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["0", "1", "3", "4", "5", "6", "7"]
+    asked = np.sort(np.concatenate([hashes, rng.integers(0, 2**64, 500, dtype=np.uint64)]))
+    found, at = hash_store.find_numbered(folder, 3, asked, 2), np.isin(asked, hashes)
+    assert (found[0][at] == small).all() and (found[1][at] == values).all() and not found[0][~at].any() and not found[1][~at].any()
+    assert [len(v) for v in hash_store.find_numbered(folder, 3, asked[:0], 2)] == [0, 0]
+
+
 def test_crc_folds(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id")).select("doc_id", shared.crc_bucket("doc_id", 7).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.doc_id).encode()) % 7 for r in rows)
