@@ -35,3 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     where = scratch(spark, "cut")
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that :func:`cut` returned, once nothing reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwise.functions.lineage import cut, scratch
+from lotwise.functions.lineage import cut, drop, scratch
 from lotwise.operators.yields import DIES, panel_yield
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
@@ -32,10 +32,11 @@ def walk(edges: DataFrame, starts: DataFrame, forward: bool = True, max_depth: i
     while max_depth is None or depth < max_depth:
         depth += 1
         reached = frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = cut(reached.withColumn("depth", F.lit(depth)))
+        last, frontier = frontier, cut(reached.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        before, seen = seen, cut(seen.unionByName(frontier))
+        drop(last, before)
     return seen.filter("depth > 0")
 
 
@@ -50,29 +51,63 @@ def related(edges: DataFrame, nodes: DataFrame, starts: DataFrame, forward: bool
     return walk(edges, starts, forward, max_depth).join(nodes.select("node"), "node", "left_semi")
 
 
+def tops(edges: DataFrame) -> DataFrame:
+    """node, top, steps, ended of every node with exactly one parent: the first ancestor that has none or several.
+
+    Pointers to the parent jump to what their ends point to, so a chain takes rounds by the logarithm of its length.
+    ``ended`` is false on and below cycles of such nodes, where pointers never end. A round reads and writes the pointers once.
+    """
+    near = edges.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("n"), F.min("parent").alias("top")).filter("n = 1")
+    at = cut(near.select("node", "top", F.lit(1).cast("long").alias("steps"), F.lit(False).alias("ended")))
+    rounds = at.count().bit_length() + 1  # a pointer that has not ended by then has gone round
+    for _ in range(rounds):
+        up = at.select(F.col("node").alias("top"), F.col("top").alias("up"), F.col("steps").alias("more"))
+        jumped = cut(at.join(up, "top", "left").select("node", F.coalesce("up", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.isnull("up").alias("ended")))
+        drop(at)
+        at = jumped
+        if at.filter("not ended").isEmpty():
+            break
+    return at
+
+
 def longest_depth(edges: DataFrame) -> DataFrame:
     """node, depth: length of the longest path from a root (0 there) for every end of an edge; null on and below cycles.
 
-    Rounds remove the nodes without a remaining parent; the round in which a node goes is its depth. Rounds
-    append to one table, so the plan stays the same at any depth; whether nodes are left reaches the driver.
+    Nodes with one parent lie a fixed number of steps below their top (:func:`tops`), so only the tops are peeled, over
+    edges that count those steps: a forest of any depth takes one round, another graph as many as it has levels of
+    nodes with several parents. A round replaces the tables of the one before and appends to one result, so neither the
+    plan nor the disk grows with the rounds; whether nodes are left reaches the driver.
     """
     edges = cut(edges.select("parent", "child").distinct())
-    ends = edges.select(F.col("parent").alias("node")).unionByName(edges.select(F.col("child").alias("node"))).distinct()
     spark, done = edges.sparkSession, scratch(edges.sparkSession, "depths")
-    left, remaining, depth = cut(ends), edges, 0
-    kinds = f"node {ends.schema['node'].dataType.simpleString()}, depth int"
-    keep = lambda nodes, depth: nodes.select("node", F.lit(depth).cast("int").alias("depth")).write.mode("append").parquet(done)
-    keep(left.limit(0), 0)
+    ends = edges.select(F.col("parent").alias("node")).unionByName(edges.select(F.col("child").alias("node"))).distinct()
+    single = tops(edges)
+    several = edges.join(single.select(F.col("node").alias("child")), "child", "left_anti")
+    above = single.select(F.col("node").alias("parent"), "top", "steps", "ended")
+    # A parent whose pointer never ends holds its child for ever, as an edge of the child to itself does.
+    start = F.when(F.col("ended"), F.col("top")).when(F.col("ended").isNull(), F.col("parent")).otherwise(F.col("child"))
+    weighted = several.join(above, "parent", "left").select(start.alias("parent"), "child", (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    remaining = cut(weighted.groupBy("parent", "child").agg(F.max("steps").alias("steps")))
+    left = cut(ends.join(single, "node", "left_anti").select("node", F.lit(0).cast("long").alias("depth")))
+    keep = lambda nodes: nodes.write.mode("append").parquet(done)
+    keep(left.limit(0))
     while not left.isEmpty():
-        held = cut(left.join(remaining.select(F.col("child").alias("node")).distinct(), "node", "left_semi"))
-        free = cut(left.join(held, "node", "left_anti"))
+        free = cut(left.join(remaining.select(F.col("child").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
-            keep(left, None)
+            keep(left.select("node", F.lit(None).cast("long").alias("depth")))
+            drop(free)
             break
-        keep(free, depth)
-        remaining = cut(remaining.join(held.select(F.col("node").alias("parent")), "parent", "left_semi"))
-        left, depth = held, depth + 1
-    return spark.read.schema(kinds).parquet(done)
+        keep(free)
+        gained = remaining.join(free.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("child").alias("node")).agg(F.max(F.col("depth") + F.col("steps")).alias("gained"))
+        held = left.join(free, "node", "left_anti").join(gained, "node", "left")
+        next_left = cut(held.select("node", F.greatest("depth", F.coalesce("gained", F.lit(0))).alias("depth")))
+        next_remaining = cut(remaining.join(free.select(F.col("node").alias("parent")), "parent", "left_anti"))
+        drop(left, remaining, free)
+        left, remaining = next_left, next_remaining
+    drop(left, remaining, edges)
+    known = spark.read.schema(left.schema).parquet(done)
+    below = single.join(known.withColumnRenamed("node", "top"), "top", "left").select("node", (F.col("depth") + F.col("steps")).alias("depth"))
+    return known.unionByName(below).select("node", F.col("depth").cast("int").alias("depth"))
 
 
 def lineage(edges: DataFrame, nodes: DataFrame, start: DataFrame) -> DataFrame:
@@ -132,17 +167,10 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle or downstream of one: what is left when nodes without a remaining parent are peeled off."""
-    edges = cut(edges.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").join(nodes.select(F.col("node").alias("child")), "child", "left_semi").select("parent", "child"))
-    left = cut(nodes.select("node"))
-    count = left.count()
-    while True:
-        held = edges.join(left.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
-        left = cut(left.join(held, "node", "left_semi"))
-        now = left.count()
-        if now == count:
-            return left
-        count = now
+    """Nodes on a cycle or downstream of one: those without a longest depth."""
+    ends = [nodes.select(F.col("node").alias(end)) for end in ("parent", "child")]
+    inner = edges.join(ends[0], "parent", "left_semi").join(ends[1], "child", "left_semi")
+    return longest_depth(inner).filter("depth is null").select("node")
 
 
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
