@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lotwise.plans import fab_view as fab
 from lotwise.plans.fab_view import PREFIX
@@ -29,6 +32,8 @@ BINARY_CLASSES = {
 }
 MAGIC, VERSION, MARK = b"KLARF200", 2, 0x4949
 FILE_INFO, LOT_INFO, SETUP_INFO, WAFER_INFO, DEFECT_LIST, SUMMARY, EOF = 1, 2, 3, 4, 5, 6, 0xFFFF
+#: Own blocks for numbers that the format's fields have no room for: they follow the block in question, and other readers skip them.
+WIDE_WAFER, WIDE_SUMMARY, MAX_SLOT, MAX_WAFERS = 0x8004, 0x8006, 0xFF, 0xFFFF
 #: Fixed layouts, little-endian: file header, block header, and the blocks' fields by name.
 HEADER, BLOCK = struct.Struct("<8sHH"), struct.Struct("<HI")
 LAYOUT = {
@@ -37,6 +42,8 @@ LAYOUT = {
     SETUP_INFO: (struct.Struct("<32sBBfffH"), ("recipe_id", "inspection_mode", None, "pixel_size_um", "die_width_mm", "die_height_mm", "num_defect_classes")),
     WAFER_INFO: (struct.Struct("<16sBBHI"), ("wafer_id", "slot", "wafer_type", "orientation", "num_defects")),
     SUMMARY: (struct.Struct("<HIf"), ("total_wafers", "total_defects", "mean_defects_per_wafer")),
+    WIDE_WAFER: (struct.Struct("<I"), ("slot",)),
+    WIDE_SUMMARY: (struct.Struct("<I"), ("total_wafers",)),
 }
 DEFECT = np.dtype([
     ("defect_id", "<u4"), ("x", "<f4"), ("y", "<f4"), ("x_size", "<f4"), ("y_size", "<f4"), ("class_no", "<u2"), ("rough_bin", "<u2"), ("fine_bin", "<u2"), ("test_no", "<u2"),
@@ -52,6 +59,8 @@ WAFER_SCHEMA = (
 )
 
 
+#: Rows in a batch.
+BATCH_WAFERS = 16
 #: Charsets by the names that Python gives them.
 CHARSETS = {"latin-1": "ISO-8859-1", "ascii": "US-ASCII"}
 
@@ -137,19 +146,17 @@ def blocks(file: str, data: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
-def wafer_rows(file: str, data: bytes) -> list[dict]:
-    """A dict per wafer, as WAFER_SCHEMA. The i-th defect list belongs to the i-th wafer, if that came before it.
+def wafer_heads(file: str, data: bytes | memoryview) -> list[tuple[dict, np.ndarray]]:
+    """The fields and defect records of each wafer. The i-th defect list belongs to the i-th wafer, if that came before it.
 
     A list shorter than its wafer's num_defects ends early; unknown blocks are skipped; a block too short
-    for its layout raises.
+    for its layout raises. Records are views of ``data``.
     """
-    about, wafers, lists = {"file": file}, [], 0
-    for kind, body in blocks(file, data):
+    about, wafers, records, lists = {"file": file}, [], [], 0
+    for kind, body in blocks(file, memoryview(data)):
         if kind == DEFECT_LIST:
             if lists < len(wafers):
-                n = min(wafers[lists]["num_defects"], len(body) // DEFECT.itemsize)
-                records = np.frombuffer(body, DEFECT, n)
-                wafers[lists]["defects"] = [dict(zip((k for k in DEFECT.names if k != "pad"), row, strict=True)) for row in zip(*(records[k].tolist() for k in DEFECT.names if k != "pad"), strict=True)]
+                records[lists] = np.frombuffer(body, DEFECT, min(wafers[lists]["num_defects"], len(body) // DEFECT.itemsize))
             lists += 1
         elif kind in LAYOUT:
             layout, names = LAYOUT[kind]
@@ -157,10 +164,36 @@ def wafer_rows(file: str, data: bytes) -> list[dict]:
                 raise ValueError(f"{file}: block {kind} has {len(body)} bytes, needs {layout.size}")
             fields = {k: _text(v) if isinstance(v, bytes) else v for k, v in zip(names, layout.unpack_from(body), strict=True) if k}
             if kind == WAFER_INFO:
-                wafers.append({"defects": [], **fields})
+                wafers.append(fields)
+                records.append(np.zeros(0, DEFECT))
+            elif kind == WIDE_WAFER:
+                if wafers:
+                    wafers[-1] |= fields
             else:
                 about |= fields
-    return [about | w for w in wafers]
+    return [(about | w, r) for w, r in zip(wafers, records, strict=True)]
+
+
+def wafer_rows(file: str, data: bytes) -> list[dict]:
+    """A dict per wafer, as WAFER_SCHEMA (:func:`wafer_heads`)."""
+    names = [k for k in DEFECT.names if k != "pad"]
+    return [w | {"defects": [dict(zip(names, row, strict=True)) for row in zip(*(r[k].tolist() for k in names), strict=True)]} for w, r in wafer_heads(file, data)]
+
+
+def wafer_batches(file: str, data: bytes | memoryview, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The wafers of a file in batches of BATCH_WAFERS with the columns of ``kinds``; no record becomes a Python object."""
+    heads = wafer_heads(file, data)
+    for begin in range(0, len(heads), BATCH_WAFERS):
+        wafers, records = zip(*heads[begin : begin + BATCH_WAFERS], strict=True)
+        columns = []
+        for kind in kinds:
+            if kind.name == "defects":
+                every, element = np.concatenate(records), kind.type.value_type
+                values = pa.StructArray.from_arrays([pa.array(every[f.name].astype(f.type.to_pandas_dtype())) for f in element], fields=list(element))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, records)]), pa.int32()), values, type=kind.type))
+            else:
+                columns.append(pa.array([w.get(kind.name) for w in wafers], kind.type))
+        yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
 
 def packed(kind: int, **fields) -> bytes:
@@ -172,9 +205,10 @@ def packed(kind: int, **fields) -> bytes:
 
 
 def wafer_blocks(records: np.ndarray, **wafer) -> bytes:
-    """The info and list blocks of one wafer; ``records`` has the fields of DEFECT."""
-    body = records.astype(DEFECT).tobytes()
-    return packed(WAFER_INFO, num_defects=len(records), **wafer) + BLOCK.pack(DEFECT_LIST, len(body)) + body
+    """The info and list blocks of one wafer; ``records`` has the fields of DEFECT. A slot over MAX_SLOT stands in a block of its own, the info has MAX_SLOT."""
+    body, slot = records.astype(DEFECT).tobytes(), wafer.pop("slot", 0)
+    wide = packed(WIDE_WAFER, slot=slot) if slot > MAX_SLOT else b""
+    return packed(WAFER_INFO, num_defects=len(records), slot=min(slot, MAX_SLOT), **wafer) + wide + BLOCK.pack(DEFECT_LIST, len(body)) + body
 
 
 def lot_file(lot: str, wafers: list, station: str, timestamp: int) -> bytes:
@@ -184,22 +218,11 @@ def lot_file(lot: str, wafers: list, station: str, timestamp: int) -> bytes:
         HEADER.pack(MAGIC, VERSION, MARK), packed(FILE_INFO, station_id=station, file_timestamp=timestamp, inspector_version="1.0.0"),
         packed(LOT_INFO, lot_id=lot, step_id="AOI", device_id="EXPORT", process_step="FINAL_INSPECTION"),
         packed(SETUP_INFO, recipe_id="EXPORT", pixel_size_um=1.0, die_width_mm=1.0, die_height_mm=1.0, num_defect_classes=len(BINARY_CLASSES)),
-        *(bytes(w["blob"]) for w in wafers), packed(SUMMARY, total_wafers=len(wafers), total_defects=total, mean_defects_per_wafer=total / len(wafers)), BLOCK.pack(EOF, 0),
+        *(bytes(w["blob"]) for w in wafers), packed(SUMMARY, total_wafers=min(len(wafers), MAX_WAFERS), total_defects=total, mean_defects_per_wafer=total / len(wafers)),
+        packed(WIDE_SUMMARY, total_wafers=len(wafers)) if len(wafers) > MAX_WAFERS else b"", BLOCK.pack(EOF, 0),
     ])
 
 
-def _parsed(files: DataFrame, schema: str, parse) -> DataFrame:
-    """Rows of (file, content) through ``parse``."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, content in zip(frame["file"], frame["content"], strict=True):
-                yield pd.DataFrame(parse(file, bytes(content)), columns=names)
-
-    return files.select("file", "content").mapInPandas(run, schema)
-
-
 def files_of(spark: SparkSession, path: str) -> DataFrame:
     """file, content of every file under ``path``."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
@@ -229,7 +252,14 @@ def read_klarf(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def klarf2_wafers(files: DataFrame) -> DataFrame:
     """A row per wafer (WAFER_SCHEMA) of 2.0 binary files given as (file, content)."""
-    return _parsed(files, WAFER_SCHEMA, wafer_rows)
+    kinds = to_arrow_schema(StructType.fromDDL(WAFER_SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                yield from wafer_batches(file.as_py(), content.as_buffer(), kinds)
+
+    return files.select("file", "content").mapInArrow(run, WAFER_SCHEMA)
 
 
 def read_klarf2(spark: SparkSession, path: str) -> DataFrame:
