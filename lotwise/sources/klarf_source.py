@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,10 @@ from pyspark.sql.types import StructType
 from lotwise.functions.lineage import scratch
 from lotwise.plans import fab_view as fab
 from lotwise.sources import klarf
-from lotwise.sources.klarf import DEFECT, WAFER_SCHEMA, lot_file, numbered_records, typed_defects, wafer_blocks, wafer_rows
+from lotwise.sources.klarf import DEFECT, WAFER_SCHEMA, lot_file, numbered_records, typed_defects, wafer_batches, wafer_blocks
 
-#: Bytes of lot files that share a task, unless a single file is larger; rows in a batch.
-TASK_BYTES, BATCH_WAFERS = 32 << 20, 16
+#: Bytes of lot files that share a task, unless a single file is larger.
+TASK_BYTES = 32 << 20
 
 
 class Folder:
@@ -110,10 +111,7 @@ def read_files(partition: LotFiles, schema: StructType) -> Iterator[pa.RecordBat
     folder, kinds = Folder(partition.path), to_arrow_schema(schema)
     for name in partition.names:
         with folder.store.open_input_stream(f"{folder.root}/{name}") as source:
-            rows = wafer_rows(name, source.read())
-        for begin in range(0, len(rows), BATCH_WAFERS):
-            few = rows[begin : begin + BATCH_WAFERS]
-            yield pa.RecordBatch.from_pylist([{f: row.get(f) for f in kinds.names} for row in few], kinds)
+            yield from wafer_batches(name, source.read(), kinds)
 
 
 class Klarf2Reader(DataSourceReader):
@@ -175,13 +173,15 @@ class Klarf2Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         folder, lots = Folder(self.path), {}
         for batch in iterator:
-            for row in batch.select(["lot_id", "wafer_id", "slot", "defects"]).to_pylist():
-                records = np.zeros(len(row["defects"] or ()), DEFECT)
-                for field in DEFECT.names:
-                    if field != "pad":
-                        records[field] = [d[field] or 0 for d in row["defects"] or ()]
-                blob = wafer_blocks(records, wafer_id=(row["wafer_id"] or "")[:16], slot=row["slot"] or 0)
-                lots.setdefault(row["lot_id"] or "UNKNOWN", []).append((row["slot"] or 0, len(records), blob))
+            defects = batch["defects"]
+            values, lengths = defects.flatten(), pc.fill_null(pc.list_value_length(defects), 0).to_numpy()
+            every = np.zeros(len(values), DEFECT)
+            for field in DEFECT.names:
+                if field != "pad":
+                    every[field] = pc.fill_null(values.field(field), 0).to_numpy(zero_copy_only=False)
+            rows = zip(*(batch[c].to_pylist() for c in ("lot_id", "wafer_id", "slot")), np.split(every, np.cumsum(lengths)[:-1]), strict=True)
+            for lot, wafer, slot, records in rows:
+                lots.setdefault(lot or "UNKNOWN", []).append((slot or 0, len(records), wafer_blocks(records, wafer_id=(wafer or "")[:16], slot=slot or 0)))
         files = []
         for lot, wafers in lots.items():
             own = [{"n": n, "blob": blob} for _, n, blob in sorted(wafers)]

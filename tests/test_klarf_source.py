@@ -82,3 +82,18 @@ def test_stream_of_new_lots(spark, tmp_path):
     klarf_source.write_klarf2(wafers(spark, "C"), path)
     klarf_source.write_klarf2(wafers(spark, "B", n=8), path)
     assert run() == sorted(first + [(lot, f"W{w}", n + w) for lot, n in (("C", 3), ("B", 8)) for w in (1, 2)])
+
+
+def test_lots_of_more_wafers_than_a_byte_counts(spark, tmp_path):
+    """A slot is a byte in the format; larger ones stand in a block that other readers skip."""
+    klarf_source.register(spark)
+    many = spark.range(1, 301).selectExpr("'A' AS lot_id", "concat('W', id) AS wafer_id", "cast(id AS int) AS slot", f"cast(array() AS {klarf._RECORD}) AS defects")
+    klarf_source.write_klarf2(many, f"{tmp_path}/out")
+    assert {(r.slot, r.wafer_id, r.total_wafers) for r in spark.read.format("klarf2").load(f"{tmp_path}/out").collect()} == {(k, f"W{k}", 300) for k in range(1, 301)}
+    panels = spark.range(1, 301).selectExpr("'A' AS lot_id", "lpad(id, 4, '0') AS panel_id")
+    defects = panels.selectExpr("panel_id", "'system_a' AS source_system", "'pit' AS defect_type", "1D AS x", "2D AS y", "0.5D AS size", "0.75D AS confidence_score")
+    wafers = klarf.klarf2_wafers(klarf.lot_files(defects, panels, ["x"])).collect()
+    assert {(w.slot, w.wafer_id, w.num_defects, w.defects[0].class_no, w.total_wafers) for w in wafers} == {(k, f"{k:04d}", 1, 2, 300) for k in range(1, 301)}
+    empty = klarf.wafer_blocks(klarf.np.zeros(0, klarf.DEFECT), slot=70_000)
+    rows = klarf.wafer_rows("f", klarf.lot_file("L", [{"n": 0, "blob": empty}] * 70_000, "s", 0))
+    assert (rows[0]["slot"], rows[-1]["total_wafers"]) == (70_000, 70_000)
