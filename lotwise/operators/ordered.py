@@ -16,16 +16,24 @@ CHUNK = 4_096
 
 
 def running_total(rows: DataFrame, group: str, order: list[str], amount: Column, name: str) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``amount`` up to and with each row of its group, by ``order``, whose ties are in any order.
+    """``rows`` with ``name``: the sum of ``amount`` up to and with each row of its group, by ``order``, whose ties are in any order."""
+    return running_totals(rows, group, order, {name: amount})
+
+
+def running_totals(rows: DataFrame, group: str, order: list[str], amounts: dict[str, Column]) -> DataFrame:
+    """:func:`running_total` of several amounts at once.
 
     A group's ranges are as many as the shuffle's partitions at most, so the window over them is small.
     """
-    ranged = cut(rows.withColumn("_amount", amount).repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
-    within = ranged.withColumn("_within", F.sum("_amount").over(Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    totals = ranged.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_at")).agg(F.sum("_amount").alias("_total"))
-    before = totals.withColumn("_before", F.sum("_total").over(Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)))
+    own, upto = {f"_amount{k}": v for k, v in enumerate(amounts.values())}, range(len(amounts))
+    ranged = cut(rows.withColumns(own).repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
+    so_far = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.withColumns({f"_within{k}": F.sum(f"_amount{k}").over(so_far) for k in upto})
+    totals = ranged.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_at")).agg(*(F.sum(f"_amount{k}").alias(f"_total{k}") for k in upto))
+    earlier = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumns({f"_before{k}": F.sum(f"_total{k}").over(earlier) for k in upto})
     joined = within.join(before, within[group].eqNullSafe(before["_group"]) & (within["_range"] == before["_at"]))
-    return joined.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_within")).select(*rows.columns, name)
+    return joined.withColumns({name: F.coalesce(f"_before{k}", F.lit(0)) + F.col(f"_within{k}") for k, name in enumerate(amounts)}).select(*rows.columns, *amounts)
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], name: str = "seq") -> DataFrame:

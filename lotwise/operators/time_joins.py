@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.operators.ordered import last_known
+from lotwise.operators.ordered import last_known, running_totals
 from lotwise.plans.fab_view import table
 
 
@@ -35,6 +35,30 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, time: str =
     return looked.join(placed, [key, "_level", "_bucket"]).filter((F.col(start) <= F.col(time)) & (F.col(time) < F.col(end))).drop("_level", "_bucket")
 
 
+def interval_counts(points: DataFrame, intervals: DataFrame, key: str, kind: str, time: str = "t", start: str = "start", end: str = "end") -> tuple[DataFrame, list]:
+    """``points`` that meet any interval of their key, with ``n_0``, ``n_1`` ...: how many of each kind; and the kinds in that order.
+
+    The counts of :func:`interval_join` without its pairs, whose number grows with the product of both sides: an interval
+    adds one at its start and takes one off at its end, and the sum so far at a time is what goes on then. Kinds are a few names.
+    """
+    live = intervals.filter((F.col(end) > F.col(start)) & F.col(key).isNotNull())
+    kinds = [r[0] for r in live.select(kind).distinct().orderBy(kind).collect()]  # a few names
+    if not kinds:
+        return points.limit(0), kinds
+    step = lambda at, by: live.select(F.col(key).alias("_key"), F.col(at).alias("_t"), kind, F.lit(by).alias("_by"))
+    change = [F.coalesce(F.sum(F.when(F.col(kind).eqNullSafe(F.lit(k)), F.col("_by"))), F.lit(0)).alias(f"_c{i}") for i, k in enumerate(kinds)]
+    changes = step(start, 1).unionByName(step(end, -1)).groupBy("_key", "_t").agg(*change)
+    known = points.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    asked = known.select(F.col(key).alias("_key"), F.col(time).alias("_t")).distinct()
+    # A row per key and time, whether of a change, of points or of both, so ties of the order don't arise.
+    both = changes.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    merged = both.groupBy("_key", "_t").agg(F.max("_asked").alias("_asked"), *(F.coalesce(F.sum(f"_c{i}"), F.lit(0)).alias(f"_c{i}") for i in range(len(kinds))))
+    summed = running_totals(merged, "_key", ["_t"], {f"n_{i}": F.col(f"_c{i}") for i in range(len(kinds))})
+    counts = [f"n_{i}" for i in range(len(kinds))]
+    busy = summed.filter(F.col("_asked")).select("_key", "_t", *counts).filter(F.greatest(*counts, F.lit(0)) > 0)
+    return known.join(busy, (known[key] == busy["_key"]) & (known[time] == busy["_t"])).drop("_key", "_t"), kinds
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str = "t", tie: str | None = None, tolerance: int | None = None) -> DataFrame:
     """Each row of ``left`` with ``found``, the last row of ``right`` of its key at or before its time (a struct), or null.
 
@@ -110,8 +134,11 @@ def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By panel and type of run: defects inspected while a run went on (a defect counts in each), and the last one's time."""
-    joined = interval_join(inspections(spark, sf_dir), process_runs(spark, sf_dir), "tool")
-    return joined.groupBy("panel_no", "run_type").agg(F.count("*").alias("pairs"), F.max("t").alias("last_us"))
+    seen, kinds = interval_counts(inspections(spark, sf_dir), process_runs(spark, sf_dir), "tool", "run_type")
+    sums = [F.struct(F.lit(k).cast("string").alias("run_type"), F.sum(f"n_{i}").alias("pairs"), F.max(F.when(F.col(f"n_{i}") > 0, F.col("t"))).alias("last_us")) for i, k in enumerate(kinds)]
+    empty = "array<struct<run_type:string,pairs:bigint,last_us:bigint>>"
+    found = seen.groupBy("panel_no").agg(F.array(*sums).cast(empty).alias("runs"))
+    return found.select("panel_no", F.explode("runs").alias("r")).select("panel_no", "r.*").filter("pairs > 0")
 
 
 QUERIES = {"asof_events": asof_events, "run_defects": run_defects}

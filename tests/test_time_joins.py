@@ -77,3 +77,28 @@ def test_two_streams_equal_the_tables(spark, tmp_path):
     late = run()  # goes on from its checkpoint: the row of minute 1 is long past the watermark
     assert tj.dropped_rows(late) == 1
     assert 9001 not in {r.p for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+
+def test_interval_counts_are_those_of_the_pairs(spark, rows):
+    """Counts without pairs: nulls, empty and repeated intervals, repeated points, ties of starts, ends and points."""
+    points, intervals = frames(spark, rows)
+    kinded = intervals.withColumn("kind", F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit(None).cast("string")), (F.col("i") % 3 + 1).cast("int")))
+    found, kinds = tj.interval_counts(points, kinded, "k", "kind")
+    assert kinds == [None, "x", "y"]
+    got = sorted(str((r.p, r.t, kind, r[f"n_{i}"])) for r in found.collect() for i, kind in enumerate(kinds) if r[f"n_{i}"])
+    want = {}
+    for k, t, p in set(rows[0]):
+        for key, start, end, i in rows[1]:
+            if None not in (k, t, key, start, end) and k == key and start <= t < end:
+                at = (p, t, ["x", "y", None][i % 3])
+                want[at] = want.get(at, 0) + 1
+    repeats = {(p, t): rows[0].count((k, t, p)) for k, t, p in rows[0]}
+    assert got == sorted(str((*at, n)) for at, n in want.items() for _ in range(repeats[at[:2]]))
+    none, kinds = tj.interval_counts(points, kinded.limit(0), "k", "kind")
+    assert none.count() == 0 and kinds == []
+
+
+def test_run_defects_makes_no_pairs(spark):
+    """One pass over points and runs: rows of no join grow with their product."""
+    plan = tj.run_defects(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "_level" not in plan
