@@ -19,7 +19,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orphan_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defects whose die the component table doesn't have (here: after dropping the last column of dies)."""
-    known = fab.components(spark, sf_dir).filter("component_col < 9").select(*PLACE)
+    known = fab.components(spark, sf_dir).filter("component_col < 9").select(*PLACE).hint("merge")
     return fab.defects(spark, sf_dir).join(known, PLACE, "left_anti").groupBy("panel_id").agg(F.count("*").alias("orphans"))
 
 
@@ -44,10 +44,10 @@ def validation_suite(spark: SparkSession, sf_dir: str, files: DataFrame | None =
     found, dies, panels = fab.defects(spark, sf_dir), fab.components(spark, sf_dir), fab.panels(spark, sf_dir)
     n = F.count("*").cast("long")
     match = F.when(F.col("match_id") != "", F.col("match_id"))
-    places = found.groupBy(*PLACE, "source_system", "defect_type", F.round("x", 1), F.round("y", 1)).agg(
+    places = found.repartition(*PLACE).groupBy(*PLACE, "source_system", "defect_type", F.round("x", 1), F.round("y", 1)).agg(
         n.alias("n"), F.count(F.when((F.col("confidence_score") < 0) | (F.col("confidence_score") > 1), 1)).alias("bad")
     )
-    known = places.join(dies.select(*PLACE, F.lit(1).alias("known")), PLACE, "left")
+    known = places.join(dies.select(*PLACE, F.lit(1).alias("known")).hint("merge"), PLACE, "left")  # Spark takes the exploded dies for few and would broadcast them
     a, b = (F.coalesce(F.sum(F.when(F.col("source_system") == f"system_{x}", F.col("n"))), F.lit(0)) for x in "ab")
     facts = known.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("defects"), F.count(F.when(F.col("n") > 1, 1)).alias("duplicates"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("orphans"),
