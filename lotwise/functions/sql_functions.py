@@ -20,6 +20,12 @@ FUNCTIONS = [
         "moments_alpha", "dies BIGINT, mean DOUBLE, variance DOUBLE", "DOUBLE",
         "CASE WHEN dies < 4 OR mean = 0 THEN 1D WHEN variance <= mean THEN 50D ELSE round(least(100D, greatest(0.05D, mean * mean / (variance - mean))), 4) END",
     ),
+    (
+        "counted_alpha", "dies BIGINT, total BIGINT, squares BIGINT", "DOUBLE",
+        "CASE WHEN dies < 4 OR total = 0 THEN 1D WHEN CAST(dies AS DECIMAL(19,0)) * CAST(squares AS DECIMAL(19,0)) <= CAST(total AS DECIMAL(19,0)) * CAST(total + dies - 1 AS DECIMAL(19,0)) THEN 50D "
+        "ELSE round(least(100D, greatest(0.05D, CAST(total AS DOUBLE) * CAST(total AS DOUBLE) * (dies - 1) / dies / "
+        "CAST(CAST(dies AS DECIMAL(19,0)) * CAST(squares AS DECIMAL(19,0)) - CAST(total AS DECIMAL(19,0)) * CAST(total + dies - 1 AS DECIMAL(19,0)) AS DOUBLE))), 4) END",
+    ),
     ("critical_fraction", "size DOUBLE, layout_density DOUBLE, min_feature DOUBLE", "DOUBLE", "CASE WHEN size <= 0 THEN layout_density ELSE least(1D, layout_density * (1 + size / min_feature)) END"),
     (
         "recommended_model", "substrate_type STRING, alpha DOUBLE, defects_per_die DOUBLE", "STRING",
@@ -66,11 +72,11 @@ dies AS (
   SELECT panel_id, substrate_type, active, coalesce(n, 0) AS n, fraction FROM fab_components FULL JOIN counts USING (panel_id, component_row, component_col)),
 sums AS (
   SELECT panel_id, max(substrate_type) AS substrate_type, count(*) FILTER (WHERE active) AS inspected_dies, sum(n) FILTER (WHERE active) AS defect_count,
-         avg(n) FILTER (WHERE active) AS mean_n, var_samp(n) FILTER (WHERE active) AS var_n, round(round(sum(fraction) / nullif(sum(n), 0), 10), 6) AS fraction
+         sum(n * n) FILTER (WHERE active) AS squares, round(round(sum(fraction) / nullif(sum(n), 0), 10), 6) AS fraction
   FROM dies GROUP BY panel_id),
 base AS (
   SELECT panel_id, substrate_type, inspected_dies, defect_count, defect_count / (inspected_dies * (pitch * pitch)) AS defect_density, coalesce(fraction, layout_density) AS critical_fraction,
-         moments_alpha(inspected_dies, mean_n, var_n) AS alpha, pitch
+         counted_alpha(inspected_dies, defect_count, squares) AS alpha, pitch
   FROM sums JOIN fab_dim_profile USING (substrate_type) WHERE inspected_dies > 0),
 sized AS (SELECT *, critical_fraction * (pitch * pitch) AS area FROM base)
 SELECT panel_id, substrate_type, inspected_dies, defect_count, defect_density, critical_fraction, alpha, yield_poisson(area, defect_density) AS yield_poisson,

@@ -25,6 +25,19 @@ def moments_alpha(n: Column, mean: Column, variance: Column) -> Column:
     return F.when((n < 4) | (mean == 0), F.lit(1.0)).when(variance <= mean, F.lit(50.0)).otherwise(F.round(clipped, 4))
 
 
+def counted_alpha(n: Column, total: Column, squares: Column) -> Column:
+    """:func:`moments_alpha` of ``n`` whole numbers by their sum and sum of squares.
+
+    Whether they are over-dispersed is decided in whole numbers: where variance and mean are equal, the last
+    bit of a variance in floating point depends on the order of the rows, and would turn 50 into 100.
+    """
+    whole = lambda c: c.cast("decimal(19,0)")
+    excess = whole(n) * whole(squares) - whole(total) * whole(total + n - 1)
+    ratio = total.cast("double") * total.cast("double") * (n - 1) / n / excess.cast("double")
+    clipped = F.least(F.lit(100.0), F.greatest(F.lit(0.05), ratio))
+    return F.when((n < 4) | (total == 0), F.lit(1.0)).when(excess <= 0, F.lit(50.0)).otherwise(F.round(clipped, 4))
+
+
 def recommended_model(substrate: Column, alpha: Column, ad: Column) -> Column:
     wafer = F.when(alpha < 1, "negbinom").when(alpha < 10, "murphy").otherwise("poisson")
     return F.when(substrate == "wafer", wafer).otherwise(F.when(ad < 0.5, "poisson").otherwise("murphy"))

@@ -52,7 +52,7 @@ def yields_of_dies(dies: DataFrame) -> DataFrame:
     """Panel yields from :func:`die_sums`, by one aggregate per panel."""
     n = F.when(F.col("active"), F.col("n"))
     sums = dies.groupBy("panel_id").agg(
-        F.max("substrate_type").alias("substrate_type"), F.count(n).alias("inspected_dies"), F.sum(n).alias("defect_count"), F.avg(n).alias("mean_n"), F.var_samp(n).alias("var_n"),
+        F.max("substrate_type").alias("substrate_type"), F.count(n).alias("inspected_dies"), F.sum(n).alias("defect_count"), F.sum(n * n).alias("squares"),
         rounded(F.sum("fraction") / F.nullif(F.sum("n"), F.lit(0))).alias("fraction"),
     )
     area = F.col("pitch") * F.col("pitch")
@@ -60,7 +60,7 @@ def yields_of_dies(dies: DataFrame) -> DataFrame:
         fab.with_profile(sums.filter("inspected_dies > 0"))
         .withColumn("critical_fraction", F.coalesce("fraction", "layout_density"))
         .withColumn("defect_density", F.col("defect_count") / (F.col("inspected_dies") * area))
-        .withColumn("alpha", ym.moments_alpha(F.col("inspected_dies"), F.col("mean_n"), F.col("var_n")))
+        .withColumn("alpha", ym.counted_alpha(F.col("inspected_dies"), F.col("defect_count"), F.col("squares")))
         .withColumn("area", F.col("critical_fraction") * area)
     )
     a, d = F.col("area"), F.col("defect_density")
