@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -65,11 +65,38 @@ BATCH_WAFERS = 16
 CHARSETS = {"latin-1": "ISO-8859-1", "ascii": "US-ASCII"}
 
 
-def numbered_lines(files: DataFrame, encoding: str) -> DataFrame:
-    """file, n, line (trimmed) and word (its keyword in capitals) of files given as (file, content), without blank lines and comments."""
-    text = F.decode("content", CHARSETS.get(encoding, encoding))
-    lines = files.select("file", F.posexplode(F.split(text, "\r\n|\r|\n")).alias("n", "raw")).select("file", "n", F.regexp_replace("raw", "^\\s+|\\s+$", "").alias("line"))
-    return lines.filter(~F.col("line").rlike("^(#|$)")).withColumn("word", F.upper(F.regexp_extract("line", "^\\S+", 0)))
+#: Where a line begins within its text, and what parts lines. A line's own white space has no break.
+_LINE, _BREAK = r"(?iu)(?<![^\r\n])[^\S\r\n]*", "\r\n|\r|\n"
+_SECTION = "struct<wafer:string,unit:string,columns:array<string>,specs:array<array<string>>,body:string>"
+
+
+def text_sections(files: DataFrame, encoding: str = "latin-1") -> DataFrame:
+    """file and sections of 1.x texts: wafer, unit and columns that hold, specs said within it, body (what follows its list's first line).
+
+    A section is what precedes the line that ends its list. Only the few keyword lines are looked at, in their
+    text, and what they say is carried on over the array of a file's sections, so no line goes through a shuffle.
+    """
+    says = lambda c, word: F.startswith(F.upper(c), F.lit(word))
+    said = lambda c: F.regexp_replace(F.regexp_replace(c, "^\\S+\\s*|[;\\s]+$", ""), '^"+|"+$', "")
+    names = lambda c: F.filter(F.transform(F.slice(F.split(F.regexp_replace(F.translate(c, ";", " "), "\\s+$", ""), "\\s+"), 3, 10_000), lambda w: F.upper(w)), lambda w: w != "")
+    last = lambda array: F.try_element_at(array, F.lit(-1))
+
+    def marks(piece: Column) -> Column:
+        """A section by itself; each step is bound to a name by the array around it."""
+        lines = F.transform(F.regexp_extract_all(piece, F.lit(_LINE + r"((?:WAFERID|UNITS|DEFECTRECORDSPEC)[^\r\n]*)"), F.lit(1)), lambda c: F.regexp_replace(c, "\\s+$", ""))
+        body = F.get(F.split(piece, _LINE + r"DEFECTLIST[^\r\n]*", 2), F.lit(1))
+        units = lambda keys: F.filter(F.transform(F.filter(keys, lambda c: says(c, "UNITS")), lambda c: F.upper(said(c))), lambda u: u.isin("MICRON", "MM"))
+        specs = lambda keys: F.transform(F.filter(keys, lambda c: says(c, "DEFECTRECORDSPEC")), names)
+        found = F.transform(F.array(lines), lambda keys: F.struct(last(F.transform(F.filter(keys, lambda c: says(c, "WAFERID")), said)), last(units(keys)), last(specs(keys)), specs(keys), body).cast(_SECTION))
+        return F.get(found, F.lit(0))
+
+    def carried(done: Column, own: Column) -> Column:
+        known = lambda name: F.coalesce(own[name], last(done)[name])
+        return F.array_append(done, F.struct(known("wafer"), known("unit"), known("columns"), own["specs"], own["body"]).cast(_SECTION))
+
+    pieces = F.split(F.decode("content", CHARSETS.get(encoding, encoding)), _LINE + r"(?:SUMMARYSPEC|ENDOFFILE)[^\r\n]*")
+    sections = F.aggregate(F.transform(pieces, marks), F.array().cast(f"array<{_SECTION}>"), carried)
+    return files.select("file", sections.alias("sections"))
 
 
 def text_rows(files: DataFrame, units: str | None = None, encoding: str = "latin-1") -> DataFrame:
@@ -81,43 +108,33 @@ def text_rows(files: DataFrame, units: str | None = None, encoding: str = "latin
     line and its end, or the file's. A malformed row and a DefectRecordSpec without a needed column raise; rows of no
     size are left out, and so is a list without columns that the file's end cuts off.
     """
-    of = lambda *words: F.greatest(*(F.startswith("word", F.lit(w)) for w in words), F.lit(False))
-    said = F.regexp_replace(F.regexp_replace("line", "^\\S+\\s*|[;\\s]+$", ""), '^"+|"+$', "")
-    names = F.transform(F.slice(F.split(F.regexp_replace(F.translate("line", ";", " "), "\\s+$", ""), "\\s+"), 3, 10_000), lambda w: F.upper(w))
-    marks = numbered_lines(files, encoding).select(
-        "file", "n", "line",
-        F.when(of("WAFERID"), said).alias("wafer"),
-        F.when(of("UNITS") & F.upper(said).isin("MICRON", "MM"), F.upper(said)).alias("unit"),
-        F.when(of("DEFECTRECORDSPEC"), F.filter(names, lambda w: w != "")).alias("columns"),
-        F.when(of("DEFECTLIST"), True).when(of("SUMMARYSPEC", "ENDOFFILE"), False).alias("opens"),
-        of("WAFERID", "UNITS", "DEFECTRECORDSPEC", "DEFECTLIST", "SUMMARYSPEC", "ENDOFFILE").alias("keyword"),
-    )
-    by_line = Window.partitionBy("file").orderBy("n")
-    known = lambda c: F.last(c, ignorenulls=True).over(by_line)
-    lines = marks.withColumns({
-        "section": F.count(F.when(~F.col("opens"), 1)).over(by_line.rowsBetween(Window.unboundedPreceding, -1)), "is_row": F.coalesce(known("opens"), F.lit(False)) & ~F.col("keyword"),
-        "wafer": known("wafer"), "unit": known("unit"), "spec": F.col("columns"), "columns": known("columns"),
-    })
-    whole = Window.partitionBy("file", "section").orderBy("n")
-    at_end = lambda c: F.last(c).over(whole.rowsBetween(0, Window.unboundedFollowing))
-    rows = lines.withColumns({
-        "wafer": at_end("wafer"), "unit": F.lit(units) if units else F.coalesce(at_end("unit"), F.lit("MICRON")), "columns": at_end("columns"), "ended": at_end("opens").isNotNull() & ~F.coalesce(at_end("opens"), F.lit(True)),
-        "words": F.filter(F.split(F.regexp_replace("line", ";+$", ""), "\\s+"), lambda w: w != ""), "number": F.count(F.when(F.col("is_row"), 1)).over(whole),
-    })
-    field = lambda name: F.get("words", F.array_position("columns", F.lit(name)).cast("int") - 1).try_cast("double")
-    values = {name: field(name) for name in NEEDED}
     short = F.regexp_extract("file", "[^/]*$", 0)
-    lacks = F.array_sort(F.array_except(F.array(*map(F.lit, NEEDED)), "spec"))
-    fault = F.when(F.size(lacks) > 0, F.concat(short, F.lit(": DefectRecordSpec lacks "), F.array_join(lacks, ", ")))
-    malformed = F.col("is_row") & (F.size("words") > 0) & (F.col("columns").isNotNull() | F.col("ended")) & F.greatest(*(v.isNull() for v in values.values()))
-    fault = F.coalesce(fault, F.when(malformed, F.concat(short, F.lit(": malformed defect record "), "number", F.lit(": "), "line")))
+    lacks = lambda specs: F.filter(F.transform(specs, lambda spec: F.array_sort(F.array_except(F.array(*map(F.lit, NEEDED)), spec))), lambda names: F.size(names) > 0)
+
+    def told(s: Column, k: Column) -> Column:
+        """What the rows of a section need, computed once for all of them."""
+        return F.struct(
+            (k < F.size("sections") - 1).alias("ended"), F.coalesce(F.nullif(s["wafer"], F.lit("")), F.concat(F.lit("UNKNOWN_"), short)).alias("panel_id"), F.coalesce(F.lit(units), s["unit"], F.lit("MICRON")).alias("unit"),
+            F.transform(F.array(*map(F.lit, NEEDED)), lambda name: F.array_position(s["columns"], name).cast("int") - 1).alias("at"), F.get(lacks(s["specs"]), F.lit(0)).alias("lacks"),
+            F.filter(F.split(s["body"], _BREAK), lambda raw: ~raw.rlike(r"(?iu)^\s*(?:#|$|WAFERID|UNITS|DEFECTRECORDSPEC|DEFECTLIST)")).alias("lines"),
+        )
+
+    sections = text_sections(files, encoding).select("file", F.explode(F.transform("sections", told)).alias("s")).select("file", "s.*")
+    fault = F.concat(short, F.lit(": DefectRecordSpec lacks "), F.array_join("lacks", ", "))
+    listed = sections.filter(F.when(F.col("lacks").isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(True)).select("file", "ended", "panel_id", "unit", "at", F.posexplode("lines").alias("k", "line"))
+    # An explode of one row binds a name: what follows refers to it, where a column would be computed anew at each place.
+    words = listed.select("*", F.explode(F.array(F.regexp_extract_all(F.regexp_replace("line", ";+\\s*$", ""), F.lit("\\S+"), F.lit(0)))).alias("words"))
+    field = {name: F.get("words", F.get("at", F.lit(k))).try_cast("double").alias(name) for k, name in enumerate(NEEDED)}
+    rows = words.filter(F.size("words") > 0).select("file", "ended", "panel_id", "unit", "at", "k", "line", F.explode(F.array(F.struct(*field.values()))).alias("v"))
+    whole = F.get("at", F.lit(0)).isNotNull()
+    malformed = (whole | F.col("ended")) & F.greatest(*(F.col(f"v.{name}").isNull() for name in NEEDED))
+    fault = F.when(malformed, F.concat(short, F.lit(": malformed defect record "), F.col("k") + 1, F.lit(": "), F.regexp_replace("line", "^\\s+|\\s+$", "")))
     scale = F.when(F.col("unit") == "MICRON", 0.001).otherwise(1.0)
-    live = F.col("is_row") & (F.size("words") > 0) & F.col("columns").isNotNull() & (values["DEFECTSIZE"] * scale > 0)
-    found = rows.filter(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(live))
-    length = lambda name: F.round(values[name] * scale, 4)
+    found = rows.filter(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(whole & (F.col("v.DEFECTSIZE") * scale > 0)))
+    length = lambda name: F.round(F.col(f"v.{name}") * scale, 4).alias
+    number = lambda name: F.col(f"v.{name}").cast("int").alias
     return found.select(
-        "file", F.coalesce(F.nullif("wafer", F.lit("")), F.concat(F.lit("UNKNOWN_"), short)).alias("panel_id"), values["DIEROW"].cast("int").alias("component_row"),
-        values["DIECOL"].cast("int").alias("component_col"), values["CLASSNUMBER"].cast("int").alias("class_no"), length("XREL").alias("x"), length("YREL").alias("y"), length("DEFECTSIZE").alias("size"),
+        "file", "panel_id", number("DIEROW")("component_row"), number("DIECOL")("component_col"), number("CLASSNUMBER")("class_no"), length("XREL")("x"), length("YREL")("y"), length("DEFECTSIZE")("size"),
     )
 
 
