@@ -19,6 +19,8 @@ from lotwise.sources.csv_records import read_defect_csv, read_mapped_csv, write_
 #: Fixed names.
 DEFECT_KEY = ["panel_id", "component_row", "component_col", "source_system", "defect_type", "x", "y"]
 RELATIONS = ("split", "merge", "rework", "convert", "inspect")
+#: Records of a vendor's file, which one task reads: some 20 MB.
+VENDOR_ROWS = 250_000
 LEDGER = "file_path string, status string, processed_at timestamp"
 
 
@@ -203,7 +205,7 @@ def mapped_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lot_id").alias("LOT"), F.col("panel_id").alias("WAF"), "component_row", "component_col", code.alias("TOOL"), F.col("defect_type").alias("KIND"), "x", "y",
         F.round(F.col("size") * 1000).cast("int").alias("UM"), F.round(F.col("confidence_score") * 100).cast("int").alias("PCT"),
     )
-    vendor.write.option("header", True).option("sep", ";").csv(folder)
+    vendor.write.option("header", True).option("sep", ";").option("maxRecordsPerFile", VENDOR_ROWS).csv(folder)
     config = {
         "delimiter": ";",
         "columns": {
