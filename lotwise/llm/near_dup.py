@@ -71,7 +71,7 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     multipliers = (np.random.default_rng(7).integers(0, 2**31, bands * rows, dtype=np.uint32) << 1) | np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.small_batches(batches):
             out: list[tuple] = []
             for text in batch.column(2).to_pylist():
                 grams = ngram_hashes(text, n)
@@ -201,15 +201,15 @@ def compare_blocks(pairs: DataFrame, members: DataFrame, n: int, threshold: floa
     return dealt.groupBy("left", "right").applyInPandas(compare, "node long, classes long, documents long, root long")
 
 
-def gram_sets(texts: DataFrame, n: int) -> DataFrame:
-    """Replaces ``text`` by ``grams``, the n-gram set as packed 64-bit hashes."""
+def packed_grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in shared.small_batches(batches):
+        grams = [ngram_hashes(text, n).tobytes() for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("block"), batch.column("size"), pa.array(grams, pa.binary())], ["node", "block", "size", "grams"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [ngram_hashes(text, n).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("block"), batch.column("size"), pa.array(grams, pa.binary())], ["node", "block", "size", "grams"])
 
-    return texts.select("node", "block", "size", "text").mapInArrow(run, "node long, block long, size long, grams binary")
+def gram_sets(texts: DataFrame, n: int) -> DataFrame:
+    """Replaces ``text`` by ``grams``, the n-gram set as packed 64-bit hashes."""
+    return texts.select("node", "block", "size", "text").mapInArrow(lambda batches: packed_grams(batches, n), "node long, block long, size long, grams binary")
 
 
 def readable(docs: DataFrame) -> DataFrame:

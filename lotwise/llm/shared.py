@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,5 +115,15 @@ class BoundedCache(dict):
         return value
 
 
-#: 64-bit hash of a word's bytes; one cache per worker process.
-word_hash = BoundedCache(xxhash.xxh64_intdigest)
+#: 64-bit hash of a word's bytes; one cache per worker process, kept small since the process outlives its stage.
+word_hash = BoundedCache(xxhash.xxh64_intdigest, 100_000)
+
+#: Texts that a worker holds as Python strings at once.
+BATCH_TEXTS = 500
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, of 10,000 texts by Spark's setting, in parts of at most BATCH_TEXTS."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, BATCH_TEXTS):
+            yield batch.slice(begin, BATCH_TEXTS)

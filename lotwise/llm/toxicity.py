@@ -184,7 +184,7 @@ def fit(sample: DataFrame) -> SegmentModel:
 
 def _training_rows(model: SegmentModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.small_batches(batches):
             rows = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = tokens(text)
@@ -232,9 +232,9 @@ def score_toxicity(docs: DataFrame, model: SegmentModel) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score_of = BoundedCache(model.score_of)
+        score_of = BoundedCache(model.score_of, 100_000)
         nothing = model.probability(0.0)
-        for batch in batches:
+        for batch in shared.small_batches(batches):
             probabilities, passages = [], []
             for text in batch.column(1).to_pylist():
                 words = tokens(text)
@@ -269,8 +269,8 @@ def drop_toxic(docs: DataFrame, model: SegmentModel) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score_of = BoundedCache(model.score_of)
-        for batch in batches:
+        score_of = BoundedCache(model.score_of, 100_000)
+        for batch in shared.small_batches(batches):
             keep = []
             for text in batch.column("row").field("text").to_pylist():
                 words = tokens(text)
