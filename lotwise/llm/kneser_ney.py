@@ -4,8 +4,8 @@ Counting goes down from the longest n-grams. Tasks reduce their tokens to distin
 per hash part; a shuffle on the part brings equal n-grams together and stores their counts. Each
 distinct n-gram then sends what it adds to two sums: to its context (how much follows it, and how many
 followers occur once, twice, more often) and to the n-gram without its first word (one more
-distinct word before it, or its count where a text begins there). The next shuffle sums both, and so
-on down to single words. Parts are cut by the hash of the whole n-gram, so a context that a third of
+distinct word before it, or its count where a text begins there; and its count, so the words' own
+counts need no shuffle of the text's words). The next shuffle sums both, and so on down to single words. Parts are cut by the hash of the whole n-gram, so a context that a third of
 the corpus shares is spread over all of them, and there are as many as the text's size asks for. From
 some tens of gigabytes on, n-grams go to their parts in steps of some bits of the hash, each a shuffle
 that sums again, so what a task sends to one place never shrinks to a few n-grams. All tables become
@@ -49,12 +49,15 @@ def pack(arrays: list[np.ndarray]) -> bytes:
     out = io.BytesIO()
     for values in arrays:
         np.lib.format.write_array(out, values, allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
 
 
-def unpack(blob: bytes, n: int) -> list[np.ndarray]:
-    source = io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))
-    return [np.lib.format.read_array(source, allow_pickle=False) for _ in range(n)]
+def unpack(blob: bytes) -> list[np.ndarray]:
+    data, arrays = zstandard.ZstdDecompressor().decompress(blob), []
+    source = io.BytesIO(data)
+    while source.tell() < len(data):
+        arrays.append(np.lib.format.read_array(source, allow_pickle=False))
+    return arrays
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -106,14 +109,14 @@ def summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, lis
     return keys[first], sums, order[first]
 
 
-def by_part(kind: str, keys: np.ndarray, arrays: list[np.ndarray], bits: int) -> Iterator[tuple]:
-    """(kind, part, blob) of rows sorted by key; within a part they go in the order of their columns, which compresses."""
+def by_part(kind: str, keys: np.ndarray, names: list[np.ndarray], sums: list[np.ndarray], bits: int) -> Iterator[tuple]:
+    """(kind, part, blob) of rows sorted by key; within a part n-grams go in the order of their words, which compresses."""
     for part, lo, hi in runs_of(part_of(keys, bits)):
-        own = [a[lo:hi] for a in arrays]
+        own, counts = [a[lo:hi] for a in names], [a[lo:hi] for a in sums]
         if kind == "gram":
-            order = np.lexsort(own[-2::-1])
-            own = [a[order] for a in own]
-        yield kind, part, pack([*own[:-1], narrow(own[-1])] if kind != "context" else [own[0], *map(narrow, own[1:])])
+            order = np.lexsort(own[::-1])
+            own, counts = [a[order] for a in own], [a[order] for a in counts]
+        yield kind, part, pack([*own, *map(narrow, counts)])
 
 
 def steps_to(bits: int, most: int) -> list[int]:
@@ -125,8 +128,7 @@ def steps_to(bits: int, most: int) -> list[int]:
 def merged(kind: str, blobs: pd.Series, level: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Distinct hashes in order, what names each (words of an n-gram, else the hash) and its sums; ``level`` is the words of the n-grams."""
     names = level if kind == "gram" else 1
-    loaded = [unpack(blob, names + (len(CONTEXT_SUMS) if kind == "context" else 1)) for blob in blobs]
-    columns = [np.concatenate(c) for c in zip(*loaded, strict=True)]
+    columns = [np.concatenate(c) for c in zip(*map(unpack, blobs), strict=True)]
     keys, sums, at = summed(gram_hash(columns[:names]) if kind == "gram" else columns[0], columns[names:])
     return keys, [c[at] for c in columns[:names]], sums
 
@@ -141,7 +143,7 @@ def spread(packed: DataFrame, level: int, known: int, wanted: int, bits: int) ->
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         kind = frame["kind"].iloc[0]
         keys, names, sums = merged(kind, frame["blob"], level)
-        return pd.DataFrame(list(by_part(kind, keys, [*names, *sums], wanted)), columns=["kind", "part", "blob"])
+        return pd.DataFrame(list(by_part(kind, keys, names, sums, wanted)), columns=["kind", "part", "blob"])
 
     deal = F.pmod(F.crc32("blob"), F.lit(1 << (bits - known))).alias("deal")
     return packed.groupBy("kind", "part", deal).applyInPandas(run, "kind string, part int, blob binary")
@@ -151,16 +153,13 @@ SENT = "kind string, part int, stats array<long>, blob binary"
 
 
 def count_grams(docs: DataFrame, order: int, bits: int) -> DataFrame:
-    """Rows of kind gram (words, count) and word (hash, count), packed per slice and part."""
+    """Rows of kind gram (words, count), packed per slice and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, lengths in slices(batches, SLICE_TOKENS):
             columns = columns_of(tokens, lengths, order)
             keys, (counts,), at = summed(gram_hash(columns), [np.ones(len(tokens), np.int8)])
-            rows = list(by_part("gram", keys, [*(c[at] for c in columns), counts], bits))
-            words, (counts,), _ = summed(gram_hash([tokens]), [np.ones(len(tokens), np.int8)])
-            rows += by_part("word", words, [words, counts], bits)
-            kinds, parts, blobs = zip(*rows, strict=True)
+            kinds, parts, blobs = zip(*by_part("gram", keys, [c[at] for c in columns], [counts], bits), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "part", "blob"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind string, part int, blob binary")
@@ -171,22 +170,25 @@ def counts_of_counts(counts: np.ndarray) -> list[int]:
 
 
 def reduce_parts(packed: DataFrame, folder: str, level: int, first_bits: int) -> DataFrame:
-    """Stores n-grams of ``level`` words and contexts of the level above; a row with statistics of each part, and what they send down, by ``first_bits``."""
+    """Stores n-grams of ``level`` words and contexts of the level above; a row with statistics of each part, and what they send down, by ``first_bits``.
+
+    N-grams below the longest have two sums: what the model takes for their count, and how often they occur. Only single words store both.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         kind, part, rows = frame["kind"].iloc[0], int(frame["part"].iloc[0]), []
         keys, words, sums = merged(kind, frame["blob"], level)
-        table = {"gram": f"gram{level}", "context": f"context{level + 1}"}.get(kind, kind)
-        write_numbered(f"{folder}/{table}", part, [keys, *map(narrow, sums)])
-        if kind != "context":
-            (count,) = sums
+        stored = sums if kind == "context" or level == 1 else sums[:1]
+        write_numbered(f"{folder}/{f'gram{level}' if kind == 'gram' else f'context{level + 1}'}", part, [keys, *map(narrow, stored)])
+        if kind == "gram":
+            count, occurs = sums[0], sums[-1]
             rows.append((kind, part, [int(count.sum()), len(keys), *counts_of_counts(count)], None))
         if kind == "gram" and level > 1:
             contexts, sums, _ = summed(gram_hash(words[:-1]), [count, count == 1, count == 2, count > 2])
-            down = list(by_part("context", contexts, [contexts, *sums], first_bits))
+            down = list(by_part("context", contexts, [contexts], sums, first_bits))
             adds = np.where(words[1] == START, count, 1)
-            shorter, (adds,), at = summed(gram_hash(words[1:]), [adds])
-            down += by_part("gram", shorter, [*(w[at] for w in words[1:]), adds], first_bits)
+            shorter, sums, at = summed(gram_hash(words[1:]), [adds, occurs])
+            down += by_part("gram", shorter, [w[at] for w in words[1:]], sums, first_bits)
             rows += [(k, p, None, blob) for k, p, blob in down]
         return pd.DataFrame(rows, columns=["kind", "part", "stats", "blob"])
 
@@ -223,7 +225,7 @@ class NgramModel:
         """Per document: log10 probability, base score, tokens known."""
         columns = columns_of(tokens, lengths, self.order)
         uniform, own = 1 / (self.words + 1), gram_hash([tokens])
-        (types,) = self.find("gram1", own)
+        types, known = self.find("gram1", own, 2)
         probability = np.maximum(types - self._discount(types, 1), 0) / self.types + self.reserve * uniform if self.types else np.full(len(tokens), uniform)
         for level in range(2, self.order + 1):
             words = columns[self.order - level :]
@@ -231,7 +233,6 @@ class NgramModel:
             total, *n = self.find(f"context{level}", gram_hash(words[:-1]), len(CONTEXT_SUMS))
             kept, some = sum(d * x for d, x in zip(self.discounts[level], n, strict=True)), np.maximum(total, 1)
             probability = np.where(total > 0, np.maximum(count - self._discount(count, level), 0) / some + kept / some * probability, probability)
-        (known,) = self.find("word", own)
         first = np.cumsum(lengths) - lengths
         base = np.log10((known + 1) / (self.tokens + self.words + 1))
         return np.add.reduceat(np.log10(probability), first), np.add.reduceat(base, first), np.add.reduceat((known > 0).astype(np.int64), first)
@@ -256,18 +257,18 @@ def fit(docs: DataFrame, order: int = ORDER, folder: str | None = None, step_bit
         done = shared.written(reduce_parts(packed, folder, level, steps[0]), f"grams-{level}")
         shared.discard(*passed)
         sums = done.filter("stats is not null").groupBy("kind").agg(F.array(*(F.sum(F.col("stats")[k]) for k in range(6))).alias("stats"))
-        for row in sums.collect():  # two rows
-            stats[f"gram{level}" if row.kind == "gram" else row.kind] = np.array(row.stats, np.int64)
+        for row in sums.collect():  # one row
+            stats[level] = np.array(row.stats, np.int64)
         packed, passed = done.filter("blob is not null").select("kind", "part", "blob"), [done]
     shared.discard(*passed)
     none = np.zeros(6, np.int64)
-    of_level = {k: stats.get(f"gram{k}", none).tolist() for k in range(1, order + 1)}
+    of_level = {k: stats.get(k, none).tolist() for k in range(1, order + 1)}
     by_level = {k: discounts(own[2:]) for k, own in of_level.items()}
     types, distinct, m1, m2, *_ = of_level[1]
     d1, d2, d3 = by_level[1]
     reserve = (d1 * m1 + d2 * m2 + d3 * (distinct - m1 - m2)) / types if types else 1.0
-    tokens, words, *_ = stats.get("word", none).tolist()
-    return NgramModel(folder, order, bits, tokens, words, types, by_level, reserve)
+    tokens = of_level[order][0]  # each token ends one of the longest n-grams
+    return NgramModel(folder, order, bits, tokens, distinct, types, by_level, reserve)
 
 
 def score_documents(docs: DataFrame, model: NgramModel) -> DataFrame:
