@@ -279,7 +279,11 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 def reordered(values: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``sizes`` values in another order, and the bounds of the runs there."""
-    begin, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    return gathered(values, (np.cumsum(sizes) - sizes)[order], sizes[order])
+
+
+def gathered(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``sizes`` values from each ``begin``, one after another, and their bounds there."""
     at = np.append(0, np.cumsum(sizes))
     return values[np.arange(at[-1]) + np.repeat(begin - at[:-1], sizes)], at
 
@@ -320,8 +324,8 @@ def write_dictionary(words: DataFrame, ranks: dict[bytes, int], folder: str, bit
 class TextEncoder:
     """Whole-text encoding over the mapped dictionary; one per worker process.
 
-    Pieces met before are in a bounded dict; the new ones of a batch are split into words, and all
-    their words are looked up together, part by part in hash order.
+    Pieces met before are in a bounded dict; the distinct new ones of a batch are split into words, and all
+    their words are looked up together, part by part in hash order. A text is then one lookup per piece.
     """
 
     def __init__(self, folder: str, pattern: str, names: tuple[tuple[int, tuple[str, ...]], ...], bits: int, limit: int = 1_000_000):
@@ -329,45 +333,50 @@ class TextEncoder:
         self.split, self.parts, self.known = splitter(pattern), dict(names), {}
 
     def word_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
-        hashes = np.array([spark_hash(w) for w in words], np.uint64)
+        hashes = np.fromiter(map(spark_hash, words), np.uint64, len(words))
         order = np.argsort(hashes)
         words, hashes = [words[i] for i in order.tolist()], hashes[order]
+        own, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        own_at = np.cumsum(sizes) - sizes
         bounds = np.searchsorted(part_of(hashes, self.bits), np.arange((1 << self.bits) + 1)).tolist()
         found: dict[bytes, bytes] = {}
         for part, files in self.parts.items():
             lo, hi = bounds[part], bounds[part + 1]
             for name in files if hi > lo else ():
                 stored, text_at, ids_at, text, ids = (np.asarray(array(self.folder, name, key)) for key in ("hash", "word_at", "ids_at", "word", "ids"))
-                text, ids = text.data, ids.data
                 index, at = np.arange(lo, hi), np.searchsorted(stored, hashes[lo:hi])
                 while len(index):
                     index, at = index[inside := at < len(stored)], at[inside]
                     index, at = index[same := stored[at] == hashes[index]], at[same]
-                    others = []
-                    spans = (x.tolist() for x in (index, text_at[at], text_at[at + 1], ids_at[at], ids_at[at + 1]))
-                    for k, (i, begin, end, first, last) in enumerate(zip(*spans, strict=True)):
-                        if text[begin:end] == words[i]:
-                            found[words[i]] = bytes(ids[first:last])
-                        else:
-                            others.append(k)
-                    at = at[others := np.array(others, np.int64)] + 1  # another word of the same hash
-                    index = index[others]
+                    equal = text_at[at + 1] - text_at[at] == sizes[index]
+                    i, k = index[equal], at[equal]
+                    if len(i):
+                        theirs, begin = gathered(text, text_at[k], sizes[i])
+                        right = np.logical_and.reduceat(theirs == gathered(own, own_at[i], sizes[i])[0], begin[:-1])  # no word is empty
+                        equal[equal] = right
+                        i, k = i[right], k[right]
+                        packed, ends = gathered(ids, ids_at[k], ids_at[k + 1] - ids_at[k])
+                        packed, ends = packed.tobytes(), ends.tolist()
+                        found.update((words[i], packed[first:last]) for i, first, last in zip(i.tolist(), ends[:-1], ends[1:], strict=True))
+                    index, at = index[~equal], at[~equal] + 1  # another word of the same hash
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split_texts = [PIECES.findall(text or "") for text in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        found = [list(map(self.known.get, pieces)) for pieces in split_texts]
-        gaps = [[k for k, x in enumerate(own) if x is None] for own in found]
-        new = {pieces[k] for pieces, own in zip(split_texts, gaps, strict=True) for k in own}
-        parts = {piece: [w.encode() for w in self.split(piece)] for piece in new}
-        ids = self.word_ids(list({w for words in parts.values() for w in words}))
-        self.known.update((piece, b"".join([ids[w] for w in words])) for piece, words in parts.items())
-        for pieces, own, where in zip(split_texts, found, gaps, strict=True):
-            for k in where:
-                own[k] = self.known[pieces[k]]
-        return [b"".join(own) for own in found]
+        new = set().union(*split_texts).difference(self.known)
+        single, several = {}, {}  # few lists, which the collector would walk through
+        for piece in new:
+            words = self.split(piece)
+            if len(words) == 1:
+                single[piece] = words[0].encode()
+            else:
+                several[piece] = [w.encode() for w in words]
+        ids = self.word_ids(list({*single.values(), *(w for words in several.values() for w in words)}))
+        self.known.update((piece, ids[word]) for piece, word in single.items())
+        self.known.update((piece, b"".join([ids[w] for w in words])) for piece, words in several.items())
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split_texts]
 
 
 @functools.lru_cache(maxsize=1)
