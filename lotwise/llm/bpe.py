@@ -246,9 +246,13 @@ def rust_white_space(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{SPACES}").replace("\\S", f"[^{SPACES}]").replace("\\s", f"[{SPACES}]")
 
 
+#: Whether a piece is letters after at most a space, which is one pre-token.
+one_word = re.compile(f" ?[{LETTERS}]+").fullmatch
+
+
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """A function from a piece to its pre-tokens; a piece of letters after at most a space is one."""
-    split, one_word = regex.compile(rust_white_space(pattern)).findall, re.compile(f" ?[{LETTERS}]+").fullmatch
+    split = regex.compile(rust_white_space(pattern)).findall
     return lambda piece: [piece] if one_word(piece) else split(piece)
 
 
@@ -262,7 +266,8 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 pieces.update(PIECES.findall(text or ""))
             pieces -= seen
-            words = {word for piece in pieces for word in split(piece)} - sent
+            words = {piece for piece in pieces if one_word(piece)}
+            words = words.union(*map(split, pieces - words)) - sent
             if len(seen) > 700_000:
                 seen, sent = set(), set()
             seen |= pieces
@@ -333,13 +338,18 @@ class TextEncoder:
         self.split, self.parts, self.known = splitter(pattern), dict(names), {}
 
     def word_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        return {word: ids for word, ids in zip(words, self.look_up(words), strict=True) if ids is not None}
+
+    def look_up(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of words, in their order; None for a word that the dictionary lacks."""
         hashes = np.fromiter(map(spark_hash, words), np.uint64, len(words))
         order = np.argsort(hashes)
-        words, hashes = [words[i] for i in order.tolist()], hashes[order]
+        place = order.tolist()
+        words, hashes = [words[i] for i in place], hashes[order]
         own, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
         own_at = np.cumsum(sizes) - sizes
         bounds = np.searchsorted(part_of(hashes, self.bits), np.arange((1 << self.bits) + 1)).tolist()
-        found: dict[bytes, bytes] = {}
+        found: list[bytes | None] = [None] * len(words)
         for part, files in self.parts.items():
             lo, hi = bounds[part], bounds[part + 1]
             for name in files if hi > lo else ():
@@ -357,7 +367,8 @@ class TextEncoder:
                         i, k = i[right], k[right]
                         packed, ends = gathered(ids, ids_at[k], ids_at[k + 1] - ids_at[k])
                         packed, ends = packed.tobytes(), ends.tolist()
-                        found.update((words[i], packed[first:last]) for i, first, last in zip(i.tolist(), ends[:-1], ends[1:], strict=True))
+                        for one, first, last in zip(i.tolist(), ends[:-1], ends[1:], strict=True):
+                            found[place[one]] = packed[first:last]
                     index, at = index[~equal], at[~equal] + 1  # another word of the same hash
         return found
 
@@ -366,16 +377,14 @@ class TextEncoder:
         if len(self.known) > self.limit:
             self.known.clear()
         new = set().union(*split_texts).difference(self.known)
-        single, several = {}, {}  # few lists, which the collector would walk through
-        for piece in new:
-            words = self.split(piece)
-            if len(words) == 1:
-                single[piece] = words[0].encode()
-            else:
-                several[piece] = [w.encode() for w in words]
-        ids = self.word_ids(list({*single.values(), *(w for words in several.values() for w in words)}))
-        self.known.update((piece, ids[word]) for piece, word in single.items())
-        self.known.update((piece, b"".join([ids[w] for w in words])) for piece, words in several.items())
+        single = [piece for piece in new if one_word(piece)]  # words as they are, so their ids need no table of words
+        several = {piece: [w.encode() for w in self.split(piece)] for piece in new.difference(single)}
+        words = [piece.encode() for piece in single]
+        others = list({w for split in several.values() for w in split})
+        ids = self.look_up(words + others)
+        self.known.update(zip(single, ids, strict=False))
+        of_word = dict(zip(others, ids[len(words) :], strict=True))
+        self.known.update((piece, b"".join([of_word[w] for w in split])) for piece, split in several.items())
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split_texts]
 
 

@@ -23,7 +23,7 @@ from .shared import BoundedCache
 SPACES = "\t-\r \x85\xa0  -     　"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
-PIECES = re.compile(f" ?[{LETTERS}]++(?=[{SPACES},.;:!?]|\\Z)| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+PIECES = re.compile(f" ?[{LETTERS}]++(?![^{SPACES},.;:!?])| ?[^{SPACES}]++|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
 #: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, all others for characters from 256 on.
